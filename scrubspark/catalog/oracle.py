@@ -94,3 +94,107 @@ ORACLE.update({
     "rename_drop": DO + """SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate,
         o_orderpriority AS priority, qty_text FROM dirty_orders""",
 })
+
+
+# --- profiling, quality, grading -------------------------------------------------
+
+from scrubspark.catalog import specs  # noqa: E402
+from scrubspark.catalog.sqlgen import col_stats_sql, dup_rate_sql, quality_sql  # noqa: E402
+
+DO_STATS = DO + ", " + col_stats_sql("dirty_orders", specs.DIRTY_ORDERS_COLS) + ", " + \
+    dup_rate_sql("dirty_orders") + "\n"
+DE_STATS = DE + ", " + col_stats_sql("dirty_events", specs.DIRTY_EVENTS_COLS) + ", " + \
+    dup_rate_sql("dirty_events") + "\n"
+
+
+def _r(c):
+    return f"round({c}, 4) AS {c}"
+
+
+_ORDERS_NULL = ("(SELECT avg(CASE WHEN null_rate <= 0.01 THEN 1.0 ELSE greatest(0.0, 1 - null_rate * 5) END) "
+                "FROM colstats WHERE name IN ('o_totalprice', 'o_orderpriority'))")
+_ORDERS_OUT = ("(SELECT avg(CASE WHEN outlier_frac <= 0.05 THEN 1.0 ELSE greatest(0.0, 1 - outlier_frac * 10) END) "
+               "FROM colstats WHERE name = 'o_totalprice' AND n_values >= 4)")
+_DUP = ("(SELECT CASE WHEN duplicate_rate < 0.005 THEN 1.0 ELSE greatest(0.0, 1 - duplicate_rate * 10) END "
+        "FROM dupstats)")
+
+
+def _rule_share(view, col, lo, hi):
+    x = sql_parse_number(f'"{col}"')
+    return (f"(SELECT count(*) FILTER (WHERE {x} BETWEEN {lo} AND {hi}) / nullif(count({x}), 0) FROM {view})")
+
+
+_ORDERS_RULES = (f"((coalesce({_rule_share('dirty_orders', 'o_totalprice', 0, 600000)}, 0) + "
+                 f"coalesce({_rule_share('dirty_orders', 'qty_text', 0, 19)}, 0)) / 2)")
+_ORDERS_SCORE = (f"round(least(0.20 * {_ORDERS_NULL} + 0.20 * 0.5 + 0.20 * {_ORDERS_OUT} + 0.15 * {_DUP} "
+                 f"+ 0.20 * {_ORDERS_RULES} + 0.0, 1.0), 4)")
+
+_EV_NULL = ("(SELECT avg(CASE WHEN null_rate <= 0.01 THEN 1.0 ELSE greatest(0.0, 1 - null_rate * 5) END) "
+            "FROM colstats WHERE name = 'value')")
+_EV_OUT = ("(SELECT avg(CASE WHEN outlier_frac <= 0.05 THEN 1.0 ELSE greatest(0.0, 1 - outlier_frac * 10) END) "
+           "FROM colstats WHERE name = 'value' AND n_values >= 4)")
+_EV_RULES = f"{_rule_share('dirty_events', 'value', -100, 1000)}"
+_EV_PARSE = f"(SELECT count({sql_parse_number('ts_text')}) / count(*) FROM dirty_events)"
+_EV_TYPE = "(2.0 / 3.0)"
+_EV_SCORE = (f"round(least(0.20 * {_EV_NULL} + 0.15 * {_EV_TYPE} + 0.15 * {_EV_OUT} + 0.10 * {_DUP} "
+             f"+ 0.10 * {_EV_PARSE} + 0.20 * {_EV_RULES} + 0.05, 1.0), 4)")
+
+_ORDERS_TEXT_COLS = [c for c, t in specs.DIRTY_ORDERS_COLS if t == "string"]
+
+ORACLE.update({
+    "profile_numeric": DO_STATS + """SELECT name, round(null_rate, 4) AS null_rate, n_unique,
+        round(mean, 4) AS mean, round(std, 4) AS std, round(min, 4) AS min, round(max, 4) AS max,
+        round(q1, 4) AS q1, round(q3, 4) AS q3, round(outlier_frac, 4) AS outlier_frac
+        FROM colstats WHERE is_numeric""",
+    "profile_text": DO_STATS + """SELECT name, round(null_rate, 4) AS null_rate, n_unique,
+        round(parse_rate, 4) AS parse_rate FROM colstats WHERE dtype = 'string'""",
+    "profile_flags": DO_STATS + "SELECT name, flags FROM colstats",
+    "profile_samples": DO + ", melt AS (" + " UNION ALL ".join(
+        f"SELECT o_orderkey AS k, '{c}' AS name, CAST(\"{c}\" AS VARCHAR) AS val FROM dirty_orders"
+        for c, _ in specs.DIRTY_ORDERS_COLS) + """),
+        r AS (SELECT name, val, row_number() OVER (PARTITION BY name ORDER BY k) AS rn
+              FROM melt WHERE val IS NOT NULL)
+        SELECT name, string_agg(val, '|' ORDER BY rn) AS sample_values FROM r WHERE rn <= 3 GROUP BY name""",
+    "table_header": DO + ", " + dup_rate_sql("dirty_orders") + """
+        SELECT n_rows, CAST(8 AS INTEGER) AS n_cols, round(duplicate_rate, 4) AS duplicate_rate FROM dupstats""",
+    "profile_lines": DO_STATS + """SELECT name, '- ' || name || ' [' || dtype || '] nulls=' ||
+        printf('%.1f%%', round(null_rate * 100, 1)) || ' unique=' || CAST(n_unique AS VARCHAR) ||
+        CASE WHEN mean IS NOT NULL THEN printf(' | mean=%.2f, std=%.2f, min=%.2f, max=%.2f',
+          round(mean, 2), round(std, 2), round(min, 2), round(max, 2)) ELSE '' END ||
+        ' flags=[' || CASE WHEN flags = '' THEN 'clean' ELSE flags END || ']' AS line FROM colstats""",
+    "quality_scores": DO_STATS + "SELECT " + quality_sql(),
+    "quality_band": "WITH " + fx.DIRTY_ORDERS_SQL + ", " + fx.DIRTY_EVENTS_SQL + ", "
+        + col_stats_sql("dirty_orders", specs.DIRTY_ORDERS_COLS).replace("colstats", "cso") + ", "
+        + dup_rate_sql("dirty_orders", "dso") + ", "
+        + col_stats_sql("dirty_events", specs.DIRTY_EVENTS_COLS).replace("colstats", "cse") + ", "
+        + dup_rate_sql("dirty_events", "dse") + """,
+        q AS (SELECT 'dirty_orders' AS table_name, """ + quality_sql("cso", "dso").split(" AS overall")[0]
+        .split("AS dup_score, ")[1] + """ AS overall
+              UNION ALL SELECT 'dirty_events' AS table_name, """ + quality_sql("cse", "dse")
+        .split(" AS overall")[0].split("AS dup_score, ")[1] + """ AS overall)
+        SELECT table_name, overall, CASE WHEN overall >= 0.85 THEN 'good' WHEN overall >= 0.6 THEN 'warn'
+          ELSE 'bad' END AS band FROM q""",
+    "grade_orders": DO_STATS + f"""SELECT round({_ORDERS_NULL}, 4) AS null_check, 0.5 AS type_check,
+        round({_ORDERS_OUT}, 4) AS outlier_check, round({_DUP}, 4) AS dup_check,
+        round({_ORDERS_RULES}, 4) AS rule_check, 1.0 AS parse_check, 0.0 AS drop_bonus,
+        {_ORDERS_SCORE} AS score, {_ORDERS_SCORE} >= 0.80 AS passed""",
+    "grade_events": DE_STATS + f"""SELECT round({_EV_NULL}, 4) AS null_check, round({_EV_TYPE}, 4) AS type_check,
+        round({_EV_OUT}, 4) AS outlier_check, round({_DUP}, 4) AS dup_check,
+        round({_EV_RULES}, 4) AS rule_check, round({_EV_PARSE}, 4) AS parse_check, 0.05 AS drop_bonus,
+        {_EV_SCORE} AS score, {_EV_SCORE} >= 0.80 AS passed""",
+    "grade_default": DO_STATS + """SELECT round(1 - (SELECT avg(null_rate) FROM colstats), 4) AS null_check,
+        round(1 - (SELECT duplicate_rate FROM dupstats), 4) AS dup_check,
+        round(((1 - (SELECT avg(null_rate) FROM colstats)) + (1 - (SELECT duplicate_rate FROM dupstats))) / 2, 4)
+          AS score,
+        round(((1 - (SELECT avg(null_rate) FROM colstats)) + (1 - (SELECT duplicate_rate FROM dupstats))) / 2, 4)
+          >= 0.80 AS passed""",
+    "range_rules": DO + " " + " UNION ALL ".join(
+        f"""SELECT '{c}' AS "column", '{r}' AS rule, count({sql_parse_number(f'"{c}"')}) AS n_values,
+        round(count(*) FILTER (WHERE {sql_parse_number(f'"{c}"')} BETWEEN {lo} AND {hi})
+              / nullif(count({sql_parse_number(f'"{c}"')}), 0), 4) AS in_range_share FROM dirty_orders"""
+        for c, r, lo, hi in [("o_totalprice", "min:0,max:600000", 0, 600000),
+                             ("qty_text", "min:0,max:19", 0, 19)]),
+    "parse_rate": DO + " " + " UNION ALL ".join(
+        f"""SELECT '{c}' AS "column", round(count({sql_parse_number(f'"{c}"')}) / count(*), 4) AS parse_rate
+        FROM dirty_orders""" for c in _ORDERS_TEXT_COLS),
+})

@@ -210,3 +210,103 @@ def rename_drop(spark, sf):
     d = fx.dirty_orders(spark, sf)
     d = columns.rename_column(d, "o_orderpriority", "priority")
     return columns.drop_column(d, "admin_note")
+
+
+# --- F1-F14: profiling ---------------------------------------------------------
+
+from scrubspark.catalog import specs  # noqa: E402
+from scrubspark.operators import grade as grading  # noqa: E402
+from scrubspark.operators import profile as profiling  # noqa: E402
+from scrubspark.operators import quality  # noqa: E402
+
+_NUM_PROFILE = ["mean", "std", "min", "max", "q1", "q3", "outlier_frac"]
+
+
+def _orders_profile(spark, sf, order_by=None):
+    d = fx.dirty_orders(spark, sf)
+    return d, profiling.profile(d, order_by=order_by)
+
+
+@query
+def profile_numeric(spark, sf):
+    _, p = _orders_profile(spark, sf)
+    return p.where("is_numeric").select("name", _r4("null_rate"), "n_unique", *[_r4(c) for c in _NUM_PROFILE])
+
+
+@query
+def profile_text(spark, sf):
+    _, p = _orders_profile(spark, sf)
+    return p.where("is_text").select("name", _r4("null_rate"), "n_unique", _r4("parse_rate"))
+
+
+@query
+def profile_flags(spark, sf):
+    _, p = _orders_profile(spark, sf)
+    return p.select("name", F.array_join("flags", ", ").alias("flags"))
+
+
+@query
+def profile_samples(spark, sf):
+    d = fx.dirty_orders(spark, sf)
+    s = profiling.sample_values_frame(d, ["o_orderkey"], 3)
+    return s.select("name", F.array_join("sample_values", "|").alias("sample_values"))
+
+
+@query
+def table_header(spark, sf):
+    h = profiling.table_header(fx.dirty_orders(spark, sf))
+    return h.select("n_rows", "n_cols", _r4("duplicate_rate"))
+
+
+@query
+def profile_lines(spark, sf):
+    _, p = _orders_profile(spark, sf)
+    return profiling.profile_lines(p).select("name", "line")
+
+
+# --- Q1-Q6: quality ------------------------------------------------------------------
+
+def _quality(df):
+    prof = profiling.fit_profile(df)
+    p = profiling.profile(df, prof=prof)
+    h = profiling.table_header(df)
+    return quality.quality_scores(p, h)
+
+
+@query
+def quality_scores(spark, sf):
+    return _quality(fx.dirty_orders(spark, sf))
+
+
+@query
+def quality_band(spark, sf):
+    a = _quality(fx.dirty_orders(spark, sf)).select(F.lit("dirty_orders").alias("table_name"), "overall")
+    b = _quality(fx.dirty_events(spark, sf)).select(F.lit("dirty_events").alias("table_name"), "overall")
+    return a.unionByName(b).withColumn("band", quality.quality_band("overall"))
+
+
+# --- G1-G12: grading ---------------------------------------------------------------
+
+@query
+def grade_orders(spark, sf):
+    return grading.grade(fx.dirty_orders(spark, sf), specs.ORDERS_SPEC)
+
+
+@query
+def grade_events(spark, sf):
+    return grading.grade(fx.dirty_events(spark, sf), specs.EVENTS_SPEC)
+
+
+@query
+def grade_default(spark, sf):
+    return grading.grade(fx.dirty_orders(spark, sf), grading.default_spec())
+
+
+@query
+def range_rules(spark, sf):
+    return grading.range_rule_detail(fx.dirty_orders(spark, sf), specs.ORDERS_SPEC.rules)
+
+
+@query
+def parse_rate(spark, sf):
+    return grading.parse_rate_detail(fx.dirty_orders(spark, sf))
