@@ -198,3 +198,96 @@ ORACLE.update({
         f"""SELECT '{c}' AS "column", round(count({sql_parse_number(f'"{c}"')}) / count(*), 4) AS parse_rate
         FROM dirty_orders""" for c in _ORDERS_TEXT_COLS),
 })
+
+
+# --- plans and replay -----------------------------------------------------------------
+
+_PQ = sql_parse_number("qty_text")
+CLEAN_CHAIN = DO + f""",
+s1 AS (SELECT DISTINCT * FROM dirty_orders),
+s2 AS (SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority,
+              {_PQ} AS qty_text, admin_note FROM s1),
+s3 AS (SELECT o_orderkey, o_custkey, o_orderstatus,
+              coalesce(o_totalprice, (SELECT quantile_cont(o_totalprice, 0.5) FROM s2)) AS o_totalprice,
+              o_orderdate, o_orderpriority, qty_text, admin_note FROM s2),
+fences AS (SELECT q1 - 1.5 * (q3 - q1) AS lo, q3 + 1.5 * (q3 - q1) AS hi FROM
+           (SELECT quantile_cont(o_totalprice, 0.25) AS q1, quantile_cont(o_totalprice, 0.75) AS q3 FROM s3)),
+s4 AS (SELECT o_orderkey, o_custkey, o_orderstatus,
+              CASE WHEN o_totalprice < lo THEN lo WHEN o_totalprice > hi THEN hi ELSE o_totalprice END
+                AS o_totalprice,
+              o_orderdate, o_orderpriority, qty_text, admin_note FROM s3, fences),
+cleaned AS (SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate,
+                   o_orderpriority AS priority, qty_text FROM s4)
+"""
+
+
+def _sql_digest(view, cols):
+    parts = []
+    for c, t in cols:
+        if t == "double":
+            parts.append(f"CASE WHEN \"{c}\" IS NULL THEN '~' ELSE printf('%.6f', \"{c}\") END")
+        else:
+            parts.append(f"CASE WHEN \"{c}\" IS NULL THEN '~' ELSE CAST(\"{c}\" AS VARCHAR) END")
+    h = f"md5(concat_ws('|', {', '.join(parts)}))"
+    return (f"SELECT count(*) AS n_rows, CAST(sum(('0x' || substr({h}, 1, 8))::BIGINT) AS VARCHAR) AS digest "
+            f"FROM {view}")
+
+
+_CLEANED_COLS = [("o_orderkey", "bigint"), ("o_custkey", "bigint"), ("o_orderstatus", "string"),
+                 ("o_totalprice", "double"), ("o_orderdate", "ts"), ("priority", "string"),
+                 ("qty_text", "double")]
+
+_NULLS = "NULL::DOUBLE AS null_before, NULL::DOUBLE AS null_after"
+_CLIPS = "NULL::BIGINT AS n_outliers, NULL::DOUBLE AS std_before, NULL::DOUBLE AS std_after, " \
+         "NULL::DOUBLE AS std_reduction"
+_N0 = "(SELECT count(*) FROM dirty_orders)"
+_N1 = "(SELECT count(*) FROM s1)"
+
+ORACLE.update({
+    "clean_plan": CLEAN_CHAIN + """SELECT o_orderkey, o_custkey, o_orderstatus, round(o_totalprice, 4)
+        AS o_totalprice, o_orderdate, priority, qty_text FROM cleaned""",
+    "action_metrics": CLEAN_CHAIN + f"""
+        SELECT 0 AS step, 'remove_duplicates' AS action_type, true AS success, false AS noop,
+          {_N0} AS rows_before, {_N1} AS rows_after, 8 AS cols_after, {_NULLS},
+          NULL AS dtype_before, NULL AS dtype_after, {_CLIPS}
+        UNION ALL SELECT 1, 'fix_dtype', true, false, {_N1}, {_N1}, 8, {_NULLS}, 'string', 'double', {_CLIPS}
+        UNION ALL SELECT 2, 'fill_nulls', true, false, {_N1}, {_N1}, 8,
+          round((SELECT (count(*) - count(o_totalprice)) / count(*) FROM s2), 4), 0.0, 'double', 'double', {_CLIPS}
+        UNION ALL SELECT 3, 'clip_outliers', true, false, {_N1}, {_N1}, 8, {_NULLS}, 'double', 'double',
+          (SELECT count(*) FROM s3, fences WHERE o_totalprice < lo OR o_totalprice > hi),
+          round((SELECT stddev_samp(o_totalprice) FROM s3), 4), round((SELECT stddev_samp(o_totalprice) FROM s4), 4),
+          round(1 - (SELECT stddev_samp(o_totalprice) FROM s4) / (SELECT stddev_samp(o_totalprice) FROM s3), 4)
+        UNION ALL SELECT 4, 'drop_column', true, false, {_N1}, {_N1}, 7, {_NULLS}, 'string', NULL, {_CLIPS}
+        UNION ALL SELECT 5, 'rename_column', true, false, {_N1}, {_N1}, 7, {_NULLS}, 'string', NULL, {_CLIPS}
+        UNION ALL SELECT 6, 'done', true, false, {_N1}, {_N1}, 7, {_NULLS}, NULL, NULL, {_CLIPS}""",
+    "precheck": DO + """SELECT * FROM (VALUES
+          (0, 'fill_nulls', 'missing_col', 'error'),
+          (1, 'clip_outliers', 'o_orderpriority', 'error'),
+          (3, 'fill_nulls', 'o_totalprice', 'error'),
+          (5, 'rename_column', 'o_custkey', 'error')) AS t(step, action_type, "column", status)
+        UNION ALL SELECT 2, 'fix_dtype', 'o_totalprice',
+          CASE WHEN count(*) FILTER (WHERE o_totalprice <> floor(o_totalprice)) > 0 THEN 'error' ELSE 'ok' END
+          FROM dirty_orders
+        UNION ALL SELECT 4, 'fill_nulls', 'o_orderkey',
+          CASE WHEN (count(*) - count(o_orderkey)) / count(*) < 0.005 THEN 'noop' ELSE 'ok' END FROM dirty_orders
+        UNION ALL SELECT 6, 'fix_dtype', 'o_orderpriority', 'noop'
+        UNION ALL SELECT 7, 'remove_duplicates', NULL,
+          CASE WHEN (count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM dirty_orders))) / count(*) < 0.005
+               THEN 'noop' ELSE 'ok' END FROM dirty_orders""",
+    "recommend": DO_STATS + """, cands AS (
+          SELECT 1 AS prio, 0.0 AS k1, 0 AS k2, 'remove_duplicates' AS action_type, NULL AS "column",
+                 NULL AS param, 0.95 AS confidence FROM dupstats WHERE duplicate_rate > 0.005
+          UNION ALL SELECT 2, 0.0, ordinal, 'fix_dtype', name, 'float64', 0.85 FROM colstats
+                 WHERE flags LIKE '%type_chaos%'
+          UNION ALL SELECT 3, -null_rate, ordinal, 'fill_nulls', name,
+                 CASE WHEN mean IS NOT NULL THEN 'median' ELSE 'mode' END, 0.80 FROM colstats WHERE null_rate > 0.01
+          UNION ALL SELECT 4, 0.0, ordinal, 'clip_outliers', name, 'iqr', 0.80 FROM colstats
+                 WHERE flags LIKE '%heavy_outliers%'
+          UNION ALL SELECT 5, 0.0, 0, 'done', NULL, NULL, 0.70)
+        SELECT CAST(row_number() OVER (ORDER BY prio, k1, k2) AS INTEGER) AS rank, action_type, "column", param,
+          confidence FROM cands""",
+    "digest": DO + _sql_digest("dirty_orders", [("o_orderkey", "bigint"), ("o_totalprice", "double"),
+                                                ("o_orderpriority", "string"), ("qty_text", "string")]),
+    "replay_verify": CLEAN_CHAIN + ", d AS (" + _sql_digest("cleaned", _CLEANED_COLS) + """)
+        SELECT true AS replay_ok, n_rows, digest, digest AS replay_digest FROM d""",
+})

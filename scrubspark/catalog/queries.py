@@ -310,3 +310,91 @@ def range_rules(spark, sf):
 @query
 def parse_rate(spark, sf):
     return grading.parse_rate_detail(fx.dirty_orders(spark, sf))
+
+
+# --- L1-L4, C18-C20, V1-V3: plans and replay ---------------------------------------
+
+from scrubspark.plans import auto as autoplan  # noqa: E402
+from scrubspark.plans import recommend as rec  # noqa: E402
+from scrubspark.plans import replay as rep  # noqa: E402
+from scrubspark.plans.actions import Action  # noqa: E402
+from scrubspark.plans.clean import clean  # noqa: E402
+
+CLEAN_PLAN = [
+    Action("remove_duplicates", confidence=0.95),
+    Action("fix_dtype", "qty_text", {"target_dtype": "float64"}, 0.85),
+    Action("fill_nulls", "o_totalprice", {"strategy": "median"}, 0.80),
+    Action("clip_outliers", "o_totalprice", {"method": "iqr"}, 0.80),
+    Action("drop_column", "admin_note", confidence=0.90),
+    Action("rename_column", "o_orderpriority", {"new_name": "priority"}, 0.60),
+    Action("done", confidence=0.70),
+]
+
+PRECHECK_PLAN = [
+    Action("fill_nulls", "missing_col", {"strategy": "mean"}, 0.9),
+    Action("clip_outliers", "o_orderpriority", {"method": "iqr"}, 0.9),
+    Action("fix_dtype", "o_totalprice", {"target_dtype": "int64"}, 0.9),
+    Action("fill_nulls", "o_totalprice", {"strategy": "bogus"}, 0.9),
+    Action("fill_nulls", "o_orderkey", {"strategy": "mean"}, 0.9),
+    Action("rename_column", "o_custkey", {"new_name": "o_orderkey"}, 0.9),
+    Action("fix_dtype", "o_orderpriority", {"target_dtype": "str"}, 0.9),
+    Action("remove_duplicates", confidence=0.9),
+]
+
+
+def _clean_orders(spark, sf):
+    d = fx.dirty_orders(spark, sf)
+    out, log = clean(d, CLEAN_PLAN, specs.ORDERS_SPEC)
+    return d, out, log
+
+
+@query
+def clean_plan(spark, sf):
+    _, out, _ = _clean_orders(spark, sf)
+    return out.withColumn("o_totalprice", F.round("o_totalprice", 4))
+
+
+@query
+def action_metrics(spark, sf):
+    _, _, log = _clean_orders(spark, sf)
+    return log.select("step", "action_type", "success", "noop", "rows_before", "rows_after", "cols_after",
+                      _r4("null_before"), _r4("null_after"), "dtype_before", "dtype_after", "n_outliers",
+                      _r4("std_before"), _r4("std_after"), _r4("std_reduction"))
+
+
+@query
+def precheck(spark, sf):
+    d = fx.dirty_orders(spark, sf)
+    _, log = clean(d, PRECHECK_PLAN, specs.ORDERS_SPEC)
+    status = F.when(~F.col("success"), "error").when(F.col("noop"), "noop").otherwise("ok")
+    return log.select("step", "action_type", "column", status.alias("status"))
+
+
+@query
+def recommend(spark, sf):
+    d = fx.dirty_orders(spark, sf)
+    ranked = rec.recommend(profiling.profile(d), profiling.table_header(d))
+    return ranked.select("rank", "action_type", "column",
+                         F.try_element_at(F.map_values("params"), F.lit(1)).alias("param"), "confidence")
+
+
+@query
+def auto_clean_grade(spark, sf):
+    d = fx.dirty_orders(spark, sf)
+    _, log, g = autoplan.auto_clean(d, specs.ORDERS_SPEC, max_steps=12)
+    return log.select("step", "action_type", "column", "success", "noop").crossJoin(
+        g.select("score", "passed", "steps"))
+
+
+DIGEST_COLS = ["o_orderkey", "o_totalprice", "o_orderpriority", "qty_text"]
+
+
+@query
+def digest(spark, sf):
+    return rep.digest(fx.dirty_orders(spark, sf), DIGEST_COLS)
+
+
+@query
+def replay_verify(spark, sf):
+    raw, out, log = _clean_orders(spark, sf)
+    return rep.verify(raw, log, out, specs.ORDERS_SPEC)
