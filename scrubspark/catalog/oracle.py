@@ -291,3 +291,167 @@ ORACLE.update({
     "replay_verify": CLEAN_CHAIN + ", d AS (" + _sql_digest("cleaned", _CLEANED_COLS) + """)
         SELECT true AS replay_ok, n_rows, digest, digest AS replay_digest FROM d""",
 })
+
+
+# --- action-log analytics ---------------------------------------------------------------
+
+SCORED = "WITH " + fx.ACTION_LOG_SQL + """,
+capped AS (SELECT * FROM action_log WHERE step < max_steps),
+term AS (SELECT *, min(CASE WHEN action_type = 'done' OR step + 1 >= max_steps THEN step END)
+           OVER (PARTITION BY run_id) AS terminal_step FROM capped),
+valid AS (SELECT *, step = terminal_step AS is_terminal FROM term
+          WHERE terminal_step IS NULL OR step <= terminal_step),
+v1 AS (SELECT *,
+  CASE WHEN NOT success THEN NULL
+       WHEN action_type = 'done' THEN 0.0::DOUBLE
+       WHEN noop AND action_type IN ('fill_nulls', 'remove_duplicates', 'fix_dtype', 'clip_outliers')
+         THEN -0.05::DOUBLE
+       WHEN action_type = 'fill_nulls' THEN 0.10::DOUBLE * (1.0 - null_after)
+       WHEN action_type = 'remove_duplicates' THEN 0.12::DOUBLE
+       WHEN action_type = 'fix_dtype' THEN 0.10::DOUBLE
+       WHEN action_type = 'clip_outliers' THEN 0.08::DOUBLE * (1.0 + std_reduction)
+       WHEN action_type = 'rename_column' THEN CASE WHEN canonical THEN 0.05::DOUBLE ELSE 0.025::DOUBLE END
+       WHEN action_type = 'drop_column' THEN CASE WHEN irrelevant THEN 0.04::DOUBLE ELSE -0.025::DOUBLE END
+  END AS action_value,
+  max(CASE WHEN action_type = 'fix_dtype' THEN 1 ELSE 0 END) OVER (PARTITION BY run_id ORDER BY step
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen_dtype,
+  max(CASE WHEN action_type = 'fill_nulls' THEN 1 ELSE 0 END) OVER (PARTITION BY run_id ORDER BY step
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen_fill
+  FROM valid),
+v2 AS (SELECT *, coalesce(action_value, -0.03::DOUBLE) AS outcome FROM v1),
+v3 AS (SELECT *, -0.01::DOUBLE AS step_penalty,
+  CASE WHEN NOT success THEN -0.03::DOUBLE END AS invalid_op,
+  CASE WHEN confidence >= 0.75 THEN CASE WHEN outcome > 0 THEN 0.04::DOUBLE ELSE -0.06::DOUBLE END
+       ELSE 0.0::DOUBLE END AS confidence_term,
+  CASE WHEN success AND action_value > 0 AND (action_type = 'fix_dtype'
+       OR (action_type = 'fill_nulls' AND coalesce(seen_dtype, 0) = 1)
+       OR (action_type = 'clip_outliers' AND coalesce(seen_fill, 0) = 1)) THEN 0.02::DOUBLE ELSE 0.0::DOUBLE END
+    AS ordering_bonus,
+  CASE WHEN action_type = 'done' AND step + 1 <= 4 AND grade < 0.80 THEN -0.10::DOUBLE END AS early_exit_penalty,
+  CASE WHEN action_type = 'done' THEN CASE WHEN grade >= 0.80 THEN 0.15::DOUBLE ELSE 0.15::DOUBLE * grade END
+    END AS done_bonus,
+  CASE WHEN action_type = 'done' THEN CASE WHEN replay_ok THEN 0.05::DOUBLE ELSE 0.0::DOUBLE END END AS provenance
+  FROM v2),
+scored0 AS (SELECT *, round(step_penalty + outcome + confidence_term + ordering_bonus
+  + coalesce(early_exit_penalty, 0.0) + coalesce(done_bonus, 0.0) + coalesce(provenance, 0.0), 6) AS reward
+  FROM v3),
+scored AS (SELECT *,
+  round(sum(reward) OVER (PARTITION BY run_id ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 6)
+    AS cumulative,
+  round(sum(reward - coalesce(early_exit_penalty, 0.0)) OVER (PARTITION BY run_id ORDER BY step
+    ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 6) AS cumulative_stored
+  FROM scored0)
+"""
+
+_COMP = """comp AS (
+  SELECT run_id, step, 'step_penalty' AS k, 1 AS pos, step_penalty AS v FROM scored
+  UNION ALL SELECT run_id, step, 'action', 2, action_value FROM scored
+  UNION ALL SELECT run_id, step, 'invalid_op', 3, invalid_op FROM scored
+  UNION ALL SELECT run_id, step, 'confidence', 4, confidence_term FROM scored
+  UNION ALL SELECT run_id, step, 'ordering_bonus', 5, CASE WHEN ordering_bonus > 0 THEN ordering_bonus END
+    FROM scored
+  UNION ALL SELECT run_id, step, 'early_exit_penalty', 6, early_exit_penalty FROM scored
+  UNION ALL SELECT run_id, step, 'done_bonus', 7, done_bonus FROM scored
+  UNION ALL SELECT run_id, step, 'provenance', 8, provenance FROM scored),
+present AS (SELECT * FROM comp WHERE v IS NOT NULL),
+top AS (SELECT run_id, step, k, row_number() OVER (PARTITION BY run_id, step ORDER BY abs(v) DESC, pos) AS rn
+        FROM present WHERE k <> 'step_penalty'),
+keys AS (SELECT run_id, step, string_agg(k, ',' ORDER BY pos) AS components FROM present GROUP BY run_id, step)"""
+
+ORACLE.update({
+    "log_scored": SCORED + """SELECT run_id, step, action_type, round(action_value, 6) AS action_value,
+        confidence_term, ordering_bonus, early_exit_penalty, round(done_bonus, 6) AS done_bonus, provenance, reward
+        FROM scored""",
+    "log_cumulative": SCORED + "SELECT run_id, step, reward, cumulative, cumulative_stored FROM scored",
+    "log_ordering": SCORED + """SELECT run_id, step, action_type, ordering_bonus FROM scored
+        WHERE ordering_bonus > 0""",
+    "log_terminal": SCORED + """SELECT run_id, count(*) AS n_valid, max(terminal_step) AS terminal_step
+        FROM valid GROUP BY run_id""",
+    "log_breakdown_top": SCORED + ", " + _COMP + """
+        SELECT k.run_id, k.step, k.components, coalesce(t.k, 'step') AS dominant
+        FROM keys k LEFT JOIN (SELECT * FROM top WHERE rn = 1) t USING (run_id, step)""",
+    "log_last_n": SCORED + """SELECT run_id, step, reward FROM (SELECT run_id, step, reward,
+        row_number() OVER (PARTITION BY run_id ORDER BY step DESC) AS rn FROM scored) WHERE rn <= 15""",
+    "log_explain": SCORED + """SELECT run_id, step, printf('Step %d: %s', CAST(step + 1 AS INTEGER), action_type)
+        || CASE WHEN "column" IS NOT NULL THEN printf(' on ''%s''', "column") ELSE '' END
+        || printf(' -> reward %+.6f.', reward) AS line FROM scored""",
+    "log_moving_avg": SCORED + """SELECT run_id, step, round(ma, 6) AS moving_avg FROM (
+        SELECT run_id, step, row_number() OVER (PARTITION BY run_id ORDER BY step) AS rn,
+          avg(reward) OVER (PARTITION BY run_id ORDER BY step ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS ma
+        FROM scored) WHERE rn >= 3""",
+    "log_group_mean": SCORED + """SELECT action_type, round(avg(reward), 6) AS mean_reward, count(*) AS n
+        FROM scored GROUP BY action_type""",
+    "log_run_summary": SCORED + """SELECT run_id, count(*) AS steps, round(sum(reward), 6) AS total_reward,
+        round(sum(reward - coalesce(early_exit_penalty, 0.0)), 6) AS total_reward_stored,
+        arg_max(grade, step) AS final_grade, arg_max(replay_ok, step) AS replay_ok,
+        arg_max(action_type, step) = 'done' AS ended_by_done FROM scored GROUP BY run_id""",
+})
+
+
+# --- replies as text -----------------------------------------------------------------------
+
+def _reply_text(raw):
+    t = f"regexp_replace({raw}, '^\\s+|\\s+$', '', 'g')"
+    fenced = f"string_split({t}, '```')[2]"
+    fenced2 = f"(CASE WHEN lower({fenced}) LIKE 'json%' THEN substr({fenced}, 5) ELSE {fenced} END)"
+    body = f"(CASE WHEN starts_with({t}, '```') THEN regexp_replace({fenced2}, '^\\s+|\\s+$', '', 'g') ELSE {t} END)"
+    span = f"regexp_extract({body}, '(?s)(\\{{.*\\}})', 1)"
+    return f"(CASE WHEN {span} <> '' THEN {span} ELSE {body} END)"
+
+
+def _replies_sql(valid_types):
+    j = _reply_text("raw")
+    return ("WITH " + fx.raw_replies_sql(valid_types) + f""",
+        txt AS (SELECT event_id, {j} AS j FROM raw_replies),
+        p AS (SELECT event_id,
+          CASE WHEN json_valid(j) THEN json_extract_string(j, '$.action_type') END AS action_type,
+          CASE WHEN json_valid(j) THEN json_extract_string(j, '$.column') END AS "column",
+          CASE WHEN json_valid(j) THEN json_extract_string(j, '$.params.strategy') END AS strategy,
+          CASE WHEN json_valid(j) THEN TRY_CAST(json_extract(j, '$.confidence') AS DOUBLE) END AS confidence
+          FROM txt)
+        """)
+
+
+ORACLE.update({
+    "parse_actions": _replies_sql(False) + """SELECT event_id, action_type, "column", strategy, confidence,
+        action_type IS NOT NULL AS parsed FROM p""",
+    "clamp_confidence": _replies_sql(False) + """SELECT event_id,
+        greatest(0.0, least(1.0, coalesce(confidence, 0.5))) AS confidence FROM p""",
+    "validate_actions": _replies_sql(True) + f"""SELECT event_id, action_type,
+        regexp_replace("column", '^\\s+|\\s+$', '', 'g') AS "column", coalesce(confidence, 0.5) AS confidence,
+        CASE WHEN action_type IS NULL OR action_type NOT IN ({", ".join(repr(a) for a in fx.ACTION_TYPES)})
+               THEN 'unknown action_type'
+             WHEN coalesce(confidence, 0.5) < 0 OR coalesce(confidence, 0.5) > 1 THEN 'confidence out of range'
+        END AS reason,
+        CASE WHEN action_type IS NULL OR action_type NOT IN ({", ".join(repr(a) for a in fx.ACTION_TYPES)})
+               THEN false
+             WHEN coalesce(confidence, 0.5) < 0 OR coalesce(confidence, 0.5) > 1 THEN false ELSE true END AS valid
+        FROM p""",
+    "truncate_history": """SELECT conv_id, turn, role FROM (SELECT conv_id, turn, role,
+        row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rn FROM conversations) WHERE rn <= 4""",
+    "csv_roundtrip": """SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey,
+        CASE WHEN n_nationkey % 5 = 0 THEN NULL ELSE n_name END AS n_name,
+        CAST(n_regionkey AS BIGINT) AS n_regionkey FROM nation""",
+    "scores_json_sink": DO_STATS.replace("WITH ", "WITH ", 1) + f"""SELECT 'dirty_orders' AS table_name,
+        {_ORDERS_SCORE} AS score, {_ORDERS_SCORE} >= 0.80 AS passed""",
+})
+
+_EV_FILL = """WITH """ + fx.DIRTY_EVENTS_SQL.strip() + """,
+  f AS (SELECT event_id, coalesce(value, (SELECT quantile_cont(value, 0.5) FROM dirty_events)) AS value
+        FROM dirty_events),
+  b AS (SELECT q1 - 1.5 * (q3 - q1) AS lo, q3 + 1.5 * (q3 - q1) AS hi FROM
+        (SELECT quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 FROM f))
+"""
+ORACLE["stream_clean"] = _EV_FILL + """SELECT event_id, round(CASE WHEN value < lo THEN lo WHEN value > hi THEN hi
+    ELSE value END, 4) AS value FROM f, b"""
+
+ORACLE["scores_json_sink"] = (
+    "WITH " + fx.DIRTY_ORDERS_SQL + ", " + fx.DIRTY_EVENTS_SQL + ", "
+    + col_stats_sql("dirty_orders", specs.DIRTY_ORDERS_COLS) + ", " + dup_rate_sql("dirty_orders") + ", "
+    + col_stats_sql("dirty_events", specs.DIRTY_EVENTS_COLS).replace("colstats", "cse") + ", "
+    + dup_rate_sql("dirty_events", "dse")
+    + f"""
+    SELECT 'dirty_orders' AS table_name, {_ORDERS_SCORE} AS score, {_ORDERS_SCORE} >= 0.80 AS passed
+    UNION ALL
+    SELECT 'dirty_events', {_EV_SCORE.replace('colstats', 'cse').replace('dupstats', 'dse')},
+      {_EV_SCORE.replace('colstats', 'cse').replace('dupstats', 'dse')} >= 0.80""")

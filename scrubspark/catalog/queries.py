@@ -398,3 +398,156 @@ def digest(spark, sf):
 def replay_verify(spark, sf):
     raw, out, log = _clean_orders(spark, sf)
     return rep.verify(raw, log, out, specs.ORDERS_SPEC)
+
+
+# --- A1-A16: action-log analytics ----------------------------------------------------
+
+from scrubspark.operators import loglytics as la  # noqa: E402
+
+
+def _scored(spark, sf):
+    return la.score_log(fx.action_log(spark, sf))
+
+
+@query
+def log_scored(spark, sf):
+    s = _scored(spark, sf)
+    return s.select("run_id", "step", "action_type", F.round("action_value", 6).alias("action_value"),
+                    "confidence_term", "ordering_bonus", "early_exit_penalty",
+                    F.round("done_bonus", 6).alias("done_bonus"), "provenance", "reward")
+
+
+@query
+def log_cumulative(spark, sf):
+    return _scored(spark, sf).select("run_id", "step", "reward", "cumulative", "cumulative_stored")
+
+
+@query
+def log_ordering(spark, sf):
+    s = _scored(spark, sf)
+    return s.where(F.col("ordering_bonus") > 0).select("run_id", "step", "action_type", "ordering_bonus")
+
+
+@query
+def log_terminal(spark, sf):
+    v = la.valid_steps(fx.action_log(spark, sf))
+    return v.groupBy("run_id").agg(F.count(F.lit(1)).alias("n_valid"), F.max("terminal_step").alias("terminal_step"))
+
+
+@query
+def log_breakdown_top(spark, sf):
+    s = _scored(spark, sf)
+    bd = la.breakdown(s)
+    return s.select("run_id", "step", F.array_join(F.map_keys(bd), ",").alias("components"),
+                    la.dominant_component(bd).alias("dominant"))
+
+
+@query
+def log_last_n(spark, sf):
+    return la.last_n(_scored(spark, sf), ["run_id"], "step", 15).select("run_id", "step", "reward")
+
+
+@query
+def log_explain(spark, sf):
+    return la.explain_lines(_scored(spark, sf))
+
+
+@query
+def log_moving_avg(spark, sf):
+    return la.moving_average(_scored(spark, sf), 3).select("run_id", "step", "moving_avg")
+
+
+@query
+def log_group_mean(spark, sf):
+    return la.group_mean(_scored(spark, sf), ["action_type"], "reward", "mean_reward")
+
+
+@query
+def log_run_summary(spark, sf):
+    return la.run_summary(_scored(spark, sf))
+
+
+# --- P1-P5: replies as text --------------------------------------------------------------
+
+from scrubspark.functions import replies  # noqa: E402
+
+
+@query
+def parse_actions(spark, sf):
+    p = replies.parse_actions(fx.raw_replies(spark, sf), "raw")
+    return p.select("event_id", "action.action_type", "action.column",
+                    F.col("action.params")["strategy"].alias("strategy"), "action.confidence", "parsed")
+
+
+@query
+def clamp_confidence(spark, sf):
+    p = replies.parse_actions(fx.raw_replies(spark, sf), "raw")
+    return p.select("event_id", replies.clamp_confidence("action.confidence").alias("confidence"))
+
+
+@query
+def validate_actions(spark, sf):
+    p = replies.parse_actions(fx.raw_replies(spark, sf, valid_types=True), "raw")
+    flat = p.select("event_id", "action.action_type", "action.column", "action.confidence")
+    return replies.validate_actions(flat)
+
+
+@query
+def truncate_history(spark, sf):
+    conv = read_table(spark, sf, "conversations").select("conv_id", "turn", "role")
+    return la.last_n(conv, ["conv_id"], "turn", 4)
+
+
+# --- S1, S4: CSV source and JSON sink through the shared folder -----------------------------
+
+import uuid  # noqa: E402
+
+from scrubspark.session import checkpoint_dir  # noqa: E402
+from scrubspark.sources import tables as src  # noqa: E402
+
+
+def _scratch(spark, tag):
+    return f"{checkpoint_dir(spark).rstrip('/')}/scrub-io/{tag}-{uuid.uuid4().hex}"
+
+
+@query
+def csv_roundtrip(spark, sf):
+    n = read_table(spark, sf, "nation")
+    n = n.withColumn("n_name", F.when(F.col("n_nationkey") % 5 == 0, F.lit("N/A")).otherwise(F.col("n_name")))
+    path = _scratch(spark, "nation-csv")
+    src.write_csv(n, path)
+    back = src.read_csv(spark, path)
+    return back.select("n_nationkey", "n_name", "n_regionkey")
+
+
+@query
+def scores_json_sink(spark, sf):
+    a = grading.grade(fx.dirty_orders(spark, sf), specs.ORDERS_SPEC).select(
+        F.lit("dirty_orders").alias("table_name"), "score", "passed")
+    b = grading.grade(fx.dirty_events(spark, sf), specs.EVENTS_SPEC).select(
+        F.lit("dirty_events").alias("table_name"), "score", "passed")
+    path = _scratch(spark, "scores-json")
+    src.write_json(a.unionByName(b), path)
+    return spark.read.schema("table_name string, score double, passed boolean").json(path)
+
+
+# --- streaming: a batch-fitted plan applied to a stream -------------------------------------
+
+from scrubspark.streaming import clean_stream  # noqa: E402
+
+
+@query
+def stream_clean(spark, sf):
+    batch = fx.dirty_events(spark, sf)
+    fitted = clean_stream.fit_plan(batch, [("fill", "value", "median"), ("clip", "value", "iqr")])
+    schema = read_table(spark, sf, "events").schema
+    stream = (spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
+              .option("maxFilesPerTrigger", 1).parquet(sf))
+    # The same damage as the batch fixture: projections only, so it runs on a stream.
+    from scrubspark.operators import inject as inj
+    s = stream.select("event_id", "value")
+    s = inj.inject_nulls(s, "value", 0.25, "event_id", "val_null")
+    s = inj.inject_outliers(s, "value", 0.08, fx.VALUE_OUTLIERS, "event_id", "val_out", "val_pick")
+    cleaned = clean_stream.apply_plan(s, fitted).select("event_id", _r4("value"))
+    name = "stream_clean_" + uuid.uuid4().hex[:8]
+    return clean_stream.run_to_table(cleaned, name, _scratch(spark, "stream-ckpt"))
