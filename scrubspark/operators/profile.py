@@ -60,6 +60,11 @@ def _c(name: str) -> Column:
 
 def fit_profile(df: DataFrame, order_by: list[str] | None = None, exact: bool = True,
                 samples: int = 3) -> list[dict]:
+    with stats.persisted(df):
+        return _fit_profile(df, order_by, exact, samples)
+
+
+def _fit_profile(df: DataFrame, order_by, exact, samples) -> list[dict]:
     fields = df.schema.fields
     exprs = [F.count(F.lit(1)).alias("__rows")]
     for i, f in enumerate(fields):
@@ -87,10 +92,15 @@ def fit_profile(df: DataFrame, order_by: list[str] | None = None, exact: bool =
         if d["is_numeric"] and nn > 0:
             d.update(mean=row[f"mean{i}"], std=0.0 if nn == 1 else row[f"std{i}"],
                      min=row[f"min{i}"], max=row[f"max{i}"])
-            d["q1"], d["q3"] = stats.quantiles(df, f.name, [0.25, 0.75], exact=exact, n=nn)
         if d["is_text"] and nn > 0:
             d["parse_rate"] = row[f"p{i}"] / nn
         prof.append(d)
+    with_values = [d for d in prof if d["is_numeric"] and d["n_values"] > 0]
+    if with_values:
+        qs = stats.quantiles_many(df, [d["name"] for d in with_values], [0.25, 0.75], exact=exact,
+                                  counts={d["name"]: d["n_values"] for d in with_values})
+        for d in with_values:
+            d["q1"], d["q3"] = qs[d["name"]]
     numeric = [d for d in prof if d["q1"] is not None]
     if numeric:
         oexprs = []

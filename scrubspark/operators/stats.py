@@ -27,7 +27,9 @@ Linear interpolation between neighbouring ranks follows the common
 from __future__ import annotations
 
 import math
+from contextlib import contextmanager
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -90,19 +92,44 @@ def _window_cond(v: Column, lo, hi) -> Column:
     return cond
 
 
-def select_ranks(values: DataFrame, n: int, ranks: list[int], limit: int = QUANTILE_TASK_LIMIT,
-                 accuracy: int = APPROX_ACCURACY) -> dict[int, float]:
-    """Exact values at 0-based ``ranks`` of the sorted column ``v`` of ``values``."""
-    v = F.col("v")
-    # One window per group of target ranks that are adjacent (lo/hi of one quantile).
-    groups: list[list[int]] = []
-    for r in sorted(set(ranks)):
-        if groups and r - groups[-1][-1] <= 1:
-            groups[-1].append(r)
-        else:
-            groups.append([r])
-    wins = [{"ranks": g, "lo": None, "hi": None, "offset": 0, "size": n, "eps": 2.0 / accuracy,
-             "done": False} for g in groups]
+@contextmanager
+def persisted(df: DataFrame):
+    """Keep ``df`` for a multi-pass fit when the caller has not cached it (Spark ML's
+    convention); blocks lost with an executor are recomputed from lineage."""
+    if df.storageLevel == StorageLevel.NONE:
+        df.persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            yield df
+        finally:
+            df.unpersist()
+    else:
+        yield df
+
+
+def select_ranks_many(values: DataFrame, targets: dict[int, tuple[int, list[int]]],
+                      limit: int = QUANTILE_TASK_LIMIT, accuracy: int = APPROX_ACCURACY
+                      ) -> dict[int, dict[int, float]]:
+    """Exact values at 0-based ranks, for several columns at once.
+
+    ``values`` has columns ``k`` (column id) and ``v`` (non-null double);
+    ``targets`` maps k -> (count of values, ranks wanted).
+    """
+    v, kc = F.col("v"), F.col("k")
+    wins = []
+    for k, (n, ranks) in targets.items():
+        groups: list[list[int]] = []
+        for r in sorted(set(ranks)):
+            if groups and r - groups[-1][-1] <= 1:
+                groups[-1].append(r)
+            else:
+                groups.append([r])
+        wins += [{"k": k, "ranks": g, "lo": None, "hi": None, "offset": 0, "size": n,
+                  "eps": 2.0 / accuracy, "done": False} for g in groups]
+
+    def member(w, lo=None, hi=None, use_own=True):
+        a, b = (w["lo"], w["hi"]) if use_own else (lo, hi)
+        return (kc == F.lit(w["k"])) & _window_cond(v, a, b)
+
     for _ in range(64):
         big = [w for w in wins if w["size"] > limit and not w["done"]]
         if not big:
@@ -115,8 +142,7 @@ def select_ranks(values: DataFrame, n: int, ranks: list[int], limit: int = QUANT
             f0 = max(0.0, lr0 / denom - w["eps"])
             f1 = min(1.0, lr1 / denom + w["eps"])
             w["_f"] = (f0, f1)
-            inside = F.when(_window_cond(v, w["lo"], w["hi"]), v)
-            aggs.append(F.percentile_approx(inside, [f0, f1], accuracy).alias(f"a{i}"))
+            aggs.append(F.percentile_approx(F.when(member(w), v), [f0, f1], accuracy).alias(f"a{i}"))
         row = values.agg(*aggs).first()
         proposals = []
         for i, w in enumerate(big):
@@ -127,46 +153,87 @@ def select_ranks(values: DataFrame, n: int, ranks: list[int], limit: int = QUANT
         # Check every bracket exactly (one job).
         cexprs = []
         for i, (a, b) in enumerate(proposals):
-            below = F.lit(0) if a is None else F.count(F.when(v < F.lit(a), 1))
+            w = big[i]
+            below = F.lit(0) if a is None else F.count(F.when((kc == F.lit(w["k"])) & (v < F.lit(a)), 1))
             cexprs += [below.alias(f"below{i}"),
-                       F.count(F.when(_window_cond(v, a, b), 1)).alias(f"in{i}")]
+                       F.count(F.when(member(w, a, b, use_own=False), 1)).alias(f"in{i}")]
         crow = values.agg(*cexprs).first()
         for i, w in enumerate(big):
             a, b = proposals[i]
             below, inside = crow[f"below{i}"], crow[f"in{i}"]
             if below <= w["ranks"][0] and w["ranks"][-1] < below + inside:
-                # A window that stops shrinking holds few distinct values
-                # (the final step ranks distinct values), so stop refining it.
+                # A window that stops shrinking holds few distinct values, which
+                # the final step collapses by grouping: stop refining it.
                 stalled = inside >= w["size"] or (a is not None and a == b)
                 w.update(lo=a, hi=b, offset=below, size=inside, done=stalled)
             elif w["eps"] >= 1.0:
                 w["done"] = True
             else:
                 w["eps"] *= 4.0
-    # Final exact ranking inside every (now small) window, one job.
-    tags = F.array_compact(F.array(*[F.when(_window_cond(v, w["lo"], w["hi"]), F.lit(i))
-                                     for i, w in enumerate(wins)]))
-    tagged = values.select(F.explode(tags).alias("w"), v)
-    counted = tagged.groupBy("w", "v").agg(F.count(F.lit(1)).alias("cnt"))
-    ordered = Window.partitionBy("w").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    cum = counted.withColumn("hi_rank", F.sum("cnt").over(ordered) + F.lit(0))
-    cond = F.lit(False)
-    for i, w in enumerate(wins):
-        for r in w["ranks"]:
-            lr = r - w["offset"]
-            cond = cond | ((F.col("w") == i) & (F.col("hi_rank") - F.col("cnt") <= lr) & (F.col("hi_rank") > lr))
-    hits = cum.where(cond).select("w", "v", (F.col("hi_rank") - F.col("cnt")).alias("lo_rank"),
-                                  "hi_rank").collect()
-    out: dict[int, float] = {}
-    for h in hits:
-        w = wins[h["w"]]
-        for r in w["ranks"]:
-            lr = r - w["offset"]
-            if h["lo_rank"] <= lr < h["hi_rank"]:
-                out[r] = h["v"]
+    out: dict[int, dict[int, float]] = {k: {} for k in targets}
+    small = [(i, w) for i, w in enumerate(wins) if w["size"] <= limit]
+    rest = [(i, w) for i, w in enumerate(wins) if w["size"] > limit]
+    # A window bounded to one value answers itself.
+    for i, w in rest:
+        if w["lo"] is not None and w["lo"] == w["hi"]:
+            for r in w["ranks"]:
+                out[w["k"]][r] = w["lo"]
+    rest = [(i, w) for i, w in rest if not (w["lo"] is not None and w["lo"] == w["hi"])]
+    if small:
+        # One job: each window (at most ``limit`` values) becomes one sorted
+        # list in one task, and only the values at the wanted ranks return.
+        tags = F.array_compact(F.array(*[F.when(member(w), F.lit(i)) for i, w in small]))
+        lists = (values.select(F.explode(tags).alias("w"), v).groupBy("w")
+                 .agg(F.array_sort(F.collect_list("v")).alias("a")))
+        picks = [F.when(F.col("w") == i, F.struct(F.lit(r).alias("r"),
+                                                   F.element_at("a", r - w["offset"] + 1).alias("v")))
+                 for i, w in small for r in w["ranks"]]
+        for h in lists.select("w", F.array_compact(F.array(*picks)).alias("p")).collect():
+            k = wins[h["w"]]["k"]
+            for p in h["p"]:
+                out[k][p["r"]] = p["v"]
+    if rest:
+        # Windows that could not be narrowed hold few distinct values: count
+        # per distinct value (combined map-side) and rank those counts.
+        tags = F.array_compact(F.array(*[F.when(member(w), F.lit(i)) for i, w in rest]))
+        counted = (values.select(F.explode(tags).alias("w"), v).groupBy("w", "v")
+                   .agg(F.count(F.lit(1)).alias("c")))
+        ordered = Window.partitionBy("w").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+        cum = counted.withColumn("hi", F.sum("c").over(ordered))
+        cond = F.lit(False)
+        for i, w in rest:
+            for r in w["ranks"]:
+                lr = r - w["offset"]
+                cond = cond | ((F.col("w") == i) & (F.col("hi") - F.col("c") <= lr) & (F.col("hi") > lr))
+        for h in cum.where(cond).collect():
+            w = wins[h["w"]]
+            for r in w["ranks"]:
+                if h["hi"] - h["c"] <= r - w["offset"] < h["hi"]:
+                    out[w["k"]][r] = h["v"]
     return out
 
 
+def select_ranks(values: DataFrame, n: int, ranks: list[int], limit: int = QUANTILE_TASK_LIMIT,
+                 accuracy: int = APPROX_ACCURACY) -> dict[int, float]:
+    """Exact values at 0-based ``ranks`` of the sorted column ``v`` of ``values``."""
+    vals = values.select(F.lit(0).alias("k"), "v")
+    return select_ranks_many(vals, {0: (n, ranks)}, limit, accuracy)[0]
+
+
+def _plan(n: int, probs: list[float]):
+    plan, ranks = [], []
+    for p in probs:
+        pos = p * (n - 1)
+        lo, hi = math.floor(pos), math.ceil(pos)
+        plan.append((lo, hi, pos - lo))
+        ranks += [lo, hi]
+    return plan, ranks
+
+
+def _interpolate(got: dict[int, float], plan) -> list[float]:
+    return [got[lo] if lo == hi else got[lo] + (got[hi] - got[lo]) * d for lo, hi, d in plan]
+
+
 def quantiles(df: DataFrame, col: str, probs: list[float], exact: bool = True,
               n: int | None = None, limit: int = QUANTILE_TASK_LIMIT,
               accuracy: int = APPROX_ACCURACY) -> list[float | None]:
@@ -175,22 +242,33 @@ def quantiles(df: DataFrame, col: str, probs: list[float], exact: bool = True,
     ``exact=False`` returns ``percentile_approx`` values (one job, rank error
     at most n/accuracy) for callers that accept that.
     """
-    if not is_numeric_type(df.schema[col].dataType):
-        raise ValueError(f"'{col}' not numeric.")
-    vals = numeric_values(df, col)
+    return quantiles_many(df, [col], probs, exact, None if n is None else {col: n}, limit, accuracy)[col]
+
+
+def quantiles_many(df: DataFrame, cols: list[str], probs: list[float], exact: bool = True,
+                   counts: dict[str, int] | None = None, limit: int = QUANTILE_TASK_LIMIT,
+                   accuracy: int = APPROX_ACCURACY) -> dict[str, list[float | None]]:
+    """``quantiles`` for several numeric columns with one counting job and one final job."""
+    for c in cols:
+        if not is_numeric_type(df.schema[c].dataType):
+            raise ValueError(f"'{c}' not numeric.")
+    cells = F.array(*[F.struct(F.lit(i).alias("k"), _c(c).cast("double").alias("v")) for i, c in enumerate(cols)])
+    vals = df.select(F.inline(cells)).where(F.col("v").isNotNull() & ~F.isnan("v"))
     if not exact:
-        row = vals.agg(F.percentile_approx("v", list(probs), accuracy).alias("q")).first()
-        return list(row["q"]) if row["q"] is not None else [None] * len(probs)
-    if n is None:
-        n = vals.count()
-    if n == 0:
-        return [None] * len(probs)
-    plan = []
-    ranks = []
-    for p in probs:
-        pos = p * (n - 1)
-        lo, hi = math.floor(pos), math.ceil(pos)
-        plan.append((lo, hi, pos - lo))
-        ranks += [lo, hi]
-    got = select_ranks(vals, n, ranks, limit, accuracy)
-    return [got[lo] if lo == hi else got[lo] + (got[hi] - got[lo]) * d for lo, hi, d in plan]
+        aggs = [F.percentile_approx(F.when(F.col("k") == i, F.col("v")), list(probs), accuracy).alias(f"q{i}")
+                for i in range(len(cols))]
+        row = vals.agg(*aggs).first()
+        return {c: (list(row[f"q{i}"]) if row[f"q{i}"] is not None else [None] * len(probs))
+                for i, c in enumerate(cols)}
+    if counts is None or any(c not in counts for c in cols):
+        row = df.agg(*[F.count(F.when(~F.isnan(_c(c).cast("double")), _c(c))).alias(f"n{i}")
+                       for i, c in enumerate(cols)]).first()
+        counts = {c: row[f"n{i}"] for i, c in enumerate(cols)}
+    plans, targets = {}, {}
+    for i, c in enumerate(cols):
+        if counts[c]:
+            plans[c], ranks = _plan(counts[c], probs)
+            targets[i] = (counts[c], ranks)
+    got = select_ranks_many(vals, targets, limit, accuracy) if targets else {}
+    return {c: (_interpolate(got[i], plans[c]) if c in plans else [None] * len(probs))
+            for i, c in enumerate(cols)}

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scrubspark.operators import grade as grading
 from scrubspark.operators import profile as profiling
+from scrubspark.operators import stats
 from scrubspark.plans.clean import LOG_SCHEMA, clean
 from scrubspark.plans.recommend import recommend, top_action
 
@@ -21,9 +23,15 @@ def auto_clean(df: DataFrame, spec=None, max_steps: int | None = None, order_by=
     """
     spec = spec or grading.default_spec()
     max_steps = max_steps or spec.max_steps
+    with stats.persisted(df):
+        return _auto_clean(df, spec, max_steps, order_by, exact, checkpoint)
+
+
+def _auto_clean(df, spec, max_steps, order_by, exact, checkpoint):
     spark = df.sparkSession
     current = df
     logs = []
+    kept = []
     skip: set = set()
     for step in range(max_steps):
         prof = profiling.fit_profile(current, exact=exact)
@@ -35,8 +43,15 @@ def auto_clean(df: DataFrame, spec=None, max_steps: int | None = None, order_by=
         logs.append(row)
         if not row["success"] or row["noop"]:
             skip.add((action.action_type, action.column))
+        elif action.action_type == "remove_duplicates" and not checkpoint:
+            # Rows changed: keep the new table for the remaining rounds.
+            current = current.persist(StorageLevel.MEMORY_AND_DISK)
+            kept.append(current)
         if action.action_type == "done":
             break
     log_df = spark.createDataFrame([tuple(r) for r in logs], LOG_SCHEMA)
-    g = grading.grade(current, spec, exact)
-    return current, log_df, g.withColumn("steps", F.lit(len(logs)))
+    g = grading.grade(current, spec, exact).withColumn("steps", F.lit(len(logs)))
+    g = spark.createDataFrame(g.collect(), g.schema)
+    for k in kept:
+        k.unpersist()
+    return current, log_df, g
