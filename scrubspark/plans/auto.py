@@ -31,27 +31,28 @@ def _auto_clean(df, spec, max_steps, order_by, exact, checkpoint):
     spark = df.sparkSession
     current = df
     logs = []
-    kept = []
     skip: set = set()
+    prev = None
     for step in range(max_steps):
-        prof = profiling.fit_profile(current, exact=exact)
-        header = profiling.fit_header(current)
-        ranked = recommend(profiling.profile(current, prof=prof), profiling.header_frame(spark, header))
+        # One materialisation per round; every statistic of the round reads it.
+        cur = current if current is df else current.persist(StorageLevel.MEMORY_AND_DISK)
+        prof = profiling.fit_profile(cur, exact=exact)
+        if prev is not None:
+            prev.unpersist()
+        prev = cur if cur is not df else None
+        header = profiling.fit_header(cur)
+        ranked = recommend(profiling.profile(cur, prof=prof), profiling.header_frame(spark, header))
         action = top_action(ranked, skip)
-        current, log = clean(current, [action], spec, order_by, exact, checkpoint, start_step=step)
+        current, log = clean(cur, [action], spec, order_by, exact, checkpoint, start_step=step)
         row = log.first()
         logs.append(row)
         if not row["success"] or row["noop"]:
             skip.add((action.action_type, action.column))
-        elif action.action_type == "remove_duplicates" and not checkpoint:
-            # Rows changed: keep the new table for the remaining rounds.
-            current = current.persist(StorageLevel.MEMORY_AND_DISK)
-            kept.append(current)
         if action.action_type == "done":
             break
     log_df = spark.createDataFrame([tuple(r) for r in logs], LOG_SCHEMA)
     g = grading.grade(current, spec, exact).withColumn("steps", F.lit(len(logs)))
     g = spark.createDataFrame(g.collect(), g.schema)
-    for k in kept:
-        k.unpersist()
+    if prev is not None:
+        prev.unpersist()
     return current, log_df, g
