@@ -455,3 +455,5 @@ ORACLE["scores_json_sink"] = (
     UNION ALL
     SELECT 'dirty_events', {_EV_SCORE.replace('colstats', 'cse').replace('dupstats', 'dse')},
       {_EV_SCORE.replace('colstats', 'cse').replace('dupstats', 'dse')} >= 0.80""")
+
+ORACLE["fill_ffill_balanced"] = ORACLE["fill_ffill"]

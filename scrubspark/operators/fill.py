@@ -67,7 +67,33 @@ def fill_nulls(df: DataFrame, col: str, strategy: str = "mean", value=None,
     return apply_fill(df, col, fit_fill_value(df, col, strategy, value, exact))
 
 
-def forward_fill(df: DataFrame, col: str, order_by: list[str], bucket: Column | None = None) -> DataFrame:
+def auto_bucket(df: DataFrame, order_col: str, n_buckets: int | None = None,
+                target_rows: int = 2_000_000, accuracy: int = 10_000) -> tuple[DataFrame, str]:
+    """Add ``__ab``: balanced buckets along ``order_col`` (non-decreasing in it).
+
+    Bounds are approximate quantiles of the order key (one job, bounded
+    memory); Spark ML's ``Bucketizer`` assigns rows by binary search on the
+    JVM.  Rows sharing one order-key value stay in one bucket.
+    """
+    from pyspark.ml.feature import Bucketizer
+    dt = df.schema[order_col].dataType.simpleString()
+    key = F.unix_micros(_c(order_col).cast("timestamp")) if dt.startswith("timestamp") or dt == "date" \
+        else _c(order_col)
+    t = df.withColumn("__abk", key.cast("double"))
+    if n_buckets is None:
+        n = t.count()
+        n_buckets = max(1, min(4096, -(-n // target_rows)))
+    probs = [i / n_buckets for i in range(1, n_buckets)]
+    bounds = t.agg(F.percentile_approx("__abk", probs, accuracy).alias("q")).first()["q"] if probs else []
+    splits = [float("-inf")] + sorted(set(b for b in (bounds or []) if b is not None)) + [float("inf")]
+    if len(splits) < 3:
+        return t.drop("__abk").withColumn("__ab", F.lit(0.0)), "__ab"
+    b = Bucketizer(splits=splits, inputCol="__abk", outputCol="__ab", handleInvalid="keep")
+    return b.transform(t).drop("__abk"), "__ab"
+
+
+def forward_fill(df: DataFrame, col: str, order_by: list[str], bucket: Column | str | None = None,
+                 n_buckets: int | None = None) -> DataFrame:
     """Carry the last non-null value forward in ``order_by`` order.
 
     ``bucket`` must be non-decreasing along ``order_by`` (for example
@@ -82,8 +108,10 @@ def forward_fill(df: DataFrame, col: str, order_by: list[str], bucket: Column |
       hash-partitioned by bucket from the window, so only the bucket table moves;
       adaptive execution broadcasts it when its measured size is small.
 
-    Without ``bucket`` a single global window is used, which Spark runs in one
-    task: only for small inputs.
+    ``bucket="auto"`` derives balanced buckets from the first order column
+    (``auto_bucket``), so no bucket holds much more than its share of rows
+    whatever the key distribution.  Without ``bucket`` a single global window
+    is used, which Spark runs in one task: only for small inputs.
     """
     _require(df, col)
     c = _c(col)
@@ -91,7 +119,11 @@ def forward_fill(df: DataFrame, col: str, order_by: list[str], bucket: Column |
     if bucket is None:
         w = Window.orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, 0)
         return df.withColumn(col, F.last(c, ignorenulls=True).over(w))
-    t = df.withColumn("__b", bucket)
+    if isinstance(bucket, str) and bucket == "auto":
+        t, name = auto_bucket(df, order_by[0], n_buckets)
+        t = t.withColumnRenamed(name, "__b")
+    else:
+        t = df.withColumn("__b", bucket)
     w = Window.partitionBy("__b").orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, 0)
     t = t.withColumn("__local", F.last(c, ignorenulls=True).over(w))
     order_key = order_cols[0] if len(order_cols) == 1 else F.struct(*order_cols)

@@ -92,11 +92,26 @@ def _window_cond(v: Column, lo, hi) -> Column:
     return cond
 
 
+_CHEAP_NODES = ("Relation", "Project", "Filter", "LocalRelation", "LogicalRDD")
+
+
+def cheap_to_recompute(df: DataFrame) -> bool:
+    """True when the optimized plan is only a file scan with filters and projections:
+    re-reading the pruned columns then costs less than persisting the table."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    for line in plan.splitlines():
+        node = line.lstrip(" :+-").split(" ")[0].split("[")[0]
+        if node and node not in _CHEAP_NODES:
+            return False
+    return True
+
+
 @contextmanager
 def persisted(df: DataFrame):
-    """Keep ``df`` for a multi-pass fit when the caller has not cached it (Spark ML's
-    convention); blocks lost with an executor are recomputed from lineage."""
-    if df.storageLevel == StorageLevel.NONE:
+    """Keep ``df`` for a multi-pass fit when the caller has not cached it and it is
+    not a plain scan (Spark ML's convention); blocks lost with an executor are
+    recomputed from lineage."""
+    if df.storageLevel == StorageLevel.NONE and not cheap_to_recompute(df):
         df.persist(StorageLevel.MEMORY_AND_DISK)
         try:
             yield df

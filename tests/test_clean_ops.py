@@ -53,6 +53,17 @@ def test_bucketed_forward_fill_equals_global_on_events(spark):
     assert a.select("event_id", "value").exceptAll(b.select("event_id", "value")).count() == 0
 
 
+def test_auto_buckets_equal_global_fill(spark):
+    from scrubspark.catalog import fixtures as fx
+    e = fx.dirty_events(spark, SF_CHECK)
+    a = fill.forward_fill(e, "value", ["ts", "event_id"], bucket="auto", n_buckets=23)
+    b = fill.forward_fill(e, "value", ["ts", "event_id"])
+    assert a.select("event_id", "value").exceptAll(b.select("event_id", "value")).count() == 0
+    t, name = fill.auto_bucket(e, "ts", 23)
+    sizes = [r[0] for r in t.groupBy(name).count().select("count").collect()]
+    assert len(sizes) >= 20 and max(sizes) < 3 * (e.count() / 23)
+
+
 def test_forward_fill_big_side_never_single_partition(spark):
     from scrubspark.catalog import fixtures as fx
     e = fx.dirty_events(spark, SF_CHECK)
