@@ -133,7 +133,10 @@ def select_ranks_many(values: DataFrame, targets: dict[int, tuple[int, list[int]
     wins = []
     for k, (n, ranks) in targets.items():
         groups: list[list[int]] = []
-        for r in sorted(set(ranks)):
+        if n <= limit:
+            # Small enough already: one window (one sorted list) serves every rank.
+            groups = [sorted(set(ranks))]
+        for r in (sorted(set(ranks)) if n > limit else []):
             if groups and r - groups[-1][-1] <= 1:
                 groups[-1].append(r)
             else:

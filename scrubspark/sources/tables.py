@@ -19,9 +19,27 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
           "conversations")
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One provided table.  Parquet keeps column pruning and filter push-down."""
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+SPREAD_MIN_BYTES = 1 << 20
+
+
+def read_table(spark: SparkSession, sf_dir: str, name: str, spread: bool = True) -> DataFrame:
+    """One provided table.  Parquet keeps column pruning and filter push-down.
+
+    A file written as one row group is one split, so every later stage would
+    run in one task.  With ``spread`` such a scan (fewer splits than the
+    session's parallelism, more than 1 MB) is spread round-robin over the
+    cores; a large table already has enough splits and is left alone.
+    """
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread_small_scan(df) if spread else df
+
+
+def spread_small_scan(df: DataFrame) -> DataFrame:
+    par = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size >= SPREAD_MIN_BYTES and df.rdd.getNumPartitions() < par:
+        return df.repartition(par)
+    return df
 
 
 def normalize(df: DataFrame) -> DataFrame:
