@@ -26,8 +26,8 @@ LOG_COLUMNS = ["value", "ts_text", "flag_text"]
 LOG_MAX_STEPS = 20
 
 
-def dirty_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = read_table(spark, sf_dir, "orders")
+def dirty_orders(spark: SparkSession, sf_dir: str, orders: DataFrame | None = None) -> DataFrame:
+    o = read_table(spark, sf_dir, "orders") if orders is None else orders
     o = inject.inject_nulls(o, "o_totalprice", 0.22, "o_orderkey", "price_null")
     o = inject.inject_outliers(o, "o_totalprice", 0.10, PRICE_OUTLIERS, "o_orderkey", "price_out", "price_pick")
     o = inject.inject_nulls(o, "o_orderpriority", 0.12, "o_orderkey", "prio_null")
