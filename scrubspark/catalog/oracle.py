@@ -174,13 +174,13 @@ ORACLE.update({
         .split(" AS overall")[0].split("AS dup_score, ")[1] + """ AS overall)
         SELECT table_name, overall, CASE WHEN overall >= 0.85 THEN 'good' WHEN overall >= 0.6 THEN 'warn'
           ELSE 'bad' END AS band FROM q""",
-    "grade_orders": DO_STATS + f"""SELECT round({_ORDERS_NULL}, 4) AS null_check, 0.5 AS type_check,
+    "grade_orders": DO_STATS + f"""SELECT round({_ORDERS_NULL}, 4) AS null_check, 0.5::DOUBLE AS type_check,
         round({_ORDERS_OUT}, 4) AS outlier_check, round({_DUP}, 4) AS dup_check,
-        round({_ORDERS_RULES}, 4) AS rule_check, 1.0 AS parse_check, 0.0 AS drop_bonus,
+        round({_ORDERS_RULES}, 4) AS rule_check, 1.0::DOUBLE AS parse_check, 0.0::DOUBLE AS drop_bonus,
         {_ORDERS_SCORE} AS score, {_ORDERS_SCORE} >= 0.80 AS passed""",
     "grade_events": DE_STATS + f"""SELECT round({_EV_NULL}, 4) AS null_check, round({_EV_TYPE}, 4) AS type_check,
         round({_EV_OUT}, 4) AS outlier_check, round({_DUP}, 4) AS dup_check,
-        round({_EV_RULES}, 4) AS rule_check, round({_EV_PARSE}, 4) AS parse_check, 0.05 AS drop_bonus,
+        round({_EV_RULES}, 4) AS rule_check, round({_EV_PARSE}, 4) AS parse_check, 0.05::DOUBLE AS drop_bonus,
         {_EV_SCORE} AS score, {_EV_SCORE} >= 0.80 AS passed""",
     "grade_default": DO_STATS + """SELECT round(1 - (SELECT avg(null_rate) FROM colstats), 4) AS null_check,
         round(1 - (SELECT duplicate_rate FROM dupstats), 4) AS dup_check,
@@ -247,7 +247,7 @@ ORACLE.update({
     "clean_plan": CLEAN_CHAIN + """SELECT o_orderkey, o_custkey, o_orderstatus, round(o_totalprice, 4)
         AS o_totalprice, o_orderdate, priority, qty_text FROM cleaned""",
     "action_metrics": CLEAN_CHAIN + f"""
-        SELECT 0 AS step, 'remove_duplicates' AS action_type, true AS success, false AS noop,
+        SELECT 0::BIGINT AS step, 'remove_duplicates' AS action_type, true AS success, false AS noop,
           {_N0} AS rows_before, {_N1} AS rows_after, 8 AS cols_after, {_NULLS},
           NULL AS dtype_before, NULL AS dtype_after, {_CLIPS}
         UNION ALL SELECT 1, 'fix_dtype', true, false, {_N1}, {_N1}, 8, {_NULLS}, 'string', 'double', {_CLIPS}
@@ -260,11 +260,11 @@ ORACLE.update({
         UNION ALL SELECT 4, 'drop_column', true, false, {_N1}, {_N1}, 7, {_NULLS}, 'string', NULL, {_CLIPS}
         UNION ALL SELECT 5, 'rename_column', true, false, {_N1}, {_N1}, 7, {_NULLS}, 'string', NULL, {_CLIPS}
         UNION ALL SELECT 6, 'done', true, false, {_N1}, {_N1}, 7, {_NULLS}, NULL, NULL, {_CLIPS}""",
-    "precheck": DO + """SELECT * FROM (VALUES
+    "precheck": DO + """SELECT CAST(step0 AS BIGINT) AS step, action_type, "column", status FROM (VALUES
           (0, 'fill_nulls', 'missing_col', 'error'),
           (1, 'clip_outliers', 'o_orderpriority', 'error'),
           (3, 'fill_nulls', 'o_totalprice', 'error'),
-          (5, 'rename_column', 'o_custkey', 'error')) AS t(step, action_type, "column", status)
+          (5, 'rename_column', 'o_custkey', 'error')) AS t(step0, action_type, "column", status)
         UNION ALL SELECT 2, 'fix_dtype', 'o_totalprice',
           CASE WHEN count(*) FILTER (WHERE o_totalprice <> floor(o_totalprice)) > 0 THEN 'error' ELSE 'ok' END
           FROM dirty_orders
@@ -276,7 +276,7 @@ ORACLE.update({
                THEN 'noop' ELSE 'ok' END FROM dirty_orders""",
     "recommend": DO_STATS + """, cands AS (
           SELECT 1 AS prio, 0.0 AS k1, 0 AS k2, 'remove_duplicates' AS action_type, NULL AS "column",
-                 NULL AS param, 0.95 AS confidence FROM dupstats WHERE duplicate_rate > 0.005
+                 NULL AS param, 0.95::DOUBLE AS confidence FROM dupstats WHERE duplicate_rate > 0.005
           UNION ALL SELECT 2, 0.0, ordinal, 'fix_dtype', name, 'float64', 0.85 FROM colstats
                  WHERE flags LIKE '%type_chaos%'
           UNION ALL SELECT 3, -null_rate, ordinal, 'fill_nulls', name,
