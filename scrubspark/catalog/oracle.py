@@ -457,3 +457,9 @@ ORACLE["scores_json_sink"] = (
       {_EV_SCORE.replace('colstats', 'cse').replace('dupstats', 'dse')} >= 0.80""")
 
 ORACLE["fill_ffill_balanced"] = ORACLE["fill_ffill"]
+
+ORACLE["profile_header"] = DO_STATS + """, q AS (SELECT """ + quality_sql() + """)
+    SELECT 1 AS line_no, 'Rows: ' || CAST(n_rows AS VARCHAR) || ' | Cols: 8 | Duplicate rate: ' ||
+      printf('%.1f%%', round(duplicate_rate * 100, 1)) AS line FROM dupstats
+    UNION ALL SELECT 2, printf('Quality: overall=%.4f | null_score=%.4f | type_score=%.4f | outlier_score=%.4f | '
+      || 'dup_score=%.4f', overall, null_score, type_score, outlier_score, dup_score) FROM q"""

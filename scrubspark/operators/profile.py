@@ -189,3 +189,20 @@ def profile_lines(profile_df: DataFrame) -> DataFrame:
                     F.lit(" unique="), F.col("n_unique").cast("string"), stats_txt,
                     F.lit(" flags=["), flags_txt, F.lit("]"))
     return p.select("ordinal", "name", line.alias("line"))
+
+
+def header_lines(header_df: DataFrame, quality_df: DataFrame) -> DataFrame:
+    """F14 header: ``Rows: n | Cols: c | Duplicate rate: x%`` and the quality line.
+
+    Scores are printed with the 4 places they are rounded to, so the text is
+    exact on every engine.
+    """
+    j = header_df.crossJoin(quality_df)
+    rows_line = F.concat(F.lit("Rows: "), F.col("n_rows").cast("string"), F.lit(" | Cols: "),
+                         F.col("n_cols").cast("string"), F.lit(" | Duplicate rate: "),
+                         F.format_string("%.1f%%", F.round(F.col("duplicate_rate") * 100, 1)))
+    q_line = F.format_string("Quality: overall=%.4f | null_score=%.4f | type_score=%.4f | "
+                             "outlier_score=%.4f | dup_score=%.4f", "overall", "null_score", "type_score",
+                             "outlier_score", "dup_score")
+    return j.select(F.inline(F.array(F.struct(F.lit(1).alias("line_no"), rows_line.alias("line")),
+                                     F.struct(F.lit(2).alias("line_no"), q_line.alias("line")))))

@@ -50,8 +50,17 @@ def apply_plan(df: DataFrame, fitted: list[tuple]) -> DataFrame:
 
 
 def dedup_stream(stream: DataFrame, event_time: str, delay: str, keys: list[str] | None = None) -> DataFrame:
-    """Drop repeated rows that arrive within ``delay`` of each other (bounded state)."""
-    return stream.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(keys or stream.columns)
+    """Drop repeated rows that arrive within ``delay`` of each other (bounded state).
+
+    Watermarks need a TIMESTAMP column; a TIMESTAMP_NTZ event time is read in
+    the session time zone (UTC here) through a helper column.
+    """
+    keys = keys or stream.columns
+    if stream.schema[event_time].dataType.simpleString() == "timestamp_ntz":
+        t = stream.withColumn("__event_time", F.col(event_time).cast("timestamp"))
+        return (t.withWatermark("__event_time", delay).dropDuplicatesWithinWatermark(keys)
+                .drop("__event_time"))
+    return stream.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(keys)
 
 
 def run_to_table(stream: DataFrame, name: str, checkpoint: str) -> DataFrame:
