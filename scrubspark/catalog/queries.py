@@ -274,18 +274,16 @@ def profile_lines(spark, sf):
 @query
 def profile_header(spark, sf):
     d = fx.dirty_orders(spark, sf)
-    prof = profiling.fit_profile(d)
-    h = profiling.table_header(d)
+    prof, head = profiling.fit_profile_and_header(d)
+    h = profiling.header_frame(spark, head)
     return profiling.header_lines(h, quality.quality_scores(profiling.profile(d, prof=prof), h))
 
 
 # --- Q1-Q6: quality ------------------------------------------------------------------
 
 def _quality(df):
-    prof = profiling.fit_profile(df)
-    p = profiling.profile(df, prof=prof)
-    h = profiling.table_header(df)
-    return quality.quality_scores(p, h)
+    prof, head = profiling.fit_profile_and_header(df)
+    return quality.quality_scores(profiling.profile(df, prof=prof), profiling.header_frame(df.sparkSession, head))
 
 
 @query
@@ -388,7 +386,8 @@ def precheck(spark, sf):
 @query
 def recommend(spark, sf):
     d = fx.dirty_orders(spark, sf)
-    ranked = rec.recommend(profiling.profile(d), profiling.table_header(d))
+    prof, head = profiling.fit_profile_and_header(d)
+    ranked = rec.recommend(profiling.profile(d, prof=prof), profiling.header_frame(spark, head))
     return ranked.select("rank", "action_type", "column",
                          F.try_element_at(F.map_values("params"), F.lit(1)).alias("param"), "confidence")
 

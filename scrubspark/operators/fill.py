@@ -26,7 +26,8 @@ def _require(df: DataFrame, col: str) -> None:
         raise ValueError(f"Column '{col}' not found.")
 
 
-def fit_fill_value(df: DataFrame, col: str, strategy: str = "mean", value=None, exact: bool = True):
+def fit_fill_value(df: DataFrame, col: str, strategy: str = "mean", value=None, exact: bool = True,
+                   n_values: int | None = None):
     """The literal a fill would use (C1-C4); raises when there is none."""
     _require(df, col)
     dt = df.schema[col].dataType
@@ -37,7 +38,7 @@ def fit_fill_value(df: DataFrame, col: str, strategy: str = "mean", value=None,
     elif strategy == "median":
         if not is_numeric_type(dt):
             raise ValueError(f"median of non-numeric column '{col}'.")
-        v = stats.quantiles(df, col, [0.5], exact=exact)[0]
+        v = stats.quantiles(df, col, [0.5], exact=exact, n=n_values)[0]
     elif strategy == "mode":
         v = stats.mode_value(df, col)
     elif strategy == "constant":

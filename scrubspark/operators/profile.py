@@ -60,13 +60,25 @@ def _c(name: str) -> Column:
 
 def fit_profile(df: DataFrame, order_by: list[str] | None = None, exact: bool = True,
                 samples: int = 3) -> list[dict]:
+    return fit_profile_and_header(df, order_by, exact, samples, header=False)[0]
+
+
+def fit_profile_and_header(df: DataFrame, order_by: list[str] | None = None, exact: bool = True,
+                           samples: int = 3, header: bool = True) -> tuple[list[dict], dict | None]:
+    """The profile and (with ``header``) the table header from the same jobs: the
+    distinct-row count joins the main aggregate as ``count(DISTINCT struct(*))``,
+    which treats NULLs as equal like a grouping does."""
     with stats.persisted(df):
-        return _fit_profile(df, order_by, exact, samples)
+        return _fit_profile(df, order_by, exact, samples, header)
 
 
-def _fit_profile(df: DataFrame, order_by, exact, samples) -> list[dict]:
+def _fit_profile(df: DataFrame, order_by, exact, samples, header) -> tuple[list[dict], dict | None]:
     fields = df.schema.fields
     exprs = [F.count(F.lit(1)).alias("__rows")]
+    if header:
+        all_cols = F.struct(*[_c(f.name) for f in fields])
+        exprs.append((F.count_distinct(all_cols) if exact else F.approx_count_distinct(all_cols))
+                     .alias("__distinct"))
     for i, f in enumerate(fields):
         c = _c(f.name)
         exprs.append(F.count(c).alias(f"nn{i}"))
@@ -124,7 +136,12 @@ def _fit_profile(df: DataFrame, order_by, exact, samples) -> list[dict]:
         got = sample_values(df, order_by, samples)
         for d in prof:
             d["sample_values"] = got.get(d["name"], [])
-    return prof
+    head = None
+    if header:
+        distinct = row["__distinct"] if n_rows else 0
+        head = {"n_rows": n_rows, "n_cols": len(fields),
+                "duplicate_rate": 0.0 if n_rows == 0 else (n_rows - distinct) / n_rows}
+    return prof, head
 
 
 def sample_values_frame(df: DataFrame, order_by: list[str], n: int = 3) -> DataFrame:

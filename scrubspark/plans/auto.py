@@ -36,11 +36,10 @@ def _auto_clean(df, spec, max_steps, order_by, exact, checkpoint):
     for step in range(max_steps):
         # One materialisation per round; every statistic of the round reads it.
         cur = current if current is df else current.persist(StorageLevel.MEMORY_AND_DISK)
-        prof = profiling.fit_profile(cur, exact=exact)
+        prof, header = profiling.fit_profile_and_header(cur, exact=exact)
         if prev is not None:
             prev.unpersist()
         prev = cur if cur is not df else None
-        header = profiling.fit_header(cur)
         ranked = recommend(profiling.profile(cur, prof=prof), profiling.header_frame(spark, header))
         action = top_action(ranked, skip)
         current, log = clean(cur, [action], spec, order_by, exact, checkpoint, start_step=step)
