@@ -109,7 +109,9 @@ def forward_fill(df: DataFrame, col: str, order_by: list[str], bucket: Column |
       hash-partitioned by bucket from the window, so only the bucket table moves;
       adaptive execution broadcasts it when its measured size is small.
 
-    ``bucket="auto"`` derives balanced buckets from the first order column
+    The bucket table is ranked in one task, so a caller-given bucket must
+    keep the number of buckets modest (thousands, not billions).
+    ``bucket="auto"`` derives at most 4096 balanced buckets from the first order column
     (``auto_bucket``), so no bucket holds much more than its share of rows
     whatever the key distribution.  Without ``bucket`` a single global window
     is used, which Spark runs in one task: only for small inputs.
@@ -125,15 +127,19 @@ def forward_fill(df: DataFrame, col: str, order_by: list[str], bucket: Column |
         t = t.withColumnRenamed(name, "__b")
     else:
         t = df.withColumn("__b", bucket)
+    # A struct key is never NULL (NULL buckets, from NULL order keys, become
+    # (false, NULL) and sort first), so the join back below is a plain
+    # equi-join on the key the big side is already partitioned by.
+    t = t.withColumn("__b", F.struct(F.col("__b").isNotNull().alias("h"), F.col("__b").alias("v")))
     w = Window.partitionBy("__b").orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, 0)
     t = t.withColumn("__local", F.last(c, ignorenulls=True).over(w))
     order_key = order_cols[0] if len(order_cols) == 1 else F.struct(*order_cols)
     last_per_bucket = (t.where(c.isNotNull()).groupBy("__b")
                        .agg(F.max_by(c, order_key).alias("__last")))
     all_buckets = t.select("__b").distinct()
-    carry_w = Window.orderBy(F.col("__b").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    carry_w = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     carry = (all_buckets.join(last_per_bucket, "__b", "left")
              .select("__b", F.last("__last", ignorenulls=True).over(carry_w).alias("__carry")))
-    out = t.join(carry, t["__b"].eqNullSafe(carry["__b"]), "left").drop(carry["__b"])
+    out = t.join(carry, "__b", "left")
     return (out.withColumn(col, F.coalesce(F.col("__local"), F.col("__carry")))
             .select(*[_c(x) for x in df.columns]))
