@@ -81,7 +81,7 @@ ORACLE.update({
     "dtype_bool": DE + """SELECT event_id, TRY_CAST(flag_text AS BOOLEAN) AS flag_text FROM dirty_events""",
     "clip_iqr": """WITH q AS (SELECT quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 FROM events),
         b AS (SELECT q1 - 1.5 * (q3 - q1) AS lo, q3 + 1.5 * (q3 - q1) AS hi FROM q)
-        SELECT event_id, round(CASE WHEN value < lo THEN lo WHEN value > hi THEN hi ELSE value END, 4) AS value
+        SELECT event_id, round(CASE WHEN value < lo THEN lo WHEN value > hi THEN hi ELSE value END, 6) AS value
         FROM events, b""",
     "clip_zscore": """WITH s AS (SELECT avg(n_chars) AS m, stddev_samp(n_chars) AS sd FROM documents),
         b AS (SELECT m - 3.0 * sd AS lo, m + 3.0 * sd AS hi FROM s)
@@ -90,7 +90,7 @@ ORACLE.update({
     "clip_percentile": DO + """, b AS (SELECT quantile_cont(o_totalprice, 0.01) AS lo,
           quantile_cont(o_totalprice, 0.99) AS hi FROM dirty_orders)
         SELECT o_orderkey, round(CASE WHEN o_totalprice < lo THEN lo WHEN o_totalprice > hi THEN hi
-          ELSE o_totalprice END, 4) AS o_totalprice FROM dirty_orders, b""",
+          ELSE o_totalprice END, 6) AS o_totalprice FROM dirty_orders, b""",
     "rename_drop": DO + """SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate,
         o_orderpriority AS priority, qty_text FROM dirty_orders""",
 })
@@ -244,7 +244,7 @@ _N0 = "(SELECT count(*) FROM dirty_orders)"
 _N1 = "(SELECT count(*) FROM s1)"
 
 ORACLE.update({
-    "clean_plan": CLEAN_CHAIN + """SELECT o_orderkey, o_custkey, o_orderstatus, round(o_totalprice, 4)
+    "clean_plan": CLEAN_CHAIN + """SELECT o_orderkey, o_custkey, o_orderstatus, round(o_totalprice, 6)
         AS o_totalprice, o_orderdate, priority, qty_text FROM cleaned""",
     "action_metrics": CLEAN_CHAIN + f"""
         SELECT 0::BIGINT AS step, 'remove_duplicates' AS action_type, true AS success, false AS noop,
@@ -333,13 +333,13 @@ v3 AS (SELECT *, -0.01::DOUBLE AS step_penalty,
   CASE WHEN action_type = 'done' THEN CASE WHEN replay_ok THEN 0.05::DOUBLE ELSE 0.0::DOUBLE END END AS provenance
   FROM v2),
 scored0 AS (SELECT *, round(step_penalty + outcome + confidence_term + ordering_bonus
-  + coalesce(early_exit_penalty, 0.0) + coalesce(done_bonus, 0.0) + coalesce(provenance, 0.0), 6) AS reward
+  + coalesce(early_exit_penalty, 0.0) + coalesce(done_bonus, 0.0) + coalesce(provenance, 0.0), 6) + 0.0 AS reward
   FROM v3),
 scored AS (SELECT *,
   round(sum(reward) OVER (PARTITION BY run_id ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 6)
-    AS cumulative,
+    + 0.0 AS cumulative,
   round(sum(reward - coalesce(early_exit_penalty, 0.0)) OVER (PARTITION BY run_id ORDER BY step
-    ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 6) AS cumulative_stored
+    ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 6) + 0.0 AS cumulative_stored
   FROM scored0)
 """
 
@@ -375,14 +375,14 @@ ORACLE.update({
     "log_explain": SCORED + """SELECT run_id, step, printf('Step %d: %s', CAST(step + 1 AS INTEGER), action_type)
         || CASE WHEN "column" IS NOT NULL THEN printf(' on ''%s''', "column") ELSE '' END
         || printf(' -> reward %+.6f.', reward) AS line FROM scored""",
-    "log_moving_avg": SCORED + """SELECT run_id, step, round(ma, 6) AS moving_avg FROM (
+    "log_moving_avg": SCORED + """SELECT run_id, step, round(ma, 6) + 0.0 AS moving_avg FROM (
         SELECT run_id, step, row_number() OVER (PARTITION BY run_id ORDER BY step) AS rn,
           avg(reward) OVER (PARTITION BY run_id ORDER BY step ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS ma
         FROM scored) WHERE rn >= 3""",
-    "log_group_mean": SCORED + """SELECT action_type, round(avg(reward), 6) AS mean_reward, count(*) AS n
+    "log_group_mean": SCORED + """SELECT action_type, round(avg(reward), 6) + 0.0 AS mean_reward, count(*) AS n
         FROM scored GROUP BY action_type""",
-    "log_run_summary": SCORED + """SELECT run_id, count(*) AS steps, round(sum(reward), 6) AS total_reward,
-        round(sum(reward - coalesce(early_exit_penalty, 0.0)), 6) AS total_reward_stored,
+    "log_run_summary": SCORED + """SELECT run_id, count(*) AS steps, round(sum(reward), 6) + 0.0 AS total_reward,
+        round(sum(reward - coalesce(early_exit_penalty, 0.0)), 6) + 0.0 AS total_reward_stored,
         arg_max(grade, step) AS final_grade, arg_max(replay_ok, step) AS replay_ok,
         arg_max(action_type, step) = 'done' AS ended_by_done FROM scored GROUP BY run_id""",
 })
@@ -443,7 +443,7 @@ _EV_FILL = """WITH """ + fx.DIRTY_EVENTS_SQL.strip() + """,
         (SELECT quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 FROM f))
 """
 ORACLE["stream_clean"] = _EV_FILL + """SELECT event_id, round(CASE WHEN value < lo THEN lo WHEN value > hi THEN hi
-    ELSE value END, 4) AS value FROM f, b"""
+    ELSE value END, 6) AS value FROM f, b"""
 
 ORACLE["scores_json_sink"] = (
     "WITH " + fx.DIRTY_ORDERS_SQL + ", " + fx.DIRTY_EVENTS_SQL + ", "
