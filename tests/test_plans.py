@@ -95,3 +95,38 @@ def test_auto_clean_raises_the_grade(spark):
     _, log, g = auto_clean(d, specs.ORDERS_SPEC, max_steps=10)
     assert g.first()["score"] > before
     assert log.orderBy(F.desc("step")).first()["action_type"] == "done"
+
+
+WIDE_PLAN = [
+    Action("fix_dtype", "qty_text", {"target_dtype": "float64"}),
+    Action("fill_nulls", "o_totalprice", {"strategy": "median"}, 0.8),
+    Action("fill_nulls", "qty_text", {"strategy": "mean"}, 0.8),
+    Action("fill_nulls", "o_orderpriority", {"strategy": "mode"}, 0.8),
+    Action("fill_nulls", "o_custkey", {"strategy": "mean"}, 0.8),          # no nulls: no-op
+    Action("clip_outliers", "o_custkey", {"method": "percentile", "lower_pct": 5, "upper_pct": 95}),
+    Action("clip_outliers", "o_orderkey", {"method": "zscore", "threshold": 3.0}),  # nothing outside: no-op
+    Action("fill_nulls", "admin_note", {"strategy": "median"}),          # text median: fails
+    Action("clip_outliers", "o_totalprice", {"method": "iqr"}),           # same column again: new segment
+]
+
+
+def test_fused_segments_equal_sequential(spark):
+    from scrubspark.plans.clean import segment_end
+    d = fx.dirty_orders(spark, SF_SMALL)
+    d2 = d.withColumn("qty_text", d["qty_text"])
+    assert segment_end(WIDE_PLAN, 1, dedup_schema(spark, d2)) == 5  # o_custkey repeats at 5
+    assert segment_end(WIDE_PLAN, 5, dedup_schema(spark, d2)) == 7  # text median is invalid
+    a, la = clean(d, WIDE_PLAN, fuse=True)
+    b, lb = clean(d, WIDE_PLAN, fuse=False)
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+    ra = [tuple(r) for r in la.orderBy("step").collect()]
+    rb = [tuple(r) for r in lb.orderBy("step").collect()]
+    for x, y in zip(ra, rb):
+        assert x[:8] == y[:8]
+        for u, v in zip(x[8:], y[8:]):
+            assert (u == pytest.approx(v)) if isinstance(u, float) else (u == v)
+
+
+def dedup_schema(spark, d):
+    from scrubspark.operators.dtype import fix_dtype
+    return fix_dtype(d, "qty_text", "float64").schema
