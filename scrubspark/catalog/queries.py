@@ -403,8 +403,10 @@ def recommend(spark, sf):
 def auto_clean_grade(spark, sf):
     d = fx.dirty_orders(spark, sf)
     _, log, g = autoplan.auto_clean(d, specs.ORDERS_SPEC, max_steps=12)
-    return log.select("step", "action_type", "column", "success", "noop").crossJoin(
-        g.select("score", "passed", "steps"))
+    # The grade is one row, already on the driver: attach it as literals.
+    r = g.first()
+    return log.select("step", "action_type", "column", "success", "noop",
+                      *[F.lit(r[c]).cast(g.schema[c].dataType).alias(c) for c in ("score", "passed", "steps")])
 
 
 DIGEST_COLS = ["o_orderkey", "o_totalprice", "o_orderpriority", "qty_text"]

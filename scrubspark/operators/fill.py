@@ -93,7 +93,7 @@ def auto_bucket(df: DataFrame, order_col: str, n_buckets: int | None = None,
     return b.transform(t).drop("__abk"), "__ab"
 
 
-def forward_fill(df: DataFrame, col: str, order_by: list[str], bucket: Column | str | None = None,
+def forward_fill(df: DataFrame, col: str, order_by: list[str], bucket: Column | str | None = "auto",
                  n_buckets: int | None = None) -> DataFrame:
     """Carry the last non-null value forward in ``order_by`` order.
 
@@ -113,16 +113,13 @@ def forward_fill(df: DataFrame, col: str, order_by: list[str], bucket: Column |
     keep the number of buckets modest (thousands, not billions).
     ``bucket="auto"`` derives at most 4096 balanced buckets from the first order column
     (``auto_bucket``), so no bucket holds much more than its share of rows
-    whatever the key distribution.  Without ``bucket`` a single global window
-    is used, which Spark runs in one task: only for small inputs.
+    whatever the key distribution; ``None`` means the same.  There is no
+    global-window path: it would run the whole table in one task.
     """
     _require(df, col)
     c = _c(col)
     order_cols = [_c(o) for o in order_by]
-    if bucket is None:
-        w = Window.orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, 0)
-        return df.withColumn(col, F.last(c, ignorenulls=True).over(w))
-    if isinstance(bucket, str) and bucket == "auto":
+    if bucket is None or (isinstance(bucket, str) and bucket == "auto"):
         t, name = auto_bucket(df, order_by[0], n_buckets)
         t = t.withColumnRenamed(name, "__b")
     else:

@@ -214,7 +214,7 @@ def header_lines(header_df: DataFrame, quality_df: DataFrame) -> DataFrame:
     Scores are printed with the 4 places they are rounded to, so the text is
     exact on every engine.
     """
-    j = header_df.crossJoin(quality_df)
+    j = stats.side_by_side(header_df, quality_df)
     rows_line = F.concat(F.lit("Rows: "), F.col("n_rows").cast("string"), F.lit(" | Cols: "),
                          F.col("n_cols").cast("string"), F.lit(" | Duplicate rate: "),
                          F.format_string("%.1f%%", F.round(F.col("duplicate_rate") * 100, 1)))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scrubspark.operators import stats
+
 
 def quality_scores(profile_df: DataFrame, header_df: DataFrame) -> DataFrame:
     """One row: null_score, type_score, outlier_score, dup_score, overall (4 places).
@@ -19,7 +21,7 @@ def quality_scores(profile_df: DataFrame, header_df: DataFrame) -> DataFrame:
         F.count(F.when(F.col("is_numeric"), 1)).alias("numeric_cols"),
         F.avg(F.when(F.col("is_numeric") & (F.col("n_values") >= 4), F.col("outlier_frac"))).alias("mean_frac"),
     )
-    j = agg.crossJoin(header_df.select("duplicate_rate"))
+    j = stats.side_by_side(agg, header_df.select("duplicate_rate"))
     null_s = F.col("null_raw")
     type_s = F.lit(1.0) - F.col("type_issues") / F.greatest(F.col("numeric_cols"), F.lit(1))
     out_s = F.coalesce(F.lit(1.0) - F.col("mean_frac"), F.lit(1.0))

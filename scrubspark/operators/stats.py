@@ -92,6 +92,20 @@ def _window_cond(v: Column, lo, hi) -> Column:
     return cond
 
 
+def side_by_side(*frames: DataFrame) -> DataFrame:
+    """The columns of several one-row frames (global aggregates) in one row.
+
+    A union, in which each frame fills only its own columns, and one global
+    aggregate that keeps the single non-null value of each column: no join.
+    Column names must be distinct across the frames.
+    """
+    names = [c for f in frames for c in f.columns]
+    u = frames[0]
+    for f in frames[1:]:
+        u = u.unionByName(f, allowMissingColumns=True)
+    return u.agg(*[F.first(_c(c), ignorenulls=True).alias(c) for c in names])
+
+
 _CHEAP_NODES = ("Relation", "Project", "Filter", "LocalRelation", "LogicalRDD")
 
 

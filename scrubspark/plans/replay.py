@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from scrubspark.operators import stats
 from scrubspark.plans.actions import Action
 from scrubspark.plans.clean import clean
 
@@ -66,7 +67,7 @@ def verify(raw: DataFrame, log_df: DataFrame, current: DataFrame, spec=None, ord
     except Exception:  # noqa: BLE001 - a failed replay is a "not reproducible" answer
         return cur.select(F.lit(False).alias("replay_ok"), "n_rows", "digest",
                           F.lit(None).cast("string").alias("replay_digest"))
-    j = cur.crossJoin(rep)
+    j = stats.side_by_side(cur, rep)
     same = (F.col("n_rows") == F.col("r_rows")) & (F.col("digest") == F.col("replay_digest"))
     del spark
     return j.select(same.alias("replay_ok"), "n_rows", "digest", "replay_digest")

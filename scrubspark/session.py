@@ -41,7 +41,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
-        # Only reached in local tests: a cluster names a shared folder itself.
+        # A cluster names a shared folder itself; only a local session (tests)
+        # may fall back to a folder of its own.
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
         configured = tempfile.mkdtemp(prefix="scrub-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir()
