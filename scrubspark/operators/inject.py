@@ -3,7 +3,8 @@
 Each draw comes from ``functions.draws.uniform`` keyed on a row key, so the
 same damage lands on the same rows on any cluster layout and after any task
 retry.  All operators are projections or filters except ``sample_n``
-(a top-k) and ``shuffle_rows`` (a sort the caller asks for).
+(a top-k, or an exact rank cut for large samples) and ``shuffle_rows``
+(a rank the caller asks for).
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from scrubspark.functions.draws import pick, uniform
+from scrubspark.operators import stats
 
 
 def _replace(df: DataFrame, col: str, expr: Column) -> DataFrame:
@@ -63,14 +65,81 @@ def inject_duplicates(df: DataFrame, rate: float, key: str, salt: str = "dup", s
     return df.unionByName(df.where(uniform(key, salt, seed) < rate))
 
 
-def sample_n(df: DataFrame, n: int, key: str, salt: str = "sample", seed: int = 42) -> DataFrame:
+# Largest ``n`` served by a top-k: every task keeps at most this many rows and
+# one task merges (tasks x n) of them.  Larger samples use an exact threshold.
+TOPK_LIMIT = 100_000
+
+
+def sample_n(df: DataFrame, n: int, key: str, salt: str = "sample", seed: int = 42,
+             topk_limit: int = TOPK_LIMIT) -> DataFrame:
     """Exactly ``n`` rows, the ``n`` smallest draws (ties by key).
 
-    ``orderBy(..).limit(n)`` plans as TakeOrderedAndProject: each task keeps
-    its own top ``n`` and only those reach the final merge, so no full sort.
+    For ``n <= topk_limit``, ``orderBy(..).limit(n)`` plans as
+    TakeOrderedAndProject: each task keeps its own top ``n`` (bounded memory)
+    and only those reach the merge.  Beyond that, no task may hold the
+    sample, so the cut is found instead: the exact draw at rank ``n - 1``
+    (``stats.select_ranks``), then every row below it is kept by a filter that
+    stays in the scan's partitions; only rows tied on that one draw need
+    more care (``_take_ties``).
     """
     u = uniform(key, salt, seed)
-    return df.withColumn("_u", u).orderBy("_u", key).limit(n).drop("_u")
+    if n <= topk_limit:
+        return df.withColumn("_u", u).orderBy("_u", key).limit(n).drop("_u")
+    t = df.withColumn("_u", u)
+    with stats.persisted(t):
+        total = t.count()
+        if n >= total:
+            return df
+        cut = stats.select_ranks(t.select(F.col("_u").alias("v")), total, [n - 1])[n - 1]
+        row = t.agg(F.count(F.when(F.col("_u") < cut, 1)).alias("lt"),
+                    F.count(F.when(F.col("_u") == cut, 1)).alias("eq")).first()
+        need = n - row["lt"]
+        below = t.where(F.col("_u") < cut).drop("_u")
+        ties = t.where(F.col("_u") == cut).drop("_u")
+        if need == row["eq"]:
+            return below.unionByName(ties)
+        return below.unionByName(_take_ties(ties, key, need))
+
+
+def _take_ties(ties: DataFrame, key: str, need: int) -> DataFrame:
+    """``need`` rows of ``ties`` (rows sharing one draw), smallest keys first.
+
+    Distinct keys sharing one 32-bit draw are few (about rows / 2**32), so
+    their counts are ranked on the driver.  The one key that is cut may hold
+    any number of rows (a hot key): those are cut again by an exact rank on a
+    hash of the whole row, and rows equal on that hash are equal rows, so the
+    last few are copies of one row made by ``range`` across the cluster.
+    """
+    spark = ties.sparkSession
+    k = F.col(key)
+    per_key = ties.groupBy(k.alias("k")).agg(F.count(F.lit(1)).alias("c")).orderBy("k").collect()
+    full, acc = [], 0
+    for r in per_key:
+        if acc + r["c"] > need:
+            break
+        full.append(r["k"])
+        acc += r["c"]
+    out = ties.where(F.lit(False))
+    if full:
+        has_null = any(x is None for x in full)
+        cond = k.isin([x for x in full if x is not None])
+        out = out.unionByName(ties.where(cond | k.isNull() if has_null else cond))
+    rest = need - acc
+    if rest == 0:
+        return out
+    boundary = per_key[len(full)]
+    g = ties.where(k.eqNullSafe(F.lit(boundary["k"])))
+    h = F.conv(F.substring(F.md5(F.to_json(F.struct(*[F.col(f"`{c}`") for c in ties.columns]))), 1, 13),
+               16, 10).cast("double")
+    g = g.withColumn("_h", h)
+    with stats.persisted(g):
+        hcut = stats.select_ranks(g.select(F.col("_h").alias("v")), boundary["c"], [rest - 1])[rest - 1]
+        lower = g.where(F.col("_h") < hcut)
+        copies = rest - lower.count()
+        same = g.where(F.col("_h") == hcut).drop("_h").first()
+    out = out.unionByName(lower.drop("_h"))
+    lits = [F.lit(same[f.name]).cast(f.dataType).alias(f.name) for f in ties.schema.fields]
+    return out.unionByName(spark.range(copies).select(*lits))
 
 
 def shuffle_rows(df: DataFrame, key: str, salt: str = "shuffle", seed: int = 42,

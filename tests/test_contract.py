@@ -31,3 +31,38 @@ def test_injection_rates_are_close(spark):
     assert inject.sample_n(o, 100, "o_orderkey").count() == 100
     ranks = sorted(r[0] for r in inject.shuffle_rows(o, "o_orderkey").select("row_rank").collect())
     assert ranks == list(range(n))
+
+
+def _brute_sample(rows, n, key):
+    """The n smallest (draw, key) pairs of the collected rows, in plain Python."""
+    ordered = sorted(rows, key=lambda r: (r["_u"], r[key] is not None, r[key]))
+    return sorted((r["_u"], r[key]) for r in ordered[:n])
+
+
+def test_large_sample_cut_equals_top_k(spark):
+    o = spark.read.parquet(f"{SF_SMALL}/orders.parquet").select("o_orderkey", "o_totalprice")
+    a = inject.sample_n(o, 700, "o_orderkey", topk_limit=0)
+    b = inject.sample_n(o, 700, "o_orderkey")
+    assert a.count() == 700 and a.exceptAll(b).count() == 0
+
+
+def test_large_sample_with_a_hot_key(spark):
+    """A third of the rows share one key (so one draw); some of them are exact
+    copies.  The cut must still return exactly n rows, the right (draw, key)
+    pairs, and only rows of the input."""
+    from pyspark.sql import functions as F
+    from scrubspark.functions.draws import uniform
+    o = spark.read.parquet(f"{SF_SMALL}/orders.parquet").select("o_orderkey", "o_custkey")
+    n_rows = o.count()
+    hot = F.when(F.col("o_orderkey") % 3 == 0, F.lit(7)).otherwise(F.col("o_orderkey"))
+    d = o.withColumn("o_orderkey", hot).withColumn(
+        "o_custkey", F.when(F.col("o_orderkey") == 7, F.col("o_custkey") % 5).otherwise(F.col("o_custkey")))
+    rows = d.withColumn("_u", uniform("o_orderkey", "sample")).collect()
+    hot_u = uniform(F.lit(7), "sample")
+    below_hot = d.where(uniform("o_orderkey", "sample") < spark.range(1).select(hot_u).first()[0]).count()
+    for n in (below_hot + 1, below_hot + n_rows // 6, n_rows - 3):
+        got = inject.sample_n(d, n, "o_orderkey", topk_limit=0)
+        got_rows = got.withColumn("_u", uniform("o_orderkey", "sample")).collect()
+        assert len(got_rows) == n
+        assert sorted((r["_u"], r["o_orderkey"]) for r in got_rows) == _brute_sample(rows, n, "o_orderkey")
+        assert got.exceptAll(d).count() == 0
