@@ -36,6 +36,8 @@ ORACLE.update({
         UNION ALL SELECT o_orderkey, o_custkey FROM orders WHERE {sql_uniform('o_orderkey', 'dup')} < 0.10""",
     "sample_n": f"""SELECT o_orderkey, o_totalprice FROM orders
         ORDER BY {sql_uniform('o_orderkey', 'sample')}, o_orderkey LIMIT 1000""",
+    "sample_n_cut": f"""SELECT o_orderkey, o_totalprice FROM orders
+        ORDER BY {sql_uniform('o_orderkey', 'sample')}, o_orderkey LIMIT 1000""",
     "shuffle_rows": f"""SELECT o_orderkey,
         CAST(row_number() OVER (ORDER BY {sql_uniform('o_orderkey', 'shuffle')}, o_orderkey) - 1 AS BIGINT) AS row_rank
         FROM orders""",

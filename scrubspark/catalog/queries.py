@@ -73,6 +73,13 @@ def sample_n(spark: SparkSession, sf: str) -> DataFrame:
     return inject.sample_n(o, 1000, "o_orderkey", "sample")
 
 
+@query
+def sample_n_cut(spark: SparkSession, sf: str) -> DataFrame:
+    """The same sample through the exact rank cut that large samples use."""
+    o = read_table(spark, sf, "orders").select("o_orderkey", "o_totalprice")
+    return inject.sample_n(o, 1000, "o_orderkey", "sample", topk_limit=0)
+
+
 @query
 def shuffle_rows(spark: SparkSession, sf: str) -> DataFrame:
     o = read_table(spark, sf, "orders").select("o_orderkey")

@@ -55,6 +55,7 @@ def recommend(profile_df: DataFrame, header_df: DataFrame) -> DataFrame:
         F.lit("done").alias("action_type"), F.lit(None).cast("string").alias("column"),
         empty_map.alias("params"), F.lit(CONF_DONE).alias("confidence"))
     cands = dedup_c.unionByName(dtype_c).unionByName(fill_c).unionByName(clip_c).unionByName(done_c)
+    # One row per (action, column) candidate: bounded by the width of the table.
     w = Window.orderBy("prio", "k1", "k2")
     return cands.select(F.row_number().over(w).alias("rank"), "action_type", "column", "params",
                         "confidence")
