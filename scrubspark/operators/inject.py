@@ -9,12 +9,15 @@ retry.  All operators are projections or filters except ``sample_n``
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from scrubspark.functions.draws import pick, uniform
 from scrubspark.operators import stats
+from scrubspark.session import checkpoint_dir
 
 
 def _replace(df: DataFrame, col: str, expr: Column) -> DataFrame:
@@ -142,27 +145,97 @@ def _take_ties(ties: DataFrame, key: str, need: int) -> DataFrame:
     return out.unionByName(spark.range(copies).select(*lits))
 
 
+# Rows one ranking task of ``shuffle_rows`` is meant to hold.
+ROWS_PER_BUCKET = 1_000_000
+# Resolution of the draw histogram: 2**20 cells (draws are multiples of 2**-32).
+HIST_BITS = 20
+# Largest offset table that is broadcast rather than joined.
+BROADCAST_OFFSETS = 100_000
+
+
 def shuffle_rows(df: DataFrame, key: str, salt: str = "shuffle", seed: int = 42,
-                 rank_col: str = "row_rank", buckets: int = 256) -> DataFrame:
-    """A reproducible random row order, made visible as a 0-based rank.
-
-    The draw is uniform, so ``floor(u * buckets)`` splits the rows into
-    balanced buckets by construction.  A row's rank is the number of rows in
-    lower buckets (a ``buckets``-row table, broadcast) plus its position
-    inside its own bucket (a window per bucket).  No step funnels the table
-    through one task.
+                 rank_col: str = "row_rank", rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+    """A reproducible random row order, made visible as a 0-based rank
+    (by draw, then key; rows tied on both are ranked in any order).
+
+    One pass builds a histogram of the draw (2**20 cells, combined map-side).
+    It gives the row count, hence a power-of-two number of buckets of about
+    ``rows_per_bucket`` rows each (``floor(u * buckets)``, a union of whole
+    cells), and each bucket's offset: the rows in lower buckets.  A row's
+    rank is its bucket's offset plus its position inside the bucket (a window
+    per bucket).  A key repeated on very many rows shares one draw and would
+    overload its bucket: such hot (draw, key) groups, found from the
+    histogram, get buckets of their own between their neighbours, split
+    further by input partition (the table is then checkpointed to the shared
+    folder first, so partition ids are fixed).  Their rows are tied, so any
+    split keeps the ranks exact.
     """
-    u = uniform(key, salt, seed)
-    t = df.withColumn("_u", u).withColumn("_b", F.floor(F.col("_u") * buckets).cast("int"))
-    counts = t.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
-    # At most ``buckets`` rows: safe to order in one task and to broadcast.
-    offsets = counts.select(
-        "_b", (F.sum("_n").over(Window.orderBy("_b")) - F.col("_n")).alias("_off"))
-    w = Window.partitionBy("_b").orderBy("_u", key)
-    ranked = t.withColumn("_r", F.row_number().over(w) - 1)
-    return (ranked.join(F.broadcast(offsets), "_b")
-            .withColumn(rank_col, (F.col("_off") + F.col("_r")).cast("bigint"))
-            .drop("_u", "_b", "_r", "_off"))
+    t = (df.withColumn("_u", uniform(key, salt, seed))
+         .withColumn("_p", F.spark_partition_id()))
+    with stats.persisted(t):
+        cells = (t.groupBy(F.floor(F.col("_u") * (1 << HIST_BITS)).cast("long").alias("_f"))
+                 .agg(F.count(F.lit(1)).alias("_n")))
+        with stats.persisted(cells):
+            n = cells.agg(F.sum("_n")).first()[0] or 0
+            bits = min(HIST_BITS, max(0, math.ceil(math.log2(max(1, n / rows_per_bucket)))))
+            hot_min = max(2 * rows_per_bucket, n // 256 + 1)
+            heavy = [r["_f"] for r in cells.where(F.col("_n") >= hot_min).collect()]
+            t = t.withColumn("_bu", F.floor(F.col("_u") * (1 << bits)).cast("long"))
+            hot = _hot_groups(t, key, heavy, hot_min)
+            if not hot:
+                t = t.withColumn("_b", F.col("_bu"))
+                counts = cells.groupBy(F.shiftright("_f", HIST_BITS - bits).alias("_b")).agg(
+                    F.sum("_n").alias("_n"))
+                n_buckets = 1 << bits
+            else:
+                # The split reads the input partition id, which only a written
+                # table keeps stable across the plan's two reads of ``t``
+                # (differently pruned subtrees can place rows differently).
+                checkpoint_dir(t.sparkSession)
+                t = t.checkpoint(eager=True)
+                t = t.withColumn("_b", _split_hot(t, key, hot, rows_per_bucket))
+                counts = t.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
+                n_buckets = (1 << bits) + sum(-(-g["_c"] // rows_per_bucket) + 2 for g in hot)
+            # One row per bucket: small enough to rank in one task.
+            offsets = counts.select("_b", (F.sum("_n").over(Window.orderBy("_b")) - F.col("_n")).alias("_off"))
+            if n_buckets <= BROADCAST_OFFSETS:
+                offsets = F.broadcast(offsets)
+            w = Window.partitionBy("_b").orderBy("_u", key)
+            ranked = t.withColumn("_r", F.row_number().over(w) - 1)
+            out = (ranked.join(offsets, "_b")
+                   .withColumn(rank_col, (F.col("_off") + F.col("_r")).cast("bigint"))
+                   .drop("_u", "_p", "_bu", "_b", "_r", "_off"))
+            return out
+
+
+def _hot_groups(t: DataFrame, key: str, heavy: list, hot_min: int) -> list:
+    """(draw, key) groups of at least ``hot_min`` rows, in (draw, key) order,
+    searched only in the histogram cells that are that large.  ``hot_min`` is
+    at least n / 256, so there are at most 256 groups."""
+    if not heavy:
+        return []
+    cell = F.floor(F.col("_u") * (1 << HIST_BITS)).cast("long")
+    return (t.where(cell.isin(heavy)).groupBy("_bu", "_u", F.col(key).alias("k"))
+            .agg(F.count(F.lit(1)).alias("_c")).where(F.col("_c") >= hot_min)
+            .orderBy("_u", "k").collect())
+
+
+def _split_hot(t: DataFrame, key: str, hot: list, rows_per_bucket: int) -> Column:
+    """Bucket key (bu, pos, sub): in a bucket holding hot groups, rows before
+    group j get pos 2j, the group itself pos 2j+1 with sub = input partition
+    modulo its share of buckets, and rows after the last group the next pos."""
+    k, u = F.col(key), F.col("_u")
+    after, is_hot, split = F.lit(0), F.lit(False), F.lit(0)
+    for g in hot:
+        gt = (u > F.lit(g["_u"])) | ((u == F.lit(g["_u"])) & (k > F.lit(g["k"])))
+        after = after + F.when((F.col("_bu") == F.lit(g["_bu"])) & gt, 2).otherwise(0)
+        same = (u == F.lit(g["_u"])) & k.eqNullSafe(F.lit(g["k"]))
+        is_hot = is_hot | same
+        split = F.when(same, F.col("_p") % F.lit(-(-g["_c"] // rows_per_bucket))).otherwise(split)
+    hot_bus = sorted({g["_bu"] for g in hot})
+    pos = F.when(F.col("_bu").isin(hot_bus), after + F.when(is_hot, 1).otherwise(0)).otherwise(0)
+    sub = F.when(is_hot, split).otherwise(0)
+    return F.struct(F.col("_bu").alias("bu"), pos.alias("pos"), sub.alias("sub"))
 
 
 def synth(keys: DataFrame, key: str, colspecs: dict[str, tuple], seed: int = 42) -> DataFrame:

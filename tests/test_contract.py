@@ -66,3 +66,21 @@ def test_large_sample_with_a_hot_key(spark):
         assert len(got_rows) == n
         assert sorted((r["_u"], r["o_orderkey"]) for r in got_rows) == _brute_sample(rows, n, "o_orderkey")
         assert got.exceptAll(d).count() == 0
+
+
+def test_shuffle_ranks_with_a_hot_key(spark):
+    """Ranks stay a permutation of 0..n-1 in (draw, key) order when a third of
+    the rows share one key, with buckets small enough that the hot group is
+    split across sub-buckets."""
+    from pyspark.sql import functions as F
+    from scrubspark.functions.draws import uniform
+    o = spark.read.parquet(f"{SF_SMALL}/orders.parquet").select("o_orderkey", "o_custkey").repartition(6)
+    hot = F.when(F.col("o_orderkey") % 3 == 0, F.lit(7)).otherwise(F.col("o_orderkey"))
+    d = o.withColumn("o_orderkey", hot)
+    n = d.count()
+    out = inject.shuffle_rows(d, "o_orderkey", rows_per_bucket=50)
+    rows = out.withColumn("_u", uniform("o_orderkey", "shuffle")).orderBy("row_rank").collect()
+    assert [r["row_rank"] for r in rows] == list(range(n))
+    pairs = [(r["_u"], r["o_orderkey"]) for r in rows]
+    assert pairs == sorted(pairs)
+    assert out.drop("row_rank").exceptAll(d).count() == 0
