@@ -68,29 +68,91 @@ def fill_nulls(df: DataFrame, col: str, strategy: str = "mean", value=None,
     return apply_fill(df, col, fit_fill_value(df, col, strategy, value, exact))
 
 
-def auto_bucket(df: DataFrame, order_col: str, n_buckets: int | None = None,
-                target_rows: int = 2_000_000, accuracy: int = 10_000) -> tuple[DataFrame, str]:
-    """Add ``__ab``: balanced buckets along ``order_col`` (non-decreasing in it).
+# Hot order-key values given sub-buckets of their own, largest first (the
+# rest stay whole: still exact, only less balanced).
+MAX_SPLIT_VALUES = 32
+
+
+def _as_double(df: DataFrame, name: str) -> Column:
+    dt = df.schema[name].dataType.simpleString()
+    k = _c(name)
+    if dt.startswith("timestamp") or dt == "date":
+        k = F.unix_micros(k.cast("timestamp"))
+    return k.cast("double")
 
-    Bounds are approximate quantiles of the order key (one job, bounded
-    memory); Spark ML's ``Bucketizer`` assigns rows by binary search on the
-    JVM.  Rows sharing one order-key value stay in one bucket.
+
+def auto_bucket(df: DataFrame, order_by: str | list[str], n_buckets: int | None = None,
+                target_rows: int = 2_000_000, accuracy: int = 10_000) -> tuple[DataFrame, str]:
+    """Add ``__ab``, a struct (v, s) that is non-decreasing along ``order_by``.
+
+    ``v`` buckets the first order column: bounds are approximate quantiles of
+    it (one job, bounded memory) and Spark ML's ``Bucketizer`` assigns rows by
+    binary search on the JVM.  A value that fills more than a bucket (it
+    repeats among the bounds) gets a bucket of its own, and its rows are cut
+    into ``s`` sub-buckets: by quantiles of the second order column within
+    the value (one more job; one ``Bucketizer`` split list per value), or,
+    when there is no second column and the rows are fully tied, by a hash of
+    the row.  ``v`` is NULL for NULL order keys; a NULL group larger than two
+    buckets is cut the same way.
     """
+    import math
+    from collections import Counter
+
     from pyspark.ml.feature import Bucketizer
-    dt = df.schema[order_col].dataType.simpleString()
-    key = F.unix_micros(_c(order_col).cast("timestamp")) if dt.startswith("timestamp") or dt == "date" \
-        else _c(order_col)
-    t = df.withColumn("__abk", key.cast("double"))
+    order = [order_by] if isinstance(order_by, str) else list(order_by)
+    t = df.withColumn("__abk", _as_double(df, order[0]))
     if n_buckets is None:
         n = t.count()
         n_buckets = max(1, min(4096, -(-n // target_rows)))
     probs = [i / n_buckets for i in range(1, n_buckets)]
-    bounds = t.agg(F.percentile_approx("__abk", probs, accuracy).alias("q")).first()["q"] if probs else []
-    splits = [float("-inf")] + sorted(set(b for b in (bounds or []) if b is not None)) + [float("inf")]
+    key = F.col("__abk")
+    row = t.agg(F.percentile_approx("__abk", probs or [0.5], accuracy).alias("q"),
+                F.count(F.lit(1)).alias("n"), F.count(key).alias("nn")).first()
+    bounds = [b for b in (row["q"] or []) if b is not None] if probs else []
+    repeats = Counter(bounds)
+    hot = [(v, c) for v, c in sorted(repeats.items(), key=lambda x: -x[1]) if c >= 2][:MAX_SPLIT_VALUES]
+    cuts = set(bounds) | {math.nextafter(v, math.inf) for v, _ in hot}
+    # NULL order keys (sorted first) form one group; a large one is cut too.
+    nulls = row["n"] - row["nn"]
+    null_share = int(nulls * n_buckets // max(row["n"], 1))
+    if null_share >= 2:
+        hot.append((None, null_share))
+
+    def is_v(v):
+        return key.isNull() if v is None else key == F.lit(v)
+
+    splits = [float("-inf")] + sorted(cuts - {float("-inf"), float("inf")}) + [float("inf")]
     if len(splits) < 3:
-        return t.drop("__abk").withColumn("__ab", F.lit(0.0)), "__ab"
-    b = Bucketizer(splits=splits, inputCol="__abk", outputCol="__ab", handleInvalid="keep")
-    return b.transform(t).drop("__abk"), "__ab"
+        t = t.withColumn("__abv", F.when(key.isNotNull(), F.lit(0.0)))
+    else:
+        t = Bucketizer(splits=splits, inputCol="__abk", outputCol="__abv", handleInvalid="keep").transform(t)
+        t = t.withColumn("__abv", F.when(key.isNotNull(), F.col("__abv")))
+    sub = F.lit(0)
+    if hot and len(order) >= 2:
+        k2 = F.coalesce(_as_double(df, order[1]), F.lit(float("-inf")))
+        aggs = [F.percentile_approx(F.when(is_v(v), k2), [i / (c + 1) for i in range(1, c + 1)],
+                                    accuracy).alias(f"h{j}") for j, (v, c) in enumerate(hot)]
+        row = t.agg(*aggs).first()
+        split_lists, names = [], []
+        for j, (v, _) in enumerate(hot):
+            inner = sorted({b for b in (row[f"h{j}"] or []) if b is not None} - {float("-inf"), float("inf")})
+            if inner:
+                split_lists.append([float("-inf")] + inner + [float("inf")])
+                names.append(j)
+        if names:
+            ins = [f"__abi{j}" for j in names]
+            for j in names:
+                t = t.withColumn(f"__abi{j}", F.when(is_v(hot[j][0]), k2).otherwise(F.lit(float("nan"))))
+            t = Bucketizer(splitsArray=split_lists, inputCols=ins, outputCols=[f"__abo{j}" for j in names],
+                           handleInvalid="keep").transform(t)
+            for j in names:
+                sub = F.when(is_v(hot[j][0]), F.col(f"__abo{j}").cast("int")).otherwise(sub)
+    elif hot:
+        row_hash = F.xxhash64(*[_c(f) for f in df.columns])
+        for v, c in hot:
+            sub = F.when(is_v(v), F.pmod(row_hash, F.lit(c + 1)).cast("int")).otherwise(sub)
+    t = t.withColumn("__ab", F.struct(F.col("__abv").alias("v"), sub.alias("s")))
+    return t.select(*[_c(x) for x in df.columns], "__ab"), "__ab"
 
 
 def forward_fill(df: DataFrame, col: str, order_by: list[str], bucket: Column | str | None = "auto",
@@ -111,23 +173,23 @@ def forward_fill(df: DataFrame, col: str, order_by: list[str], bucket: Column |
 
     The bucket table is ranked in one task, so a caller-given bucket must
     keep the number of buckets modest (thousands, not billions).
-    ``bucket="auto"`` derives at most 4096 balanced buckets from the first order column
-    (``auto_bucket``), so no bucket holds much more than its share of rows
-    whatever the key distribution; ``None`` means the same.  There is no
+    ``bucket="auto"`` derives at most 4096 balanced buckets from the order
+    columns (``auto_bucket``); a first-column value holding many rows is cut
+    by the second column, so no bucket holds much more than its share; ``None`` means the same.  There is no
     global-window path: it would run the whole table in one task.
     """
     _require(df, col)
     c = _c(col)
     order_cols = [_c(o) for o in order_by]
-    if bucket is None or (isinstance(bucket, str) and bucket == "auto"):
-        t, name = auto_bucket(df, order_by[0], n_buckets)
-        t = t.withColumnRenamed(name, "__b")
-    else:
-        t = df.withColumn("__b", bucket)
     # A struct key is never NULL (NULL buckets, from NULL order keys, become
     # (false, NULL) and sort first), so the join back below is a plain
     # equi-join on the key the big side is already partitioned by.
-    t = t.withColumn("__b", F.struct(F.col("__b").isNotNull().alias("h"), F.col("__b").alias("v")))
+    if bucket is None or (isinstance(bucket, str) and bucket == "auto"):
+        t, name = auto_bucket(df, order_by, n_buckets)
+        t = t.withColumn("__b", F.struct(F.col(name)["v"].isNotNull().alias("h"), F.col(name).alias("v")))
+        t = t.drop(name)
+    else:
+        t = df.withColumn("__b", F.struct(bucket.isNotNull().alias("h"), bucket.alias("v")))
     w = Window.partitionBy("__b").orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, 0)
     t = t.withColumn("__local", F.last(c, ignorenulls=True).over(w))
     order_key = order_cols[0] if len(order_cols) == 1 else F.struct(*order_cols)

@@ -74,6 +74,26 @@ def test_auto_buckets_equal_global_fill(spark):
     assert len(sizes) >= 20 and max(sizes) < 3 * (e.count() / 23)
 
 
+def test_auto_buckets_split_hot_order_values(spark):
+    """A third of the rows share one timestamp and a fifth have none: both
+    groups are cut into several buckets by the second order column, and the
+    fill still equals the brute force."""
+    from scrubspark.catalog import fixtures as fx
+    e = fx.dirty_events(spark, SF_CHECK)
+    ts = (F.when(F.col("event_id") % 3 == 0, F.lit("2024-03-01 00:00:00").cast("timestamp"))
+          .when(F.col("event_id") % 5 == 1, F.lit(None).cast("timestamp")).otherwise(F.col("ts")))
+    h = e.withColumn("ts", ts)
+    n = h.count()
+    t, name = fill.auto_bucket(h, ["ts", "event_id"], 16)
+    sizes = [r["count"] for r in t.groupBy(name).count().collect()]
+    assert max(sizes) < 3 * n / 16
+    got = {r["event_id"]: r["value"] for r in
+           fill.forward_fill(h, "value", ["ts", "event_id"], n_buckets=16).select("event_id", "value").collect()}
+    assert got == _brute_ffill(h, "value", ["ts", "event_id"], "event_id")
+    t1, name1 = fill.auto_bucket(h.select("ts", "value"), "ts", 16)
+    assert max(r["count"] for r in t1.groupBy(name1).count().collect()) < 3 * n / 16
+
+
 def test_forward_fill_big_side_never_single_partition(spark):
     from scrubspark.catalog import fixtures as fx
     e = fx.dirty_events(spark, SF_CHECK)
