@@ -71,6 +71,9 @@ def fill_nulls(df: DataFrame, col: str, strategy: str = "mean", value=None,
 # Hot order-key values given sub-buckets of their own, largest first (the
 # rest stay whole: still exact, only less balanced).
 MAX_SPLIT_VALUES = 32
+# Most buckets ``auto_bucket`` makes: the per-bucket carry table of a forward
+# fill (one row per bucket) is ranked in one task.
+MAX_AUTO_BUCKETS = 65_536
 
 
 def _as_double(df: DataFrame, name: str) -> Column:
@@ -103,7 +106,10 @@ def auto_bucket(df: DataFrame, order_by: str | list[str], n_buckets: int | None
     t = df.withColumn("__abk", _as_double(df, order[0]))
     if n_buckets is None:
         n = t.count()
-        n_buckets = max(1, min(4096, -(-n // target_rows)))
+        n_buckets = max(1, min(MAX_AUTO_BUCKETS, -(-n // target_rows)))
+    # Rank error of the bounds (1 / accuracy of the rows) stays under a
+    # quarter of a bucket.
+    accuracy = max(accuracy, 4 * n_buckets)
     probs = [i / n_buckets for i in range(1, n_buckets)]
     key = F.col("__abk")
     row = t.agg(F.percentile_approx("__abk", probs or [0.5], accuracy).alias("q"),
@@ -173,7 +179,7 @@ def forward_fill(df: DataFrame, col: str, order_by: list[str], bucket: Column |
 
     The bucket table is ranked in one task, so a caller-given bucket must
     keep the number of buckets modest (thousands, not billions).
-    ``bucket="auto"`` derives at most 4096 balanced buckets from the order
+    ``bucket="auto"`` derives at most 65,536 balanced buckets from the order
     columns (``auto_bucket``); a first-column value holding many rows is cut
     by the second column, so no bucket holds much more than its share; ``None`` means the same.  There is no
     global-window path: it would run the whole table in one task.
