@@ -64,22 +64,25 @@ def fit_profile(df: DataFrame, order_by: list[str] | None = None, exact: bool =
 
 
 def fit_profile_and_header(df: DataFrame, order_by: list[str] | None = None, exact: bool = True,
-                           samples: int = 3, header: bool = True) -> tuple[list[dict], dict | None]:
+                           samples: int = 3, header: bool = True,
+                           columns: list[str] | None = None) -> tuple[list[dict], dict | None]:
     """The profile and (with ``header``) the table header from the same jobs: the
     distinct-row count joins the main aggregate as ``count(DISTINCT struct(*))``,
-    which treats NULLs as equal like a grouping does."""
+    which treats NULLs as equal like a grouping does.  ``columns`` limits the
+    profile to those columns (the header still covers the whole row)."""
     with stats.persisted(df):
-        return _fit_profile(df, order_by, exact, samples, header)
+        return _fit_profile(df, order_by, exact, samples, header, columns)
 
 
-def _fit_profile(df: DataFrame, order_by, exact, samples, header) -> tuple[list[dict], dict | None]:
-    fields = df.schema.fields
+def _fit_profile(df: DataFrame, order_by, exact, samples, header, columns=None
+                 ) -> tuple[list[dict], dict | None]:
+    fields = [(i, f) for i, f in enumerate(df.schema.fields) if columns is None or f.name in columns]
     exprs = [F.count(F.lit(1)).alias("__rows")]
     if header:
-        all_cols = F.struct(*[_c(f.name) for f in fields])
+        all_cols = F.struct(*[_c(f.name) for f in df.schema.fields])
         exprs.append((F.count_distinct(all_cols) if exact else F.approx_count_distinct(all_cols))
                      .alias("__distinct"))
-    for i, f in enumerate(fields):
+    for i, f in fields:
         c = _c(f.name)
         exprs.append(F.count(c).alias(f"nn{i}"))
         exprs.append((F.count_distinct(c) if exact else F.approx_count_distinct(c)).alias(f"u{i}"))
@@ -92,7 +95,7 @@ def _fit_profile(df: DataFrame, order_by, exact, samples, header) -> tuple[list[
     row = df.agg(*exprs).first()
     n_rows = row["__rows"]
     prof = []
-    for i, f in enumerate(fields):
+    for i, f in fields:
         nn = row[f"nn{i}"]
         d = {"ordinal": i, "name": f.name, "dtype": f.dataType.simpleString(),
              "is_numeric": is_numeric_type(f.dataType), "is_text": is_text_type(f.dataType),
@@ -139,7 +142,7 @@ def _fit_profile(df: DataFrame, order_by, exact, samples, header) -> tuple[list[
     head = None
     if header:
         distinct = row["__distinct"] if n_rows else 0
-        head = {"n_rows": n_rows, "n_cols": len(fields),
+        head = {"n_rows": n_rows, "n_cols": len(df.schema.fields),
                 "duplicate_rate": 0.0 if n_rows == 0 else (n_rows - distinct) / n_rows}
     return prof, head
 

@@ -27,17 +27,45 @@ def auto_clean(df: DataFrame, spec=None, max_steps: int | None = None, order_by=
         return _auto_clean(df, spec, max_steps, order_by, exact, checkpoint)
 
 
+# Actions that change one column only: the rest of the profile still holds.
+ONE_COLUMN = ("fill_nulls", "clip_outliers", "fix_dtype")
+
+
+def _refit(cur, prof, header, action, exact):
+    """The profile and header of ``cur`` after ``action`` succeeded.
+
+    A per-column profile depends on that column and the row count only, so
+    after an action on one column only that column (and the header, whose
+    duplicate rate reads whole rows) is fitted again; a rename needs no job.
+    Anything else (duplicate removal, a drop) is fitted afresh.
+    """
+    at, col = action.action_type, action.column
+    names = cur.columns
+    if at in ONE_COLUMN and col in names and prof is not None:
+        new, head = profiling.fit_profile_and_header(cur, exact=exact, columns=[col])
+        by_name = {d["name"]: d for d in new}
+        return [by_name.get(d["name"], d) for d in prof], head
+    if at == "rename_column" and prof is not None:
+        new_name = action.param("new_name")
+        return [dict(d, name=new_name) if d["name"] == col else d for d in prof], header
+    return profiling.fit_profile_and_header(cur, exact=exact)
+
+
 def _auto_clean(df, spec, max_steps, order_by, exact, checkpoint):
     spark = df.sparkSession
     current = df
     logs = []
     skip: set = set()
     prev = None
+    prof = header = last = None
     for step in range(max_steps):
         # One materialisation per round; every statistic of the round reads it.
         cur = current if current is df else current.persist(StorageLevel.MEMORY_AND_DISK)
-        prof, header = profiling.fit_profile_and_header(cur, exact=exact)
-        if prev is not None:
+        if last is None:
+            prof, header = profiling.fit_profile_and_header(cur, exact=exact)
+        elif last[1]:
+            prof, header = _refit(cur, prof, header, last[0], exact)
+        if prev is not None and prev is not cur:
             prev.unpersist()
         prev = cur if cur is not df else None
         ranked = recommend(profiling.profile(cur, prof=prof), profiling.header_frame(spark, header))
@@ -45,8 +73,11 @@ def _auto_clean(df, spec, max_steps, order_by, exact, checkpoint):
         current, log = clean(cur, [action], spec, order_by, exact, checkpoint, start_step=step)
         row = log.first()
         logs.append(row)
-        if not row["success"] or row["noop"]:
+        changed = row["success"] and not row["noop"]
+        last = (action, changed)
+        if not changed:
             skip.add((action.action_type, action.column))
+            current = cur
         if action.action_type == "done":
             break
     log_df = spark.createDataFrame([tuple(r) for r in logs], LOG_SCHEMA)
