@@ -579,5 +579,4 @@ def stream_clean(spark, sf):
     s = inj.inject_nulls(s, "value", 0.25, "event_id", "val_null")
     s = inj.inject_outliers(s, "value", 0.08, fx.VALUE_OUTLIERS, "event_id", "val_out", "val_pick")
     cleaned = clean_stream.apply_plan(s, fitted).select("event_id", _r6("value"))
-    name = "stream_clean_" + uuid.uuid4().hex[:8]
-    return clean_stream.run_to_table(cleaned, name, _scratch(spark, "stream-ckpt"))
+    return clean_stream.run_to_files(cleaned, _scratch(spark, "stream-out"), _scratch(spark, "stream-ckpt"))

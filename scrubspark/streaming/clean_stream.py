@@ -63,9 +63,16 @@ def dedup_stream(stream: DataFrame, event_time: str, delay: str, keys: list[str]
     return stream.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(keys)
 
 
-def run_to_table(stream: DataFrame, name: str, checkpoint: str) -> DataFrame:
-    """Drain all available input of ``stream`` into an in-memory table and return it."""
-    q = (stream.writeStream.format("memory").queryName(name).outputMode("append")
+def run_to_files(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """Drain all available input of ``stream`` into parquet files under ``path``
+    and return them as a table.
+
+    Both folders belong under the shared checkpoint folder.  The file sink
+    commits each micro-batch through its metadata log, so a batch retried
+    after an executor loss is written once, and reading ``path`` sees only
+    committed files.  Nothing passes through the driver.
+    """
+    q = (stream.writeStream.format("parquet").option("path", path).outputMode("append")
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
-    return stream.sparkSession.table(name)
+    return stream.sparkSession.read.parquet(path)

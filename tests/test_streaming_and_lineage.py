@@ -35,7 +35,7 @@ def test_fitted_plan_applies_to_a_stream(spark):
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(SF_SMALL)
     out = clean_stream.apply_plan(stream.select("event_id", "value"), fitted)
     name = "t_" + uuid.uuid4().hex[:8]
-    res = clean_stream.run_to_table(out, name, f"{checkpoint_dir(spark)}/t-{name}")
+    res = clean_stream.run_to_files(out, f"{checkpoint_dir(spark)}/o-{name}", f"{checkpoint_dir(spark)}/t-{name}")
     assert res.count() == batch.count()
     assert res.where(F.col("value").isNull()).count() == 0
 
@@ -46,7 +46,7 @@ def test_stream_dedup_within_watermark(spark):
     doubled = stream.select("event_id", "ts").unionByName(stream.select("event_id", "ts"))
     out = clean_stream.dedup_stream(doubled, "ts", "1 hour", ["event_id"])
     name = "d_" + uuid.uuid4().hex[:8]
-    res = clean_stream.run_to_table(out, name, f"{checkpoint_dir(spark)}/t-{name}")
+    res = clean_stream.run_to_files(out, f"{checkpoint_dir(spark)}/o-{name}", f"{checkpoint_dir(spark)}/t-{name}")
     n = spark.read.parquet(f"{SF_SMALL}/events.parquet").count()
     assert res.count() == n
 
