@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from scrubspark.functions.numeric import is_numeric_type
@@ -76,34 +77,50 @@ MAX_SPLIT_VALUES = 32
 MAX_AUTO_BUCKETS = 65_536
 
 
-def _as_double(df: DataFrame, name: str) -> Column:
-    dt = df.schema[name].dataType.simpleString()
+def _order_number(df: DataFrame, name: str) -> Column | None:
+    """A double that never decreases along ``name``'s own sort order (NULL
+    stays NULL), or None for a type without one.  Equal numbers need not mean
+    equal values (long keys past 2**53, strings sharing a 6-byte prefix)."""
+    dt = df.schema[name].dataType
     k = _c(name)
-    if dt.startswith("timestamp") or dt == "date":
-        k = F.unix_micros(k.cast("timestamp"))
-    return k.cast("double")
+    if isinstance(dt, T.TimestampNTZType):
+        # Wall-clock micros: no session time zone, so no DST fold.
+        return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', `{name}`)").cast("double")
+    if isinstance(dt, (T.TimestampType, T.DateType)):
+        return F.unix_micros(k.cast("timestamp")).cast("double")
+    if isinstance(dt, (T.NumericType, T.BooleanType)):
+        return k.cast("double")
+    if isinstance(dt, (T.StringType, T.BinaryType)):
+        # The first 6 bytes, zero-padded, read as a 48-bit number: byte order.
+        return F.conv(F.rpad(F.hex(F.substring(k.cast("binary"), 1, 6)), 12, "0"), 16, 10).cast("double")
+    return None
 
 
 def auto_bucket(df: DataFrame, order_by: str | list[str], n_buckets: int | None = None,
                 target_rows: int = 2_000_000, accuracy: int = 10_000) -> tuple[DataFrame, str]:
     """Add ``__ab``, a struct (v, s) that is non-decreasing along ``order_by``.
 
-    ``v`` buckets the first order column: bounds are approximate quantiles of
-    it (one job, bounded memory) and Spark ML's ``Bucketizer`` assigns rows by
-    binary search on the JVM.  A value that fills more than a bucket (it
-    repeats among the bounds) gets a bucket of its own, and its rows are cut
-    into ``s`` sub-buckets: by quantiles of the second order column within
-    the value (one more job; one ``Bucketizer`` split list per value), or,
-    when there is no second column and the rows are fully tied, by a hash of
-    the row.  ``v`` is NULL for NULL order keys; a NULL group larger than two
-    buckets is cut the same way.
+    ``v`` buckets a number that follows the first order column
+    (``_order_number``): bounds are approximate quantiles of it (one job,
+    bounded memory) and Spark ML's ``Bucketizer`` assigns rows by binary
+    search on the JVM.  A number that fills more than a bucket (it repeats
+    among the bounds) gets a bucket of its own.  When its rows hold a single
+    value of the column (checked exactly, in the same job as the next step),
+    they are tied, and are cut into ``s`` sub-buckets: by quantiles of the
+    second order column within the value (one ``Bucketizer`` split list per
+    value), or, with one order column, by a hash of the row.  ``v`` is NULL
+    for NULL order keys; a NULL group larger than two buckets is cut the same
+    way.  A first column of a type with no such number gets one bucket.
     """
     import math
     from collections import Counter
 
     from pyspark.ml.feature import Bucketizer
     order = [order_by] if isinstance(order_by, str) else list(order_by)
-    t = df.withColumn("__abk", _as_double(df, order[0]))
+    num = _order_number(df, order[0])
+    if num is None:
+        return df.withColumn("__ab", F.struct(F.lit(0.0).alias("v"), F.lit(0).alias("s"))), "__ab"
+    t = df.withColumn("__abk", num)
     if n_buckets is None:
         n = t.count()
         n_buckets = max(1, min(MAX_AUTO_BUCKETS, -(-n // target_rows)))
@@ -134,29 +151,39 @@ def auto_bucket(df: DataFrame, order_by: str | list[str], n_buckets: int | None
         t = Bucketizer(splits=splits, inputCol="__abk", outputCol="__abv", handleInvalid="keep").transform(t)
         t = t.withColumn("__abv", F.when(key.isNotNull(), F.col("__abv")))
     sub = F.lit(0)
-    if hot and len(order) >= 2:
-        k2 = F.coalesce(_as_double(df, order[1]), F.lit(float("-inf")))
-        aggs = [F.percentile_approx(F.when(is_v(v), k2), [i / (c + 1) for i in range(1, c + 1)],
-                                    accuracy).alias(f"h{j}") for j, (v, c) in enumerate(hot)]
+    k2 = _order_number(df, order[1]) if len(order) >= 2 else None
+    if hot and (len(order) == 1 or k2 is not None):
+        first = _c(order[0])
+        k2 = None if k2 is None else F.coalesce(k2, F.lit(float("-inf")))
+        aggs = []
+        for j, (v, c) in enumerate(hot):
+            if v is not None:
+                aggs += [F.min(F.when(is_v(v), first)).alias(f"lo{j}"), F.max(F.when(is_v(v), first)).alias(f"hi{j}")]
+            if k2 is not None:
+                aggs.append(F.percentile_approx(F.when(is_v(v), k2), [i / (c + 1) for i in range(1, c + 1)],
+                                                accuracy).alias(f"h{j}"))
         row = t.agg(*aggs).first()
-        split_lists, names = [], []
-        for j, (v, _) in enumerate(hot):
-            inner = sorted({b for b in (row[f"h{j}"] or []) if b is not None} - {float("-inf"), float("inf")})
-            if inner:
-                split_lists.append([float("-inf")] + inner + [float("inf")])
-                names.append(j)
-        if names:
-            ins = [f"__abi{j}" for j in names]
-            for j in names:
-                t = t.withColumn(f"__abi{j}", F.when(is_v(hot[j][0]), k2).otherwise(F.lit(float("nan"))))
-            t = Bucketizer(splitsArray=split_lists, inputCols=ins, outputCols=[f"__abo{j}" for j in names],
-                           handleInvalid="keep").transform(t)
-            for j in names:
-                sub = F.when(is_v(hot[j][0]), F.col(f"__abo{j}").cast("int")).otherwise(sub)
-    elif hot:
-        row_hash = F.xxhash64(*[_c(f) for f in df.columns])
-        for v, c in hot:
-            sub = F.when(is_v(v), F.pmod(row_hash, F.lit(c + 1)).cast("int")).otherwise(sub)
+        tied = [j for j, (v, _) in enumerate(hot) if v is None or row[f"lo{j}"] == row[f"hi{j}"]]
+        if k2 is not None:
+            split_lists, names = [], []
+            for j in tied:
+                inner = sorted({b for b in (row[f"h{j}"] or []) if b is not None} - {float("-inf"), float("inf")})
+                if inner:
+                    split_lists.append([float("-inf")] + inner + [float("inf")])
+                    names.append(j)
+            if names:
+                ins = [f"__abi{j}" for j in names]
+                for j in names:
+                    t = t.withColumn(f"__abi{j}", F.when(is_v(hot[j][0]), k2).otherwise(F.lit(float("nan"))))
+                t = Bucketizer(splitsArray=split_lists, inputCols=ins, outputCols=[f"__abo{j}" for j in names],
+                               handleInvalid="keep").transform(t)
+                for j in names:
+                    sub = F.when(is_v(hot[j][0]), F.col(f"__abo{j}").cast("int")).otherwise(sub)
+        else:
+            row_hash = F.xxhash64(*[_c(f) for f in df.columns])
+            for j in tied:
+                v, c = hot[j]
+                sub = F.when(is_v(v), F.pmod(row_hash, F.lit(c + 1)).cast("int")).otherwise(sub)
     t = t.withColumn("__ab", F.struct(F.col("__abv").alias("v"), sub.alias("s")))
     return t.select(*[_c(x) for x in df.columns], "__ab"), "__ab"
 
@@ -181,8 +208,9 @@ def forward_fill(df: DataFrame, col: str, order_by: list[str], bucket: Column |
     keep the number of buckets modest (thousands, not billions).
     ``bucket="auto"`` derives at most 65,536 balanced buckets from the order
     columns (``auto_bucket``); a first-column value holding many rows is cut
-    by the second column, so no bucket holds much more than its share; ``None`` means the same.  There is no
-    global-window path: it would run the whole table in one task.
+    by the second column, so no bucket holds much more than its share.
+    ``None`` means the same.  There is no global-window path: it would run
+    the whole table in one task.
     """
     _require(df, col)
     c = _c(col)

@@ -94,6 +94,19 @@ def test_auto_buckets_split_hot_order_values(spark):
     assert max(r["count"] for r in t1.groupBy(name1).count().collect()) < 3 * n / 16
 
 
+def test_auto_buckets_never_split_untied_rows(spark):
+    """Order keys whose bucket numbers collide without being equal (strings
+    sharing a 6-byte prefix, longs past 2**53) look hot but are not tied: the
+    fill must still follow their exact order."""
+    from scrubspark.catalog import fixtures as fx
+    e = fx.dirty_events(spark, SF_CHECK).select("event_id", "value")
+    text = e.withColumn("k", F.concat(F.lit("evt-0"), F.lpad(F.col("event_id").cast("string"), 9, "0")))
+    big = e.withColumn("k", F.lit(2 ** 60) + F.col("event_id"))
+    for d in (text, big):
+        got = {r["event_id"]: r["value"] for r in fill.forward_fill(d, "value", ["k"], n_buckets=16).collect()}
+        assert got == _brute_ffill(d, "value", ["k"], "event_id")
+
+
 def test_forward_fill_big_side_never_single_partition(spark):
     from scrubspark.catalog import fixtures as fx
     e = fx.dirty_events(spark, SF_CHECK)
