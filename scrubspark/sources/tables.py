@@ -85,19 +85,20 @@ def read_csv(spark: SparkSession, path: str, na_tokens=DEFAULT_NA_TOKENS,
     if not infer_schema:
         return cleaned
     from scrubspark.functions.numeric import NUMBER_PATTERN
-    # One aggregate decides, per column, whether every non-null value parses.
-    checks = [F.bool_and(F.col(f"`{c}`").isNull() | F.col(f"`{c}`").rlike(NUMBER_PATTERN)).alias(c)
-              for c in cleaned.columns]
-    integral = [F.bool_and(F.col(f"`{c}`").isNull() | F.col(f"`{c}`").rlike(r"^\s*[+-]?[0-9]+\s*$")).alias(c)
-                for c in cleaned.columns]
-    row_num = cleaned.agg(*checks).first()
-    row_int = cleaned.agg(*integral).first()
+    # One aggregate decides, per column, whether every non-null value parses
+    # as a number and whether as an integer.
+    checks = []
+    for i, c in enumerate(cleaned.columns):
+        col = F.col(f"`{c}`")
+        checks += [F.bool_and(col.isNull() | col.rlike(NUMBER_PATTERN)).alias(f"n{i}"),
+                   F.bool_and(col.isNull() | col.rlike(r"^\s*[+-]?[0-9]+\s*$")).alias(f"i{i}")]
+    row = cleaned.agg(*checks).first()
     out = []
-    for c in cleaned.columns:
+    for i, c in enumerate(cleaned.columns):
         col = F.col(f"`{c}`")
-        if row_num[c] and row_int[c]:
+        if row[f"n{i}"] and row[f"i{i}"]:
             out.append(F.trim(col).try_cast("bigint").alias(c))
-        elif row_num[c]:
+        elif row[f"n{i}"]:
             out.append(F.trim(col).try_cast("double").alias(c))
         else:
             out.append(col)
