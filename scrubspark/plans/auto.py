@@ -70,7 +70,8 @@ def _auto_clean(df, spec, max_steps, order_by, exact, checkpoint):
         prev = cur if cur is not df else None
         ranked = recommend(profiling.profile(cur, prof=prof), profiling.header_frame(spark, header))
         action = top_action(ranked, skip)
-        current, log = clean(cur, [action], spec, order_by, exact, checkpoint, start_step=step)
+        current, log = clean(cur, [action], spec, order_by, exact, checkpoint, start_step=step,
+                             rows=header["n_rows"])
         row = log.first()
         logs.append(row)
         changed = row["success"] and not row["noop"]
