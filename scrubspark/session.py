@@ -14,7 +14,10 @@ from pyspark.sql import SparkSession
 
 
 def get_spark(master: str | None = None, app: str = "scrubspark",
-              shuffle_partitions: int | None = None) -> SparkSession:
+              shuffle_partitions: int | None = None, conf: dict | None = None) -> SparkSession:
+    """A session with the UI off, UTC, and adaptive execution (partition
+    coalescing, skew-join splitting).  ``conf`` adds settings, e.g. the
+    cluster sizing in the README."""
     master = master or os.environ.get("SCRUB_MASTER", "local[8]")
     builder = (
         SparkSession.builder.master(master).appName(app)
@@ -27,6 +30,8 @@ def get_spark(master: str | None = None, app: str = "scrubspark",
     )
     if shuffle_partitions is not None:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    for k, v in (conf or {}).items():
+        builder = builder.config(k, str(v))
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     checkpoint_dir(spark)
