@@ -189,7 +189,7 @@ def auto_bucket(df: DataFrame, order_by: str | list[str], n_buckets: int | None
 
 
 def forward_fill(df: DataFrame, col: str, order_by: list[str], bucket: Column | str | None = "auto",
-                 n_buckets: int | None = None) -> DataFrame:
+                 n_buckets: int | None = None, split_hot: bool = True) -> DataFrame:
     """Carry the last non-null value forward in ``order_by`` order.
 
     ``bucket`` must be non-decreasing along ``order_by`` (for example
@@ -205,7 +205,9 @@ def forward_fill(df: DataFrame, col: str, order_by: list[str], bucket: Column |
       adaptive execution broadcasts it when its measured size is small.
 
     The bucket table is ranked in one task, so a caller-given bucket must
-    keep the number of buckets modest (thousands, not billions).
+    keep the number of buckets modest (thousands, not billions).  With
+    ``split_hot`` (the default) a caller-given bucket is paired with the auto
+    buckets, so a bucket holding too many rows is cut further.
     ``bucket="auto"`` derives at most 65,536 balanced buckets from the order
     columns (``auto_bucket``); a first-column value holding many rows is cut
     by the second column, so no bucket holds much more than its share.
@@ -222,6 +224,15 @@ def forward_fill(df: DataFrame, col: str, order_by: list[str], bucket: Column |
         t, name = auto_bucket(df, order_by, n_buckets)
         t = t.withColumn("__b", F.struct(F.col(name)["v"].isNotNull().alias("h"), F.col(name).alias("v")))
         t = t.drop(name)
+    elif split_hot:
+        # A caller's bucket and the auto buckets both never decrease along the
+        # order, so the pair does not either, and it has at most as many
+        # cells as the two together: a hot caller bucket (one busy day) is
+        # cut by the auto buckets.
+        t, name = auto_bucket(df, order_by, n_buckets)
+        t = t.withColumn("__b", F.struct(bucket.isNotNull().alias("h"),
+                                         F.struct(bucket.alias("u"), F.col(name).alias("a")).alias("v")))
+        t = t.drop(name)
     else:
         t = df.withColumn("__b", F.struct(bucket.isNotNull().alias("h"), bucket.alias("v")))
     w = Window.partitionBy("__b").orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, 0)

@@ -90,6 +90,8 @@ def test_auto_buckets_split_hot_order_values(spark):
     got = {r["event_id"]: r["value"] for r in
            fill.forward_fill(h, "value", ["ts", "event_id"], n_buckets=16).select("event_id", "value").collect()}
     assert got == _brute_ffill(h, "value", ["ts", "event_id"], "event_id")
+    day = fill.forward_fill(h, "value", ["ts", "event_id"], bucket=F.date_trunc("day", "ts"), n_buckets=16)
+    assert {r["event_id"]: r["value"] for r in day.select("event_id", "value").collect()} == got
     t1, name1 = fill.auto_bucket(h.select("ts", "value"), "ts", 16)
     assert max(r["count"] for r in t1.groupBy(name1).count().collect()) < 3 * n / 16
 
