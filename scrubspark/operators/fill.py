@@ -108,9 +108,11 @@ def auto_bucket(df: DataFrame, order_by: str | list[str], n_buckets: int | None
     value of the column (checked exactly, in the same job as the next step),
     they are tied, and are cut into ``s`` sub-buckets: by quantiles of the
     second order column within the value (one ``Bucketizer`` split list per
-    value), or, with one order column, by a hash of the row.  ``v`` is NULL
-    for NULL order keys; a NULL group larger than two buckets is cut the same
-    way.  A first column of a type with no such number gets one bucket.
+    value).  With one order column such a group is fully tied instead: its
+    rows are flagged in ``__abt`` and need no ordering at all (see
+    ``forward_fill``).  ``v`` is NULL for NULL order keys; a NULL group larger
+    than two buckets is treated the same way.  A first column of a type with
+    no such number gets one bucket.
     """
     import math
     from collections import Counter
@@ -119,7 +121,8 @@ def auto_bucket(df: DataFrame, order_by: str | list[str], n_buckets: int | None
     order = [order_by] if isinstance(order_by, str) else list(order_by)
     num = _order_number(df, order[0])
     if num is None:
-        return df.withColumn("__ab", F.struct(F.lit(0.0).alias("v"), F.lit(0).alias("s"))), "__ab"
+        return (df.withColumn("__ab", F.struct(F.lit(0.0).alias("v"), F.lit(0).alias("s")))
+                .withColumn("__abt", F.lit(False))), "__ab"
     t = df.withColumn("__abk", num)
     if n_buckets is None:
         n = t.count()
@@ -150,7 +153,7 @@ def auto_bucket(df: DataFrame, order_by: str | list[str], n_buckets: int | None
     else:
         t = Bucketizer(splits=splits, inputCol="__abk", outputCol="__abv", handleInvalid="keep").transform(t)
         t = t.withColumn("__abv", F.when(key.isNotNull(), F.col("__abv")))
-    sub = F.lit(0)
+    sub, flag = F.lit(0), F.lit(False)
     k2 = _order_number(df, order[1]) if len(order) >= 2 else None
     if hot and (len(order) == 1 or k2 is not None):
         first = _c(order[0])
@@ -180,12 +183,10 @@ def auto_bucket(df: DataFrame, order_by: str | list[str], n_buckets: int | None
                 for j in names:
                     sub = F.when(is_v(hot[j][0]), F.col(f"__abo{j}").cast("int")).otherwise(sub)
         else:
-            row_hash = F.xxhash64(*[_c(f) for f in df.columns])
             for j in tied:
-                v, c = hot[j]
-                sub = F.when(is_v(v), F.pmod(row_hash, F.lit(c + 1)).cast("int")).otherwise(sub)
-    t = t.withColumn("__ab", F.struct(F.col("__abv").alias("v"), sub.alias("s")))
-    return t.select(*[_c(x) for x in df.columns], "__ab"), "__ab"
+                flag = flag | is_v(hot[j][0])
+    t = t.withColumn("__ab", F.struct(F.col("__abv").alias("v"), sub.alias("s"))).withColumn("__abt", flag)
+    return t.select(*[_c(x) for x in df.columns], "__ab", "__abt"), "__ab"
 
 
 def forward_fill(df: DataFrame, col: str, order_by: list[str], bucket: Column | str | None = "auto",
@@ -220,10 +221,11 @@ def forward_fill(df: DataFrame, col: str, order_by: list[str], bucket: Column |
     # A struct key is never NULL (NULL buckets, from NULL order keys, become
     # (false, NULL) and sort first), so the join back below is a plain
     # equi-join on the key the big side is already partitioned by.
+    tied = None
     if bucket is None or (isinstance(bucket, str) and bucket == "auto"):
         t, name = auto_bucket(df, order_by, n_buckets)
         t = t.withColumn("__b", F.struct(F.col(name)["v"].isNotNull().alias("h"), F.col(name).alias("v")))
-        t = t.drop(name)
+        t, tied = t.drop(name), F.col("__abt")
     elif split_hot:
         # A caller's bucket and the auto buckets both never decrease along the
         # order, so the pair does not either, and it has at most as many
@@ -232,12 +234,23 @@ def forward_fill(df: DataFrame, col: str, order_by: list[str], bucket: Column |
         t, name = auto_bucket(df, order_by, n_buckets)
         t = t.withColumn("__b", F.struct(bucket.isNotNull().alias("h"),
                                          F.struct(bucket.alias("u"), F.col(name).alias("a")).alias("v")))
-        t = t.drop(name)
+        t, tied = t.drop(name), F.col("__abt")
     else:
         t = df.withColumn("__b", F.struct(bucket.isNotNull().alias("h"), bucket.alias("v")))
     w = Window.partitionBy("__b").orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, 0)
-    t = t.withColumn("__local", F.last(c, ignorenulls=True).over(w))
-    order_key = order_cols[0] if len(order_cols) == 1 else F.struct(*order_cols)
+    if tied is None:
+        t = t.withColumn("__local", F.last(c, ignorenulls=True).over(w))
+    else:
+        # Rows of a fully tied group may take any order; take NULLs first and
+        # the rest by row hash.  Then a NULL takes the carry into the group, a
+        # value stays, and the group's last value is the max_by below: no
+        # window, so no task gathers the group however large it is.
+        windowed = t.where(~tied).withColumn("__local", F.last(c, ignorenulls=True).over(w))
+        t = windowed.unionByName(t.where(tied).withColumn("__local", c))
+        t = t.drop("__abt")
+    # Ties on the order key are broken by a row hash, so the pick is the same
+    # on every recomputation.
+    order_key = F.struct(*order_cols, F.xxhash64(*[_c(x) for x in df.columns]))
     last_per_bucket = (t.where(c.isNotNull()).groupBy("__b")
                        .agg(F.max_by(c, order_key).alias("__last")))
     all_buckets = t.select("__b").distinct()
