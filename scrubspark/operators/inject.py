@@ -13,6 +13,7 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from scrubspark.functions.draws import pick, uniform
@@ -139,9 +140,19 @@ def _take_ties(ties: DataFrame, key: str, need: int) -> DataFrame:
         hcut = stats.select_ranks(g.select(F.col("_h").alias("v")), boundary["c"], [rest - 1])[rest - 1]
         lower = g.where(F.col("_h") < hcut)
         copies = rest - lower.count()
-        same = g.where(F.col("_h") == hcut).drop("_h").first()
+        eq = g.where(F.col("_h") == hcut).drop("_h")
+        same = eq.select(*[F.col(f"`{c}`") for c in ties.columns],
+                         F.to_json(F.struct(*[F.col(f"`{c}`") for c in ties.columns])).alias("__js")).first()
     out = out.unionByName(lower.drop("_h"))
-    lits = [F.lit(same[f.name]).cast(f.dataType).alias(f.name) for f in ties.schema.fields]
+    nested = (T.StructType, T.ArrayType, T.MapType)
+    lits = []
+    for f in ties.schema.fields:
+        if isinstance(f.dataType, nested):
+            # A nested value cannot be a Python literal: rebuild it from JSON.
+            parsed = F.from_json(F.lit(same["__js"]), T.StructType([f]))
+            lits.append(parsed[f.name].alias(f.name))
+        else:
+            lits.append(F.lit(same[f.name]).cast(f.dataType).alias(f.name))
     return out.unionByName(spark.range(copies).select(*lits))
 
 
