@@ -75,6 +75,8 @@ MAX_SPLIT_VALUES = 32
 # Most buckets ``auto_bucket`` makes: the per-bucket carry table of a forward
 # fill (one row per bucket) is ranked in one task.
 MAX_AUTO_BUCKETS = 65_536
+# Largest carry table (rows) that is broadcast; beyond it the join shuffles.
+BROADCAST_CARRY = 200_000
 
 
 def _order_number(df: DataFrame, name: str) -> Column | None:
@@ -221,8 +223,13 @@ def forward_fill(df: DataFrame, col: str, order_by: list[str], bucket: Column |
     # A struct key is never NULL (NULL buckets, from NULL order keys, become
     # (false, NULL) and sort first), so the join back below is a plain
     # equi-join on the key the big side is already partitioned by.
-    tied = None
+    tied, bound = None, None
     if bucket is None or (isinstance(bucket, str) and bucket == "auto"):
+        # Most buckets auto_bucket can make: nb main buckets plus one per hot
+        # value, and sub-buckets for hot values and NULLs (their shares of the
+        # nb bounds, plus one each).
+        nb = n_buckets or MAX_AUTO_BUCKETS
+        bound = 3 * nb + 4 * MAX_SPLIT_VALUES
         t, name = auto_bucket(df, order_by, n_buckets)
         t = t.withColumn("__b", F.struct(F.col(name)["v"].isNotNull().alias("h"), F.col(name).alias("v")))
         t, tied = t.drop(name), F.col("__abt")
@@ -257,6 +264,10 @@ def forward_fill(df: DataFrame, col: str, order_by: list[str], bucket: Column |
     carry_w = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     carry = (all_buckets.join(last_per_bucket, "__b", "left")
              .select("__b", F.last("__last", ignorenulls=True).over(carry_w).alias("__carry")))
+    if bound is not None and bound <= BROADCAST_CARRY:
+        # Auto buckets have a known ceiling, so the carry table's size is
+        # proven small: broadcast it and leave the big side where it is.
+        carry = F.broadcast(carry)
     out = t.join(carry, "__b", "left")
     return (out.withColumn(col, F.coalesce(F.col("__local"), F.col("__carry")))
             .select(*[_c(x) for x in df.columns]))
