@@ -112,7 +112,9 @@ def auto_bucket(df: DataFrame, order_by: str | list[str], n_buckets: int | None
     second order column within the value (one ``Bucketizer`` split list per
     value).  With one order column such a group is fully tied instead: its
     rows are flagged in ``__abt`` and need no ordering at all (see
-    ``forward_fill``).  ``v`` is NULL for NULL order keys; a NULL group larger
+    ``forward_fill``).  With two, a second-column value repeating inside a
+    hot first-column value gets its own sub-bucket and, when exactly tied,
+    is flagged the same way.  ``v`` is NULL for NULL order keys; a NULL group larger
     than two buckets is treated the same way.  A first column of a type with
     no such number gets one bucket.
     """
@@ -170,12 +172,33 @@ def auto_bucket(df: DataFrame, order_by: str | list[str], n_buckets: int | None
         row = t.agg(*aggs).first()
         tied = [j for j, (v, _) in enumerate(hot) if v is None or row[f"lo{j}"] == row[f"hi{j}"]]
         if k2 is not None:
-            split_lists, names = [], []
+            split_lists, names, pairs = [], [], []
             for j in tied:
-                inner = sorted({b for b in (row[f"h{j}"] or []) if b is not None} - {float("-inf"), float("inf")})
+                qs = [b for b in (row[f"h{j}"] or []) if b is not None]
+                # With two order columns, a second-column number repeating
+                # among the quantiles may be a fully tied (first, second)
+                # pair: it gets a sub-bucket of its own, [w, next(w)).
+                ws = [w for w, c in Counter(qs).items() if c >= 2] if len(order) == 2 else []
+                inner = sorted((set(qs) | {math.nextafter(w, math.inf) for w in ws})
+                               - {float("-inf"), float("inf")})
                 if inner:
                     split_lists.append([float("-inf")] + inner + [float("inf")])
                     names.append(j)
+                    pairs += [(j, w) for w in ws]
+            if pairs:
+                # Tied only if the pair's rows hold one value of the second
+                # column: all NULL, or no NULL and min == max (NULL and -inf
+                # share the number -inf).
+                second = _c(order[1])
+                vaggs = []
+                for i, (j, w) in enumerate(pairs):
+                    m = is_v(hot[j][0]) & (k2 == F.lit(w))
+                    vaggs += [F.count(F.when(m, 1)).alias(f"pn{i}"), F.count(F.when(m, second)).alias(f"pv{i}"),
+                              F.min(F.when(m, second)).alias(f"pa{i}"), F.max(F.when(m, second)).alias(f"pb{i}")]
+                vrow = t.agg(*vaggs).first()
+                for i, (j, w) in enumerate(pairs):
+                    if vrow[f"pv{i}"] == 0 or (vrow[f"pv{i}"] == vrow[f"pn{i}"] and vrow[f"pa{i}"] == vrow[f"pb{i}"]):
+                        flag = flag | (is_v(hot[j][0]) & (k2 == F.lit(w)))
             if names:
                 ins = [f"__abi{j}" for j in names]
                 for j in names:

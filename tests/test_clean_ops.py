@@ -115,6 +115,33 @@ def test_auto_buckets_split_hot_order_values(spark):
     assert got == sorted(want)
 
 
+def test_two_column_ties_need_no_window(spark):
+    """Order (k1, k2): a third of the rows share k1, and inside it k2 is 42
+    or NULL (two fully tied pairs, one with exact copies).  Both are flagged
+    and the fill equals the documented tie order: NULL values first, then
+    row hash."""
+    from scrubspark.catalog import fixtures as fx
+    e = fx.dirty_events(spark, SF_CHECK).select("event_id", "value")
+    i = F.col("event_id")
+    k1 = F.when(i % 3 == 0, F.lit(-5)).when(i % 5 == 1, F.lit(None)).otherwise(i).cast("bigint")
+    # Inside the hot k1 value, k2 is 42 or NULL: two fully tied pairs.
+    k2 = F.when((i % 3 == 0) & (i % 2 == 0), F.lit(42)).when(i % 3 == 0, F.lit(None)).otherwise(i).cast("bigint")
+    one = e.select("event_id", k1.alias("k1"), k2.alias("k2"), "value")
+    pair = "k1 = -5 and k2 = 42"
+    dup = one.unionByName(one.where(pair))
+    t, _ = fill.auto_bucket(dup, ["k1", "k2"], 16)
+    assert t.where("__abt").count() == dup.where("k1 = -5").count()
+    got = sorted(tuple(r) for r in fill.forward_fill(dup, "value", ["k1", "k2"], n_buckets=16).collect())
+    rows = dup.withColumn("_h", F.xxhash64("event_id", "k1", "k2", "value")).collect()
+    rows.sort(key=lambda r: (r["k1"] is not None, r["k1"], r["k2"] is not None, r["k2"],
+                             r["value"] is not None, r["_h"]))
+    want, last = [], None
+    for r in rows:
+        last = r["value"] if r["value"] is not None else last
+        want.append((r["event_id"], r["k1"], r["k2"], last))
+    assert got == sorted(want)
+
+
 def test_auto_buckets_never_split_untied_rows(spark):
     """Order keys whose bucket numbers collide without being equal (strings
     sharing a 6-byte prefix, longs past 2**53) look hot but are not tied: the
