@@ -72,22 +72,39 @@ def inject_duplicates(df: DataFrame, rate: float, key: str, salt: str = "dup", s
 # Largest ``n`` served by a top-k: every task keeps at most this many rows and
 # one task merges (tasks x n) of them.  Larger samples use an exact threshold.
 TOPK_LIMIT = 100_000
+# Largest merge (input partitions x n rows) a top-k may send to one task.
+TOPK_MERGE_ROWS = 2_000_000
+
+_UNITS = {"b": 1, "k": 1 << 10, "m": 1 << 20, "g": 1 << 30, "t": 1 << 40}
+
+
+def _bytes(text: str) -> int:
+    t = text.strip().lower().rstrip("b") or "0"
+    return int(float(t[:-1]) * _UNITS[t[-1]]) if t[-1] in _UNITS else int(t)
+
+
+def _scan_partitions(df: DataFrame) -> int:
+    """Input partitions the plan's size estimate implies (no job is run)."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    split = _bytes(df.sparkSession.conf.get("spark.sql.files.maxPartitionBytes", "128m"))
+    return max(1, -(-size // max(split, 1)))
 
 
 def sample_n(df: DataFrame, n: int, key: str, salt: str = "sample", seed: int = 42,
              topk_limit: int = TOPK_LIMIT) -> DataFrame:
     """Exactly ``n`` rows, the ``n`` smallest draws (ties by key).
 
-    For ``n <= topk_limit``, ``orderBy(..).limit(n)`` plans as
+    For ``n <= topk_limit``, when the input's partitions times ``n`` stays
+    under ``TOPK_MERGE_ROWS``, ``orderBy(..).limit(n)`` plans as
     TakeOrderedAndProject: each task keeps its own top ``n`` (bounded memory)
-    and only those reach the merge.  Beyond that, no task may hold the
-    sample, so the cut is found instead: the exact draw at rank ``n - 1``
+    and only those reach the merge.  Otherwise the merge (or, on collect, the
+    driver) would receive partitions x n rows, so the cut is found instead: the exact draw at rank ``n - 1``
     (``stats.select_ranks``), then every row below it is kept by a filter that
     stays in the scan's partitions; only rows tied on that one draw need
     more care (``_take_ties``).
     """
     u = uniform(key, salt, seed)
-    if n <= topk_limit:
+    if n <= topk_limit and n * _scan_partitions(df) <= TOPK_MERGE_ROWS:
         return df.withColumn("_u", u).orderBy("_u", key).limit(n).drop("_u")
     t = df.withColumn("_u", u)
     with stats.persisted(t):

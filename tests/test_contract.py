@@ -84,3 +84,16 @@ def test_shuffle_ranks_with_a_hot_key(spark):
     pairs = [(r["_u"], r["o_orderkey"]) for r in rows]
     assert pairs == sorted(pairs)
     assert out.drop("row_rank").exceptAll(d).count() == 0
+
+
+def test_wide_inputs_skip_the_top_k_merge(spark, monkeypatch):
+    """When partitions x n passes the merge budget, the sample is the exact
+    cut (no TakeOrderedAndProject) and holds the same rows."""
+    o = spark.read.parquet(f"{SF_SMALL}/orders.parquet").select("o_orderkey", "o_totalprice")
+    want = inject.sample_n(o, 300, "o_orderkey")
+    assert "TakeOrderedAndProject" in want._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(inject, "TOPK_MERGE_ROWS", 10)
+    monkeypatch.setattr(inject, "TOPK_LIMIT", 10)
+    got = inject.sample_n(o, 300, "o_orderkey", topk_limit=100_000)
+    assert "TakeOrderedAndProject" not in got._jdf.queryExecution().executedPlan().toString()
+    assert got.count() == 300 and got.exceptAll(want).count() == 0
