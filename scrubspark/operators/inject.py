@@ -192,11 +192,13 @@ def shuffle_rows(df: DataFrame, key: str, salt: str = "shuffle", seed: int = 42,
     cells), and each bucket's offset: the rows in lower buckets.  A row's
     rank is its bucket's offset plus its position inside the bucket (a window
     per bucket).  A key repeated on very many rows shares one draw and would
-    overload its bucket: such hot (draw, key) groups, found from the
-    histogram, get buckets of their own between their neighbours, split
-    further by input partition (the table is then checkpointed to the shared
-    folder first, so partition ids are fixed).  Their rows are tied, so any
-    split keeps the ranks exact.
+    overload its bucket: every draw held by more than two buckets' worth of
+    rows, found from the histogram, gets buckets of its own between its
+    neighbours (a broadcast table of hot draws per bucket, read with array
+    functions), ordered by key and split by input partition (the table is
+    then checkpointed to the shared folder, so partition ids are fixed).
+    Rows tied on (draw, key) may take any order, so the split keeps the
+    ranks exact.
     """
     t = (df.withColumn("_u", uniform(key, salt, seed))
          .withColumn("_p", F.spark_partition_id()))
@@ -206,11 +208,9 @@ def shuffle_rows(df: DataFrame, key: str, salt: str = "shuffle", seed: int = 42,
         with stats.persisted(cells):
             n = cells.agg(F.sum("_n")).first()[0] or 0
             bits = min(HIST_BITS, max(0, math.ceil(math.log2(max(1, n / rows_per_bucket)))))
-            hot_min = max(2 * rows_per_bucket, n // 256 + 1)
-            heavy = [r["_f"] for r in cells.where(F.col("_n") >= hot_min).collect()]
             t = t.withColumn("_bu", F.floor(F.col("_u") * (1 << bits)).cast("long"))
-            hot = _hot_groups(t, key, heavy, hot_min)
-            if not hot:
+            hot, n_hot, n_splits = _hot_draws(t, cells, rows_per_bucket)
+            if hot is None:
                 t = t.withColumn("_b", F.col("_bu"))
                 counts = cells.groupBy(F.shiftright("_f", HIST_BITS - bits).alias("_b")).agg(
                     F.sum("_n").alias("_n"))
@@ -221,9 +221,9 @@ def shuffle_rows(df: DataFrame, key: str, salt: str = "shuffle", seed: int = 42,
                 # (differently pruned subtrees can place rows differently).
                 checkpoint_dir(t.sparkSession)
                 t = t.checkpoint(eager=True)
-                t = t.withColumn("_b", _split_hot(t, key, hot, rows_per_bucket))
+                t = _split_hot(t, key, hot if n_hot > BROADCAST_OFFSETS else F.broadcast(hot))
                 counts = t.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
-                n_buckets = (1 << bits) + sum(-(-g["_c"] // rows_per_bucket) + 2 for g in hot)
+                n_buckets = (1 << bits) + n_splits + 2 * n_hot
             # One row per bucket: small enough to rank in one task.
             offsets = counts.select("_b", (F.sum("_n").over(Window.orderBy("_b")) - F.col("_n")).alias("_off"))
             if n_buckets <= BROADCAST_OFFSETS:
@@ -236,34 +236,47 @@ def shuffle_rows(df: DataFrame, key: str, salt: str = "shuffle", seed: int = 42,
             return out
 
 
-def _hot_groups(t: DataFrame, key: str, heavy: list, hot_min: int) -> list:
-    """(draw, key) groups of at least ``hot_min`` rows, in (draw, key) order,
-    searched only in the histogram cells that are that large.  ``hot_min`` is
-    at least n / 256, so there are at most 256 groups."""
-    if not heavy:
-        return []
-    cell = F.floor(F.col("_u") * (1 << HIST_BITS)).cast("long")
-    return (t.where(cell.isin(heavy)).groupBy("_bu", "_u", F.col(key).alias("k"))
-            .agg(F.count(F.lit(1)).alias("_c")).where(F.col("_c") >= hot_min)
-            .orderBy("_u", "k").collect())
-
-
-def _split_hot(t: DataFrame, key: str, hot: list, rows_per_bucket: int) -> Column:
-    """Bucket key (bu, pos, sub): in a bucket holding hot groups, rows before
-    group j get pos 2j, the group itself pos 2j+1 with sub = input partition
-    modulo its share of buckets, and rows after the last group the next pos."""
-    k, u = F.col(key), F.col("_u")
-    after, is_hot, split = F.lit(0), F.lit(False), F.lit(0)
-    for g in hot:
-        gt = (u > F.lit(g["_u"])) | ((u == F.lit(g["_u"])) & (k > F.lit(g["k"])))
-        after = after + F.when((F.col("_bu") == F.lit(g["_bu"])) & gt, 2).otherwise(0)
-        same = (u == F.lit(g["_u"])) & k.eqNullSafe(F.lit(g["k"]))
-        is_hot = is_hot | same
-        split = F.when(same, F.col("_p") % F.lit(-(-g["_c"] // rows_per_bucket))).otherwise(split)
-    hot_bus = sorted({g["_bu"] for g in hot})
-    pos = F.when(F.col("_bu").isin(hot_bus), after + F.when(is_hot, 1).otherwise(0)).otherwise(0)
-    sub = F.when(is_hot, split).otherwise(0)
-    return F.struct(F.col("_bu").alias("bu"), pos.alias("pos"), sub.alias("sub"))
+def _hot_draws(t: DataFrame, cells: DataFrame, rows_per_bucket: int):
+    """Draws held by at least ``2 * rows_per_bucket`` rows (a hot key, or keys
+    sharing a draw), as one row per bucket: ``_hs``, the sorted array of
+    (draw, number of splits).  Only histogram cells that large are searched,
+    through a semi-join.  There are at most n / (2 * rows_per_bucket) hot
+    draws, so the table is small next to the data; its size is returned so
+    the caller can decide to broadcast it.  Returns (table or None, hot
+    draws, total splits)."""
+    hot_min = 2 * rows_per_bucket
+    heavy = cells.where(F.col("_n") >= hot_min).select("_f")
+    n_heavy = heavy.count()
+    if n_heavy == 0:
+        return None, 0, 0
+    probe = t.withColumn("_f", F.floor(F.col("_u") * (1 << HIST_BITS)).cast("long"))
+    probe = probe.join(heavy if n_heavy > BROADCAST_OFFSETS else F.broadcast(heavy), "_f", "left_semi")
+    pairs = (probe.groupBy("_bu", "_u").agg(F.count(F.lit(1)).alias("_c")).where(F.col("_c") >= hot_min)
+             .withColumn("_s", F.ceil(F.col("_c") / F.lit(rows_per_bucket)).cast("int")))
+    with stats.persisted(pairs):
+        row = pairs.agg(F.count(F.lit(1)).alias("h"), F.sum("_s").alias("s")).first()
+        if not row["h"]:
+            return None, 0, 0
+        table = pairs.groupBy("_bu").agg(F.array_sort(F.collect_list(F.struct("_u", "_s"))).alias("_hs"))
+        return table, row["h"], row["s"]
+
+
+def _split_hot(t: DataFrame, key: str, hot: DataFrame) -> DataFrame:
+    """Add the bucket key ``_b`` = (bu, pos, k, sub).  In a bucket holding hot
+    draws, rows below the j-th hot draw get pos 2j, rows on it pos 2j+1, then
+    ordered by key ``k`` and split by input partition modulo its share
+    ``sub``; rows past the last hot draw get the next even pos."""
+    j = t.join(hot, "_bu", "left")
+    u = F.col("_u")
+    draws = F.transform("_hs", lambda s: s["_u"])
+    at = F.array_position(draws, u)
+    is_hot = F.coalesce(at > 0, F.lit(False))
+    below = F.size(F.filter("_hs", lambda s: s["_u"] < u))
+    pos = F.when(F.col("_hs").isNull(), F.lit(0)).otherwise(2 * below + F.when(is_hot, 1).otherwise(0))
+    sub = F.when(is_hot, F.col("_p") % F.element_at("_hs", at.cast("int"))["_s"]).otherwise(0)
+    k = F.when(is_hot, F.col(key))
+    b = F.struct(F.col("_bu").alias("bu"), pos.cast("int").alias("pos"), k.alias("k"), sub.cast("int").alias("sub"))
+    return j.withColumn("_b", b).drop("_hs")
 
 
 def synth(keys: DataFrame, key: str, colspecs: dict[str, tuple], seed: int = 42) -> DataFrame:

@@ -97,3 +97,20 @@ def test_wide_inputs_skip_the_top_k_merge(spark, monkeypatch):
     got = inject.sample_n(o, 300, "o_orderkey", topk_limit=100_000)
     assert "TakeOrderedAndProject" not in got._jdf.queryExecution().executedPlan().toString()
     assert got.count() == 300 and got.exceptAll(want).count() == 0
+
+
+def test_shuffle_ranks_with_many_hot_keys(spark):
+    """Half the rows fall on 20 keys: many hot draws, several per bucket."""
+    from pyspark.sql import functions as F
+    from scrubspark.functions.draws import uniform
+    from .conftest import SF_CHECK
+    o = spark.read.parquet(f"{SF_CHECK}/orders.parquet").select("o_orderkey")
+    k = F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderkey") % 40).otherwise(F.col("o_orderkey"))
+    d = o.withColumn("k", k).repartition(5)
+    n = d.count()
+    out = inject.shuffle_rows(d, "k", rows_per_bucket=50)
+    rows = out.withColumn("_u", uniform("k", "shuffle")).orderBy("row_rank").collect()
+    assert [r["row_rank"] for r in rows] == list(range(n))
+    pairs = [(r["_u"], r["k"]) for r in rows]
+    assert pairs == sorted(pairs)
+    assert sorted(r["o_orderkey"] for r in rows) == sorted(r[0] for r in o.collect())
