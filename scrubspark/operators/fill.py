@@ -138,10 +138,13 @@ def auto_bucket(df: DataFrame, order_by: str | list[str], n_buckets: int | None
     key = F.col("__abk")
     row = t.agg(F.percentile_approx("__abk", probs or [0.5], accuracy).alias("q"),
                 F.count(F.lit(1)).alias("n"), F.count(key).alias("nn")).first()
-    bounds = [b for b in (row["q"] or []) if b is not None] if probs else []
+    # NaN sorts last in Spark; Bucketizer's "keep" bucket puts it last too.
+    bounds = [b for b in (row["q"] or []) if b is not None and not math.isnan(b)] if probs else []
     repeats = Counter(bounds)
-    hot = [(v, c) for v, c in sorted(repeats.items(), key=lambda x: -x[1]) if c >= 2][:MAX_SPLIT_VALUES]
-    cuts = set(bounds) | {math.nextafter(v, math.inf) for v, _ in hot}
+    hot_all = [(v, c) for v, c in sorted(repeats.items(), key=lambda x: -x[1]) if c >= 2]
+    hot = hot_all[:MAX_SPLIT_VALUES]
+    # Every hot number gets a bucket of its own: only split points, no cost.
+    cuts = set(bounds) | {math.nextafter(v, math.inf) for v, _ in hot_all}
     # NULL order keys (sorted first) form one group; a large one is cut too.
     nulls = row["n"] - row["nn"]
     null_share = int(nulls * n_buckets // max(row["n"], 1))
@@ -159,7 +162,22 @@ def auto_bucket(df: DataFrame, order_by: str | list[str], n_buckets: int | None
         t = t.withColumn("__abv", F.when(key.isNotNull(), F.col("__abv")))
     sub, flag = F.lit(0), F.lit(False)
     k2 = _order_number(df, order[1]) if len(order) >= 2 else None
-    if hot and (len(order) == 1 or k2 is not None):
+    if len(order) == 1 and hot:
+        # One order column: a hot number whose rows hold one value is fully
+        # tied.  One grouped aggregate checks every hot bucket (no cap), and
+        # the tied ones are flagged by bucket index.
+        first = _c(order[0])
+        places = {v: i for i, v in enumerate(splits)}
+        index = {v: places[v] for v, _ in hot_all if v in places and math.isfinite(v)}
+        if index:
+            per = (t.where(F.col("__abv").isin([float(i) for i in index.values()])).groupBy("__abv")
+                   .agg(F.min(first).alias("lo"), F.max(first).alias("hi")).collect())
+            tied_idx = [r["__abv"] for r in per if r["lo"] == r["hi"]]
+            if tied_idx:
+                flag = F.coalesce(F.col("__abv").isin(tied_idx), F.lit(False))
+        if hot[-1][0] is None:
+            flag = flag | key.isNull()
+    elif hot and k2 is not None:
         first = _c(order[0])
         k2 = None if k2 is None else F.coalesce(k2, F.lit(float("-inf")))
         aggs = []
@@ -174,7 +192,7 @@ def auto_bucket(df: DataFrame, order_by: str | list[str], n_buckets: int | None
         if k2 is not None:
             split_lists, names, pairs = [], [], []
             for j in tied:
-                qs = [b for b in (row[f"h{j}"] or []) if b is not None]
+                qs = [b for b in (row[f"h{j}"] or []) if b is not None and not math.isnan(b)]
                 # With two order columns, a second-column number repeating
                 # among the quantiles may be a fully tied (first, second)
                 # pair: it gets a sub-bucket of its own, [w, next(w)).
@@ -207,9 +225,6 @@ def auto_bucket(df: DataFrame, order_by: str | list[str], n_buckets: int | None
                                handleInvalid="keep").transform(t)
                 for j in names:
                     sub = F.when(is_v(hot[j][0]), F.col(f"__abo{j}").cast("int")).otherwise(sub)
-        else:
-            for j in tied:
-                flag = flag | is_v(hot[j][0])
     t = t.withColumn("__ab", F.struct(F.col("__abv").alias("v"), sub.alias("s"))).withColumn("__abt", flag)
     return t.select(*[_c(x) for x in df.columns], "__ab", "__abt"), "__ab"
 

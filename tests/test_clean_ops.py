@@ -115,6 +115,26 @@ def test_auto_buckets_split_hot_order_values(spark):
     assert got == sorted(want)
 
 
+def test_more_hot_values_than_the_split_cap(spark):
+    """With one order column every hot value is flagged, not just the largest
+    MAX_SPLIT_VALUES: 50 keys hold 80% of the rows."""
+    from scrubspark.catalog import fixtures as fx
+    e = fx.dirty_events(spark, SF_CHECK).select("event_id", "value")
+    i = F.col("event_id")
+    one = e.select("event_id", F.when(i % 5 != 0, i % 50).otherwise(i + 1000).cast("bigint").alias("k"), "value")
+    t, _ = fill.auto_bucket(one, "k", 400)
+    assert fill.MAX_SPLIT_VALUES < 50
+    assert t.where("__abt").count() == one.where(i % 5 != 0).count()
+    got = sorted(tuple(r) for r in fill.forward_fill(one, "value", ["k"], n_buckets=400).collect())
+    rows = one.withColumn("_h", F.xxhash64("event_id", "k", "value")).collect()
+    rows.sort(key=lambda r: (r["k"], r["value"] is not None, r["_h"]))
+    want, last = [], None
+    for r in rows:
+        last = r["value"] if r["value"] is not None else last
+        want.append((r["event_id"], r["k"], last))
+    assert got == sorted(want)
+
+
 def test_two_column_ties_need_no_window(spark):
     """Order (k1, k2): a third of the rows share k1, and inside it k2 is 42
     or NULL (two fully tied pairs, one with exact copies).  Both are flagged
