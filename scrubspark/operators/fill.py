@@ -98,6 +98,36 @@ def _order_number(df: DataFrame, name: str) -> Column | None:
     return None
 
 
+def _equal_width_rest(t: DataFrame, first: Column, k2: Column, splits: list, rest: list, sub: Column):
+    """Hot first-column values past the largest MAX_SPLIT_VALUES: each already
+    has a bucket of its own; when its rows hold one value of the first column,
+    cut it into equal-width ranges of the second column's number (NULL first,
+    NaN last).  One grouped aggregate gives the ranges; a table of at most one
+    row per bucket is broadcast and joined by bucket index."""
+    import math
+    places = {v: i for i, v in enumerate(splits)}
+    share = {float(places[v]): c for v, c in rest if v is not None and v in places and math.isfinite(v)}
+    if not share:
+        return t, sub
+    per = (t.where(F.col("__abv").isin(list(share))).groupBy("__abv")
+           .agg(F.min(first).alias("lo"), F.max(first).alias("hi"),
+                F.min(F.when(~F.isnan(k2), k2)).alias("a"), F.max(F.when(~F.isnan(k2), k2)).alias("b")).collect())
+    rows = []
+    for r in per:
+        a, b = r["a"], r["b"]
+        if r["lo"] == r["hi"] and a is not None and math.isfinite(a) and math.isfinite(b) and b > a:
+            parts = share[r["__abv"]] + 1
+            rows.append((r["__abv"], float(a), (b - a) / parts, parts))
+    if not rows:
+        return t, sub
+    table = t.sparkSession.createDataFrame(rows, "__abv double, __ewa double, __eww double, __ewn int")
+    t = t.join(F.broadcast(table), "__abv", "left")
+    pos = F.least(F.greatest((k2 - F.col("__ewa")) / F.col("__eww"), F.lit(0.0)), F.col("__ewn") - 1)
+    cut = F.when(k2.isNull(), F.lit(-1)).otherwise(F.floor(pos).cast("int"))
+    sub = F.when(F.col("__ewn").isNotNull(), cut).otherwise(sub)
+    return t, sub
+
+
 def auto_bucket(df: DataFrame, order_by: str | list[str], n_buckets: int | None = None,
                 target_rows: int = 2_000_000, accuracy: int = 10_000) -> tuple[DataFrame, str]:
     """Add ``__ab``, a struct (v, s) that is non-decreasing along ``order_by``.
@@ -225,7 +255,9 @@ def auto_bucket(df: DataFrame, order_by: str | list[str], n_buckets: int | None
                                handleInvalid="keep").transform(t)
                 for j in names:
                     sub = F.when(is_v(hot[j][0]), F.col(f"__abo{j}").cast("int")).otherwise(sub)
+        t, sub = _equal_width_rest(t, first, _order_number(df, order[1]), splits, hot_all[MAX_SPLIT_VALUES:], sub)
     t = t.withColumn("__ab", F.struct(F.col("__abv").alias("v"), sub.alias("s"))).withColumn("__abt", flag)
+    t = t.drop(*[c for c in ("__ewa", "__eww", "__ewn") if c in t.columns])
     return t.select(*[_c(x) for x in df.columns], "__ab", "__abt"), "__ab"
 
 

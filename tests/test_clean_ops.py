@@ -135,6 +135,22 @@ def test_more_hot_values_than_the_split_cap(spark):
     assert got == sorted(want)
 
 
+def test_every_hot_value_is_cut_by_the_second_column(spark):
+    """Two order columns and 50 hot first-column values: the largest ones are
+    cut by quantiles, the rest by equal-width ranges; no bucket is large and
+    the fill equals the brute force."""
+    from scrubspark.catalog import fixtures as fx
+    e = fx.dirty_events(spark, SF_CHECK).select("event_id", "value")
+    i = F.col("event_id")
+    two = e.select("event_id", F.when(i % 5 != 0, i % 50).otherwise(i + 1000).cast("bigint").alias("k1"),
+                   i.alias("k2"), "value")
+    n = two.count()
+    t, name = fill.auto_bucket(two, ["k1", "k2"], 400)
+    assert max(r["count"] for r in t.groupBy(name).count().collect()) < 4 * n / 400
+    got = {r["event_id"]: r["value"] for r in fill.forward_fill(two, "value", ["k1", "k2"], n_buckets=400).collect()}
+    assert got == _brute_ffill(two, "value", ["k1", "k2"], "event_id")
+
+
 def test_two_column_ties_need_no_window(spark):
     """Order (k1, k2): a third of the rows share k1, and inside it k2 is 42
     or NULL (two fully tied pairs, one with exact copies).  Both are flagged
