@@ -161,6 +161,11 @@ def auto_bucket(df: DataFrame, order_by: str | list[str], n_buckets: int | None
     if n_buckets is None:
         n = t.count()
         n_buckets = max(1, min(MAX_AUTO_BUCKETS, -(-n // target_rows)))
+    key = F.col("__abk")
+    if n_buckets <= 1:
+        # One bucket's worth of rows (NULL keys apart): no bounds to find.
+        t = t.withColumn("__ab", F.struct(F.when(key.isNotNull(), F.lit(0.0)).alias("v"), F.lit(0).alias("s")))
+        return t.select(*[_c(x) for x in df.columns], "__ab", F.lit(False).alias("__abt")), "__ab"
     # Rank error of the bounds (1 / accuracy of the rows) stays under a
     # quarter of a bucket.
     accuracy = max(accuracy, 4 * n_buckets)
