@@ -112,7 +112,10 @@ _CHEAP_NODES = ("Relation", "Project", "Filter", "LocalRelation", "LogicalRDD")
 def cheap_to_recompute(df: DataFrame) -> bool:
     """True when the optimized plan is only a file scan with filters and projections:
     re-reading the pruned columns then costs less than persisting the table."""
-    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    try:
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+    except AttributeError:  # a Spark Connect frame: no plan access, so persist
+        return False
     for line in plan.splitlines():
         node = line.lstrip(" :+-").split(" ")[0].split("[")[0]
         if node and node not in _CHEAP_NODES:

@@ -45,11 +45,16 @@ def get_spark(master: str | None = None, app: str = "scrubspark",
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder, setting one only when none is configured."""
-    sc = spark.sparkContext
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - Spark Connect: the server owns the folder
+        if not configured:
+            raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
+        return configured
     current = sc.getCheckpointDir()
     if current:
         return current
-    configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
         # A cluster names a shared folder itself; only a local session (tests)
         # may fall back to a folder of its own.
