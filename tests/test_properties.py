@@ -55,3 +55,22 @@ def test_shuffle_ranks_are_a_sorted_permutation(spark, ks, per_bucket):
     pairs = [(r["_u"], r["k"]) for r in got]
     assert pairs == sorted(pairs)
     assert sorted(r["i"] for r in got) == list(range(len(rows)))
+
+
+fill_keys = st.lists(st.tuples(st.one_of(st.none(), st.sampled_from([3, 3, 3, 9]), st.integers(0, 50)),
+                               st.one_of(st.none(), st.floats(-100, 100, allow_nan=False))),
+                     min_size=1, max_size=300)
+
+
+@SETTINGS
+@given(rows=fill_keys, n_buckets=st.sampled_from([2, 8, 40]))
+def test_forward_fill_equals_brute_force(spark, rows, n_buckets):
+    from scrubspark.operators import fill
+    data = [(i, k, v) for i, (k, v) in enumerate(rows)]
+    df = spark.createDataFrame(data, "id bigint, k bigint, v double").repartition(3)
+    got = {r["id"]: r["v"] for r in fill.forward_fill(df, "v", ["k", "id"], n_buckets=n_buckets).collect()}
+    want, last = {}, None
+    for i, k, v in sorted(data, key=lambda r: (r[1] is not None, r[1] if r[1] is not None else 0, r[0])):
+        last = v if v is not None else last
+        want[i] = last
+    assert got == want
