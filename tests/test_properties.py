@@ -74,3 +74,32 @@ def test_forward_fill_equals_brute_force(spark, rows, n_buckets):
         last = v if v is not None else last
         want[i] = last
     assert got == want
+
+
+def _is_fill_of_some_order(data, got):
+    """True when ``got`` (id -> value) is the forward fill of ``data`` (id, k, v)
+    under some order of the rows that sorts k ascending, NULL first."""
+    groups = {}
+    for i, k, v in data:
+        groups.setdefault(k, []).append((i, v))
+    possible = {None}
+    for k in sorted(groups, key=lambda x: (x is not None, x if x is not None else 0)):
+        rows = groups[k]
+        vals = {v for _, v in rows if v is not None}
+        if any(v is not None and got[i] != v for i, v in rows):
+            return False
+        extra = {got[i] for i, v in rows if v is None} - vals
+        if len(extra) > 1 or not extra <= possible:
+            return False
+        possible = vals if vals else (extra or possible)
+    return True
+
+
+@SETTINGS
+@given(rows=fill_keys, n_buckets=st.sampled_from([2, 8, 40]))
+def test_forward_fill_with_ties_is_a_fill_of_some_order(spark, rows, n_buckets):
+    from scrubspark.operators import fill
+    data = [(i, k, v) for i, (k, v) in enumerate(rows)]
+    df = spark.createDataFrame(data, "id bigint, k bigint, v double").repartition(3)
+    got = {r["id"]: r["v"] for r in fill.forward_fill(df, "v", ["k"], n_buckets=n_buckets).collect()}
+    assert _is_fill_of_some_order(data, got)
