@@ -191,6 +191,20 @@ def test_auto_buckets_never_split_untied_rows(spark):
         assert got == _brute_ffill(d, "value", ["k"], "event_id")
 
 
+def test_auto_bucket_carry_table_is_broadcast(spark):
+    """With auto buckets the carry table has a proven ceiling, so it is
+    broadcast: the big side moves once, for the bucket window."""
+    from scrubspark.catalog import fixtures as fx
+    e = fx.dirty_events(spark, SF_CHECK)
+    out = fill.forward_fill(e, "value", ["ts", "event_id"], n_buckets=16)
+    out.write.format("noop").mode("overwrite").save()
+    plan = plan_text(out)
+    # The join back is a broadcast hash join: no sort-merge join that would
+    # shuffle the big side a second time.  (The other __b exchange in the plan
+    # is the carry side's own aggregate, after partial aggregation.)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
 def test_forward_fill_big_side_never_single_partition(spark):
     from scrubspark.catalog import fixtures as fx
     e = fx.dirty_events(spark, SF_CHECK)
