@@ -6,10 +6,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scrubspark.llm import bpe, crf_quality, hash_forest, mixing, pii, quality_rules, secrets, simhash, toxicity
+from scrubspark.llm import bpe, crf_quality, hash_forest, mixing, pii, quality_rules, secrets, simhash, token_files, toxicity
 from scrubspark.llm.common import table
 
 BPE_RANKS = "byte_bpe_50k.tiktoken"
+WORD_TOKENIZER = "word_bpe_49k.json"
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,6 +39,11 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = token_files.write(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_TOKENIZER))
+    return token_files.read(*files)
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return pii.find(docs, pii.train(docs))
@@ -58,6 +64,7 @@ QUERIES = {
     "op4_mixing": op4_mixing,
     "op5_quality_crf": op5_quality_crf,
     "op6_simhash": op6_simhash,
+    "op7_token_files": op7_token_files,
     "op8_pii": op8_pii,
     "op9_hash_forest": op9_hash_forest,
     "op10_secrets": op10_secrets,
