@@ -36,7 +36,7 @@ LIMIT, EVERY, BLOCK, MEMO = 18, 256, 1 << 15, 500_000
 END = 1
 
 # Unicode's white space; Python's own split would also cut at four control characters.
-SPACES = re.compile(r"[\t-\r \x85\xa0  -     　]+")
+SPACES = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 CONTROLS = re.compile("[\x1c-\x1f]")
 #: A word whose normal form is its lower case, split into letters and marks as the tokenizer does.
 PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?|#%&*$]*)")
