@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -50,6 +51,7 @@ class Words:
 
     def __init__(self, path: str, memo: int = MEMO):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
         tokenizer = Tokenizer.from_file(path)
         tokenizer.encode_special_tokens = True
         self.kind = "<u2" if tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
@@ -65,16 +67,26 @@ class Words:
                     self[word] = ids
                 return ids
 
-        def plain(part):
-            return np.array(tokenizer.encode(part, add_special_tokens=False).ids, kind).tobytes()
+        def whole(word):
+            return np.array(tokenizer.encode(word, add_special_tokens=False).ids, kind).tobytes()
 
-        parts = self.parts = Memo(plain)
+        # Letters and marks of PLAIN are their own normal form, so the library's merges are asked directly,
+        # in the characters that its byte-level step writes for them.
+        written = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        alphabet = {ord(c): written(c)[0][0] for c in map(chr, range(33, 256)) if PLAIN.fullmatch("a" + c) or c.islower()}
+        merge, code = tokenizer.model.tokenize, kind[1:].replace("u2", "H").replace("u4", "I")
+
+        def merged(part):
+            return array(code, [t.id for t in merge(part.translate(alphabet))]).tobytes()
+
+        parts = self.parts = Memo(merged)
 
         def word(w):
             m = PLAIN.fullmatch(w)
             if not m:
-                return plain(w)
-            return parts[m[1].lower()] + (parts[m[2]] if m[2] else b"")
+                return whole(w)
+            letters, marks = m.groups()
+            return parts[letters.lower()] + parts[marks] if marks else parts[letters.lower()]
 
         self.words = Memo(word)
         self.end = np.array([END], kind).tobytes()
