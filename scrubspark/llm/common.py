@@ -48,10 +48,11 @@ def quoted(name: str) -> Column:
 def where_computed(df: DataFrame, cond: Column, columns: list[str]) -> DataFrame:
     """The rows of ``df`` that meet ``cond``, with ``columns``, where ``cond`` reads costly computed columns.
 
-    A plain filter would be pushed below them, which repeats their expressions inside the condition.
+    A plain filter, or one inferred from a plain explode, would be pushed below them, which repeats their
+    expressions inside the condition; a filter on the output of an outer explode stays above.
     """
-    row = F.explode(F.when(cond, F.array(F.struct(*[quoted(c) for c in columns])))).alias("kept_row")
-    return df.select(row).select("kept_row.*")
+    row = F.explode_outer(F.when(cond, F.array(F.struct(*[quoted(c) for c in columns])))).alias("kept_row")
+    return df.select(row).where("kept_row is not null").select("kept_row.*")
 
 
 def text_slices(texts: list, limit: int = SLICE_CHARS) -> Iterator[tuple[int, int]]:

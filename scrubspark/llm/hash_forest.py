@@ -28,7 +28,7 @@ from scrubspark.llm.common import stored
 #: Neighbours of a query; trees and bits of the forest; different vectors of a shard; queries of a block.
 TOP, TREES, BITS, SHARD, BLOCK = 20, 48, 32, 8192, 2048
 #: Share of a shard that must be candidates before the ascent stops, and the least number of them.
-SHARE, LEAST = 0.45, 64
+SHARE, LEAST = 0.6, 64
 
 
 def usable(vectors: DataFrame, vec_id: str = "vec_id", vec: str = "embedding") -> DataFrame:

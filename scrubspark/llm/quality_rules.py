@@ -166,7 +166,9 @@ def judged(docs: DataFrame, rules: list[list[Condition]]) -> DataFrame:
     """(doc_id, BASE..., base_failed, rule, kept), one row per row of ``docs``."""
     d = statistics(docs.select("doc_id", "text"))
     d = d.withColumn("base_failed", base_failed()).withColumn("rule", verdict(rules))
-    return d.select("doc_id", *BASE, "base_failed", (~F.col("base_failed") & (F.col("rule") == 0)).alias("kept"), "rule")
+    d = d.withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0))
+    # So that a caller's filter on these columns is not pushed into their computation.
+    return where_computed(d, F.lit(True), ["doc_id", *BASE, "base_failed", "kept", "rule"])
 
 
 def keep_good(docs: DataFrame, rules: list[list[Condition]]) -> DataFrame:
