@@ -24,6 +24,7 @@ ACTION_TYPES = ["fill_nulls", "remove_duplicates", "fix_dtype", "clip_outliers",
                 "rename_column", "drop_column", "done"]
 LOG_COLUMNS = ["value", "ts_text", "flag_text"]
 LOG_MAX_STEPS = 20
+LOG_RUN_EVENTS = 32
 
 
 def dirty_orders(spark: SparkSession, sf_dir: str, orders: DataFrame | None = None) -> DataFrame:
@@ -47,21 +48,16 @@ def dirty_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def action_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A log of cleaning actions, one run per user: each run's first 20 events.
-
-    ``row_number() <= 20`` per user lets Spark insert a partial
-    WindowGroupLimit before the shuffle, so a user holding a third of all
-    events still sends at most 20 rows per map task.
+    """A log of cleaning actions over all events: a run is a block of
+    ``LOG_RUN_EVENTS`` event ids, longer than ``max_steps``, so the operators
+    meet late steps and drop them themselves.  A projection: no shuffle.
     """
-    from pyspark.sql.window import Window
-    e = read_table(spark, sf_dir, "events").select("event_id", "ts", "user_id")
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    e = e.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= LOG_MAX_STEPS)
+    e = read_table(spark, sf_dir, "events").select("event_id")
     k = "event_id"
     act = pick(k, "act", ACTION_TYPES)
     return e.select(
-        F.col("user_id").alias("run_id"),
-        (F.col("_rn") - 1).cast("bigint").alias("step"),
+        F.floor(F.col(k) / LOG_RUN_EVENTS).cast("bigint").alias("run_id"),
+        F.pmod(F.col(k), F.lit(LOG_RUN_EVENTS)).cast("bigint").alias("step"),
         F.col("event_id"),
         act.alias("action_type"),
         F.when(act.isin("remove_duplicates", "done"), F.lit(None).cast("string"))
@@ -136,12 +132,8 @@ dirty_events AS (
 
 _ACT = _p('act', 'event_id', ACTION_TYPES)
 ACTION_LOG_SQL = f"""
-action_log_ranked AS (
-  SELECT event_id, user_id,
-         row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn
-  FROM events),
 action_log AS (
-  SELECT user_id AS run_id, CAST(rn - 1 AS BIGINT) AS step, event_id,
+  SELECT event_id // {LOG_RUN_EVENTS} AS run_id, event_id % {LOG_RUN_EVENTS} AS step, event_id,
     {_ACT} AS action_type,
     CASE WHEN {_ACT} IN ('remove_duplicates', 'done') THEN NULL
          ELSE {_p('col', 'event_id', LOG_COLUMNS)} END AS "column",
@@ -155,7 +147,7 @@ action_log AS (
     {_u('can', 'event_id')} < 0.5 AS canonical,
     {_u('irr', 'event_id')} < 0.5 AS irrelevant,
     CAST({LOG_MAX_STEPS} AS INTEGER) AS max_steps
-  FROM action_log_ranked WHERE rn <= {LOG_MAX_STEPS})"""
+  FROM events)"""
 
 
 def raw_replies_sql(valid_types: bool = False) -> str:

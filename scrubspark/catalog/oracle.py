@@ -191,11 +191,10 @@ ORACLE.update({
         round(((1 - (SELECT avg(null_rate) FROM colstats)) + (1 - (SELECT duplicate_rate FROM dupstats))) / 2, 4)
           >= 0.80 AS passed""",
     "range_rules": DO + " " + " UNION ALL ".join(
-        f"""SELECT '{c}' AS "column", '{r}' AS rule, count({sql_parse_number(f'"{c}"')}) AS n_values,
+        f"""SELECT '{c}' AS "column", {lo}::DOUBLE AS lower, {hi}::DOUBLE AS upper, count({sql_parse_number(f'"{c}"')}) AS n_values,
         round(count(*) FILTER (WHERE {sql_parse_number(f'"{c}"')} BETWEEN {lo} AND {hi})
               / nullif(count({sql_parse_number(f'"{c}"')}), 0), 4) AS in_range_share FROM dirty_orders"""
-        for c, r, lo, hi in [("o_totalprice", "min:0,max:600000", 0, 600000),
-                             ("qty_text", "min:0,max:19", 0, 19)]),
+        for c, lo, hi in [("o_totalprice", 0, 600000), ("qty_text", 0, 19)]),
     "parse_rate": DO + " " + " UNION ALL ".join(
         f"""SELECT '{c}' AS "column", round(count({sql_parse_number(f'"{c}"')}) / count(*), 4) AS parse_rate
         FROM dirty_orders""" for c in _ORDERS_TEXT_COLS),
@@ -227,11 +226,12 @@ def _sql_digest(view, cols):
     parts = []
     for c, t in cols:
         if t == "double":
-            parts.append(f"CASE WHEN \"{c}\" IS NULL THEN '~' ELSE printf('%.6f', \"{c}\") END")
+            text = f"printf('%.6f', \"{c}\")"
         else:
-            parts.append(f"CASE WHEN \"{c}\" IS NULL THEN '~' ELSE CAST(\"{c}\" AS VARCHAR) END")
-    h = f"md5(concat_ws('|', {', '.join(parts)}))"
-    return (f"SELECT count(*) AS n_rows, CAST(sum(('0x' || substr({h}, 1, 8))::BIGINT) AS VARCHAR) AS digest "
+            text = f'CAST("{c}" AS VARCHAR)'
+        parts.append(f"CASE WHEN \"{c}\" IS NULL THEN '~' ELSE length({text}) || ':' || {text} END")
+    h = f"md5(concat({', '.join(parts)}))"
+    return (f"SELECT count(*) AS n_rows, CAST(sum(('0x' || substr({h}, 1, 15))::BIGINT) AS VARCHAR) AS digest "
             f"FROM {view}")
 
 
@@ -417,6 +417,18 @@ def _replies_sql(valid_types):
 ORACLE.update({
     "parse_actions": _replies_sql(False) + """SELECT event_id, action_type, "column", strategy, confidence,
         action_type IS NOT NULL AS parsed FROM p""",
+    "parse_fallback": _replies_sql(False) + """SELECT event_id, coalesce(action_type, 'done') AS action_type,
+        CASE WHEN action_type IS NOT NULL THEN "column" END AS "column",
+        CASE WHEN action_type IS NULL THEN 0.5 ELSE confidence END AS confidence,
+        action_type IS NOT NULL AS parsed FROM p""",
+    "fill_mean_int": f"""WITH d AS (SELECT o_orderkey,
+          CASE WHEN {sql_uniform('o_orderkey', 'int_null')} < 0.2 THEN NULL ELSE o_custkey END AS o_custkey FROM orders)
+        SELECT o_orderkey, coalesce(o_custkey::DOUBLE, (SELECT avg(o_custkey) FROM d)) AS o_custkey FROM d""",
+    "profile_nan": f"""WITH d AS (SELECT CASE WHEN {sql_uniform('event_id', 'nan')} < 0.1 THEN NULL ELSE value END AS v
+          FROM events)
+        SELECT 'value' AS name, round(1 - count(v) / count(*), 6) AS null_rate, count(DISTINCT v) AS n_unique,
+          round(avg(v), 4) AS mean FROM d""",
+    "dtype_int_long": "SELECT o_orderkey, 9007199254740993 + o_orderkey AS long_text FROM orders",
     "clamp_confidence": _replies_sql(False) + """SELECT event_id,
         greatest(0.0, least(1.0, coalesce(confidence, 0.5))) AS confidence FROM p""",
     "validate_actions": _replies_sql(True) + f"""SELECT event_id, action_type,

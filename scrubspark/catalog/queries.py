@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from scrubspark.catalog import fixtures as fx
 from scrubspark.operators import clip, columns, dedup, dtype, fill, inject
+from scrubspark.functions.draws import uniform
 from scrubspark.sources.tables import read_table
 
 QUERIES: dict = {}
@@ -509,6 +510,36 @@ def parse_actions(spark, sf):
                     F.col("action.params")["strategy"].alias("strategy"), "action.confidence", "parsed")
 
 
+@query
+def parse_fallback(spark, sf):
+    p = replies.parse_actions(fx.raw_replies(spark, sf), "raw")
+    p = p.withColumn("action", replies.action_or_done())
+    return p.select("event_id", "action.action_type", "action.column", "action.confidence", "parsed")
+
+
+@query
+def fill_mean_int(spark, sf):
+    o = read_table(spark, sf, "orders").select("o_orderkey", "o_custkey")
+    return fill.fill_nulls(inject.inject_nulls(o, "o_custkey", 0.2, "o_orderkey", "int_null"), "o_custkey", "mean")
+
+
+@query
+def profile_nan(spark, sf):
+    """Moments of a column with NaN in a tenth of its rows: NaN counts as missing."""
+    e = read_table(spark, sf, "events").select("event_id", "value")
+    e = e.withColumn("value", F.when(uniform("event_id", "nan") < 0.1, F.lit(float("nan"))).otherwise(F.col("value")))
+    p = profiling.profile(e).where("name = 'value'")
+    return p.select("name", F.round("null_rate", 6).alias("null_rate"), "n_unique", F.round("mean", 4).alias("mean"))
+
+
+@query
+def dtype_int_long(spark, sf):
+    """Whole numbers past 2^53 as text come back digit by digit."""
+    o = read_table(spark, sf, "orders").select("o_orderkey")
+    o = o.withColumn("long_text", (F.lit(9007199254740993) + F.col("o_orderkey")).cast("string"))
+    return dtype.fix_dtype(o, "long_text", "int64")
+
+
 @query
 def clamp_confidence(spark, sf):
     p = replies.parse_actions(fx.raw_replies(spark, sf), "raw")

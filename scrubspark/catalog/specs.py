@@ -12,7 +12,7 @@ ORDERS_SPEC = GradeSpec(
     null_cols=["o_totalprice", "o_orderpriority"],
     type_expect={"o_totalprice": "numeric", "qty_text": "numeric"},
     outlier_cols=["o_totalprice"],
-    rules={"o_totalprice": "min:0,max:600000", "qty_text": "min:0,max:19"},
+    rules={"o_totalprice": (0, 600000), "qty_text": (0, 19)},
     irrelevant=["admin_note"],
     canonical={"o_orderpriority": "priority"},
     weights=WEIGHTS_WITH_DROP,
@@ -23,7 +23,7 @@ EVENTS_SPEC = GradeSpec(
     null_cols=["value"],
     type_expect={"value": "numeric", "flag_text": "string", "ts_text": "timestamp_ntz"},
     outlier_cols=["value"],
-    rules={"value": "min:-100,max:1000"},
+    rules={"value": (-100, 1000)},
     parse_cols=["ts_text"],
     irrelevant=["props"],
     weights=WEIGHTS_WITH_PARSE,

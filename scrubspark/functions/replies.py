@@ -42,6 +42,15 @@ def parse_actions(df: DataFrame, raw_col: str, out_col: str = "action") -> DataF
             .withColumn("parsed", F.col(f"{out_col}.action_type").isNotNull()))
 
 
+def action_or_done(out_col: str = "action") -> Column:
+    """P1 fallback: the parsed action, or ``done`` at the default confidence where the reply was no action."""
+    a = F.col(out_col)
+    return F.when(a["action_type"].isNotNull(), a).otherwise(F.struct(
+        F.lit("done").alias("action_type"), F.lit(None).cast("string").alias("column"),
+        F.create_map().cast("map<string,string>").alias("params"),
+        F.lit(DEFAULT_CONFIDENCE).alias("confidence")))
+
+
 def clamp_confidence(c: Column | str) -> Column:
     """Confidence into [0, 1], 0.5 when missing."""
     x = F.col(c) if isinstance(c, str) else c

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scrubspark.sources.tables import normalize
 from scrubspark.functions.numeric import is_numeric_type
 from scrubspark.operators import stats
 
@@ -62,5 +63,6 @@ def outlier_count_expr(c: Column, lo, hi) -> Column:
 def clip_outliers(df: DataFrame, col: str, method: str = "iqr", threshold: float = 3.0,
                   lower_pct: float = 1, upper_pct: float = 99, exact: bool = True) -> DataFrame:
     """Clip ``col`` to bounds fitted by ``method``; output is double."""
+    df = normalize(df)
     lo, hi = fit_clip_bounds(df, col, method, threshold, lower_pct, upper_pct, exact)
     return df.withColumn(col, clip_expr(_c(col), lo, hi))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from scrubspark.functions.numeric import parse_number
 
@@ -47,6 +48,13 @@ def cast_expr(df: DataFrame, col: str, target: str, null_text: str | None = None
     c = _c(col)
     kind = target_type(target)
     if kind == "bigint":
+        if isinstance(dt, (T.IntegralType, T.BooleanType)):
+            return c.cast("bigint")
+        if isinstance(dt, T.StringType):
+            # Whole numbers past 2^53 must not go through double.
+            whole = F.trim(c)
+            return F.when(whole.rlike(r"^[+-]?[0-9]+$"), whole.try_cast("bigint")).otherwise(
+                parse_number(c, dt).cast("bigint"))
         return parse_number(c, dt).cast("bigint")
     if kind == "double":
         return parse_number(c, dt)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from scrubspark.sources.tables import normalize
 from scrubspark.functions.numeric import is_numeric_type
 from scrubspark.operators import stats
 
@@ -44,6 +45,11 @@ def fit_fill_value(df: DataFrame, col: str, strategy: str = "mean", value=None,
         v = stats.mode_value(df, col)
     elif strategy == "constant":
         v = 0 if value is None else value
+        if is_numeric_type(dt):
+            try:
+                float(v)
+            except (TypeError, ValueError):
+                raise ValueError(f"constant {v!r} does not fit '{col}' ({dt.simpleString()})") from None
     else:
         raise ValueError(f"Unknown strategy '{strategy}'.")
     if v is None:
@@ -52,10 +58,18 @@ def fit_fill_value(df: DataFrame, col: str, strategy: str = "mean", value=None,
 
 
 def apply_fill(df: DataFrame, col: str, value) -> DataFrame:
-    """Replace NULLs in ``col`` by ``value`` cast to the column's type."""
+    """Replace NULLs in ``col`` by ``value`` cast to the column's type.
+
+    A float value makes an integer column double, so a mean of 1.5 stays 1.5.
+    NaN counts as NULL.
+    """
     dt = df.schema[col].dataType
-    lit = F.lit(value).try_cast(dt)
-    return df.withColumn(col, F.coalesce(_c(col), lit))
+    c = _c(col)
+    if isinstance(value, float) and isinstance(dt, T.IntegralType):
+        return df.withColumn(col, F.coalesce(c.cast("double"), F.lit(value)))
+    if isinstance(dt, (T.DoubleType, T.FloatType)):
+        c = F.when(~F.isnan(c), c)
+    return df.withColumn(col, F.coalesce(c, F.lit(value).try_cast(dt)))
 
 
 def fill_nulls(df: DataFrame, col: str, strategy: str = "mean", value=None,
@@ -65,7 +79,8 @@ def fill_nulls(df: DataFrame, col: str, strategy: str = "mean", value=None,
     if strategy == "ffill":
         if not order_by:
             raise ValueError("ffill needs order_by: Spark rows have no order of their own.")
-        return forward_fill(df, col, order_by, bucket)
+        return forward_fill(normalize(df), col, order_by, bucket)
+    df = normalize(df)
     return apply_fill(df, col, fit_fill_value(df, col, strategy, value, exact))
 
 

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from scrubspark.sources.tables import normalize
 from scrubspark.functions.numeric import is_numeric_type, is_text_type, parse_number
 from scrubspark.operators import stats
 from scrubspark.operators.clip import iqr_fences
@@ -71,7 +72,7 @@ def fit_profile_and_header(df: DataFrame, order_by: list[str] | None = None, exa
     which treats NULLs as equal like a grouping does.  ``columns`` limits the
     profile to those columns (the header still covers the whole row)."""
     with stats.persisted(df):
-        return _fit_profile(df, order_by, exact, samples, header, columns)
+        return _fit_profile(normalize(df), order_by, exact, samples, header, columns)
 
 
 def _fit_profile(df: DataFrame, order_by, exact, samples, header, columns=None

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field
 
 from pyspark.sql import types as T
@@ -41,7 +42,7 @@ class Action:
 
     def as_row(self):
         return (self.action_type, self.column,
-                {str(k): (",".join(v) if isinstance(v, (list, tuple)) else str(v))
+                {str(k): (json.dumps(list(v)) if isinstance(v, (list, tuple)) else str(v))
                  for k, v in (self.params or {}).items()},
                 float(self.confidence))
 
@@ -49,5 +50,6 @@ class Action:
     def from_row(row) -> "Action":
         params = dict(row["params"] or {})
         if "subset" in params and isinstance(params["subset"], str):
-            params["subset"] = [s for s in params["subset"].split(",") if s]
+            text = params["subset"]
+            params["subset"] = json.loads(text) if text.startswith("[") else [s for s in text.split(",") if s]
         return Action(row["action_type"], row["column"], params, row["confidence"])

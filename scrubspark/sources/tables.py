@@ -52,6 +52,8 @@ def normalize(df: DataFrame) -> DataFrame:
     pandas treats NaN and None alike; Spark does not (avg/max over NaN give
     NaN, percentiles sort NaN last).  This is a projection only.
     """
+    if not any(isinstance(f.dataType, (T.DoubleType, T.FloatType)) for f in df.schema.fields):
+        return df
     cols = []
     for f in df.schema.fields:
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):

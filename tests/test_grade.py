@@ -15,10 +15,10 @@ def spec(**kw):
 def test_type_check(spark):
     num = spark.createDataFrame([(1.0,), (2.0,), (3.0,)], "a double")
     txt = spark.createDataFrame([("x",), ("y",), ("z",)], "a string")
-    assert G.type_check_value(num, {"a": "numeric"}) == 1.0
-    assert G.type_check_value(txt, {"a": "numeric"}) == 0.0
-    assert G.type_check_value(txt, {"b": "numeric"}) == 0.0
-    assert G.type_check_value(txt, {}) == 1.0
+    assert G.type_credit(num.schema, {"a": "numeric"}) == 1.0
+    assert G.type_credit(txt.schema, {"a": "numeric"}) == 0.0
+    assert G.type_credit(txt.schema, {"b": "numeric"}) == 0.0
+    assert G.type_credit(txt.schema, {}) == 1.0
 
 
 def test_dup_check(spark):
@@ -45,7 +45,7 @@ def test_outlier_check_on_normal_data(spark):
 def test_range_rules(spark):
     ok = spark.createDataFrame([(20,), (30,), (40,), (50,)], "age bigint")
     bad = spark.createDataFrame([(200,), (300,), (400,)], "age bigint")
-    r = {"age": "min:18,max:100"}
+    r = {"age": (18, 100)}
     assert G.fit_grade(ok, spec(rules=r))["rule_check"] == 1.0
     assert G.fit_grade(bad, spec(rules=r))["rule_check"] == 0.0
     assert G.parse_rule("max:5") == (float("-inf"), 5.0)
@@ -53,7 +53,7 @@ def test_range_rules(spark):
 
 def test_weighted_grade_in_unit_interval_and_drop_bonus(spark):
     df = spark.createDataFrame([(1.0, "x")] * 3 + [(None, "y")], "a double, b string")
-    s = spec(null_cols=["a"], type_expect={"a": "numeric"}, outlier_cols=["a"], rules={"a": "min:0"},
+    s = spec(null_cols=["a"], type_expect={"a": "numeric"}, outlier_cols=["a"], rules={"a": (0, None)},
              irrelevant=["gone"], weights={"null": .2, "type": .2, "outlier": .2, "dup": .15, "rules": .2})
     g = G.fit_grade(df, s)
     assert 0.0 <= g["score"] <= 1.0 and g["drop_bonus"] == 0.05
