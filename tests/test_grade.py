@@ -48,7 +48,7 @@ def test_range_rules(spark):
     r = {"age": (18, 100)}
     assert G.fit_grade(ok, spec(rules=r))["rule_check"] == 1.0
     assert G.fit_grade(bad, spec(rules=r))["rule_check"] == 0.0
-    assert G.parse_rule("max:5") == (float("-inf"), 5.0)
+    assert G.bounds((None, 5)) == (float("-inf"), 5.0)
 
 
 def test_weighted_grade_in_unit_interval_and_drop_bonus(spark):
