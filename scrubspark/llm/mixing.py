@@ -1,8 +1,9 @@
 """Mixing sources to target weights by hash-threshold histograms, in DataFrame functions only.
 
-A document has a 64-bit hash.  Tokens are summed by source and 16-bit hash bucket; the bucket in which
-a source's budget runs out is the only one refined by the next 16 bits, down to the single hash that
-is the source's threshold.  Documents below it are taken: a filter, no sort of documents.  Thresholds
+A document has a 64-bit hash.  Tokens are summed by source and 8-bit hash bucket; the bucket in which
+a source's budget runs out is the only one refined by the next 8 bits, down to the single hash that
+is the source's threshold.  No source ever has more than 256 sums in a window, whatever its share of
+the rows, and after the first level only the boundary bucket's hashes are read again.  Documents below it are taken: a filter, no sort of documents.  Thresholds
 of growing budgets are nested, so a larger mix contains a smaller one.  A target above its source's
 size takes every document once and the threshold decides the second copies.
 
@@ -23,7 +24,7 @@ from scrubspark.llm.common import fresh, quoted, stored
 
 #: Weights by rank of the source, repeating; share of all words to take; copies of a document at most.
 WEIGHTS, SHARE, COPIES = (5, 2, 1), 1.5, 2
-BITS, LEVELS = 16, 4
+BITS, LEVELS = 8, 8
 
 
 def word_count(text):
@@ -70,7 +71,7 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE) -> DataFram
 
 
 def _bits(level: int):
-    """Bits ``level`` x 16 of the hash, in signed order at the first level."""
+    """Bits ``level`` x BITS of the hash, in signed order at the first level."""
     if level == 0:
         return F.shiftright("h", 64 - BITS)
     return F.shiftrightunsigned(F.shiftleft("h", level * BITS), 64 - BITS)
@@ -82,11 +83,11 @@ def thresholds(rows: DataFrame, goal: DataFrame) -> DataFrame:
     state = goal.withColumn("whole", (F.col("target") > F.col("source_size")).cast("long")).withColumn(
         "budget", F.col("target") - F.col("whole") * F.col("source_size")).withColumn("cut", F.lit(0).cast("long"))
     state = stored(state, "budgets")
-    inside = rows.select("source", "h", "size")
+    inside = rows.select("source", "h", F.col("size").alias("s"), F.lit(1).cast("long").alias("n"))
     for level in range(LEVELS):
         sums = inside.withColumn("b", _bits(level)).groupBy("source", "b").agg(
-            F.sum("size").alias("s"), F.count("*").alias("n"))
-        # At most 2^16 buckets for a source.
+            F.sum("s").alias("s"), F.sum("n").alias("n"))
+        # At most 2^BITS buckets for a source.
         w = W.Window.partitionBy("source").orderBy("b")
         sums = sums.withColumn("cum", F.sum("s").over(w)).withColumnRenamed("source", "src")
         edge = sums.join(state.select(F.col("source").alias("src2"), F.col("budget").alias("room")),
@@ -101,10 +102,13 @@ def thresholds(rows: DataFrame, goal: DataFrame) -> DataFrame:
         state = stored(state.where("cut is not null"), "boundary")
         if level + 1 < LEVELS:
             lead = (level + 1) * BITS
-            inside = rows.select("source", "h", "size").join(
+            inside = inside.join(
                 state.select(F.col("source").alias("src"), F.col("cut").alias("c")),
                 F.col("source").eqNullSafe(F.col("src"))
-                & (F.shiftright("h", 64 - lead) == F.shiftright("c", 64 - lead))).select("source", "h", "size")
+                & (F.shiftright("h", 64 - lead) == F.shiftright("c", 64 - lead))).select("source", "h", "s", "n")
+            if level == 0:
+                # Repeats of a hash become one row here, so a hot one is not carried from level to level.
+                inside = stored(inside.groupBy("source", "h").agg(F.sum("s").alias("s"), F.sum("n").alias("n")), "boundary-rows")
     edge = state.select(F.col("source").alias("src"), "cut", "there", F.least(
         F.col("there"), F.floor(F.col("budget") * F.col("there") / F.col("s") + 0.5)).alias("wanted"))
     return goal.join(edge, F.col("source").eqNullSafe(F.col("src")), "left").withColumn(
