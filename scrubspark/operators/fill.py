@@ -1,12 +1,14 @@
 """Null filling.
 
 ``fit_fill_value`` runs the small aggregate; ``fill_nulls`` applies it as a
-literal in a projection.  Forward fill is a bucketed window (see
-``forward_fill``).
+literal in a projection.  Forward fill is a window over ranges of the
+order (see ``forward_fill``).
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,6 +17,7 @@ from pyspark.sql.window import Window
 from scrubspark.sources.tables import normalize
 from scrubspark.functions.numeric import is_numeric_type
 from scrubspark.operators import stats
+from scrubspark.session import checkpoint_dir
 
 STRATEGIES = ("mean", "median", "mode", "constant", "ffill")
 
@@ -84,280 +87,72 @@ def fill_nulls(df: DataFrame, col: str, strategy: str = "mean", value=None,
     return apply_fill(df, col, fit_fill_value(df, col, strategy, value, exact))
 
 
-# Hot order-key values given sub-buckets of their own, largest first (the
-# rest stay whole: still exact, only less balanced).
-MAX_SPLIT_VALUES = 32
-# Most buckets ``auto_bucket`` makes: the per-bucket carry table of a forward
-# fill (one row per bucket) is ranked in one task.
-MAX_AUTO_BUCKETS = 65_536
-# Largest carry table (rows) that is broadcast; beyond it the join shuffles.
+# Largest carry table (rows, one per range) that is broadcast; beyond it the join shuffles.
 BROADCAST_CARRY = 200_000
 
 
-def _order_number(df: DataFrame, name: str) -> Column | None:
-    """A double that never decreases along ``name``'s own sort order (NULL
-    stays NULL), or None for a type without one.  Equal numbers need not mean
-    equal values (long keys past 2**53, strings sharing a 6-byte prefix)."""
-    dt = df.schema[name].dataType
-    k = _c(name)
-    if isinstance(dt, T.TimestampNTZType):
-        # Wall-clock micros: no session time zone, so no DST fold.
-        return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', `{name}`)").cast("double")
-    if isinstance(dt, (T.TimestampType, T.DateType)):
-        return F.unix_micros(k.cast("timestamp")).cast("double")
-    if isinstance(dt, (T.NumericType, T.BooleanType)):
-        return k.cast("double")
-    if isinstance(dt, (T.StringType, T.BinaryType)):
-        # The first 6 bytes, zero-padded, read as a 48-bit number: byte order.
-        return F.conv(F.rpad(F.hex(F.substring(k.cast("binary"), 1, 6)), 12, "0"), 16, 10).cast("double")
-    return None
-
-
-def _equal_width_rest(t: DataFrame, first: Column, k2: Column, splits: list, rest: list, sub: Column):
-    """Hot first-column values past the largest MAX_SPLIT_VALUES: each already
-    has a bucket of its own; when its rows hold one value of the first column,
-    cut it into equal-width ranges of the second column's number (NULL first,
-    NaN last).  One grouped aggregate gives the ranges; a table of at most one
-    row per bucket is broadcast and joined by bucket index."""
-    import math
-    places = {v: i for i, v in enumerate(splits)}
-    share = {float(places[v]): c for v, c in rest if v is not None and v in places and math.isfinite(v)}
-    if not share:
-        return t, sub
-    per = (t.where(F.col("__abv").isin(list(share))).groupBy("__abv")
-           .agg(F.min(first).alias("lo"), F.max(first).alias("hi"),
-                F.min(F.when(~F.isnan(k2), k2)).alias("a"), F.max(F.when(~F.isnan(k2), k2)).alias("b")).collect())
-    rows = []
-    for r in per:
-        a, b = r["a"], r["b"]
-        if r["lo"] == r["hi"] and a is not None and math.isfinite(a) and math.isfinite(b) and b > a:
-            parts = share[r["__abv"]] + 1
-            rows.append((r["__abv"], float(a), (b - a) / parts, parts))
-    if not rows:
-        return t, sub
-    table = t.sparkSession.createDataFrame(rows, "__abv double, __ewa double, __eww double, __ewn int")
-    t = t.join(F.broadcast(table), "__abv", "left")
-    pos = F.least(F.greatest((k2 - F.col("__ewa")) / F.col("__eww"), F.lit(0.0)), F.col("__ewn") - 1)
-    cut = F.when(k2.isNull(), F.lit(-1)).otherwise(F.floor(pos).cast("int"))
-    sub = F.when(F.col("__ewn").isNotNull(), cut).otherwise(sub)
-    return t, sub
-
+def total_order(df: DataFrame, col: str, order_by: list[str]) -> list[Column]:
+    """The one order of a forward fill: ``order_by``, then NULLs of ``col`` before its values, then a row hash.
 
-def auto_bucket(df: DataFrame, order_by: str | list[str], n_buckets: int | None = None,
-                target_rows: int = 2_000_000, accuracy: int = 10_000) -> tuple[DataFrame, str]:
-    """Add ``__ab``, a struct (v, s) that is non-decreasing along ``order_by``.
-
-    ``v`` buckets a number that follows the first order column
-    (``_order_number``): bounds are approximate quantiles of it (one job,
-    bounded memory) and Spark ML's ``Bucketizer`` assigns rows by binary
-    search on the JVM.  A number that fills more than a bucket (it repeats
-    among the bounds) gets a bucket of its own.  When its rows hold a single
-    value of the column (checked exactly, in the same job as the next step),
-    they are tied, and are cut into ``s`` sub-buckets: by quantiles of the
-    second order column within the value (one ``Bucketizer`` split list per
-    value).  With one order column such a group is fully tied instead: its
-    rows are flagged in ``__abt`` and need no ordering at all (see
-    ``forward_fill``).  With two, a second-column value repeating inside a
-    hot first-column value gets its own sub-bucket and, when exactly tied,
-    is flagged the same way.  ``v`` is NULL for NULL order keys; a NULL group larger
-    than two buckets is treated the same way.  A first column of a type with
-    no such number gets one bucket.
+    ``xxhash64`` skips NULLs, so their places are hashed too.  Rows still tied are equal rows, which any
+    order fills alike.
     """
-    import math
-    from collections import Counter
+    cols = [_c(x) for x in df.columns]
+    return [*[_c(o) for o in order_by], _c(col).isNotNull(), F.xxhash64(*cols, *[c.isNull() for c in cols])]
 
-    from pyspark.ml.feature import Bucketizer
-    order = [order_by] if isinstance(order_by, str) else list(order_by)
-    num = _order_number(df, order[0])
-    if num is None:
-        return (df.withColumn("__ab", F.struct(F.lit(0.0).alias("v"), F.lit(0).alias("s")))
-                .withColumn("__abt", F.lit(False))), "__ab"
-    t = df.withColumn("__abk", num)
-    if n_buckets is None:
-        n = t.count()
-        n_buckets = max(1, min(MAX_AUTO_BUCKETS, -(-n // target_rows)))
-    key = F.col("__abk")
-    if n_buckets <= 1:
-        # One bucket's worth of rows (NULL keys apart): no bounds to find.
-        t = t.withColumn("__ab", F.struct(F.when(key.isNotNull(), F.lit(0.0)).alias("v"), F.lit(0).alias("s")))
-        return t.select(*[_c(x) for x in df.columns], "__ab", F.lit(False).alias("__abt")), "__ab"
-    # Rank error of the bounds (1 / accuracy of the rows) stays under a
-    # quarter of a bucket.
-    accuracy = max(accuracy, 4 * n_buckets)
-    probs = [i / n_buckets for i in range(1, n_buckets)]
-    key = F.col("__abk")
-    row = t.agg(F.percentile_approx("__abk", probs or [0.5], accuracy).alias("q"),
-                F.count(F.lit(1)).alias("n"), F.count(key).alias("nn")).first()
-    # NaN sorts last in Spark; Bucketizer's "keep" bucket puts it last too.
-    bounds = [b for b in (row["q"] or []) if b is not None and not math.isnan(b)] if probs else []
-    repeats = Counter(bounds)
-    hot_all = [(v, c) for v, c in sorted(repeats.items(), key=lambda x: -x[1]) if c >= 2]
-    hot = hot_all[:MAX_SPLIT_VALUES]
-    # Every hot number gets a bucket of its own: only split points, no cost.
-    cuts = set(bounds) | {math.nextafter(v, math.inf) for v, _ in hot_all}
-    # NULL order keys (sorted first) form one group; a large one is cut too.
-    nulls = row["n"] - row["nn"]
-    null_share = int(nulls * n_buckets // max(row["n"], 1))
-    if null_share >= 2:
-        hot.append((None, null_share))
 
-    def is_v(v):
-        return key.isNull() if v is None else key == F.lit(v)
+def order_ranges(df: DataFrame, order: list[Column], n_ranges: int | None = None) -> DataFrame:
+    """``df`` cut into ranges of ``order`` numbered by ``__b``, written to the shared folder and read again.
 
-    splits = [float("-inf")] + sorted(cuts - {float("-inf"), float("inf")}) + [float("inf")]
-    if len(splits) < 3:
-        t = t.withColumn("__abv", F.when(key.isNotNull(), F.lit(0.0)))
-    else:
-        t = Bucketizer(splits=splits, inputCol="__abk", outputCol="__abv", handleInvalid="keep").transform(t)
-        t = t.withColumn("__abv", F.when(key.isNotNull(), F.col("__abv")))
-    sub, flag = F.lit(0), F.lit(False)
-    k2 = _order_number(df, order[1]) if len(order) >= 2 else None
-    if len(order) == 1 and hot:
-        # One order column: a hot number whose rows hold one value is fully
-        # tied.  One grouped aggregate checks every hot bucket (no cap), and
-        # the tied ones are flagged by bucket index.
-        first = _c(order[0])
-        places = {v: i for i, v in enumerate(splits)}
-        index = {v: places[v] for v, _ in hot_all if v in places and math.isfinite(v)}
-        if index:
-            per = (t.where(F.col("__abv").isin([float(i) for i in index.values()])).groupBy("__abv")
-                   .agg(F.min(first).alias("lo"), F.max(first).alias("hi")).collect())
-            tied_idx = [r["__abv"] for r in per if r["lo"] == r["hi"]]
-            if tied_idx:
-                flag = F.coalesce(F.col("__abv").isin(tied_idx), F.lit(False))
-        if hot[-1][0] is None:
-            flag = flag | key.isNull()
-    elif hot and k2 is not None:
-        first = _c(order[0])
-        k2 = None if k2 is None else F.coalesce(k2, F.lit(float("-inf")))
-        aggs = []
-        for j, (v, c) in enumerate(hot):
-            if v is not None:
-                aggs += [F.min(F.when(is_v(v), first)).alias(f"lo{j}"), F.max(F.when(is_v(v), first)).alias(f"hi{j}")]
-            if k2 is not None:
-                aggs.append(F.percentile_approx(F.when(is_v(v), k2), [i / (c + 1) for i in range(1, c + 1)],
-                                                accuracy).alias(f"h{j}"))
-        row = t.agg(*aggs).first()
-        tied = [j for j, (v, _) in enumerate(hot) if v is None or row[f"lo{j}"] == row[f"hi{j}"]]
-        if k2 is not None:
-            split_lists, names, pairs = [], [], []
-            for j in tied:
-                qs = [b for b in (row[f"h{j}"] or []) if b is not None and not math.isnan(b)]
-                # With two order columns, a second-column number repeating
-                # among the quantiles may be a fully tied (first, second)
-                # pair: it gets a sub-bucket of its own, [w, next(w)).
-                ws = [w for w, c in Counter(qs).items() if c >= 2] if len(order) == 2 else []
-                inner = sorted((set(qs) | {math.nextafter(w, math.inf) for w in ws})
-                               - {float("-inf"), float("inf")})
-                if inner:
-                    split_lists.append([float("-inf")] + inner + [float("inf")])
-                    names.append(j)
-                    pairs += [(j, w) for w in ws]
-            if pairs:
-                # Tied only if the pair's rows hold one value of the second
-                # column: all NULL, or no NULL and min == max (NULL and -inf
-                # share the number -inf).
-                second = _c(order[1])
-                vaggs = []
-                for i, (j, w) in enumerate(pairs):
-                    m = is_v(hot[j][0]) & (k2 == F.lit(w))
-                    vaggs += [F.count(F.when(m, 1)).alias(f"pn{i}"), F.count(F.when(m, second)).alias(f"pv{i}"),
-                              F.min(F.when(m, second)).alias(f"pa{i}"), F.max(F.when(m, second)).alias(f"pb{i}")]
-                vrow = t.agg(*vaggs).first()
-                for i, (j, w) in enumerate(pairs):
-                    if vrow[f"pv{i}"] == 0 or (vrow[f"pv{i}"] == vrow[f"pn{i}"] and vrow[f"pa{i}"] == vrow[f"pb{i}"]):
-                        flag = flag | (is_v(hot[j][0]) & (k2 == F.lit(w)))
-            if names:
-                ins = [f"__abi{j}" for j in names]
-                for j in names:
-                    t = t.withColumn(f"__abi{j}", F.when(is_v(hot[j][0]), k2).otherwise(F.lit(float("nan"))))
-                t = Bucketizer(splitsArray=split_lists, inputCols=ins, outputCols=[f"__abo{j}" for j in names],
-                               handleInvalid="keep").transform(t)
-                for j in names:
-                    sub = F.when(is_v(hot[j][0]), F.col(f"__abo{j}").cast("int")).otherwise(sub)
-        t, sub = _equal_width_rest(t, first, _order_number(df, order[1]), splits, hot_all[MAX_SPLIT_VALUES:], sub)
-    t = t.withColumn("__ab", F.struct(F.col("__abv").alias("v"), sub.alias("s"))).withColumn("__abt", flag)
-    t = t.drop(*[c for c in ("__ewa", "__eww", "__ewn") if c in t.columns])
-    return t.select(*[_c(x) for x in df.columns], "__ab", "__abt"), "__ab"
+    Spark samples the whole sort key, so any types, any number of columns, long common prefixes and tied
+    values give ranges of about equal size; a random last key cuts equal rows as well.  Without
+    ``n_ranges`` there are as many as the session has shuffle partitions, small ones coalesced.  Only a written
+    table keeps the ranges as they are when a task is run again.
+    """
+    spark = df.sparkSession
+    names = [f"__o{i}" for i in range(len(order))]
+    t = df.select("*", *[o.alias(n) for o, n in zip(order, names)], F.rand(7).alias("__r"))
+    keys = [*names, "__r"]
+    t = t.repartitionByRange(n_ranges, *keys) if n_ranges else t.repartitionByRange(*keys)
+    t = t.select(*[_c(x) for x in df.columns], F.spark_partition_id().alias("__b"))
+    path = f"{checkpoint_dir(spark).rstrip('/')}/ranges-{uuid.uuid4().hex}"
+    t.write.parquet(path)
+    return spark.read.schema(t.schema).parquet(path)
 
 
 def forward_fill(df: DataFrame, col: str, order_by: list[str], bucket: Column | str | None = "auto",
                  n_buckets: int | None = None, split_hot: bool = True) -> DataFrame:
-    """Carry the last non-null value forward in ``order_by`` order.
+    """Carry the last non-null value forward in ``total_order``.
 
-    ``bucket`` must be non-decreasing along ``order_by`` (for example
-    ``date_trunc('day', ts)`` or ``floor(id / 100000)``).  The work is then
-    split three ways:
+    The table is cut into ranges of that order (``order_ranges``), and the work is split three ways:
 
-    * inside a bucket: ``last(col, ignorenulls)`` over a window partitioned by
-      bucket (one task per bucket, not one task for the table);
-    * per bucket: its last non-null value by ``max_by`` (partial aggregation);
-    * across buckets: a running ``last`` over the bucket table, which has one
-      row per bucket, joined back on the bucket key.  The big side is already
-      hash-partitioned by bucket from the window, so only the bucket table moves;
-      adaptive execution broadcasts it when its measured size is small.
+    * inside a range: ``last(col, ignorenulls)`` over a window partitioned by range;
+    * per range: its last non-null value by ``max_by`` (partial aggregation);
+    * across ranges: a running ``last`` over one row per range, joined back.
 
-    The bucket table is ranked in one task, so a caller-given bucket must
-    keep the number of buckets modest (thousands, not billions).  With
-    ``split_hot`` (the default) a caller-given bucket is paired with the auto
-    buckets, so a bucket holding too many rows is cut further.
-    ``bucket="auto"`` derives at most 65,536 balanced buckets from the order
-    columns (``auto_bucket``); a first-column value holding many rows is cut
-    by the second column, so no bucket holds much more than its share.
-    ``None`` means the same.  There is no global-window path: it would run
-    the whole table in one task.
+    The filled values follow the total order alone, so they do not depend on the number of ranges, on the
+    input's partitions or on ties.  A caller who already has buckets that never decrease along ``order_by``
+    and are all small (for example ``date_trunc('day', ts)``) may pass ``bucket`` with ``split_hot=False``: no
+    range exchange is made then, and a large bucket is one task's work.
     """
     _require(df, col)
     c = _c(col)
-    order_cols = [_c(o) for o in order_by]
-    # A struct key is never NULL (NULL buckets, from NULL order keys, become
-    # (false, NULL) and sort first), so the join back below is a plain
-    # equi-join on the key the big side is already partitioned by.
-    tied, bound = None, None
-    if bucket is None or (isinstance(bucket, str) and bucket == "auto"):
-        # Most buckets auto_bucket can make: nb main buckets plus one per hot
-        # value, and sub-buckets for hot values and NULLs (their shares of the
-        # nb bounds, plus one each).
-        nb = n_buckets or MAX_AUTO_BUCKETS
-        bound = 3 * nb + 4 * MAX_SPLIT_VALUES
-        t, name = auto_bucket(df, order_by, n_buckets)
-        t = t.withColumn("__b", F.struct(F.col(name)["v"].isNotNull().alias("h"), F.col(name).alias("v")))
-        t, tied = t.drop(name), F.col("__abt")
-    elif split_hot:
-        # A caller's bucket and the auto buckets both never decrease along the
-        # order, so the pair does not either, and it has at most as many
-        # cells as the two together: a hot caller bucket (one busy day) is
-        # cut by the auto buckets.
-        t, name = auto_bucket(df, order_by, n_buckets)
-        t = t.withColumn("__b", F.struct(bucket.isNotNull().alias("h"),
-                                         F.struct(bucket.alias("u"), F.col(name).alias("a")).alias("v")))
-        t, tied = t.drop(name), F.col("__abt")
+    order = total_order(df, col, order_by)
+    if bucket is None or isinstance(bucket, str) or split_hot:
+        t = order_ranges(df, order, n_buckets)
+        ranges = n_buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     else:
+        # A struct key is never NULL: the NULL bucket becomes (false, NULL) and sorts first.
         t = df.withColumn("__b", F.struct(bucket.isNotNull().alias("h"), bucket.alias("v")))
-    w = Window.partitionBy("__b").orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, 0)
-    if tied is None:
-        t = t.withColumn("__local", F.last(c, ignorenulls=True).over(w))
-    else:
-        # Rows of a fully tied group may take any order; take NULLs first and
-        # the rest by row hash.  Then a NULL takes the carry into the group, a
-        # value stays, and the group's last value is the max_by below: no
-        # window, so no task gathers the group however large it is.
-        windowed = t.where(~tied).withColumn("__local", F.last(c, ignorenulls=True).over(w))
-        t = windowed.unionByName(t.where(tied).withColumn("__local", c))
-        t = t.drop("__abt")
-    # Ties on the order key are broken by a row hash, so the pick is the same
-    # on every recomputation.
-    order_key = F.struct(*order_cols, F.xxhash64(*[_c(x) for x in df.columns]))
-    last_per_bucket = (t.where(c.isNotNull()).groupBy("__b")
-                       .agg(F.max_by(c, order_key).alias("__last")))
-    all_buckets = t.select("__b").distinct()
+        ranges = None
+    w = Window.partitionBy("__b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    last_per_range = t.groupBy("__b").agg(
+        F.max_by(c, F.when(c.isNotNull(), F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)]))).alias("__last"))
     carry_w = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    carry = (all_buckets.join(last_per_bucket, "__b", "left")
-             .select("__b", F.last("__last", ignorenulls=True).over(carry_w).alias("__carry")))
-    if bound is not None and bound <= BROADCAST_CARRY:
-        # Auto buckets have a known ceiling, so the carry table's size is
-        # proven small: broadcast it and leave the big side where it is.
+    carry = last_per_range.select("__b", F.last("__last", ignorenulls=True).over(carry_w).alias("__carry"))
+    if ranges is not None and ranges <= BROADCAST_CARRY:
+        # One row per range: a proven size, so the big side stays where it is.
         carry = F.broadcast(carry)
-    out = t.join(carry, "__b", "left")
+    out = t.withColumn("__local", F.last(c, ignorenulls=True).over(w)).join(carry, "__b", "left")
     return (out.withColumn(col, F.coalesce(F.col("__local"), F.col("__carry")))
             .select(*[_c(x) for x in df.columns]))

@@ -38,8 +38,9 @@ def test_forward_fill_edges(spark):
             (10, 2, None), (11, 2, None),                               # a whole bucket of nulls
             (20, 3, None), (21, 3, 7.0), (22, 3, None)]
     df = spark.createDataFrame(rows, "k bigint, b bigint, x double")
-    out = fill.forward_fill(df, "x", ["k"], bucket=F.col("b"))
+    out = fill.forward_fill(df, "x", ["k"], bucket=F.col("b"), split_hot=False)
     got = {r["k"]: r["x"] for r in out.collect()}
+    assert got == {r["k"]: r["x"] for r in fill.forward_fill(df, "x", ["k"]).collect()}
     assert got == {None: None, 1: None, 2: 5.0, 3: 5.0, 10: 5.0, 11: 5.0, 20: 5.0, 21: 7.0, 22: 7.0}
     assert _brute_ffill(df, "x", ["k"], "k") == got
 
@@ -58,162 +59,87 @@ def _brute_ffill(df, col, order_by, key):
 def test_bucketed_forward_fill_equals_global_on_events(spark):
     from scrubspark.catalog import fixtures as fx
     e = fx.dirty_events(spark, SF_CHECK)
-    a = fill.forward_fill(e, "value", ["ts", "event_id"], bucket=F.date_trunc("day", "ts"))
+    a = fill.forward_fill(e, "value", ["ts", "event_id"], bucket=F.date_trunc("day", "ts"), split_hot=False)
     got = {r["event_id"]: r["value"] for r in a.select("event_id", "value").collect()}
     assert got == _brute_ffill(e, "value", ["ts", "event_id"], "event_id")
 
 
-def test_auto_buckets_equal_global_fill(spark):
-    from scrubspark.catalog import fixtures as fx
-    e = fx.dirty_events(spark, SF_CHECK)
-    a = fill.forward_fill(e, "value", ["ts", "event_id"], bucket="auto", n_buckets=23)
-    got = {r["event_id"]: r["value"] for r in a.select("event_id", "value").collect()}
-    assert got == _brute_ffill(e, "value", ["ts", "event_id"], "event_id")
-    t, name = fill.auto_bucket(e, "ts", 23)
-    sizes = [r[0] for r in t.groupBy(name).count().select("count").collect()]
-    assert len(sizes) >= 20 and max(sizes) < 3 * (e.count() / 23)
+def _in_total_order(df, col, order_by):
+    """Expected rows: a plain walk over the collected rows in the documented order (row hash last)."""
+    rows = df.withColumn("_h", fill.total_order(df, col, order_by)[-1]).collect()
+    rows.sort(key=lambda r: (*[(r[o] is not None, r[o] if r[o] is not None else 0) for o in order_by],
+                             r[col] is not None, r["_h"]))
+    out, last = [], None
+    for r in rows:
+        last = r[col] if r[col] is not None else last
+        out.append(tuple(last if c == col else r[c] for c in df.columns))
+    return sorted(out, key=repr)
 
 
-def test_auto_buckets_split_hot_order_values(spark):
-    """A third of the rows share one timestamp and a fifth have none: both
-    groups are cut into several buckets by the second order column, and the
-    fill still equals the brute force."""
-    from scrubspark.catalog import fixtures as fx
-    e = fx.dirty_events(spark, SF_CHECK)
-    ts = (F.when(F.col("event_id") % 3 == 0, F.lit("2024-03-01 00:00:00").cast("timestamp"))
-          .when(F.col("event_id") % 5 == 1, F.lit(None).cast("timestamp")).otherwise(F.col("ts")))
-    h = e.withColumn("ts", ts)
-    n = h.count()
-    t, name = fill.auto_bucket(h, ["ts", "event_id"], 16)
-    sizes = [r["count"] for r in t.groupBy(name).count().collect()]
-    assert max(sizes) < 3 * n / 16
-    got = {r["event_id"]: r["value"] for r in
-           fill.forward_fill(h, "value", ["ts", "event_id"], n_buckets=16).select("event_id", "value").collect()}
-    assert got == _brute_ffill(h, "value", ["ts", "event_id"], "event_id")
-    day = fill.forward_fill(h, "value", ["ts", "event_id"], bucket=F.date_trunc("day", "ts"), n_buckets=16)
-    assert {r["event_id"]: r["value"] for r in day.select("event_id", "value").collect()} == got
-    # With one order column a hot value and the NULLs are fully tied: they
-    # are flagged, so no window holds them, and every other bucket stays small.
-    k = (F.when(F.col("event_id") % 3 == 0, F.lit(-5)).when(F.col("event_id") % 5 == 1, F.lit(None))
-         .otherwise(F.col("event_id")))
-    one = e.select("event_id", k.cast("bigint").alias("k"), "value")
-    tie = "k is null or k = -5"
-    t1, name1 = fill.auto_bucket(one, "k", 16)
-    rest = t1.where(~F.col("__abt")).groupBy(name1).count().collect()
-    assert max(r["count"] for r in rest) < 3 * n / 16
-    assert t1.where("__abt").count() == one.where(tie).count()
-    # Exact copies on the tied value too; the fill must equal the order the
-    # operator documents for ties: NULL values first, then by row hash.
-    dup = one.unionByName(one.where(tie))
-    got = sorted(tuple(r) for r in fill.forward_fill(dup, "value", ["k"], n_buckets=16).collect())
-    rows = dup.withColumn("_h", F.xxhash64("event_id", "k", "value")).collect()
-    rows.sort(key=lambda r: (r["k"] is not None, r["k"], r["value"] is not None, r["_h"]))
-    want, last = [], None
-    for r in rows:
-        last = r["value"] if r["value"] is not None else last
-        want.append((r["event_id"], r["k"], last))
-    assert got == sorted(want)
+def _filled(df, col, order_by, n):
+    return sorted(map(tuple, fill.forward_fill(df, col, order_by, n_buckets=n).collect()), key=repr)
 
 
-def test_more_hot_values_than_the_split_cap(spark):
-    """With one order column every hot value is flagged, not just the largest
-    MAX_SPLIT_VALUES: 50 keys hold 80% of the rows."""
-    from scrubspark.catalog import fixtures as fx
-    e = fx.dirty_events(spark, SF_CHECK).select("event_id", "value")
-    i = F.col("event_id")
-    one = e.select("event_id", F.when(i % 5 != 0, i % 50).otherwise(i + 1000).cast("bigint").alias("k"), "value")
-    t, _ = fill.auto_bucket(one, "k", 400)
-    assert fill.MAX_SPLIT_VALUES < 50
-    assert t.where("__abt").count() == one.where(i % 5 != 0).count()
-    got = sorted(tuple(r) for r in fill.forward_fill(one, "value", ["k"], n_buckets=400).collect())
-    rows = one.withColumn("_h", F.xxhash64("event_id", "k", "value")).collect()
-    rows.sort(key=lambda r: (r["k"], r["value"] is not None, r["_h"]))
-    want, last = [], None
-    for r in rows:
-        last = r["value"] if r["value"] is not None else last
-        want.append((r["event_id"], r["k"], last))
-    assert got == sorted(want)
+def _range_sizes(df, col, order_by, n):
+    t = fill.order_ranges(df, fill.total_order(df, col, order_by), n)
+    return [r["count"] for r in t.groupBy("__b").count().collect()]
 
 
-def test_every_hot_value_is_cut_by_the_second_column(spark):
-    """Two order columns and 50 hot first-column values: the largest ones are
-    cut by quantiles, the rest by equal-width ranges; no bucket is large and
-    the fill equals the brute force."""
+@pytest.fixture(scope="module")
+def events(spark):
     from scrubspark.catalog import fixtures as fx
-    e = fx.dirty_events(spark, SF_CHECK).select("event_id", "value")
-    i = F.col("event_id")
-    two = e.select("event_id", F.when(i % 5 != 0, i % 50).otherwise(i + 1000).cast("bigint").alias("k1"),
-                   i.alias("k2"), "value")
-    n = two.count()
-    t, name = fill.auto_bucket(two, ["k1", "k2"], 400)
-    assert max(r["count"] for r in t.groupBy(name).count().collect()) < 4 * n / 400
-    got = {r["event_id"]: r["value"] for r in fill.forward_fill(two, "value", ["k1", "k2"], n_buckets=400).collect()}
-    assert got == _brute_ffill(two, "value", ["k1", "k2"], "event_id")
-
-
-def test_two_column_ties_need_no_window(spark):
-    """Order (k1, k2): a third of the rows share k1, and inside it k2 is 42
-    or NULL (two fully tied pairs, one with exact copies).  Both are flagged
-    and the fill equals the documented tie order: NULL values first, then
-    row hash."""
-    from scrubspark.catalog import fixtures as fx
-    e = fx.dirty_events(spark, SF_CHECK).select("event_id", "value")
-    i = F.col("event_id")
-    k1 = F.when(i % 3 == 0, F.lit(-5)).when(i % 5 == 1, F.lit(None)).otherwise(i).cast("bigint")
-    # Inside the hot k1 value, k2 is 42 or NULL: two fully tied pairs.
-    k2 = F.when((i % 3 == 0) & (i % 2 == 0), F.lit(42)).when(i % 3 == 0, F.lit(None)).otherwise(i).cast("bigint")
-    one = e.select("event_id", k1.alias("k1"), k2.alias("k2"), "value")
-    pair = "k1 = -5 and k2 = 42"
-    dup = one.unionByName(one.where(pair))
-    t, _ = fill.auto_bucket(dup, ["k1", "k2"], 16)
-    assert t.where("__abt").count() == dup.where("k1 = -5").count()
-    got = sorted(tuple(r) for r in fill.forward_fill(dup, "value", ["k1", "k2"], n_buckets=16).collect())
-    rows = dup.withColumn("_h", F.xxhash64("event_id", "k1", "k2", "value")).collect()
-    rows.sort(key=lambda r: (r["k1"] is not None, r["k1"], r["k2"] is not None, r["k2"],
-                             r["value"] is not None, r["_h"]))
-    want, last = [], None
-    for r in rows:
-        last = r["value"] if r["value"] is not None else last
-        want.append((r["event_id"], r["k1"], r["k2"], last))
-    assert got == sorted(want)
+    return fx.dirty_events(spark, SF_CHECK).select("event_id", "ts", "value").cache()
 
 
-def test_auto_buckets_never_split_untied_rows(spark):
-    """Order keys whose bucket numbers collide without being equal (strings
-    sharing a 6-byte prefix, longs past 2**53) look hot but are not tied: the
-    fill must still follow their exact order."""
-    from scrubspark.catalog import fixtures as fx
-    e = fx.dirty_events(spark, SF_CHECK).select("event_id", "value")
-    text = e.withColumn("k", F.concat(F.lit("evt-0"), F.lpad(F.col("event_id").cast("string"), 9, "0")))
-    big = e.withColumn("k", F.lit(2 ** 60) + F.col("event_id"))
-    for d in (text, big):
-        got = {r["event_id"]: r["value"] for r in fill.forward_fill(d, "value", ["k"], n_buckets=16).collect()}
-        assert got == _brute_ffill(d, "value", ["k"], "event_id")
+def test_ranges_fill_like_a_global_walk(spark, events):
+    got = {r["event_id"]: r["value"] for r in fill.forward_fill(events, "value", ["ts", "event_id"], n_buckets=23).collect()}
+    assert got == _brute_ffill(events, "value", ["ts", "event_id"], "event_id")
 
 
-def test_auto_bucket_carry_table_is_broadcast(spark):
-    """With auto buckets the carry table has a proven ceiling, so it is
-    broadcast: the big side moves once, for the bucket window."""
-    from scrubspark.catalog import fixtures as fx
-    e = fx.dirty_events(spark, SF_CHECK)
-    out = fill.forward_fill(e, "value", ["ts", "event_id"], n_buckets=16)
+def _keyed(e, name):
+    """(table, order columns): hot, tied, text and several order keys."""
+    i = F.col("event_id")
+    if name == "hot and null":
+        k = F.when(i % 3 == 0, F.lit(-5)).when(i % 5 == 1, F.lit(None)).otherwise(i).cast("bigint")
+        return e.select("event_id", k.alias("k"), "value"), ["k"]
+    if name == "fifty hot":
+        return e.select("event_id", F.when(i % 5 != 0, i % 50).otherwise(i + 1000).alias("k"), "value"), ["k"]
+    if name == "copies":
+        same = e.select(F.lit(7).cast("bigint").alias("event_id"), F.lit(1).alias("k"), F.lit(None).cast("double").alias("value"))
+        return e.select("event_id", (i % 3).cast("int").alias("k"), "value").unionByName(same), ["k"]
+    if name == "text":
+        return e.select("event_id", F.concat(F.lit("ORD-00"), F.lpad(i.cast("string"), 8, "0")).alias("k"), "value"), ["k"]
+    if name == "past 2^53":
+        return e.select("event_id", (F.lit(2 ** 60) + i).alias("k"), "value"), ["k"]
+    return e.select("event_id", F.lit(1).alias("a"), F.lit("x").alias("b"), (i % 40).alias("k"), "value"), ["a", "b", "k"]
+
+
+@pytest.mark.parametrize("name", ["hot and null", "fifty hot", "copies", "text", "past 2^53", "three columns"])
+def test_fill_is_the_same_for_any_ranges_and_partitions(spark, events, name):
+    df, order = _keyed(events, name)
+    want = _in_total_order(df, "value", order)
+    for n, parts in ((1, 3), (4, 7), (64, 3)):
+        assert _filled(df.repartition(parts), "value", order, n) == want
+    sizes = _range_sizes(df, "value", order, 16)
+    assert len(sizes) == 16 and max(sizes) < 4 * sum(sizes) / 16
+
+
+def test_carry_table_is_broadcast(spark, events):
+    """One row per range, a proven size: the join back moves only the carry table."""
+    out = fill.forward_fill(events, "value", ["ts", "event_id"], n_buckets=16)
     out.write.format("noop").mode("overwrite").save()
     plan = plan_text(out)
-    # The join back is a broadcast hash join: no sort-merge join that would
-    # shuffle the big side a second time.  (The other __b exchange in the plan
-    # is the carry side's own aggregate, after partial aggregation.)
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
 
 
-def test_forward_fill_big_side_never_single_partition(spark):
-    from scrubspark.catalog import fixtures as fx
-    e = fx.dirty_events(spark, SF_CHECK)
-    out = fill.forward_fill(e, "value", ["ts", "event_id"], bucket=F.date_trunc("day", "ts"))
-    out.write.format("noop").mode("overwrite").save()
-    plan = plan_text(out)
-    # the only single-partition exchange is the per-bucket carry table
-    assert plan.count("SinglePartition") <= 1
-    assert "hashpartitioning(__b" in plan
+def test_forward_fill_big_side_never_single_partition(spark, events):
+    for kw in ({"n_buckets": 16}, {"bucket": F.date_trunc("day", "ts"), "split_hot": False}):
+        out = fill.forward_fill(events, "value", ["ts", "event_id"], **kw)
+        out.write.format("noop").mode("overwrite").save()
+        plan = plan_text(out)
+        # the only single-partition exchange is the carry table
+        assert plan.count("SinglePartition") <= 1
+        assert "hashpartitioning(__b" in plan
 
 
 def test_dedup_all_and_idempotent(spark):
