@@ -381,6 +381,13 @@ ORACLE.update({
         SELECT run_id, step, row_number() OVER (PARTITION BY run_id ORDER BY step) AS rn,
           avg(reward) OVER (PARTITION BY run_id ORDER BY step ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS ma
         FROM scored) WHERE rn >= 3""",
+    "log_smoothed": """WITH w AS (SELECT user_id, event_id, value,
+          row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn,
+          count(*) OVER (PARTITION BY user_id) AS n FROM events WHERE value IS NOT NULL),
+        k AS (SELECT *, CAST(greatest(1, n // 20) AS INTEGER) AS width FROM w WHERE n > 10)
+        SELECT a.user_id, a.event_id, any_value(a.width) AS width, round(avg(b.value), 4) + 0.0 AS moving_avg
+        FROM k a JOIN k b ON a.user_id = b.user_id AND b.rn > a.rn - a.width AND b.rn <= a.rn
+        WHERE a.rn >= a.width GROUP BY a.user_id, a.event_id""",
     "log_group_mean": SCORED + """SELECT action_type, round(avg(reward), 6) + 0.0 AS mean_reward, count(*) AS n
         FROM scored GROUP BY action_type""",
     "log_run_summary": SCORED + """SELECT run_id, count(*) AS steps, round(sum(reward), 6) + 0.0 AS total_reward,
@@ -477,3 +484,25 @@ ORACLE["profile_header"] = DO_STATS + """, q AS (SELECT """ + quality_sql() + ""
       printf('%.1f%%', round(duplicate_rate * 100, 1)) AS line FROM dupstats
     UNION ALL SELECT 2, printf('Quality: overall=%.4f | null_score=%.4f | type_score=%.4f | outlier_score=%.4f | '
       || 'dup_score=%.4f', overall, null_score, type_score, outlier_score, dup_score) FROM q"""
+
+_LI_RULES = """((SELECT count(*) FILTER (WHERE l_quantity BETWEEN 5 AND 45) / count(l_quantity) FROM lineitem)
+  + (SELECT count(*) FILTER (WHERE l_discount BETWEEN 0 AND 0.05) / count(l_discount) FROM lineitem)) / 2"""
+ORACLE["grade_plain"] = f"""WITH f AS (SELECT quantile_cont(l_quantity, 0.25) AS q1, quantile_cont(l_quantity, 0.75) AS q3,
+    (count(*) - count(l_quantity)) / count(*) AS nulls FROM lineitem),
+  o AS (SELECT count(*) FILTER (WHERE l_quantity < q1 - 1.5 * (q3 - q1) OR l_quantity > q3 + 1.5 * (q3 - q1))
+    / count(l_quantity) AS frac FROM lineitem, f),
+  d AS (SELECT ((SELECT count(*) FROM lineitem) - count(*)) / (SELECT count(*) FROM lineitem) AS dup
+        FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_quantity, l_discount FROM lineitem)),
+  c AS (SELECT CASE WHEN nulls <= 0.01 THEN 1.0::DOUBLE ELSE greatest(0.0, 1 - nulls * 5) END AS a,
+    CASE WHEN frac <= 0.05 THEN 1.0::DOUBLE ELSE greatest(0.0, 1 - frac * 10) END AS b,
+    CASE WHEN dup < 0.005 THEN 1.0::DOUBLE ELSE greatest(0.0, 1 - dup * 10) END AS e, {_LI_RULES} AS r FROM f, o, d),
+  t AS (SELECT *, round(least(0.25 * a + 0.20 + 0.20 * b + 0.15 * e + 0.20 * r, 1.0), 4) AS s FROM c)
+  SELECT round(a, 4) AS null_check, 1.0::DOUBLE AS type_check, round(b, 4) AS outlier_check, round(e, 4) AS dup_check,
+    round(r, 4) AS rule_check, 1.0::DOUBLE AS parse_check, 0.0::DOUBLE AS drop_bonus, s AS score, s >= 0.80 AS passed FROM t"""
+ORACLE["grade_capped"] = """SELECT 0.05::DOUBLE AS drop_bonus, round(least(0.5 + 0.05 + 0.5 * CASE
+    WHEN (count(*) - count(l_quantity)) / count(*) <= 0.01 THEN 1.0::DOUBLE
+    ELSE greatest(0.0, 1 - 5 * (count(*) - count(l_quantity)) / count(*)) END, 1.0), 4) AS score,
+    count(*) > 0 AS passed FROM lineitem"""
+ORACLE["csv_text_roundtrip"] = """SELECT doc_id, md5(text) AS text_md5,
+    '1234567890123456' || lpad(CAST(doc_id AS VARCHAR), 9, '0') AS long_id, doc_id % 2 = 0 AS even,
+    CASE WHEN doc_id % 3 = 0 THEN 'Infinity' ELSE '1.5' END AS x_text FROM documents"""

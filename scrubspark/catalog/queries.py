@@ -325,6 +325,20 @@ def grade_events(spark, sf):
     return grading.grade(fx.dirty_events(spark, sf), specs.EVENTS_SPEC)
 
 
+@query
+def grade_plain(spark, sf):
+    """The weights of a spec without drop or parse checks."""
+    return grading.grade(read_table(spark, sf, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_quantity", "l_discount"), specs.LINEITEM_SPEC)
+
+
+@query
+def grade_capped(spark, sf):
+    """A weighted sum and drop bonus above 1 are cut to 1."""
+    return grading.grade(read_table(spark, sf, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_quantity"), specs.CAPPED_SPEC).select("drop_bonus", "score", "passed")
+
+
 @query
 def grade_default(spark, sf):
     return grading.grade(fx.dirty_orders(spark, sf), grading.default_spec())
@@ -488,6 +502,14 @@ def log_moving_avg(spark, sf):
     return la.moving_average(_scored(spark, sf), 3).select("run_id", "step", "moving_avg")
 
 
+@query
+def log_smoothed(spark, sf):
+    """Values of each user's events smoothed by the width rule."""
+    e = read_table(spark, sf, "events").select("user_id", "event_id", "value").where("value is not null")
+    out = la.smoothed(e, ["user_id"], "event_id", "value")
+    return out.select("user_id", "event_id", "width", F.round(F.col("moving_avg"), 4).alias("moving_avg"))
+
+
 @query
 def log_group_mean(spark, sf):
     return la.group_mean(_scored(spark, sf), ["action_type"], "reward", "mean_reward")
@@ -581,6 +603,20 @@ def csv_roundtrip(spark, sf):
     return back.select("n_nationkey", "n_name", "n_regionkey")
 
 
+@query
+def csv_text_roundtrip(spark, sf):
+    """Whole documents with line breaks, ids past bigint, booleans and infinities through CSV and back."""
+    d = read_table(spark, sf, "documents").select(
+        "doc_id", "text", F.concat(F.lit("1234567890123456"), F.lpad(F.col("doc_id").cast("string"), 9, "0")).alias("long_id"),
+        F.when(F.col("doc_id") % 2 == 0, F.lit("True")).otherwise(F.lit("False")).alias("even"),
+        F.when(F.col("doc_id") % 3 == 0, F.lit("inf")).otherwise(F.lit("1.5")).alias("x"))
+    path = _scratch(spark, "documents-csv")
+    src.write_csv(d, path)
+    back = src.read_csv(spark, path)
+    return back.select("doc_id", F.md5("text").alias("text_md5"), "long_id", "even",
+                       F.col("x").cast("string").alias("x_text"))
+
+
 @query
 def scores_json_sink(spark, sf):
     a = grading.grade(fx.dirty_orders(spark, sf), specs.ORDERS_SPEC).select(

@@ -30,6 +30,15 @@ EVENTS_SPEC = GradeSpec(
     max_steps=20,
 )
 
+# Weights of the layout without drop or parse checks.
+WEIGHTS_PLAIN = {"null": 0.25, "type": 0.20, "outlier": 0.20, "dup": 0.15, "rules": 0.20}
+LINEITEM_SPEC = GradeSpec(
+    null_cols=["l_quantity"], type_expect={"l_quantity": "numeric", "l_discount": "numeric"},
+    outlier_cols=["l_quantity"], rules={"l_quantity": (5, 45), "l_discount": (0, 0.05)}, weights=WEIGHTS_PLAIN)
+# Weights above 1 in sum, so that the cap decides.
+CAPPED_SPEC = GradeSpec(null_cols=["l_quantity"], type_expect={"l_quantity": "numeric"}, irrelevant=["no_such_column"],
+                        weights={"null": 0.5, "type": 0.5})
+
 # Column kinds of the fixture views, for generating oracle SQL.
 DIRTY_ORDERS_COLS = [("o_orderkey", "bigint"), ("o_custkey", "bigint"), ("o_orderstatus", "string"),
                      ("o_totalprice", "double"), ("o_orderdate", "timestamp_ntz"),

@@ -37,8 +37,12 @@ def json_text(raw: Column) -> Column:
 
 def parse_actions(df: DataFrame, raw_col: str, out_col: str = "action") -> DataFrame:
     """Add ``out_col`` (struct of REPLY_SCHEMA) and ``parsed`` (bool)."""
-    parsed = F.from_json(json_text(F.col(raw_col)), REPLY_SCHEMA)
-    return (df.withColumn(out_col, parsed)
+    # Read as text, so a confidence in quotes counts as well.
+    schema = T.StructType([T.StructField(f.name, T.StringType()) if f.name == "confidence" else f
+                           for f in REPLY_SCHEMA.fields])
+    parsed = F.from_json(json_text(F.col(raw_col)), schema)
+    number = F.trim(parsed["confidence"]).try_cast("double")
+    return (df.withColumn(out_col, parsed.withField("confidence", number))
             .withColumn("parsed", F.col(f"{out_col}.action_type").isNotNull()))
 
 

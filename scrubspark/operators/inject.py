@@ -95,7 +95,9 @@ def _scan_partitions(df: DataFrame) -> int:
 
 def sample_n(df: DataFrame, n: int, key: str, salt: str = "sample", seed: int = 42,
              topk_limit: int = TOPK_LIMIT) -> DataFrame:
-    """Exactly ``n`` rows, the ``n`` smallest draws (ties by key).
+    """Exactly ``n`` rows, the ``n`` smallest by (draw, key, row hash).
+
+    The same rows come back for any size, partitioning or path below; rows tied on all three are equal rows.
 
     For ``n <= topk_limit``, when the input's partitions times ``n`` stays
     under ``TOPK_MERGE_ROWS``, ``orderBy(..).limit(n)`` plans as
@@ -108,7 +110,7 @@ def sample_n(df: DataFrame, n: int, key: str, salt: str = "sample", seed: int =
     """
     u = uniform(key, salt, seed)
     if n <= topk_limit and n * _scan_partitions(df) <= TOPK_MERGE_ROWS:
-        return df.withColumn("_u", u).orderBy("_u", key).limit(n).drop("_u")
+        return df.withColumn("_u", u).withColumn("_h", _row_hash(df)).orderBy("_u", key, "_h").limit(n).drop("_u", "_h")
     t = df.withColumn("_u", u)
     with stats.persisted(t):
         total = t.count()
@@ -125,6 +127,12 @@ def sample_n(df: DataFrame, n: int, key: str, salt: str = "sample", seed: int =
         return below.unionByName(_take_ties(ties, key, need))
 
 
+def _row_hash(df: DataFrame) -> Column:
+    """52 bits of the md5 of the whole row as JSON, as a double."""
+    row = F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))
+    return F.conv(F.substring(F.md5(row), 1, 13), 16, 10).cast("double")
+
+
 def _take_ties(ties: DataFrame, key: str, need: int) -> DataFrame:
     """``need`` rows of ``ties`` (rows sharing one draw), smallest keys first.
 
@@ -153,9 +161,7 @@ def _take_ties(ties: DataFrame, key: str, need: int) -> DataFrame:
         return out
     boundary = per_key[len(full)]
     g = ties.where(k.eqNullSafe(F.lit(boundary["k"])))
-    h = F.conv(F.substring(F.md5(F.to_json(F.struct(*[F.col(f"`{c}`") for c in ties.columns]))), 1, 13),
-               16, 10).cast("double")
-    g = g.withColumn("_h", h)
+    g = g.withColumn("_h", _row_hash(ties))
     with stats.persisted(g):
         hcut = stats.select_ranks(g.select(F.col("_h").alias("v")), boundary["c"], [rest - 1])[rest - 1]
         lower = g.where(F.col("_h") < hcut)

@@ -173,6 +173,27 @@ def moving_average(scored: DataFrame, width: int, value: str = "reward") -> Data
             .where(F.col("__rn") >= width).drop("__rn"))
 
 
+def smoothing_width(n: Column, share: int = 20, least: int = 10) -> Column:
+    """Width of the smoothing window of ``n`` values, NULL when there are too few to smooth."""
+    return F.when(n > least, F.greatest(F.lit(1), F.floor(n / share)).cast("int"))
+
+
+def smoothed(df: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
+    """A14 by its width rule: per group, the mean of the last ``smoothing_width`` values, full windows only.
+
+    The width varies by group, so the mean comes from two running sums: up to the row, and up to ``width``
+    rows before it (joined by position).  Groups too short to smooth give no rows.
+    """
+    by = Window.partitionBy(*keys).orderBy(order)
+    t = (df.withColumn("width", smoothing_width(F.count(F.lit(1)).over(Window.partitionBy(*keys))))
+         .where("width is not null").withColumn("__rn", F.row_number().over(by))
+         .withColumn("__sum", F.sum(value).over(by.rowsBetween(Window.unboundedPreceding, 0))))
+    before = t.select(*keys, (F.col("__rn") + F.col("width")).alias("__rn"), F.col("__sum").alias("__before"))
+    return (t.where(F.col("__rn") >= F.col("width")).join(before, [*keys, "__rn"], "left")
+            .withColumn("moving_avg", (F.col("__sum") - F.coalesce("__before", F.lit(0.0))) / F.col("width"))
+            .drop("__rn", "__sum", "__before"))
+
+
 def group_mean(df: DataFrame, keys: list[str], value: str, name: str = "mean_value") -> DataFrame:
     """Mean of ``value`` per group (partial aggregation map-side)."""
     return df.groupBy(*keys).agg(F.round(F.avg(value), 6).alias(name), F.count(F.lit(1)).alias("n"))

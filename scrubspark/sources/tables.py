@@ -80,34 +80,40 @@ def null_tokens(df: DataFrame, tokens=DEFAULT_NA_TOKENS, columns: list[str] | No
 
 def read_csv(spark: SparkSession, path: str, na_tokens=DEFAULT_NA_TOKENS,
              infer_schema: bool = True) -> DataFrame:
-    """CSV upload (S1): header row, tokens to NULL, then numbers re-inferred.
+    """CSV upload (S1): header row, quoted line breaks, tokens to NULL, then types inferred.
 
     Spark's CSV reader keeps ``N/A`` as text, which would make a numeric
-    column a text column; tokens are nulled first and the schema is then
-    re-inferred on the cleaned text so such a column comes back numeric.
+    column a text column; tokens are nulled first and the types are then
+    inferred on the cleaned text, all columns in one aggregate.  A column is
+    bigint if every value is a whole number of that range, double if every
+    value is a number or an infinity (whole numbers past bigint stay text:
+    a double would not keep their digits), boolean if every value is
+    ``True`` or ``False`` in any case, and text otherwise.
     """
-    raw = spark.read.option("header", True).option("inferSchema", False).csv(path)
+    raw = (spark.read.option("header", True).option("inferSchema", False)
+           .option("multiLine", True).option("quote", '"').option("escape", '"').csv(path))
     cleaned = null_tokens(raw, na_tokens)
     if not infer_schema:
         return cleaned
-    from scrubspark.functions.numeric import NUMBER_PATTERN
-    # One aggregate decides, per column, whether every non-null value parses
-    # as a number and whether as an integer.
-    checks = []
-    for i, c in enumerate(cleaned.columns):
+    from scrubspark.functions.numeric import parse_number
+    whole = r"^\s*[+-]?[0-9]+\s*$"
+    rules = {}
+    for c in cleaned.columns:
         col = F.col(f"`{c}`")
-        checks += [F.bool_and(col.isNull() | col.rlike(NUMBER_PATTERN)).alias(f"n{i}"),
-                   F.bool_and(col.isNull() | col.rlike(r"^\s*[+-]?[0-9]+\s*$")).alias(f"i{i}")]
+        text = F.trim(col)
+        rules[c] = (("bigint", text.try_cast("bigint"), col.rlike(whole) & text.try_cast("bigint").isNotNull()),
+                    ("double", parse_number(col), parse_number(col).isNotNull() & (
+                        ~col.rlike(whole) | text.try_cast("bigint").isNotNull())),
+                    ("boolean", F.lower(text) == "true", F.lower(text).isin("true", "false")))
+    # A column without any value stays text.
+    checks = [F.coalesce(F.bool_and(F.when(F.col(f"`{c}`").isNotNull(), fits)), F.lit(False)).alias(f"{kind}{i}")
+              for i, c in enumerate(cleaned.columns) for kind, _, fits in rules[c]]
     row = cleaned.agg(*checks).first()
     out = []
     for i, c in enumerate(cleaned.columns):
         col = F.col(f"`{c}`")
-        if row[f"n{i}"] and row[f"i{i}"]:
-            out.append(F.trim(col).try_cast("bigint").alias(c))
-        elif row[f"n{i}"]:
-            out.append(F.trim(col).try_cast("double").alias(c))
-        else:
-            out.append(col)
+        made = next((value for kind, value, _ in rules[c] if row[f"{kind}{i}"]), col)
+        out.append(made.alias(c))
     return cleaned.select(*out)
 
 
@@ -117,4 +123,6 @@ def write_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    df.write.mode(mode).option("header", True).csv(path)
+    """CSV sink, read back whole by ``read_csv``: quotes doubled, blanks kept."""
+    (df.write.mode(mode).option("header", True).option("escape", '"').option("quoteAll", True)
+     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
