@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 import __spark_entry__ as entry
 
 from scrubspark.catalog import fixtures as fx
@@ -114,3 +116,14 @@ def test_shuffle_ranks_with_many_hot_keys(spark):
     pairs = [(r["_u"], r["k"]) for r in rows]
     assert pairs == sorted(pairs)
     assert sorted(r["o_orderkey"] for r in rows) == sorted(r[0] for r in o.collect())
+
+
+def test_sample_is_the_same_by_any_path_and_partitioning(spark):
+    """Repeated keys tie on (draw, key); the row hash decides, so both paths pick the same rows."""
+    o = spark.range(600).select((F.col("id") % 5).alias("k"), F.col("id").alias("v"))
+    want = None
+    for parts in (3, 7):
+        for limit in (0, 100_000):
+            got = sorted(map(tuple, inject.sample_n(o.repartition(parts), 150, "k", topk_limit=limit).collect()))
+            want = want or got
+            assert got == want and len(got) == 150

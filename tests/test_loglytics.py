@@ -73,3 +73,13 @@ def test_last_n_cuts_before_the_shuffle(spark):
     out.write.format("noop").mode("overwrite").save()
     assert "WindowGroupLimit" in plan_text(out)
     assert out.groupBy("conv_id").count().agg(F.max("count")).first()[0] <= 4
+
+
+def test_smoothing_follows_the_length_of_a_group(spark):
+    rows = [("long", i, float(i)) for i in range(60)] + [("short", i, 1.0) for i in range(10)] + \
+           [("mid", i, float(i)) for i in range(11)]
+    df = spark.createDataFrame(rows, "g string, i int, v double")
+    out = {(r["g"], r["i"]): (r["width"], r["moving_avg"]) for r in la.smoothed(df, ["g"], "i", "v").collect()}
+    assert {g for g, _ in out} == {"long", "mid"}
+    assert out[("long", 2)] == (3, 1.0) and out[("long", 59)] == (3, 58.0) and ("long", 1) not in out
+    assert out[("mid", 0)] == (1, 0.0) and len([1 for g, _ in out if g == "mid"]) == 11

@@ -27,3 +27,12 @@ def test_clamp_and_validate(spark):
     assert v[0]["reason"] == "confidence out of range" and v[1]["reason"] == "unknown action_type"
     assert v[0]["column"] == "a" and v[2]["confidence"] == 0.5
     assert F is not None
+
+
+def test_confidence_given_as_text_counts(spark):
+    df = spark.createDataFrame([('{"action_type": "done", "confidence": "0.9"}',), ('{"action_type": "done", "confidence": 0.25}',),
+                                ('{"action_type": "done", "confidence": "high"}',), ("no json",)], "raw string")
+    out = replies.parse_actions(df, "raw").withColumn("action", replies.action_or_done())
+    assert sorted(str(r["action"]["confidence"]) for r in out.collect()) == ["0.25", "0.5", "0.9", "None"]
+    clamped = out.select(replies.clamp_confidence("action.confidence").alias("c")).collect()
+    assert sorted(r["c"] for r in clamped) == [0.25, 0.5, 0.5, 0.9]
