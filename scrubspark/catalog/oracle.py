@@ -506,3 +506,51 @@ ORACLE["grade_capped"] = """SELECT 0.05::DOUBLE AS drop_bonus, round(least(0.5 +
 ORACLE["csv_text_roundtrip"] = """SELECT doc_id, md5(text) AS text_md5,
     '1234567890123456' || lpad(CAST(doc_id AS VARCHAR), 9, '0') AS long_id, doc_id % 2 = 0 AS even,
     CASE WHEN doc_id % 3 = 0 THEN 'Infinity' ELSE '1.5' END AS x_text FROM documents"""
+
+
+def _auto_clean_sql():
+    """The auto-clean rounds as chained CTEs: a table ``a<k>``, its profile ``cs<k>`` and header ``d<k>``, and the
+    action that the profile calls for.  The tables follow the order of actions on this fixture; the action of each
+    round is decided by that round's own figures, so a wrong decision shows as a differing row.
+    """
+    text = specs.DIRTY_ORDERS_COLS
+    parsed = [(c, "double" if c == "qty_text" else t) for c, t in text]
+
+    def but(view, **made):
+        names = ", ".join(f"{made[c]} AS {c}" if c in made else c for c, _ in text)
+        return f"SELECT {names} FROM {view}"
+    tables = [
+        ("SELECT * FROM dirty_orders", text),
+        ("SELECT DISTINCT * FROM a0", text),
+        (but("a1", qty_text=_PQ), parsed),
+        (but("a2", o_totalprice="coalesce(o_totalprice, (SELECT quantile_cont(o_totalprice, 0.5) FROM a2))"), parsed),
+        (but("a3", qty_text="coalesce(qty_text, (SELECT quantile_cont(qty_text, 0.5) FROM a3))"), parsed),
+        (but("a4", o_orderpriority="coalesce(o_orderpriority, (SELECT o_orderpriority FROM a4 WHERE o_orderpriority "
+             "IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1))"), parsed),
+        (but("a5, (SELECT q1 - 1.5 * (q3 - q1) AS lo, q3 + 1.5 * (q3 - q1) AS hi FROM cs5 WHERE name = 'o_totalprice')",
+             o_totalprice="CASE WHEN o_totalprice < lo THEN lo WHEN o_totalprice > hi THEN hi ELSE o_totalprice END"), parsed),
+    ]
+    ctes, actions = [], []
+    for k, (sql, cols) in enumerate(tables):
+        ctes += [f"a{k} AS ({sql})", col_stats_sql(f"a{k}", cols).replace("colstats", f"cs{k}"), dup_rate_sql(f"a{k}", f"d{k}")]
+
+        def first(cond, order="ordinal", k=k):
+            return f"(SELECT name FROM cs{k} WHERE {cond} ORDER BY {order} LIMIT 1)"
+        actions.append(f"""SELECT {k} AS step, (SELECT duplicate_rate FROM d{k}) > 0.005 AS dup,
+            {first("parse_rate > 0.7")} AS chaos, {first("null_rate > 0.01", "null_rate DESC, ordinal")} AS nulls,
+            {first("outlier_frac > 0.05")} AS outl""")
+    last = len(tables) - 1
+
+    def on_last(expr):
+        return expr.replace("colstats", f"cs{last}").replace("dupstats", f"d{last}").replace("dirty_orders", f"a{last}")
+    score = on_last(f"round(least(0.20 * {_ORDERS_NULL} + 0.20 + 0.20 * {_ORDERS_OUT} + 0.15 * {_DUP} "
+                    f"+ 0.20 * {_ORDERS_RULES}, 1.0), 4)")
+    return (DO + ", " + ", ".join(ctes) + ", seen AS (" + " UNION ALL ".join(actions) + f"""),
+      graded AS (SELECT {score} AS score)
+      SELECT step, CASE WHEN dup THEN 'remove_duplicates' WHEN chaos IS NOT NULL THEN 'fix_dtype'
+          WHEN nulls IS NOT NULL THEN 'fill_nulls' WHEN outl IS NOT NULL THEN 'clip_outliers' ELSE 'done' END AS action_type,
+        CASE WHEN NOT dup THEN coalesce(chaos, nulls, outl) END AS "column", true AS success, false AS noop,
+        score, score >= 0.80 AS passed, CAST({last + 1} AS INTEGER) AS steps FROM seen, graded""")
+
+
+ORACLE["auto_clean_grade"] = _auto_clean_sql()
