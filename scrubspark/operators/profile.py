@@ -3,11 +3,14 @@
 ``fit_profile`` computes every per-column figure in a fixed number of jobs,
 independent of the number of rows:
 
-* one global aggregate for null counts, numeric moments, text parse counts
-  and distinct counts (``exact=False`` switches to HyperLogLog);
+* one global aggregate for null counts, numeric moments and text parse counts
+  (with ``exact=False`` also HyperLogLog distinct counts);
+* exact distinct counts by groups of ``DISTINCT_GROUP`` columns, so a row is
+  expanded at most that many times and carries that many columns, however
+  wide the table is; ``distinct=False`` leaves them out;
 * exact quartiles per numeric column (``stats.quantiles``);
 * one global aggregate counting values outside every column's IQR fences;
-* optionally one top-3-per-column job for sample values.
+* optionally sample values (see ``sample_values``).
 
 The result is a list of small dicts (one per column); ``profile`` turns it
 into a DataFrame.  Only these per-column figures reach the driver.
@@ -18,7 +21,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from scrubspark.sources.tables import normalize
 from scrubspark.functions.numeric import is_numeric_type, is_text_type, parse_number
@@ -32,6 +34,11 @@ HAS_NULLS = 0.01
 HEAVY_OUTLIERS = 0.05
 TYPE_CHAOS = 0.7
 
+# Columns whose exact distinct counts share one aggregate.
+DISTINCT_GROUP = 4
+# Rows looked at first for sample values.
+SAMPLE_ROWS = 100
+
 PROFILE_SCHEMA = T.StructType([
     T.StructField("ordinal", T.IntegerType()),
     T.StructField("name", T.StringType()),
@@ -65,17 +72,34 @@ def fit_profile(df: DataFrame, order_by: list[str] | None = None, exact: bool =
 
 
 def fit_profile_and_header(df: DataFrame, order_by: list[str] | None = None, exact: bool = True,
-                           samples: int = 3, header: bool = True,
-                           columns: list[str] | None = None) -> tuple[list[dict], dict | None]:
+                           samples: int = 3, header: bool = True, columns: list[str] | None = None,
+                           distinct: bool = True) -> tuple[list[dict], dict | None]:
     """The profile and (with ``header``) the table header from the same jobs: the
     distinct-row count joins the main aggregate as ``count(DISTINCT struct(*))``,
     which treats NULLs as equal like a grouping does.  ``columns`` limits the
-    profile to those columns (the header still covers the whole row)."""
+    profile to those columns (the header still covers the whole row).
+    ``distinct=False`` leaves ``n_unique`` NULL, for callers that do not read it."""
     with stats.persisted(df):
-        return _fit_profile(normalize(df), order_by, exact, samples, header, columns)
-
-
-def _fit_profile(df: DataFrame, order_by, exact, samples, header, columns=None
+        return _fit_profile(normalize(df), order_by, exact, samples, header, columns, distinct)
+
+
+def distinct_counts(df: DataFrame, columns: list[str]) -> dict[str, int]:
+    """Exact distinct non-null values of each column: one aggregate for each group of
+    ``DISTINCT_GROUP`` columns, all in one job."""
+    if not columns:
+        return {}
+    parts = []
+    for at in range(0, len(columns), DISTINCT_GROUP):
+        group = columns[at:at + DISTINCT_GROUP]
+        one = df.agg(*[F.count_distinct(_c(c)).alias(f"u{at + j}") for j, c in enumerate(group)])
+        parts.append(one.select(F.lit(at).alias("at"), F.array(*one.columns).alias("n")))
+    union = parts[0]
+    for p in parts[1:]:
+        union = union.unionAll(p)
+    return {columns[r["at"] + j]: n for r in union.collect() for j, n in enumerate(r["n"])}
+
+
+def _fit_profile(df: DataFrame, order_by, exact, samples, header, columns=None, distinct=True
                  ) -> tuple[list[dict], dict | None]:
     fields = [(i, f) for i, f in enumerate(df.schema.fields) if columns is None or f.name in columns]
     exprs = [F.count(F.lit(1)).alias("__rows")]
@@ -86,7 +110,8 @@ def _fit_profile(df: DataFrame, order_by, exact, samples, header, columns=None
     for i, f in fields:
         c = _c(f.name)
         exprs.append(F.count(c).alias(f"nn{i}"))
-        exprs.append((F.count_distinct(c) if exact else F.approx_count_distinct(c)).alias(f"u{i}"))
+        if distinct and not exact:
+            exprs.append(F.approx_count_distinct(c).alias(f"u{i}"))
         if is_numeric_type(f.dataType):
             v = c.cast("double")
             exprs += [F.avg(v).alias(f"mean{i}"), F.stddev_samp(v).alias(f"std{i}"),
@@ -94,6 +119,10 @@ def _fit_profile(df: DataFrame, order_by, exact, samples, header, columns=None
         elif is_text_type(f.dataType):
             exprs.append(F.count(parse_number(c)).alias(f"p{i}"))
     row = df.agg(*exprs).first()
+    unique = {}
+    if distinct:
+        unique = (distinct_counts(df, [f.name for _, f in fields]) if exact
+                  else {f.name: row[f"u{i}"] for i, f in fields})
     n_rows = row["__rows"]
     prof = []
     for i, f in fields:
@@ -102,7 +131,7 @@ def _fit_profile(df: DataFrame, order_by, exact, samples, header, columns=None
              "is_numeric": is_numeric_type(f.dataType), "is_text": is_text_type(f.dataType),
              "n_rows": n_rows, "n_values": nn,
              "null_rate": (n_rows - nn) / n_rows if n_rows else 0.0,
-             "n_unique": row[f"u{i}"], "mean": None, "std": None, "min": None, "max": None,
+             "n_unique": unique.get(f.name), "mean": None, "std": None, "min": None, "max": None,
              "q1": None, "q3": None, "outlier_frac": None, "parse_rate": None,
              "flags": [], "sample_values": None}
         if d["is_numeric"] and nn > 0:
@@ -149,27 +178,48 @@ def _fit_profile(df: DataFrame, order_by, exact, samples, header, columns=None
 
 
 def sample_values_frame(df: DataFrame, order_by: list[str], n: int = 3) -> DataFrame:
-    """(name, sample_values): the first ``n`` non-null values of every column by ``order_by``.
+    """(name, sample_values): the first ``n`` non-null values of every column by ``order_by``."""
+    got = sample_values(df, order_by, n)
+    return df.sparkSession.createDataFrame([(k, v) for k, v in got.items() if v],
+                                           "name string, sample_values array<string>")
 
-    The table is melted to (column, text value, order key); ``row_number() <= n``
-    per column lets Spark cut each column to ``n`` rows per map task before the
-    shuffle (partial WindowGroupLimit), so one task sees n x tasks rows per column.
-    """
-    order_cols = [_c(o) for o in order_by]
-    cells = F.array(*[F.struct(F.lit(f.name).alias("name"), F.lit(i).alias("ord"),
-                               _c(f.name).cast("string").alias("val"))
-                      for i, f in enumerate(df.schema.fields)])
-    okeys = [o.alias(f"__o{i}") for i, o in enumerate(order_cols)]
-    melted = df.select(*okeys, F.inline(cells)).where(F.col("val").isNotNull())
-    w = Window.partitionBy("name").orderBy(*[F.col(f"__o{i}") for i in range(len(order_cols))])
-    top = melted.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= n)
-    return (top.groupBy("name", "ord")
-            .agg(F.transform(F.array_sort(F.collect_list(F.struct("__rn", "val"))),
-                             lambda s: s["val"]).alias("sample_values")))
+
+def _first_values(keys: list[str], column: str, n: int) -> Column:
+    cells = F.array_sort(F.collect_list(F.when(_c(column).isNotNull(), F.struct(*keys, _c(column).alias("val")))))
+    return F.transform(F.slice(cells, 1, n), lambda s: s["val"]).alias(column)
 
 
 def sample_values(df: DataFrame, order_by: list[str], n: int = 3) -> dict[str, list[str]]:
-    return {r["name"]: list(r["sample_values"]) for r in sample_values_frame(df, order_by, n).collect()}
+    """The first ``n`` non-null values, as text, of every column by ``order_by``.
+
+    The first ``SAMPLE_ROWS`` rows serve every column that has ``n`` values among
+    them; each other column gets a top-``n`` of its own over two pruned columns.
+    A top-n keeps n rows per task, so no cell is sorted or moved besides.
+    """
+    with stats.persisted(df):
+        return _sample_values(df, order_by, n)
+
+
+def _sample_values(df, order_by, n):
+    names = [f.name for f in df.schema.fields]
+    keys = [f"k{i}" for i in range(len(order_by))]
+    okeys = [_c(o).alias(k) for o, k in zip(order_by, keys)]
+    at_most = max(SAMPLE_ROWS, n)
+    head = df.select(*okeys, *[_c(c).cast("string").alias(f"c{i}") for i, c in enumerate(names)])
+    head = head.orderBy(*keys).limit(at_most)
+    row = head.agg(F.count(F.lit(1)).alias("rows"), *[_first_values(keys, f"c{i}", n) for i in range(len(names))]).first()
+    out = {c: list(row[f"c{i}"]) for i, c in enumerate(names)}
+    tops = []
+    for i, c in enumerate(names):
+        if len(out[c]) < n and row["rows"] == at_most:
+            top = df.where(_c(c).isNotNull()).select(*okeys, _c(c).cast("string").alias("val")).orderBy(*keys).limit(n)
+            tops.append(top.agg(_first_values(keys, "val", n)).select(F.lit(i).alias("i"), "val"))
+    if tops:
+        union = tops[0]
+        for t in tops[1:]:
+            union = union.unionAll(t)
+        out.update({names[r["i"]]: list(r["val"]) for r in union.collect()})
+    return out
 
 
 def profile(df: DataFrame, order_by: list[str] | None = None, exact: bool = True,

@@ -138,15 +138,17 @@ def persisted(df: DataFrame):
         yield df
 
 
-def select_ranks_many(values: DataFrame, targets: dict[int, tuple[int, list[int]]],
+def select_ranks_many(df: DataFrame, columns: dict[int, Column], targets: dict[int, tuple[int, list[int]]],
                       limit: int = QUANTILE_TASK_LIMIT, accuracy: int = APPROX_ACCURACY
                       ) -> dict[int, dict[int, float]]:
     """Exact values at 0-based ranks, for several columns at once.
 
-    ``values`` has columns ``k`` (column id) and ``v`` (non-null double);
-    ``targets`` maps k -> (count of values, ranks wanted).
+    ``columns`` maps an id to a double column of ``df`` (NULL where it does not
+    count); ``targets`` maps the id to (count of values, ranks wanted).  Each
+    bracket is an aggregate over its own column of the row as it lies, so the
+    work is rows x brackets; only the values of the final small brackets become
+    rows of their own.
     """
-    v, kc = F.col("v"), F.col("k")
     wins = []
     for k, (n, ranks) in targets.items():
         groups: list[list[int]] = []
@@ -161,9 +163,15 @@ def select_ranks_many(values: DataFrame, targets: dict[int, tuple[int, list[int]
         wins += [{"k": k, "ranks": g, "lo": None, "hi": None, "offset": 0, "size": n,
                   "eps": 2.0 / accuracy, "done": False} for g in groups]
 
-    def member(w, lo=None, hi=None, use_own=True):
-        a, b = (w["lo"], w["hi"]) if use_own else (lo, hi)
-        return (kc == F.lit(w["k"])) & _window_cond(v, a, b)
+    def inside_of(w, lo, hi):
+        v = columns[w["k"]]
+        return v.isNotNull() & _window_cond(v, lo, hi)
+
+    def members(ws):
+        """(w, v): the values inside each of the numbered windows ``ws``."""
+        cells = [F.when(inside_of(w, w["lo"], w["hi"]), F.struct(F.lit(i).alias("w"), columns[w["k"]].alias("v")))
+                 for i, w in ws]
+        return df.select(F.inline(F.array_compact(F.array(*cells))))
 
     for _ in range(64):
         big = [w for w in wins if w["size"] > limit and not w["done"]]
@@ -177,8 +185,9 @@ def select_ranks_many(values: DataFrame, targets: dict[int, tuple[int, list[int]
             f0 = max(0.0, lr0 / denom - w["eps"])
             f1 = min(1.0, lr1 / denom + w["eps"])
             w["_f"] = (f0, f1)
-            aggs.append(F.percentile_approx(F.when(member(w), v), [f0, f1], accuracy).alias(f"a{i}"))
-        row = values.agg(*aggs).first()
+            aggs.append(F.percentile_approx(F.when(inside_of(w, w["lo"], w["hi"]), columns[w["k"]]), [f0, f1],
+                                            accuracy).alias(f"a{i}"))
+        row = df.agg(*aggs).first()
         proposals = []
         for i, w in enumerate(big):
             a, b = row[f"a{i}"]
@@ -189,10 +198,9 @@ def select_ranks_many(values: DataFrame, targets: dict[int, tuple[int, list[int]
         cexprs = []
         for i, (a, b) in enumerate(proposals):
             w = big[i]
-            below = F.lit(0) if a is None else F.count(F.when((kc == F.lit(w["k"])) & (v < F.lit(a)), 1))
-            cexprs += [below.alias(f"below{i}"),
-                       F.count(F.when(member(w, a, b, use_own=False), 1)).alias(f"in{i}")]
-        crow = values.agg(*cexprs).first()
+            below = F.lit(0) if a is None else F.count(F.when(columns[w["k"]] < F.lit(a), 1))
+            cexprs += [below.alias(f"below{i}"), F.count(F.when(inside_of(w, a, b), 1)).alias(f"in{i}")]
+        crow = df.agg(*cexprs).first()
         for i, w in enumerate(big):
             a, b = proposals[i]
             below, inside = crow[f"below{i}"], crow[f"in{i}"]
@@ -217,9 +225,7 @@ def select_ranks_many(values: DataFrame, targets: dict[int, tuple[int, list[int]
     if small:
         # One job: each window (at most ``limit`` values) becomes one sorted
         # list in one task, and only the values at the wanted ranks return.
-        tags = F.array_compact(F.array(*[F.when(member(w), F.lit(i)) for i, w in small]))
-        lists = (values.select(F.explode(tags).alias("w"), v).groupBy("w")
-                 .agg(F.array_sort(F.collect_list("v")).alias("a")))
+        lists = members(small).groupBy("w").agg(F.array_sort(F.collect_list("v")).alias("a"))
         picks = [F.when(F.col("w") == i, F.struct(F.lit(r).alias("r"),
                                                    F.element_at("a", r - w["offset"] + 1).alias("v")))
                  for i, w in small for r in w["ranks"]]
@@ -230,9 +236,7 @@ def select_ranks_many(values: DataFrame, targets: dict[int, tuple[int, list[int]
     if rest:
         # Windows that could not be narrowed hold few distinct values: count
         # per distinct value (combined map-side) and rank those counts.
-        tags = F.array_compact(F.array(*[F.when(member(w), F.lit(i)) for i, w in rest]))
-        counted = (values.select(F.explode(tags).alias("w"), v).groupBy("w", "v")
-                   .agg(F.count(F.lit(1)).alias("c")))
+        counted = members(rest).groupBy("w", "v").agg(F.count(F.lit(1)).alias("c"))
         ordered = Window.partitionBy("w").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
         cum = counted.withColumn("hi", F.sum("c").over(ordered))
         cond = F.lit(False)
@@ -251,8 +255,7 @@ def select_ranks_many(values: DataFrame, targets: dict[int, tuple[int, list[int]
 def select_ranks(values: DataFrame, n: int, ranks: list[int], limit: int = QUANTILE_TASK_LIMIT,
                  accuracy: int = APPROX_ACCURACY) -> dict[int, float]:
     """Exact values at 0-based ``ranks`` of the sorted column ``v`` of ``values``."""
-    vals = values.select(F.lit(0).alias("k"), "v")
-    return select_ranks_many(vals, {0: (n, ranks)}, limit, accuracy)[0]
+    return select_ranks_many(values, {0: F.col("v")}, {0: (n, ranks)}, limit, accuracy)[0]
 
 
 def _plan(n: int, probs: list[float]):
@@ -287,23 +290,19 @@ def quantiles_many(df: DataFrame, cols: list[str], probs: list[float], exact: bo
     for c in cols:
         if not is_numeric_type(df.schema[c].dataType):
             raise ValueError(f"'{c}' not numeric.")
-    cells = F.array(*[F.struct(F.lit(i).alias("k"), _c(c).cast("double").alias("v")) for i, c in enumerate(cols)])
-    vals = df.select(F.inline(cells)).where(F.col("v").isNotNull() & ~F.isnan("v"))
+    vals = {i: F.when(~F.isnan(_c(c).cast("double")), _c(c).cast("double")) for i, c in enumerate(cols)}
     if not exact:
-        aggs = [F.percentile_approx(F.when(F.col("k") == i, F.col("v")), list(probs), accuracy).alias(f"q{i}")
-                for i in range(len(cols))]
-        row = vals.agg(*aggs).first()
+        row = df.agg(*[F.percentile_approx(v, list(probs), accuracy).alias(f"q{i}") for i, v in vals.items()]).first()
         return {c: (list(row[f"q{i}"]) if row[f"q{i}"] is not None else [None] * len(probs))
                 for i, c in enumerate(cols)}
     if counts is None or any(c not in counts for c in cols):
-        row = df.agg(*[F.count(F.when(~F.isnan(_c(c).cast("double")), _c(c))).alias(f"n{i}")
-                       for i, c in enumerate(cols)]).first()
+        row = df.agg(*[F.count(v).alias(f"n{i}") for i, v in vals.items()]).first()
         counts = {c: row[f"n{i}"] for i, c in enumerate(cols)}
     plans, targets = {}, {}
     for i, c in enumerate(cols):
         if counts[c]:
             plans[c], ranks = _plan(counts[c], probs)
             targets[i] = (counts[c], ranks)
-    got = select_ranks_many(vals, targets, limit, accuracy) if targets else {}
+    got = select_ranks_many(df, vals, targets, limit, accuracy) if targets else {}
     return {c: (_interpolate(got[i], plans[c]) if c in plans else [None] * len(probs))
             for i, c in enumerate(cols)}

@@ -42,13 +42,13 @@ def _refit(cur, prof, header, action, exact):
     at, col = action.action_type, action.column
     names = cur.columns
     if at in ONE_COLUMN and col in names and prof is not None:
-        new, head = profiling.fit_profile_and_header(cur, exact=exact, columns=[col])
+        new, head = profiling.fit_profile_and_header(cur, exact=exact, columns=[col], distinct=False)
         by_name = {d["name"]: d for d in new}
         return [by_name.get(d["name"], d) for d in prof], head
     if at == "rename_column" and prof is not None:
         new_name = action.param("new_name")
         return [dict(d, name=new_name) if d["name"] == col else d for d in prof], header
-    return profiling.fit_profile_and_header(cur, exact=exact)
+    return profiling.fit_profile_and_header(cur, exact=exact, distinct=False)
 
 
 def _auto_clean(df, spec, max_steps, order_by, exact, checkpoint):
@@ -62,7 +62,7 @@ def _auto_clean(df, spec, max_steps, order_by, exact, checkpoint):
         # One materialisation per round; every statistic of the round reads it.
         cur = current if current is df else current.persist(StorageLevel.MEMORY_AND_DISK)
         if last is None:
-            prof, header = profiling.fit_profile_and_header(cur, exact=exact)
+            prof, header = profiling.fit_profile_and_header(cur, exact=exact, distinct=False)
         elif last[1]:
             prof, header = _refit(cur, prof, header, last[0], exact)
         if prev is not None and prev is not cur:

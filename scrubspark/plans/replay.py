@@ -40,12 +40,12 @@ def digest(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
 
 
 def replay(raw: DataFrame, log_df: DataFrame, spec=None, order_by=None, exact: bool = True) -> DataFrame:
-    """V1: re-apply the successful logged actions, in step order, to ``raw``.
+    """V1: re-apply the successful logged actions that changed something, in step order, to ``raw``.
 
     The log is small (one row per action) and is read on the driver; the
     table work is the same lazy plan as the original run.
     """
-    rows = log_df.where(F.col("success")).orderBy("step").collect()
+    rows = log_df.where(F.col("success") & ~F.col("noop")).orderBy("step").collect()
     actions = [Action.from_row(r) for r in rows]
     out, replay_log = clean(raw, actions, spec, order_by, exact)
     failed = replay_log.where(~F.col("success")).limit(1).count()
@@ -57,7 +57,6 @@ def replay(raw: DataFrame, log_df: DataFrame, spec=None, order_by=None, exact: b
 def verify(raw: DataFrame, log_df: DataFrame, current: DataFrame, spec=None, order_by=None,
            exact: bool = True) -> DataFrame:
     """V3: one row (replay_ok, n_rows, digest, replay_digest).  An empty log is not reproducible."""
-    spark = current.sparkSession
     cur = digest(current)
     if log_df.limit(1).count() == 0:
         return cur.select(F.lit(False).alias("replay_ok"), "n_rows", "digest",
@@ -70,5 +69,4 @@ def verify(raw: DataFrame, log_df: DataFrame, current: DataFrame, spec=None, ord
                           F.lit(None).cast("string").alias("replay_digest"))
     j = stats.side_by_side(cur, rep)
     same = (F.col("n_rows") == F.col("r_rows")) & (F.col("digest") == F.col("replay_digest"))
-    del spark
     return j.select(same.alias("replay_ok"), "n_rows", "digest", "replay_digest")

@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from scrubspark.operators import grade as G
 from scrubspark.operators import profile as P
@@ -92,3 +93,18 @@ def test_profile_samples_are_first_by_order(spark):
     df = spark.createDataFrame([(3, "c"), (1, None), (2, "b"), (0, "a"), (4, "d")], "k bigint, v string")
     got = P.sample_values(df, ["k"], 3)
     assert got["v"] == ["a", "b", "c"] and got["k"] == ["0", "1", "2"]
+
+
+def test_samples_of_a_sparse_column_come_from_all_rows(spark):
+    df = spark.range(5000).select(F.col("id").alias("k"), F.when(F.col("id") >= 4990, F.col("id")).alias("v"),
+                                  F.lit(None).cast("string").alias("none"))
+    got = P.sample_values(df.repartition(7), ["k"], 3)
+    assert got == {"k": ["0", "1", "2"], "v": ["4990", "4991", "4992"], "none": []}
+
+
+def test_distinct_counts_in_groups(spark):
+    df = spark.range(1000).select(*[(F.col("id") % m).alias(f"c{m}") for m in (1, 3, 7, 10, 11, 13, 1000)],
+                                  F.when(F.col("id") % 2 == 0, F.col("id") % 5).alias("n"))
+    assert P.distinct_counts(df, df.columns) == {"c1": 1, "c3": 3, "c7": 7, "c10": 10, "c11": 11, "c13": 13,
+                                                 "c1000": 1000, "n": 5}
+    assert all(d["n_unique"] is None for d in P.fit_profile_and_header(df, distinct=False)[0])
