@@ -1,11 +1,12 @@
 """Toxicity by fuzzy lexicon matching and context windows.
 
-The lexicon is learned: words and word beginnings (stems) that labelled toxic documents use and others do
-not.  Its trie is intersected with Levenshtein automata (one edit for words of 5 to 9 letters, two for
+The lexicon is learned: words and word beginnings (stems) that labelled toxic documents use at a far higher
+rate than others, which may use or quote them too.  Its trie is intersected with Levenshtein automata (one edit for words of 5 to 9 letters, two for
 longer, none for shorter words and stems) into one deterministic table, built once on the driver and
 bounded by ``LEXICON`` terms.  Every word of every text runs through the table; nearly all die after two
 or three letters.  A hit is judged by its window: quotation marks around it or reporting words before it
-speak for quotation, address of a person for abuse.  A logistic model of the hits' counts scores a text.
+speak for quotation, address of a person for abuse.  A logistic model of the hits' counts scores a text;
+hits of stems, which clean texts have singly, are counted apart from those of words.
 
 Training takes at most about ``SAMPLE_DOCS`` labelled documents; scoring covers every whole text.
 
@@ -97,13 +98,18 @@ class Automaton:
         self.table = np.array(rows, np.int32)
         self.hit = np.array([1 if s == "stem" else 1 + min([e for n, e in s if ends[n] is not None and e <= ends[n]],
                                                            default=-1) for s in order], np.int8)
+        self.stem = np.array([s == "stem" for s in order])
 
     def words(self, code: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-        """``hit`` of each word code[start:start + size], all words a letter at a time."""
+        """``hit`` of each word code[start:start + size]."""
+        return self.hit[self.states(code, start, size)]
+
+    def states(self, code: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Last state of each word, all words a letter at a time."""
         classes = np.zeros(0x110000, np.int32)
         for c, i in self.letters.items():
             classes[ord(c)] = i
-        out = np.zeros(len(start), np.int8)
+        out = np.full(len(start), DEAD, np.int32)
         live = np.flatnonzero(size <= LONGEST)
         state = np.ones(len(live), np.int32)
         step = 0
@@ -111,7 +117,7 @@ class Automaton:
             state = self.table[state, classes[code[start[live] + step]]]
             step += 1
             done = size[live] == step
-            out[live[done]] = self.hit[state[done]]
+            out[live[done]] = state[done]
             keep = ~done & (state != DEAD)
             live, state = live[keep], state[keep]
         return out
@@ -129,8 +135,9 @@ def word_bounds(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edge[::2], edge[1::2] - edge[::2]
 
 
-#: Counts of a text: direct and quoted hits without edits, with edits, and hits that address a person.
-FEATURES = 6
+#: Counts of a text: direct and quoted hits of words without edits, with edits, hits that address a person, share
+#: of direct hits of words; direct and quoted hits of stems, share of direct ones.
+FEATURES = 9
 
 
 def features(texts: list[str], auto: Automaton) -> np.ndarray:
@@ -138,7 +145,8 @@ def features(texts: list[str], auto: Automaton) -> np.ndarray:
     flat = "\n".join(low) + "\n"
     code = np.frombuffer(flat.encode("utf-32-le", "surrogatepass"), np.uint32)
     start, size = word_bounds(code)
-    hit = auto.words(code, start, size)
+    state = auto.states(code, start, size)
+    hit, stem = auto.hit[state], auto.stem[state]
     ends = np.cumsum([len(t) + 1 for t in low])
     n = np.zeros((len(texts), FEATURES))
     for k in np.flatnonzero(hit):
@@ -147,17 +155,18 @@ def features(texts: list[str], auto: Automaton) -> np.ndarray:
         left = flat[max(a - WINDOW, int(ends[doc - 1]) if doc else 0):a]
         right = flat[b:min(b + WINDOW, int(ends[doc]) - 1)]
         quoted = (left[-1:] in QUOTES and right[:1] in QUOTES and left and right) or bool(REPORT.search(left))
-        far = hit[k] > 1
-        n[doc, (2 if far else 0) + bool(quoted)] += 1
+        n[doc, (6 if stem[k] else 2 if hit[k] > 1 else 0) + bool(quoted)] += 1
         n[doc, 4] += bool(ADDRESS.search(left) or ADDRESS.search(right))
     words = np.bincount(np.searchsorted(ends, start, "right"), minlength=len(texts))
     n[:, 5] = (n[:, 0] + n[:, 2]) / np.maximum(words, 1) * 10
-    n[:, :5] = np.log1p(n[:, :5])
+    n[:, 8] = n[:, 6] / np.maximum(words, 1) * 10
+    counts = [0, 1, 2, 3, 4, 6, 7]
+    n[:, counts] = np.log1p(n[:, counts])
     return n
 
 
 def lexicon(rows: DataFrame, toxic: int, clean: int) -> tuple[list[str], list[str]]:
-    """(words, stems) of labelled rows (text, y), at most LEXICON each, the most used first."""
+    """(words, stems) of labelled rows (text, y), at most LEXICON each, by the ratio of their rates."""
     words = rows.select("y", F.explode(F.array_distinct(F.regexp_extract_all(
         F.lower("text"), F.lit(r"[\p{L}\p{N}]{3,40}"), F.lit(0)))).alias("w"))
     counts = stored(words.groupBy("w").agg(F.sum("y").alias("t"), F.sum(1 - F.col("y")).alias("c")), "toxic-words")
@@ -165,8 +174,9 @@ def lexicon(rows: DataFrame, toxic: int, clean: int) -> tuple[list[str], list[st
     precise = (F.col("t") / toxic) >= PRECISION * (F.col("t") / toxic + F.col("c") / clean)
 
     def best(df, least):
-        got = df.where((F.col("t") >= least) & precise & (F.col("t") > 10 * F.col("c")))
-        return got.orderBy(F.desc("t"), "w").limit(LEXICON)
+        # One use more in either class: a term of few uses does not come first for want of clean ones.
+        ratio = (F.col("t") + 1) / (F.col("c") + 1)
+        return df.where((F.col("t") >= least) & precise).orderBy(ratio.desc(), F.desc("t"), "w").limit(LEXICON)
 
     stems = counts.where(F.length("w") > min(STEMS)).select(
         "t", "c", F.col("w").alias("full"), F.explode(F.array(*[F.when(F.length("w") > n, F.substring("w", 1, n))

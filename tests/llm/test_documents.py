@@ -248,6 +248,17 @@ def test_quoted_and_direct_hits_differ():
     assert direct[0] > 0 and direct[1] == 0 and quoted[1] > 0 and quoted[0] == 0 and not none_.any()
 
 
+def test_terms_that_clean_documents_quote_are_learned(spark):
+    toxic = [(i, f"you are a grubax and voltem{'abcdefghij'[i % 10]}ka, voltem{'bcdefghija'[i % 10]}ka {i}", 1) for i in range(20)]
+    clean = [(i, f"plain prose number {i}" + (', the word "grubax" is old' if i % 50 == 0 else " on voltemaka" if i % 50 == 1 else ""), 0)
+             for i in range(20, 1020)]
+    docs = spark.createDataFrame(toxic + clean, "doc_id long, text string, y int")
+    words, stems = toxicity.lexicon(docs.drop("doc_id"), 20, 1000)
+    assert "grubax" in words and any("voltem".startswith(s) for s in stems)
+    rows = toxicity.scores(docs, docs.withColumnRenamed("y", "toxic")).join(docs, "doc_id").collect()
+    assert all(r["predicted"] == r["y"] for r in rows)
+
+
 @pytest.mark.parametrize("scores,target,least", [(toxicity.scores, "toxic", 0.9), (crf_quality.scores, "quality", 0.9)])
 def test_classifiers_are_right_on_held_out_rows(spark, odd, labels, none, scores, target, least):
     docs, lab = (spark.read.parquet(f"{SF_CHECK}/{t}.parquet") for t in ("documents", "labels"))
