@@ -98,7 +98,13 @@ class Automaton:
         self.table = np.array(rows, np.int32)
         self.hit = np.array([1 if s == "stem" else 1 + min([e for n, e in s if ends[n] is not None and e <= ends[n]],
                                                            default=-1) for s in order], np.int8)
-        self.stem = np.array([s == "stem" for s in order])
+        below = stem[:]
+        for node, k in enumerate(kids):
+            for kid in k.values():
+                below[kid] |= below[node]
+        # Stems, and misspelt words that begin with one.
+        self.stem = np.array([s == "stem" or any(below[n] and ends[n] is not None and e <= ends[n] and e + 1 == h for n, e in s)
+                              for s, h in zip(order, self.hit)])
 
     def words(self, code: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
         """``hit`` of each word code[start:start + size]."""
@@ -136,8 +142,9 @@ def word_bounds(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 #: Counts of a text: direct and quoted hits of words without edits, with edits, hits that address a person, share
-#: of direct hits of words; direct and quoted hits of stems, share of direct ones.
-FEATURES = 9
+#: of direct hits of words; direct and quoted hits of stems, share of direct ones; direct and quoted hits, with
+#: edits, of words that begin with a stem.
+FEATURES = 11
 
 
 def features(texts: list[str], auto: Automaton) -> np.ndarray:
@@ -155,12 +162,13 @@ def features(texts: list[str], auto: Automaton) -> np.ndarray:
         left = flat[max(a - WINDOW, int(ends[doc - 1]) if doc else 0):a]
         right = flat[b:min(b + WINDOW, int(ends[doc]) - 1)]
         quoted = (left[-1:] in QUOTES and right[:1] in QUOTES and left and right) or bool(REPORT.search(left))
-        n[doc, (6 if stem[k] else 2 if hit[k] > 1 else 0) + bool(quoted)] += 1
+        far = hit[k] > 1
+        n[doc, ((9 if far else 6) if stem[k] else 2 if far else 0) + bool(quoted)] += 1
         n[doc, 4] += bool(ADDRESS.search(left) or ADDRESS.search(right))
     words = np.bincount(np.searchsorted(ends, start, "right"), minlength=len(texts))
     n[:, 5] = (n[:, 0] + n[:, 2]) / np.maximum(words, 1) * 10
     n[:, 8] = n[:, 6] / np.maximum(words, 1) * 10
-    counts = [0, 1, 2, 3, 4, 6, 7]
+    counts = [0, 1, 2, 3, 4, 6, 7, 9, 10]
     n[:, counts] = np.log1p(n[:, counts])
     return n
 
@@ -185,8 +193,8 @@ def lexicon(rows: DataFrame, toxic: int, clean: int) -> tuple[list[str], list[st
         F.col("n") >= STEM_WORDS)
     stems = [r["w"] for r in best(stems, 4 * LEAST_DOCS).collect()]
     stems = [s for s in stems if not any(s != o and s.startswith(o) for o in stems)]
-    words = [r["w"] for r in best(counts, LEAST_DOCS).collect()]
-    return [w for w in words if not any(w.startswith(s) for s in stems)], stems
+    # Words that begin with a stem stay: the stem matches no misspelling of their first letters.
+    return [r["w"] for r in best(counts, LEAST_DOCS).collect()], stems
 
 
 def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 30) -> np.ndarray:

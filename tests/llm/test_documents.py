@@ -255,6 +255,8 @@ def test_terms_that_clean_documents_quote_are_learned(spark):
     docs = spark.createDataFrame(toxic + clean, "doc_id long, text string, y int")
     words, stems = toxicity.lexicon(docs.drop("doc_id"), 20, 1000)
     assert "grubax" in words and any("voltem".startswith(s) for s in stems)
+    # A stem adds matches and removes none: a misspelling of its first letters is still found.
+    assert toxicity.features(["on vltembka"], toxicity.Automaton(words, stems))[0, 2:].any()
     rows = toxicity.scores(docs, docs.withColumnRenamed("y", "toxic")).join(docs, "doc_id").collect()
     assert all(r["predicted"] == r["y"] for r in rows)
 
