@@ -4,8 +4,8 @@ The lexicon is learned: words and word beginnings (stems) that labelled toxic do
 rate than others, which may use or quote them too.  Its trie is intersected with Levenshtein automata (one edit for words of 5 to 9 letters, two for
 longer, none for shorter words and stems) into one deterministic table, built once on the driver and
 bounded by ``LEXICON`` terms.  Every word of every text runs through the table; nearly all die after two
-or three letters.  A hit is judged by its window: quotation marks around it or reporting words before it
-speak for quotation, address of a person for abuse.  A logistic model of the hits' counts scores a text;
+or three letters.  A hit is judged by its place: quotation marks at it or around its passage, however long, or
+reporting words before it speak for quotation, address of a person for abuse.  A logistic model of the hits' counts scores a text;
 hits of stems, which clean texts have singly, are counted apart from those of words.
 
 Training takes at most about ``SAMPLE_DOCS`` labelled documents; scoring covers every whole text.
@@ -35,6 +35,10 @@ WINDOW = 40
 DEAD = 0
 
 QUOTES = "\"'“”„«»‘’`"
+#: Quotation marks by family, those that only open or only close, and what ends an open quotation.
+FAMILY = {c: k for k, f in enumerate(['"', "'", "`", "“”„", "‘’", "«»"]) for c in f}
+OPEN_ONLY, CLOSE_ONLY = "„‘", "”’"
+MARK = re.compile(r"[\"'`“”„‘’«»]|\n[ \t]*\n")
 REPORT = re.compile(r"\b(?:said|says|called|wrote|quote|quoted|word|term|sagte|nannte|wort|dit|appel\w*|mot|dijo|llam\w*|palabra)\b[^.!?]*$")
 ADDRESS = re.compile(r"\b(?:you|your|you're|du|dich|ihr|euch|sie|tu|te|vous|toi|usted|ustedes|tú)\b")
 
@@ -141,6 +145,31 @@ def word_bounds(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edge[::2], edge[1::2] - edge[::2]
 
 
+def quotations(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, furthest end of this or an earlier one) of the quotations of ``text``, sorted, in one pass.
+
+    A mark opens before a word and closes after one, so apostrophes do neither; guillemets may stand apart and
+    point either way.  A blank line ends what is open.
+    """
+    opened, spans = {}, []
+    for m in MARK.finditer(text):
+        c, at = m[0], m.start()
+        if c not in FAMILY:
+            opened.clear()
+            continue
+        before, after = text[at - 1:at] or " ", text[at + 1:at + 2] or " "
+        k, guillemet = FAMILY[c], c in "«»"
+        first = opened.get(k)
+        if first is not None and c not in OPEN_ONLY and (
+                text[first] != c if guillemet else not before.isspace() and not after.isalnum()):
+            spans.append((opened.pop(k), at))
+        elif c not in CLOSE_ONLY and (guillemet or not before.isalnum() and not after.isspace()):
+            opened[k] = at
+    spans.sort()
+    at = np.array(spans, np.int64).reshape(-1, 2)
+    return at[:, 0], np.maximum.accumulate(at[:, 1])
+
+
 #: Counts of a text: direct and quoted hits of words without edits, with edits, hits that address a person, share
 #: of direct hits of words; direct and quoted hits of stems, share of direct ones; direct and quoted hits, with
 #: edits, of words that begin with a stem.
@@ -156,12 +185,18 @@ def features(texts: list[str], auto: Automaton) -> np.ndarray:
     hit, stem = auto.hit[state], auto.stem[state]
     ends = np.cumsum([len(t) + 1 for t in low])
     n = np.zeros((len(texts), FEATURES))
+    last = -1
     for k in np.flatnonzero(hit):
         a, b = int(start[k]), int(start[k] + size[k])
         doc = int(np.searchsorted(ends, a, "right"))
-        left = flat[max(a - WINDOW, int(ends[doc - 1]) if doc else 0):a]
+        first = int(ends[doc - 1]) if doc else 0
+        if doc != last:
+            last, (opens, closes) = doc, quotations(low[doc])
+        i = int(np.searchsorted(opens, a - first)) - 1
+        left = flat[max(a - WINDOW, first):a]
         right = flat[b:min(b + WINDOW, int(ends[doc]) - 1)]
-        quoted = (left[-1:] in QUOTES and right[:1] in QUOTES and left and right) or bool(REPORT.search(left))
+        quoted = ((left[-1:] in QUOTES and right[:1] in QUOTES and left and right)
+                  or (i >= 0 and closes[i] >= b - first) or bool(REPORT.search(left)))
         far = hit[k] > 1
         n[doc, ((9 if far else 6) if stem[k] else 2 if far else 0) + bool(quoted)] += 1
         n[doc, 4] += bool(ADDRESS.search(left) or ADDRESS.search(right))

@@ -248,6 +248,16 @@ def test_quoted_and_direct_hits_differ():
     assert direct[0] > 0 and direct[1] == 0 and quoted[1] > 0 and quoted[0] == 0 and not none_.any()
 
 
+@pytest.mark.parametrize("text,quoted", [
+    ('they shout "you are all idiot people here" daily', True), ("« quel idiot vraiment »", True), ("»so ein idiot aber«", True),
+    ("„so ein idiot aber“", True), ("“such an idiot he is”", True), ("he cried 'such an idiot, isn't he?' again", True),
+    ('"' + "far " * 100 + "idiot" + " off" * 100 + '"', True), ("don't be an idiot, it's bad", False),
+    ('"one" idiot "two"', False), ('a "line without end\n\nidiot here"', False), ('5" of idiot and 6" more', False)])
+def test_a_hit_inside_a_quoted_passage_is_quoted(text, quoted):
+    n = toxicity.features(["x", text], toxicity.Automaton(["idiot"], []))[1]
+    assert (n[1] > 0, n[0] > 0) == (quoted, not quoted)
+
+
 def test_terms_that_clean_documents_quote_are_learned(spark):
     toxic = [(i, f"you are a grubax and voltem{'abcdefghij'[i % 10]}ka, voltem{'bcdefghija'[i % 10]}ka {i}", 1) for i in range(20)]
     clean = [(i, f"plain prose number {i}" + (', the word "grubax" is old' if i % 50 == 0 else " on voltemaka" if i % 50 == 1 else ""), 0)
