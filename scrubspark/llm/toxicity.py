@@ -29,8 +29,8 @@ from scrubspark.llm.crf_quality import held_out_rows
 
 #: Labelled documents to learn from, terms of the lexicon, least documents of a term and its precision.
 SAMPLE_DOCS, LEXICON, LEAST_DOCS, PRECISION = 10_000, 256, 4, 0.9
-#: Lengths of stems, different words a stem must have, longest word that is read.
-STEMS, STEM_WORDS, LONGEST = (4, 5, 6), 6, 48
+#: Lengths of stems, different words a stem must have.
+STEMS, STEM_WORDS = (4, 5, 6), 6
 WINDOW = 40
 DEAD = 0
 
@@ -102,6 +102,7 @@ class Automaton:
         self.table = np.array(rows, np.int32)
         self.hit = np.array([1 if s == "stem" else 1 + min([e for n, e in s if ends[n] is not None and e <= ends[n]],
                                                            default=-1) for s in order], np.int8)
+        self.whole = np.array([s == "stem" for s in order])
         below = stem[:]
         for node, k in enumerate(kids):
             for kid in k.values():
@@ -115,18 +116,21 @@ class Automaton:
         return self.hit[self.states(code, start, size)]
 
     def states(self, code: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-        """Last state of each word, all words a letter at a time."""
+        """Last state of each word, all words a letter at a time.
+
+        A word of any length is done once it is dead or has a stem; no other state outlives the longest term.
+        """
         classes = np.zeros(0x110000, np.int32)
         for c, i in self.letters.items():
             classes[ord(c)] = i
         out = np.full(len(start), DEAD, np.int32)
-        live = np.flatnonzero(size <= LONGEST)
+        live = np.flatnonzero(size > 0)
         state = np.ones(len(live), np.int32)
         step = 0
         while len(live):
             state = self.table[state, classes[code[start[live] + step]]]
             step += 1
-            done = size[live] == step
+            done = (size[live] == step) | self.whole[state]
             out[live[done]] = state[done]
             keep = ~done & (state != DEAD)
             live, state = live[keep], state[keep]

@@ -248,6 +248,13 @@ def test_quoted_and_direct_hits_differ():
     assert direct[0] > 0 and direct[1] == 0 and quoted[1] > 0 and quoted[0] == 0 and not none_.any()
 
 
+def test_a_stem_is_found_at_the_start_of_any_run():
+    flat = " ".join(["grub" + "x" * 60, "grub" + "字" * 5000, "y" * 60 + "grub", "idiot" + "t" * 60])
+    code = np.frombuffer(flat.encode("utf-32-le"), np.uint32)
+    auto = toxicity.Automaton(["idiot"], ["grub"])
+    assert auto.words(code, *toxicity.word_bounds(code)).tolist() == [1, 1, 0, 0]
+
+
 @pytest.mark.parametrize("text,quoted", [
     ('they shout "you are all idiot people here" daily', True), ("« quel idiot vraiment »", True), ("»so ein idiot aber«", True),
     ("„so ein idiot aber“", True), ("“such an idiot he is”", True), ("he cried 'such an idiot, isn't he?' again", True),
