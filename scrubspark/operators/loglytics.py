@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from scrubspark.operators.fill import order_ranges
+
 # Reward components.
 R_NULL_FIXED = 0.10
 R_DTYPE_FIXED = 0.10
@@ -178,20 +180,40 @@ def smoothing_width(n: Column, share: int = 20, least: int = 10) -> Column:
     return F.when(n > least, F.greatest(F.lit(1), F.floor(n / share)).cast("int"))
 
 
-def smoothed(df: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
+def smoothed(df: DataFrame, keys: list[str], order: str, value: str, n_ranges: int | None = None) -> DataFrame:
     """A14 by its width rule: per group, the mean of the last ``smoothing_width`` values, full windows only.
 
     The width varies by group, so the mean comes from two running sums: up to the row, and up to ``width``
     rows before it (joined by position).  Groups too short to smooth give no rows.
+
+    The rows are cut into ranges of (keys, order), so a group of any size is spread: positions and sums run
+    inside a range, and one row per group and range carries what the group's earlier ranges add.
     """
-    by = Window.partitionBy(*keys).orderBy(order)
-    t = (df.withColumn("width", smoothing_width(F.count(F.lit(1)).over(Window.partitionBy(*keys))))
-         .where("width is not null").withColumn("__rn", F.row_number().over(by))
-         .withColumn("__sum", F.sum(value).over(by.rowsBetween(Window.unboundedPreceding, 0))))
-    before = t.select(*keys, (F.col("__rn") + F.col("width")).alias("__rn"), F.col("__sum").alias("__before"))
-    return (t.where(F.col("__rn") >= F.col("width")).join(before, [*keys, "__rn"], "left")
+    by_row = [*[F.col(k) for k in keys], F.col(order), F.xxhash64(*df.columns, *[F.col(c).isNull() for c in df.columns])]
+    t = order_ranges(df, by_row, n_ranges)
+    parts = t.groupBy("__b", *keys).agg(F.count(F.lit(1)).alias("__n"), F.sum(value).alias("__s"))
+    whole = Window.partitionBy(*keys)
+    earlier = whole.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    parts = (parts.withColumn("width", smoothing_width(F.sum("__n").over(whole))).where("width is not null")
+             .select(F.col("__b").alias("__pb"), *[F.col(k).alias(f"__p{i}") for i, k in enumerate(keys)], "width",
+                     F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__n"), F.sum("__s").over(earlier).alias("__s")))
+    by = Window.partitionBy("__b", *keys).orderBy(*by_row)
+    sums = F.sum(value).over(by.rowsBetween(Window.unboundedPreceding, 0))
+    t = t.withColumn("__rn", F.row_number().over(by)).withColumn("__sum", sums)
+    same = F.col("__b") == F.col("__pb")
+    for i, k in enumerate(keys):
+        same &= F.col(k).eqNullSafe(F.col(f"__p{i}"))
+    # A sum is NULL up to the group's first value.
+    t = t.join(parts, same).select(*df.columns, "width", (F.col("__rn") + F.col("__n")).alias("__rn"), F.coalesce(
+        F.col("__sum") + F.col("__s"), "__sum", "__s").alias("__sum"))
+    before = t.select(*[F.col(k).alias(f"__p{i}") for i, k in enumerate(keys)],
+                      (F.col("__rn") + F.col("width")).alias("__at"), F.col("__sum").alias("__before"))
+    same = F.col("__rn") == F.col("__at")
+    for i, k in enumerate(keys):
+        same &= F.col(k).eqNullSafe(F.col(f"__p{i}"))
+    return (t.where(F.col("__rn") >= F.col("width")).join(before, same, "left")
             .withColumn("moving_avg", (F.col("__sum") - F.coalesce("__before", F.lit(0.0))) / F.col("width"))
-            .drop("__rn", "__sum", "__before"))
+            .select(*df.columns, "width", "moving_avg"))
 
 
 def group_mean(df: DataFrame, keys: list[str], value: str, name: str = "mean_value") -> DataFrame:

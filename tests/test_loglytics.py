@@ -83,3 +83,17 @@ def test_smoothing_follows_the_length_of_a_group(spark):
     assert {g for g, _ in out} == {"long", "mid"}
     assert out[("long", 2)] == (3, 1.0) and out[("long", 59)] == (3, 58.0) and ("long", 1) not in out
     assert out[("mid", 0)] == (1, 0.0) and len([1 for g, _ in out if g == "mid"]) == 11
+
+
+@pytest.mark.parametrize("ranges", [1, 4, 23])
+def test_smoothing_of_a_group_cut_into_ranges(spark, ranges):
+    rows = [(g, i, None if g == "hot" and i < 3 else float(i * 7 % 11)) for g, n in (("hot", 400), ("mid", 45), (None, 30), ("few", 9))
+            for i in range(n)]
+    df = spark.createDataFrame(rows, "g string, i int, v double").repartition(5)
+    out = {(r["g"], r["i"]): (r["width"], r["moving_avg"]) for r in la.smoothed(df, ["g"], "i", "v", ranges).collect()}
+    want = {}
+    for g, n in (("hot", 400), ("mid", 45), (None, 30)):
+        v, w = [x or 0.0 for k, _, x in rows if k == g], max(1, n // 20)
+        want.update({(g, i): (w, sum(v[i - w + 1:i + 1]) / w) for i in range(w - 1, n)})
+    assert out.keys() == want.keys()
+    assert all(out[k][0] == want[k][0] and out[k][1] == pytest.approx(want[k][1]) for k in want)
