@@ -6,8 +6,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scrubspark.llm import bpe, crf_quality, hash_forest, mixing, pii, quality_rules, secrets, simhash, token_files, toxicity
+from scrubspark.llm import (
+    bpe, collocations, crf_quality, hash_forest, merkle, mixing, pii, quality_rules, secrets, simhash, token_files, toxicity,
+    url_filter)
 from scrubspark.llm.common import table
+from scrubspark.llm.oracles import ORACLE  # noqa: F401 - DuckDB SQL of a query, where SQL can express it
 
 BPE_RANKS = "byte_bpe_50k.tiktoken"
 WORD_TOKENIZER = "word_bpe_49k.json"
@@ -57,6 +60,19 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_spans(table(spark, sf_dir, "documents"))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return merkle.verified(merkle.manifest(docs, carry={"claimed": merkle.without_newlines(docs)}), "claimed")
+
+
+def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.verdicts(table(spark, sf_dir, "pages"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_quality_rules": op2_quality_rules,
@@ -68,7 +84,7 @@ QUERIES = {
     "op8_pii": op8_pii,
     "op9_hash_forest": op9_hash_forest,
     "op10_secrets": op10_secrets,
+    "op11_merkle": op11_merkle,
+    "op12_url_filter": op12_url_filter,
+    "op13_collocations": op13_collocations,
 }
-
-#: DuckDB SQL of a query, where SQL can express it.
-ORACLE: dict[str, str] = {}
