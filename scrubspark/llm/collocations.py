@@ -1,17 +1,20 @@
 """Phrase collocations by Toivonen mining.
 
-A hash sample of the documents is mined at a lowered support and proposes a set S of phrases.  One full pass then
-counts S and its negative border exactly: all words, and every longer phrase whose leading and trailing part
-(without the last and the first word) are both in S.  A border phrase that reaches the support was missed by
-the sample; S is widened by such phrases and another pass counts only what that newly admits, until no frequent
-phrase lies outside S.  Then every frequent phrase has been counted, since all its parts are frequent too.
-
-S travels as a bit table over 64-bit phrase hashes, of at most ``MOST_BITS`` bits (32 MB) however many phrases it
-holds.  A foreign phrase that shares a bit is merely counted as well, so counts stay exact; the tables of
-successive passes are nested, so a pass knows from the former table what has been counted.  Inside a task,
-slices of text become word numbers, and the phrases of each length are numbered from those of the length
-before (a pair of exact numbers, never a hash), counted, and summed by Spark with map-side combine, so
-neither a common phrase nor a large language gathers in one task.
+A hash sample of the documents is mined at a lowered support and proposes a set S of phrases.  A full pass then
+counts S and its negative border: all words, and every longer phrase whose leading and trailing part (without
+the last and the first word) are both in S.  It sums by 64-bit phrase hash, so a total is the count or, should two
+phrases share a hash, more; a phrase whose total is below the support is settled as too rare.  The last pass counts the
+others by their text, exactly, and expands where the border failed: a frequent phrase outside S admits
+longer ones that the first pass did not count.  It looks ahead, i.e. takes a phrase it has just admitted for
+frequent, so the expansion runs to the longest phrases at once and closes: the parts of a frequent phrase are
+frequent, hence either settled as possible by the first pass or admitted in this one, and so is the phrase.
+
+A set of phrases travels as a bit table over their hashes, of at most ``MOST_BITS`` bits (32 MB) however many it
+holds; a foreign phrase that shares a bit is merely counted as well.  Inside a task, slices of text become word
+numbers, and the phrases of each length are numbered from those of the length before (a pair of exact numbers,
+never a hash).  Totals by hash are merged per range of hashes, as many ranges as the bytes of text call for; counts
+by text are summed by Spark with map-side combine.  So neither a common phrase nor a large language gathers in one
+task.
 
 Defined cases: a NULL text is empty and counts no words; a NULL language is ``und``; empty texts, texts without
 words and an empty table add nothing; a repeated row counts each time; very long texts are read whole; other
@@ -36,12 +39,12 @@ LONGEST = 4
 SHARE, LOWERED = 0.1, 0.5
 #: Bit tables have 16 bits for each phrase of S, within these bounds.
 LEAST_BITS, MOST_BITS = 1 << 20, 1 << 28
-#: Bytes of text that a task numbers at once.
-SLICE = 6_000_000
+#: Bytes of text that a task numbers at once, and that call for one range of hashes.
+SLICE, RANGE = 4_000_000, 2_000_000
 #: Fixed values: ``bitmap_construct_agg`` gives tables of so many bits.
 BUCKET_BITS = 32768
-FOUND = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("len", pa.int32()), ("h", pa.int64()),
-                   ("inside", pa.bool_()), ("a", pa.int64())])
+TOTALS = pa.schema([("part", pa.int64()), ("h", pa.binary()), ("a", pa.binary())])
+COUNTS = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("len", pa.int32()), ("a", pa.int64())])
 _BREAKS = bytes(10 if chr(i) in ".,;:!?\n\x0b\x0c\r" else 32 if i == 9 else i for i in range(256))
 _K1, _K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -60,144 +63,173 @@ def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class Table:
-    """A bit table over phrase hashes; without bits it holds nothing."""
+    """A set of phrases as a bit table over their hashes."""
 
-    def __init__(self, bits: bytes | None, size: int):
-        self.bits, self.size = None if bits is None else np.frombuffer(bits, np.uint8), size
+    def __init__(self, bits: bytes):
+        self.bits, self.mask = np.frombuffer(bits, np.uint8), np.uint64(len(bits) * 8 - 1)
 
     def has(self, h: np.ndarray) -> np.ndarray:
-        if self.bits is None:
-            return np.zeros(len(h), bool)
-        at = h & np.uint64(self.size - 1)
+        at = h & self.mask
         return (self.bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
 
 
-def phrases(lang: str, texts: list[bytes], table: Table, former: Table | None, known: int, longest: int):
-    """Yield (phrases, length, hashes, inside, counts) of some texts of one language, by length from 0.
-
-    Length 0 is the empty phrase, with the number of words.  Words come in the first pass (no ``former`` table),
-    a longer phrase when its two parts come and, if they have at most ``known`` words, are in ``table``; what
-    ``former`` had admitted does not come again.
-    """
-    data = b"\n".join(texts).lower().translate(_BREAKS).replace(b"\n", b" \n ")
+def numbered(lang: str, texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """(words, numbers, hashes): the distinct words, the number of each word of the texts in turn (1 between two
+    pieces), and the hash of each distinct word."""
+    data = b"\n".join(texts).lower().translate(_BREAKS).replace(b"\n", b" \n ").split(b" ")
     numbers = _Numbers({b"": 0, b"\n": 1})
-    words = data.split(b" ")
-    w = np.fromiter(map(numbers.__getitem__, words), np.int64, len(words))
-    w = w[w != 0]
-    names, size = list(numbers), len(numbers)
+    w = np.fromiter(map(numbers.__getitem__, data), np.int64, len(data))
     seed = xxhash.xxh64_intdigest(lang.encode())
-    hashes = np.array([xxhash.xxh64_intdigest(x, seed) for x in names], np.uint64)
+    return list(numbers), w[w != 0], np.array([xxhash.xxh64_intdigest(x, seed) for x in numbers], np.uint64)
+
+
+def _longer(w: np.ndarray, size: int, at: np.ndarray, n: int):
+    """The phrases of ``n`` words whose parts start at p and p+1 (``at``: the part's number or -1).
+
+    Returns their numbers by place (or -1), and for each number its first part, its trailing part, its last word
+    and its count.
+    """
+    left, right = at[:-1], at[1:]
+    pos = np.flatnonzero((left >= 0) & (right >= 0))
+    code, pairs = pd.factorize(left[pos] * size + w[pos + n - 1])
+    here = np.full(len(left), -1, np.int64)
+    here[pos] = code
+    tail = np.zeros(len(pairs), np.int64)
+    tail[code] = right[pos]
+    return here, pairs // size, tail, pairs % size, np.bincount(code, minlength=len(pairs))
+
+
+def _only(at: np.ndarray, keep: np.ndarray) -> np.ndarray:
+    """``at`` with -1 for the numbers that ``keep`` does not mark."""
+    return np.where((at >= 0) & keep[at], at, -1) if len(keep) else at
+
+
+def proposals(lang: str, texts: list[bytes], table: Table | None, known: int, least: int, longest: int):
+    """Yield (hashes, counts) of S, ``table``, and its border, by length; S has phrases of up to ``known`` words,
+    longer ones are only asked to be made of them."""
+    names, w, hashes = numbered(lang, texts)
+    word = w != 1
+    count, h, at = np.bincount(w[word], minlength=len(names)), hashes, np.where(word, w, -1)
+    for n in range(1, longest + 1):
+        if n > 1:
+            at, first, _, last, count = _longer(w, len(names), at, n)
+            h = _mix(h[first], hashes[last])
+        if n >= least:
+            there = np.flatnonzero(count)
+            yield h[there], count[there]
+        if n <= known:
+            at = _only(at, table.has(h))
+
+
+def counted(lang: str, texts: list[bytes], proposed: Table, possible: Table, longest: int):
+    """Yield (phrases, length, counts): the empty phrase with the number of words, the ``possible`` phrases among
+    those that the pass over ``proposed`` counted, and phrases that it did not but whose parts come here."""
+    names, w, hashes = numbered(lang, texts)
     word = w != 1
-    if former is None:
-        yield [b""], 0, np.zeros(1, np.uint64), np.ones(1, bool), np.array([int(word.sum())])
-        count = np.bincount(w[word], minlength=size)
-        there = np.flatnonzero(count)
-        yield [names[i] for i in there.tolist()], 1, hashes[there], table.has(hashes[there]), count[there]
-    # at[p]: the number of the phrase of the length before that starts at p, or -1; part[k]: its k-th word.
-    at, part, h, inside = np.where(word, w, -1), [np.arange(size)], hashes, table.has(hashes)
-    told = np.zeros(size, bool) if former is None else np.ones(size, bool)
-    was = told if former is None else former.has(hashes)
-    if known < 1:
-        inside = np.ones(size, bool)
-    for n in range(2, longest + 1):
-        left, right = at[:-1], at[1:]
-        ok = (left >= 0) & (right >= 0)
-        ok[ok] = inside[left[ok]] & inside[right[ok]]
-        pos = np.flatnonzero(ok)
-        last = w[pos + n - 1]
-        code, pairs = pd.factorize(left[pos] * size + last)
-        if not len(pairs):
-            return
-        first, last = pairs // size, pairs % size
-        here = np.full(len(left), -1, np.int64)
-        here[pos] = code
-        # A phrase had come before if both its parts had and were in the former table.
-        tail = np.zeros(len(pairs), np.int64)
-        tail[code] = right[pos]
-        told = told[first] & told[tail] & was[first] & was[tail]
-        h = _mix(h[first], hashes[last])
-        part = [*[x[first] for x in part], last]
-        member = table.has(h)
-        new = np.flatnonzero(~told)
-        count = np.bincount(code, minlength=len(pairs))
-        yield [b" ".join(x) for x in zip(*[[names[i] for i in x[new].tolist()] for x in part])], n, h[new], member[new], count[new]
-        inside = member if known >= n else np.ones(len(pairs), bool)
-        was = np.zeros(len(pairs), bool) if former is None else former.has(h)
-        at = here
-
-
-def _counter(bits, former_bits, size: int, known: int, longest: int, least: int):
+    yield [b""], 0, np.array([int(word.sum())])
+    count, h, at, part = np.bincount(w[word], minlength=len(names)), hashes, np.where(word, w, -1), [np.arange(len(names))]
+    told = np.ones(len(names), bool)  # counted by the pass before
+    for n in range(1, longest + 1):
+        if n > 1:
+            spread = told & proposed.has(h)
+            at, first, tail, last, count = _longer(w, len(names), at, n)
+            told = spread[first] & spread[tail]
+            h = _mix(h[first], hashes[last])
+            part = [*[x[first] for x in part], last]
+        keep = (~told | possible.has(h)) & (count > 0)
+        new = np.flatnonzero(keep)
+        yield [b" ".join(x) for x in zip(*[[names[i] for i in x[new].tolist()] for x in part])], n, count[new]
+        at = _only(at, keep)
+
+
+def _sliced(batches: Iterator[pa.RecordBatch], fn):
+    """``fn(lang, texts)`` over slices of the batches (lang, text), one language at a time."""
+    held: dict[str, list[bytes]] = {}
+    taken = 0
+    for batch in batches:
+        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            held.setdefault(lang, []).append(text)
+            taken += len(text)
+            if taken > SLICE:
+                for x in held.items():
+                    yield from fn(*x)
+                held, taken = {}, 0
+    for x in held.items():
+        yield from fn(*x)
+
+
+def hash_totals(texts: DataFrame, bits, known: int, support: int, ranges: int, least: int = 1, longest: int = LONGEST) -> DataFrame:
+    """(h): the hashes whose total over all ``texts`` (lang, text) is at least ``support``.
+
+    A slice sends, for each of the ``ranges`` (a power of two) of hashes, one row with its hashes and counts.
+    """
+    low = ranges.bit_length() - 1
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = Table(bits.value) if bits else None
+
+        def one(lang, held):
+            for h, a in proposals(lang, held, table, known, least, longest):
+                order = np.argsort(h)
+                h, a = h[order], a[order].astype("<i8")
+                of = (h >> np.uint64(64 - low)).astype(np.int64) if low else np.zeros(len(h), np.int64)
+                parts, start = np.unique(of, return_index=True)
+                cut = [*start.tolist(), len(h)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(parts), pa.array([h[x:y].tobytes() for x, y in zip(cut, cut[1:])], pa.binary()),
+                     pa.array([a[x:y].tobytes() for x, y in zip(cut, cut[1:])], pa.binary())], schema=TOTALS)
+
+        yield from _sliced(batches, one)
+
+    def merge(rows: pd.DataFrame) -> pd.DataFrame:
+        h, at = np.unique(np.frombuffer(b"".join(rows["h"]), np.uint64), return_inverse=True)
+        total = np.zeros(len(h), np.int64)
+        np.add.at(total, at, np.frombuffer(b"".join(rows["a"]), "<i8"))
+        return pd.DataFrame({"h": h[total >= support].view(np.int64)})
+
+    return texts.mapInArrow(part, "part long, h binary, a binary").groupBy("part").applyInPandas(merge, "h long")
+
+
+def exact_counts(texts: DataFrame, proposed, possible) -> DataFrame:
+    """(lang, phrase, len, a): the counts over all ``texts`` of ``counted`` phrases."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = Table(bits.value if bits else None, size)
-        former = Table(former_bits.value, size) if former_bits else None
-        held: dict[str, list[bytes]] = {}
-
-        def counted():
-            for lang, texts in held.items():
-                for names, n, h, inside, a in phrases(lang, texts, table, former, known, longest):
-                    if n >= least or n == 0:
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array([lang] * len(names), pa.string()), pa.array(names, pa.binary()).cast(pa.string()),
-                             pa.array(np.full(len(names), n, np.int32)), pa.array(h.view(np.int64)), pa.array(inside),
-                             pa.array(np.asarray(a, np.int64))], schema=FOUND)
-            held.clear()
-
-        taken = 0
-        for batch in batches:
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                held.setdefault(lang, []).append(text)
-                taken += len(text)
-                if taken > SLICE:
-                    yield from counted()
-                    taken = 0
-        yield from counted()
-
-    return run
-
-
-def count_pass(texts: DataFrame, bits, former, size: int, known: int, least: int = 1, longest: int = LONGEST) -> DataFrame:
-    """(lang, phrase, len, h, inside, a) summed over all ``texts`` (lang, text)."""
-    found = texts.mapInArrow(_counter(bits, former, size, known, longest, least), "lang string, phrase string, len int, h long, inside boolean, a long")
-    return found.groupBy("lang", "phrase").agg(F.max("len").alias("len"), F.max("h").alias("h"), F.max("inside").alias("inside"), F.sum("a").alias("a"))
-
-
-def bit_table(members: DataFrame, size: int, base: bytes | None = None) -> bytes:
-    """The bit table of the hashes ``h`` of ``members``, over ``base``: at most ``size`` bits reach the driver."""
+        tables = Table(proposed.value), Table(possible.value)
+
+        def one(lang, held):
+            for names, n, a in counted(lang, held, *tables, LONGEST):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([lang] * len(names), pa.string()), pa.array(names, pa.binary()).cast(pa.string()),
+                     pa.array(np.full(len(names), n, np.int32)), pa.array(a.astype(np.int64))], schema=COUNTS)
+
+        yield from _sliced(batches, one)
+
+    return texts.mapInArrow(run, "lang string, phrase string, len int, a long").groupBy("lang", "phrase", "len").agg(F.sum("a").alias("a"))
+
+
+def bit_table(members: DataFrame):
+    """A broadcast bit table of the hashes ``h`` of ``members``: at most ``MOST_BITS`` bits reach the driver."""
+    size = min(MOST_BITS, max(LEAST_BITS, 1 << (16 * members.count()).bit_length()))
     at = F.col("h").bitwiseAND(F.lit(size - 1)) + 1
     rows = members.groupBy(F.bitmap_bucket_number(at).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits")).collect()
-    out = np.zeros(size // 8, np.uint8) if base is None else np.frombuffer(base, np.uint8).copy()
+    out = np.zeros(size // 8, np.uint8)
     for r in rows:
         start = (r["k"] - 1) * BUCKET_BITS // 8
-        out[start:start + BUCKET_BITS // 8] |= np.frombuffer(r["bits"], np.uint8)
-    return out.tobytes()
+        out[start:start + BUCKET_BITS // 8] = np.frombuffer(r["bits"], np.uint8)
+    return members.sparkSession.sparkContext.broadcast(out.tobytes())
 
 
 def frequent(texts: DataFrame, sample: DataFrame, support: int, share: float, lowered: float = LOWERED) -> DataFrame:
     """(lang, phrase, len, a) of every phrase with a count of at least ``support``, and of the empty phrase."""
-    context = texts.sparkSession.sparkContext
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    ranges = 1 << max(6, (size // RANGE).bit_length())
     low = max(2, int(support * share * lowered))
     # The sample: its words first, then the phrases made of its frequent words.
-    words = stored(count_pass(sample, None, None, 0, 0, longest=1).where((F.col("a") >= low) & (F.col("len") == 1)), "phrase-words")
-    rough = min(MOST_BITS, max(LEAST_BITS, 1 << (16 * words.count()).bit_length()))
-    some = context.broadcast(bit_table(words, rough))
-    longer = stored(count_pass(sample, some, None, rough, 1, least=2).where((F.col("a") >= low) & F.col("len").between(2, LONGEST - 1)), "phrase-sample")
-    proposed = words.unionAll(longer)
-    size = min(MOST_BITS, max(LEAST_BITS, 1 << (16 * proposed.count()).bit_length()))
-    bits = context.broadcast(bit_table(proposed, size))
-    former, passes = None, []
-    while True:
-        got = count_pass(texts, bits, former, size, LONGEST, least=1 if former is None else 2)
-        enough = (F.col("a") >= support) | ((F.col("len") == 0) & F.lit(former is None))
-        got = stored(got.where(enough), "phrase-counts")
-        passes.append(got)
-        missed = got.where((F.col("len") > 0) & (F.col("len") < LONGEST) & ~F.col("inside"))
-        if missed.isEmpty():
-            break
-        former, bits = bits, context.broadcast(bit_table(missed, size, bits.value))
-    out = passes[0]
-    for p in passes[1:]:
-        out = out.unionAll(p)
-    return out.select("lang", "phrase", "len", "a")
+    words = stored(hash_totals(sample, None, 0, low, ranges, longest=1), "phrase-words")
+    longer = hash_totals(sample, bit_table(words), 1, low, ranges, least=2, longest=LONGEST - 1)
+    proposed = bit_table(stored(words.unionAll(longer), "phrase-sample"))
+    possible = bit_table(stored(hash_totals(texts, proposed, LONGEST, support, ranges), "phrase-possible"))
+    counts = exact_counts(texts, proposed, possible)
+    return stored(counts.where((F.col("a") >= support) | (F.col("len") == 0)), "phrase-counts")
 
 
 def _wide(name: str) -> Column:

@@ -5,6 +5,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -162,14 +163,29 @@ def test_collocations_equal_plain_counting(spark, odd, share, monkeypatch):
     assert sorted(map(tuple, got)) == plain_collocations([(r["lang"], r["text"]) for r in docs.collect()], 6, 400)
 
 
-def test_collocations_take_further_passes_until_closed(spark, monkeypatch):
-    """The sample holds none of the rare phrase: its words, pairs and triples fail one after the other."""
-    passes = []
-    plain = collocations.count_pass
-    monkeypatch.setattr(collocations, "count_pass", lambda *a, **k: passes.append(1) or plain(*a, **k))
+def test_collocations_close_where_the_sample_proposes_nothing(spark):
+    """The sample holds none of the phrases: words, pairs, triples and longer ones all fail and are expanded."""
     docs = spark.createDataFrame([(i, "en", "p q r s" if i % 2 else "p t u") for i in range(40)], "doc_id long, lang string, text string")
     got = collocations.collocations(docs, support=20, share=0.0).collect()
-    assert sorted(map(tuple, got)) == plain_collocations([("en", r["text"]) for r in docs.collect()], 20, 2000) and len(passes) == 2 + 4
+    assert sorted(map(tuple, got)) == plain_collocations([("en", r["text"]) for r in docs.collect()], 20, 2000)
+    assert {r["phrase"] for r in got} == {"p q r s", "p t u"}
+
+
+def test_collocations_are_exact_in_crowded_bit_tables_and_few_hashes(spark, odd, monkeypatch):
+    """Foreign phrases share bits and hashes: they are counted as well, and by their text."""
+    docs = odd.where("coalesce(doc_id, 0) <> 9").select("doc_id", "lang", "text")
+    want = plain_collocations([(r["lang"], r["text"]) for r in docs.collect()], 4, 900)
+    tables = [(collocations.Table(np.zeros(8, np.uint8).tobytes()), collocations.Table(np.full(8, 255, np.uint8).tobytes())),
+              (collocations.Table(np.full(8, 255, np.uint8).tobytes()),) * 2]
+    for proposed, possible in tables:
+        f = defaultdict(Counter)
+        for r in docs.collect():
+            for names, n, a in collocations.counted(r["lang"] or "und", [(r["text"] or "").encode()], proposed, possible, 4):
+                f[r["lang"] or "und"].update({(n, x.decode()): int(c) for x, c in zip(names, a)})
+        rows = [(g, x, n, a) for g, c in f.items() for (n, x), a in c.items() if a >= 4 or n == 0]
+        counts = spark.createDataFrame(rows, "lang string, phrase string, len int, a long")
+        got = {(r["lang"], r["phrase"], r["a"], r["l"], r["r"], r["score"]) for r in collocations.maximal(collocations.scored(counts)).collect()}
+        assert {(x[0], *x[2:6], x[7]) for x in want} <= got
 
 
 def test_collocations_of_nothing_and_of_huge_counts(spark, none):
