@@ -40,7 +40,7 @@ SHARE, LOWERED = 0.1, 0.5
 #: Bit tables have 16 bits for each phrase of S, within these bounds.
 LEAST_BITS, MOST_BITS = 1 << 20, 1 << 28
 #: Bytes of text that a task numbers at once, and that call for one range of hashes.
-SLICE, RANGE = 4_000_000, 2_000_000
+SLICE, RANGE = 4_000_000, 8_000_000
 #: Fixed values: ``bitmap_construct_agg`` gives tables of so many bits.
 BUCKET_BITS = 32768
 TOTALS = pa.schema([("part", pa.int64()), ("h", pa.binary()), ("a", pa.binary())])
@@ -142,8 +142,8 @@ def counted(lang: str, texts: list[bytes], proposed: Table, possible: Table, lon
         at = _only(at, keep)
 
 
-def _sliced(batches: Iterator[pa.RecordBatch], fn):
-    """``fn(lang, texts)`` over slices of the batches (lang, text), one language at a time."""
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list[bytes]]]:
+    """The texts of the batches (lang, text) by language, about ``SLICE`` bytes at a time."""
     held: dict[str, list[bytes]] = {}
     taken = 0
     for batch in batches:
@@ -151,11 +151,9 @@ def _sliced(batches: Iterator[pa.RecordBatch], fn):
             held.setdefault(lang, []).append(text)
             taken += len(text)
             if taken > SLICE:
-                for x in held.items():
-                    yield from fn(*x)
+                yield held
                 held, taken = {}, 0
-    for x in held.items():
-        yield from fn(*x)
+    yield held
 
 
 def hash_totals(texts: DataFrame, bits, known: int, support: int, ranges: int, least: int = 1, longest: int = LONGEST) -> DataFrame:
@@ -168,18 +166,18 @@ def hash_totals(texts: DataFrame, bits, known: int, support: int, ranges: int, l
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = Table(bits.value) if bits else None
 
-        def one(lang, held):
-            for h, a in proposals(lang, held, table, known, least, longest):
-                order = np.argsort(h)
-                h, a = h[order], a[order].astype("<i8")
-                of = (h >> np.uint64(64 - low)).astype(np.int64) if low else np.zeros(len(h), np.int64)
-                parts, start = np.unique(of, return_index=True)
-                cut = [*start.tolist(), len(h)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(parts), pa.array([h[x:y].tobytes() for x, y in zip(cut, cut[1:])], pa.binary()),
-                     pa.array([a[x:y].tobytes() for x, y in zip(cut, cut[1:])], pa.binary())], schema=TOTALS)
-
-        yield from _sliced(batches, one)
+        for held in _slices(batches):
+            got = [x for lang, own in held.items() for x in proposals(lang, own, table, known, least, longest)]
+            if not got:
+                continue
+            h, a = np.concatenate([x for x, _ in got]), np.concatenate([x for _, x in got]).astype("<i8")
+            order = np.argsort(h)
+            h, a = h[order], a[order]
+            parts, start = np.unique((h >> np.uint64(64 - low)).astype(np.int64), return_index=True)
+            cut = [*start.tolist(), len(h)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(parts), pa.array([h[x:y].tobytes() for x, y in zip(cut, cut[1:])], pa.binary()),
+                 pa.array([a[x:y].tobytes() for x, y in zip(cut, cut[1:])], pa.binary())], schema=TOTALS)
 
     def merge(rows: pd.DataFrame) -> pd.DataFrame:
         h, at = np.unique(np.frombuffer(b"".join(rows["h"]), np.uint64), return_inverse=True)
@@ -195,13 +193,12 @@ def exact_counts(texts: DataFrame, proposed, possible) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = Table(proposed.value), Table(possible.value)
 
-        def one(lang, held):
-            for names, n, a in counted(lang, held, *tables, LONGEST):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * len(names), pa.string()), pa.array(names, pa.binary()).cast(pa.string()),
-                     pa.array(np.full(len(names), n, np.int32)), pa.array(a.astype(np.int64))], schema=COUNTS)
-
-        yield from _sliced(batches, one)
+        for held in _slices(batches):
+            for lang, own in held.items():
+                for names, n, a in counted(lang, own, *tables, LONGEST):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([lang] * len(names), pa.string()), pa.array(names, pa.binary()).cast(pa.string()),
+                         pa.array(np.full(len(names), n, np.int32)), pa.array(a.astype(np.int64))], schema=COUNTS)
 
     return texts.mapInArrow(run, "lang string, phrase string, len int, a long").groupBy("lang", "phrase", "len").agg(F.sum("a").alias("a"))
 
