@@ -42,17 +42,26 @@ ORACLE.update({
         CAST(row_number() OVER (ORDER BY {sql_uniform('o_orderkey', 'shuffle')}, o_orderkey) - 1 AS BIGINT) AS row_rank
         FROM orders""",
     "synth_columns": f"""SELECT o_orderkey,
-        CAST(22 + floor({sql_uniform('o_orderkey', 'age')} * 43) AS BIGINT) AS age,
-        round({_synth_normal('salary', 55000.0, 12000.0)}, 4) AS salary,
-        round(exp({_synth_normal('amount', 4.5, 0.8)}), 4) AS amount,
-        CASE WHEN {sql_uniform('o_orderkey', 'gender')} < 0.48 THEN 'M'
-             WHEN {sql_uniform('o_orderkey', 'gender')} < 0.96 THEN 'F' ELSE 'Other' END AS gender,
-        printf('ORD-%05d', o_orderkey) AS order_id,
-        TIMESTAMP '2023-01-01 00:00:00' + to_seconds(o_orderkey * 7200) AS created_at
+        CAST(1 + floor({sql_uniform('o_orderkey', 'shelf')} * 39) AS BIGINT) AS shelf,
+        round({_synth_normal('weight', 12.5, 3.0)}, 4) AS weight,
+        round(exp({_synth_normal('value', 2.0, 0.5)}), 4) AS value,
+        CASE WHEN {sql_uniform('o_orderkey', 'grade')} < 0.7 THEN 'a'
+             WHEN {sql_uniform('o_orderkey', 'grade')} < 0.9 THEN 'b' ELSE 'c' END AS grade,
+        printf('box %07d', o_orderkey) AS label,
+        TIMESTAMP '2024-03-01 06:00:00' + to_seconds(o_orderkey * 600) AS packed_at
         FROM orders""",
 })
 
 ORACLE.update({
+    "fill_constant_bad": DO + """, rates AS (
+          SELECT round(avg(CAST(o_totalprice IS NULL AS INTEGER)), 6) AS price, round(avg(CAST(o_custkey IS NULL OR o_custkey % 10 = 0 AS INTEGER)), 6) AS small
+          FROM dirty_orders)
+        SELECT plan, step, col, success, CASE WHEN success THEN 0.0 END AS null_after,
+          CASE WHEN fixed THEN 0.0 WHEN col = 'small' THEN small ELSE price END AS left_null
+        FROM rates, (VALUES ('both_bad', 0, 'o_totalprice', false, false), ('both_bad', 1, 'small', false, false),
+          ('one_bad', 0, 'o_totalprice', true, true), ('one_bad', 1, 'small', false, false), ('alone_bad', 0, 'small', false, false),
+          ('alone_good', 0, 'small', true, true), ('both_good', 0, 'o_totalprice', true, true), ('both_good', 1, 'small', true, true))
+          AS t(plan, step, col, success, fixed)""",
     "fill_mean": DO + """SELECT o_orderkey, round(coalesce(o_totalprice,
         (SELECT avg(o_totalprice) FROM dirty_orders)), 4) AS o_totalprice FROM dirty_orders""",
     "fill_median": DO + """SELECT o_orderkey, round(coalesce(o_totalprice,

@@ -88,12 +88,12 @@ def shuffle_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 
 SYNTH_SPEC = {
-    "age": ("int", 22, 65),
-    "salary": ("normal", 55000.0, 12000.0),
-    "amount": ("lognormal", 4.5, 0.8),
-    "gender": ("choice", ["M", "F", "Other"], [0.48, 0.48, 0.04]),
-    "order_id": ("format", "ORD-%05d"),
-    "created_at": ("timeseq", "2023-01-01 00:00:00", 7200),
+    "shelf": ("int", 1, 40),
+    "weight": ("normal", 12.5, 3.0),
+    "value": ("lognormal", 2.0, 0.5),
+    "grade": ("choice", ["a", "b", "c"], [0.7, 0.2, 0.1]),
+    "label": ("format", "box %07d"),
+    "packed_at": ("timeseq", "2024-03-01 06:00:00", 600),
 }
 
 
@@ -101,7 +101,7 @@ SYNTH_SPEC = {
 def synth_columns(spark: SparkSession, sf: str) -> DataFrame:
     keys = read_table(spark, sf, "orders").select("o_orderkey")
     out = inject.synth(keys, "o_orderkey", SYNTH_SPEC)
-    return out.select("o_orderkey", "age", _r4("salary"), _r4("amount"), "gender", "order_id", "created_at")
+    return out.select("o_orderkey", "shelf", _r4("weight"), _r4("value"), "grade", "label", "packed_at")
 
 
 # --- C1-C5: fills --------------------------------------------------------------
@@ -136,6 +136,24 @@ def fill_constant(spark, sf):
     return fill.fill_nulls(d, "o_totalprice", "constant", 0).select("o_orderkey", "o_totalprice")
 
 
+@query
+def fill_constant_bad(spark, sf):
+    """Constants that a column cannot hold are refused alone and beside other fills; what is left NULL is measured."""
+    d = fx.dirty_orders(spark, sf).select("o_orderkey", "o_totalprice", F.when(F.col("o_custkey") % 10 != 0, F.col("o_custkey") % 1000)
+                                          .cast("int").alias("small"))
+    plans = {"both_bad": [("o_totalprice", "abc"), ("small", 30000000000)], "one_bad": [("o_totalprice", "1.5"), ("small", "x")],
+             "alone_bad": [("small", "30000000000")], "alone_good": [("small", "7")], "both_good": [("o_totalprice", 2), ("small", 7)]}
+    out = None
+    for name, fills in plans.items():
+        done, log = clean(d, [Action("fill_nulls", c, {"strategy": "constant", "value": v}) for c, v in fills])
+        left = done.agg(*[F.avg(F.col(c).isNull().cast("double")).alias(c) for c in ("o_totalprice", "small")]).first()
+        rows = log.select(F.lit(name).alias("plan"), "step", F.col("column").alias("col"), "success", F.round("null_after", 6).alias("null_after"),
+                          F.when(F.col("column") == "small", F.lit(left["small"])).otherwise(F.lit(left["o_totalprice"])).alias("left_null"))
+        rows = rows.withColumn("left_null", F.round("left_null", 6))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 @query
 def fill_ffill(spark, sf):
     e = fx.dirty_events(spark, sf)

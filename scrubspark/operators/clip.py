@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scrubspark.sources.tables import normalize
-from scrubspark.functions.numeric import is_numeric_type
+from scrubspark.functions import refusals
 from scrubspark.operators import stats
 
 METHODS = ("iqr", "zscore", "percentile")
@@ -24,10 +24,7 @@ def iqr_fences(q1: float, q3: float, k: float = 1.5) -> tuple[float, float]:
 def fit_clip_bounds(df: DataFrame, col: str, method: str = "iqr", threshold: float = 3.0,
                     lower_pct: float = 1, upper_pct: float = 99, exact: bool = True):
     """(lo, hi) for ``method``; IQR and percentile bounds use interpolated quantiles."""
-    if col not in df.columns:
-        raise ValueError(f"Column '{col}' not found.")
-    if not is_numeric_type(df.schema[col].dataType):
-        raise ValueError(f"'{col}' not numeric.")
+    refusals.numeric(df.schema, col)
     if method == "iqr":
         q1, q3 = stats.quantiles(df, col, [0.25, 0.75], exact=exact)
         if q1 is None:
@@ -41,7 +38,7 @@ def fit_clip_bounds(df: DataFrame, col: str, method: str = "iqr", threshold: flo
         return m["mean"] - t * m["std"], m["mean"] + t * m["std"]
     if method == "percentile":
         return tuple(stats.quantiles(df, col, [float(lower_pct) / 100, float(upper_pct) / 100], exact=exact))
-    raise ValueError(f"Unknown method '{method}'.")
+    raise refusals.Refusal("unknown_method", col, repr(method))
 
 
 def clip_expr(c: Column, lo, hi) -> Column:

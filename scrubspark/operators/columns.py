@@ -4,20 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+from scrubspark.functions.refusals import Refusal
+
 
 def rename_column(df: DataFrame, col: str, new_name: str) -> DataFrame:
     if col not in df.columns:
-        raise ValueError(f"Column '{col}' not found.")
+        raise Refusal("absent_column", col)
     if not new_name:
-        raise ValueError("rename_column needs params.new_name.")
+        raise Refusal("no_parameter", col, "new_name")
     if new_name in df.columns:
-        raise ValueError(f"'{new_name}' already exists.")
+        raise Refusal("taken_name", col, new_name)
     return df.withColumnRenamed(col, new_name)
 
 
 def drop_column(df: DataFrame, col: str) -> DataFrame:
     if col not in df.columns:
-        raise ValueError(f"Column '{col}' not found.")
+        raise Refusal("absent_column", col)
     return df.drop(col)
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from scrubspark.functions.refusals import Refusal
 from scrubspark.functions.numeric import parse_number
 
 # Accepted target type names and their Spark types.
@@ -27,7 +28,7 @@ def target_type(target: str) -> str:
         return "timestamp_ntz"
     if target in OTHER_TARGETS:
         return OTHER_TARGETS[target]
-    raise ValueError(f"Cannot cast to '{target}': unknown type.")
+    raise Refusal("unknown_type", detail=repr(target))
 
 
 def _c(name: str) -> Column:
@@ -76,9 +77,9 @@ def fix_dtype(df: DataFrame, col: str, target: str, null_text: str | None = None
     table is left as it was), after one counting job.
     """
     if col not in df.columns:
-        raise ValueError(f"Column '{col}' not found.")
+        raise Refusal("absent_column", col)
     if target_type(target) == "bigint" and check:
         n = fractional_count(df, col)
         if n:
-            raise ValueError(f"Cannot cast '{col}' to '{target}': {n} non-integer values.")
+            raise Refusal("fractional", col, f"{n} values are not whole, {target} would lose them")
     return df.withColumn(col, cast_expr(df, col, target, null_text, fmt))

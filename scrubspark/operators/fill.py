@@ -7,6 +7,8 @@ order (see ``forward_fill``).
 
 from __future__ import annotations
 
+import math
+import re
 import uuid
 
 from pyspark.sql import Column, DataFrame
@@ -15,7 +17,9 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from scrubspark.sources.tables import normalize
-from scrubspark.functions.numeric import is_numeric_type
+from scrubspark.functions import refusals
+from scrubspark.functions.numeric import is_numeric_type, parse_number
+from scrubspark.functions.refusals import Refusal
 from scrubspark.operators import stats
 from scrubspark.session import checkpoint_dir
 
@@ -26,37 +30,55 @@ def _c(name: str) -> Column:
     return F.col(f"`{name}`")
 
 
-def _require(df: DataFrame, col: str) -> None:
-    if col not in df.columns:
-        raise ValueError(f"Column '{col}' not found.")
+def constant_value(df: DataFrame, col: str, value=None):
+    """``value`` (0 without one) as ``col`` can hold it; a constant its type cannot hold is refused.
+
+    Text that reads as a number is that number in a numeric column, and a fraction turns an integer column
+    double; NaN counts as missing, so it fills nothing.
+    """
+    dt = df.schema[col].dataType
+    v = 0 if value is None else value
+    if not is_numeric_type(dt):
+        v = str(v)
+    elif not isinstance(v, (int, float)):
+        if re.fullmatch(r"\s*[+-]?[0-9]+\s*", str(v)):
+            v = int(str(v))
+        else:
+            read = parse_number(F.col("v"), T.StringType()).alias("v")
+            v = stats.local_frame(df.sparkSession, [(str(v),)], "v string").select(read).first()["v"]
+    if isinstance(v, float) and not isinstance(dt, T.DecimalType):
+        held = None if math.isnan(v) else v
+    else:
+        # Folded into the plan: no job.
+        text = F.col("v").try_cast(dt)
+        held = None if v is None else stats.local_frame(df.sparkSession, [(str(v),)], "v string").select(text.alias("v")).first()["v"]
+    if held is None:
+        raise Refusal("unfit_constant", col, f"{value!r} as {dt.simpleString()}")
+    return v
 
 
 def fit_fill_value(df: DataFrame, col: str, strategy: str = "mean", value=None, exact: bool = True,
                    n_values: int | None = None):
-    """The literal a fill would use (C1-C4); raises when there is none."""
-    _require(df, col)
-    dt = df.schema[col].dataType
+    """The literal a fill would use (C1-C4); refused when there is none."""
+    refusals.one_of("unknown_strategy", strategy, [s for s in STRATEGIES if s != "ffill"], col)
+    refusals.present(df.schema, col)
+    if strategy in ("mean", "median"):
+        refusals.numeric(df.schema, col)
     if strategy == "mean":
-        if not is_numeric_type(dt):
-            raise ValueError(f"mean of non-numeric column '{col}'.")
         v = stats.moments(df, [col])[col]["mean"]
     elif strategy == "median":
-        if not is_numeric_type(dt):
-            raise ValueError(f"median of non-numeric column '{col}'.")
         v = stats.quantiles(df, col, [0.5], exact=exact, n=n_values)[0]
     elif strategy == "mode":
         v = stats.mode_value(df, col)
-    elif strategy == "constant":
-        v = 0 if value is None else value
-        if is_numeric_type(dt):
-            try:
-                float(v)
-            except (TypeError, ValueError):
-                raise ValueError(f"constant {v!r} does not fit '{col}' ({dt.simpleString()})") from None
     else:
-        raise ValueError(f"Unknown strategy '{strategy}'.")
+        v = constant_value(df, col, value)
+    return some_value(v, col)
+
+
+def some_value(v, col: str):
+    """``v``, refused when the column had no values to take it from."""
     if v is None:
-        raise ValueError(f"No fill value for '{col}'.")
+        raise Refusal("empty_column", col, "nothing to fit a value to")
     return v
 
 
@@ -81,7 +103,7 @@ def fill_nulls(df: DataFrame, col: str, strategy: str = "mean", value=None,
     """Fill NULLs of ``col`` by mean, median, mode, a constant, or forward fill."""
     if strategy == "ffill":
         if not order_by:
-            raise ValueError("ffill needs order_by: Spark rows have no order of their own.")
+            raise Refusal("no_order", col, "rows have no order of their own")
         return forward_fill(normalize(df), col, order_by, bucket)
     df = normalize(df)
     return apply_fill(df, col, fit_fill_value(df, col, strategy, value, exact))
@@ -135,7 +157,7 @@ def forward_fill(df: DataFrame, col: str, order_by: list[str], bucket: Column |
     and are all small (for example ``date_trunc('day', ts)``) may pass ``bucket`` with ``split_hot=False``: no
     range exchange is made then, and a large bucket is one task's work.
     """
-    _require(df, col)
+    refusals.present(df.schema, col)
     c = _c(col)
     order = total_order(df, col, order_by)
     if bucket is None or isinstance(bucket, str) or split_hot:

@@ -26,6 +26,7 @@ from scrubspark.sources.tables import normalize
 from scrubspark.functions.numeric import is_numeric_type, is_text_type, parse_number
 from scrubspark.operators import stats
 from scrubspark.operators.clip import iqr_fences
+from scrubspark.operators import dedup
 from scrubspark.operators.dedup import duplicate_counts
 
 # Flag thresholds.
@@ -73,14 +74,14 @@ def fit_profile(df: DataFrame, order_by: list[str] | None = None, exact: bool =
 
 def fit_profile_and_header(df: DataFrame, order_by: list[str] | None = None, exact: bool = True,
                            samples: int = 3, header: bool = True, columns: list[str] | None = None,
-                           distinct: bool = True) -> tuple[list[dict], dict | None]:
-    """The profile and (with ``header``) the table header from the same jobs: the
-    distinct-row count joins the main aggregate as ``count(DISTINCT struct(*))``,
-    which treats NULLs as equal like a grouping does.  ``columns`` limits the
+                           distinct: bool = True, median: bool = False) -> tuple[list[dict], dict | None]:
+    """The profile and (with ``header``) the table header: distinct rows are counted by fingerprint
+    (``dedup.fingerprint_groups``) beside the main aggregate, in its job.  ``columns`` limits the
     profile to those columns (the header still covers the whole row).
-    ``distinct=False`` leaves ``n_unique`` NULL, for callers that do not read it."""
+    ``distinct=False`` leaves ``n_unique`` NULL, for callers that do not read it;
+    ``median=True`` adds each numeric column's median to the quantiles' job."""
     with stats.persisted(df):
-        return _fit_profile(normalize(df), order_by, exact, samples, header, columns, distinct)
+        return _fit_profile(normalize(df), order_by, exact, samples, header, columns, distinct, median)
 
 
 def distinct_counts(df: DataFrame, columns: list[str]) -> dict[str, int]:
@@ -99,14 +100,12 @@ def distinct_counts(df: DataFrame, columns: list[str]) -> dict[str, int]:
     return {columns[r["at"] + j]: n for r in union.collect() for j, n in enumerate(r["n"])}
 
 
-def _fit_profile(df: DataFrame, order_by, exact, samples, header, columns=None, distinct=True
+def _fit_profile(df: DataFrame, order_by, exact, samples, header, columns=None, distinct=True, median=False
                  ) -> tuple[list[dict], dict | None]:
     fields = [(i, f) for i, f in enumerate(df.schema.fields) if columns is None or f.name in columns]
     exprs = [F.count(F.lit(1)).alias("__rows")]
-    if header:
-        all_cols = F.struct(*[_c(f.name) for f in df.schema.fields])
-        exprs.append((F.count_distinct(all_cols) if exact else F.approx_count_distinct(all_cols))
-                     .alias("__distinct"))
+    if header and not exact:
+        exprs.append(F.approx_count_distinct(dedup.fingerprint(df.columns)[0]).alias("__distinct"))
     for i, f in fields:
         c = _c(f.name)
         exprs.append(F.count(c).alias(f"nn{i}"))
@@ -118,7 +117,13 @@ def _fit_profile(df: DataFrame, order_by, exact, samples, header, columns=None,
                       F.min(v).alias(f"min{i}"), F.max(v).alias(f"max{i}")]
         elif is_text_type(f.dataType):
             exprs.append(F.count(parse_number(c)).alias(f"p{i}"))
-    row = df.agg(*exprs).first()
+    main, n_distinct = df.agg(*exprs), None
+    if header and exact:
+        with dedup.held(dedup.fingerprint_groups(df, df.columns)) as groups:
+            row = stats.side_by_side(main, dedup.group_totals(groups)).first()
+            n_distinct = dedup.distinct_rows(df, df.columns, groups, row)
+    else:
+        row = main.first()
     unique = {}
     if distinct:
         unique = (distinct_counts(df, [f.name for _, f in fields]) if exact
@@ -142,10 +147,11 @@ def _fit_profile(df: DataFrame, order_by, exact, samples, header, columns=None,
         prof.append(d)
     with_values = [d for d in prof if d["is_numeric"] and d["n_values"] > 0]
     if with_values:
-        qs = stats.quantiles_many(df, [d["name"] for d in with_values], [0.25, 0.75], exact=exact,
-                                  counts={d["name"]: d["n_values"] for d in with_values})
+        qs = stats.quantiles_many(df, [d["name"] for d in with_values], [0.25, 0.5, 0.75] if median else [0.25, 0.75],
+                                  exact=exact, counts={d["name"]: d["n_values"] for d in with_values})
         for d in with_values:
-            d["q1"], d["q3"] = qs[d["name"]]
+            d["q1"], d["q3"] = qs[d["name"]][0], qs[d["name"]][-1]
+            d["median"] = qs[d["name"]][1] if median else None
     numeric = [d for d in prof if d["q1"] is not None]
     if numeric:
         oexprs = []
@@ -155,7 +161,8 @@ def _fit_profile(df: DataFrame, order_by, exact, samples, header, columns=None,
             oexprs.append(F.count(F.when((x < F.lit(lo)) | (x > F.lit(hi)), 1)).alias(f"o{d['ordinal']}"))
         orow = df.agg(*oexprs).first()
         for d in numeric:
-            d["outlier_frac"] = orow[f"o{d['ordinal']}"] / d["n_values"]
+            d["n_outliers"] = orow[f"o{d['ordinal']}"]
+            d["outlier_frac"] = d["n_outliers"] / d["n_values"]
     for d in prof:
         if d["null_rate"] > HEAVY_NULLS:
             d["flags"].append("heavy_nulls")
@@ -171,8 +178,8 @@ def _fit_profile(df: DataFrame, order_by, exact, samples, header, columns=None,
             d["sample_values"] = got.get(d["name"], [])
     head = None
     if header:
-        distinct = row["__distinct"] if n_rows else 0
-        head = {"n_rows": n_rows, "n_cols": len(df.schema.fields),
+        distinct = n_distinct if exact else row["__distinct"]
+        head = {"n_rows": n_rows, "n_cols": len(df.schema.fields), "n_distinct": distinct,
                 "duplicate_rate": 0.0 if n_rows == 0 else (n_rows - distinct) / n_rows}
     return prof, head
 
@@ -180,8 +187,8 @@ def _fit_profile(df: DataFrame, order_by, exact, samples, header, columns=None,
 def sample_values_frame(df: DataFrame, order_by: list[str], n: int = 3) -> DataFrame:
     """(name, sample_values): the first ``n`` non-null values of every column by ``order_by``."""
     got = sample_values(df, order_by, n)
-    return df.sparkSession.createDataFrame([(k, v) for k, v in got.items() if v],
-                                           "name string, sample_values array<string>")
+    return stats.local_frame(df.sparkSession, [(k, v) for k, v in got.items() if v],
+                             "name string, sample_values array<string>")
 
 
 def _first_values(keys: list[str], column: str, n: int) -> Column:
@@ -226,9 +233,8 @@ def profile(df: DataFrame, order_by: list[str] | None = None, exact: bool = True
             prof: list[dict] | None = None) -> DataFrame:
     """F1-F13 as a DataFrame, one row per column of ``df``."""
     prof = prof if prof is not None else fit_profile(df, order_by, exact)
-    spark = df.sparkSession
-    return spark.createDataFrame([tuple(d[f.name] for f in PROFILE_SCHEMA.fields) for d in prof],
-                                 PROFILE_SCHEMA)
+    return stats.local_frame(df.sparkSession, [tuple(d[f.name] for f in PROFILE_SCHEMA.fields) for d in prof],
+                             PROFILE_SCHEMA)
 
 
 def table_header(df: DataFrame) -> DataFrame:
@@ -244,7 +250,7 @@ def fit_header(df: DataFrame) -> dict:
 
 def header_frame(spark: SparkSession, h: dict) -> DataFrame:
     schema = "n_rows bigint, n_cols int, duplicate_rate double"
-    return spark.createDataFrame([(h["n_rows"], h["n_cols"], h["duplicate_rate"])], schema)
+    return stats.local_frame(spark, [(h["n_rows"], h["n_cols"], h["duplicate_rate"])], schema)
 
 
 def profile_lines(profile_df: DataFrame) -> DataFrame:

@@ -29,12 +29,16 @@ from __future__ import annotations
 import math
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window
 
 from scrubspark.functions.numeric import is_numeric_type
+from scrubspark.functions.refusals import Refusal
 
 # Largest number of rows one final ranking task may hold.
 QUANTILE_TASK_LIMIT = 1_000_000
@@ -45,6 +49,15 @@ def _c(name: str) -> Column:
     return F.col(f"`{name}`")
 
 
+def local_frame(spark: SparkSession, rows: list[tuple], schema) -> DataFrame:
+    """A few driver rows as a relation in the plan itself: reading it back, or a projection of it, runs no job."""
+    schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    arrow = to_arrow_schema(schema)
+    cells = [[list(v.items()) if isinstance(v, dict) else v for v in col] for col in (zip(*rows) if rows else [()] * len(arrow))]
+    table = pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(cells, arrow)], schema=arrow)
+    return spark.createDataFrame(table, schema)
+
+
 def numeric_values(df: DataFrame, col: str) -> DataFrame:
     """Non-null, non-NaN values of a numeric column as ``v double``."""
     v = _c(col).cast("double")
@@ -123,6 +136,14 @@ def cheap_to_recompute(df: DataFrame) -> bool:
     return True
 
 
+def plan_bytes(df: DataFrame) -> int | None:
+    """The plan's own size estimate (no job); None without plan access."""
+    try:
+        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except AttributeError:
+        return None
+
+
 @contextmanager
 def persisted(df: DataFrame):
     """Keep ``df`` for a multi-pass fit when the caller has not cached it and it is
@@ -289,7 +310,7 @@ def quantiles_many(df: DataFrame, cols: list[str], probs: list[float], exact: bo
     """``quantiles`` for several numeric columns with one counting job and one final job."""
     for c in cols:
         if not is_numeric_type(df.schema[c].dataType):
-            raise ValueError(f"'{c}' not numeric.")
+            raise Refusal("wrong_type", c, "no number type")
     vals = {i: F.when(~F.isnan(_c(c).cast("double")), _c(c).cast("double")) for i, c in enumerate(cols)}
     if not exact:
         row = df.agg(*[F.percentile_approx(v, list(probs), accuracy).alias(f"q{i}") for i, v in vals.items()]).first()

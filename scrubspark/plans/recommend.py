@@ -61,6 +61,23 @@ def recommend(profile_df: DataFrame, header_df: DataFrame) -> DataFrame:
                         "confidence")
 
 
+def next_action(prof: list[dict], header: dict, skip: set | None = None) -> Action:
+    """The best candidate from a profile and header that are already on the driver: ``recommend`` without a job."""
+    found = [(1, 0.0, 0, "remove_duplicates", None, {}, CONF_DEDUP)] if header["duplicate_rate"] > DUP_TRIGGER else []
+    for d in prof:
+        if "type_chaos" in d["flags"]:
+            found.append((2, 0.0, d["ordinal"], "fix_dtype", d["name"], {"target_dtype": "float64"}, CONF_DTYPE))
+        if d["null_rate"] > NULL_TRIGGER:
+            how = "mode" if d["mean"] is None else "median"
+            found.append((3, -d["null_rate"], d["ordinal"], "fill_nulls", d["name"], {"strategy": how}, CONF_FILL))
+        if "heavy_outliers" in d["flags"]:
+            found.append((4, 0.0, d["ordinal"], "clip_outliers", d["name"], {"method": "iqr"}, CONF_CLIP))
+    for *_, kind, column, params, confidence in sorted(found, key=lambda f: f[:3]):
+        if (kind, column) not in (skip or ()):
+            return Action(kind, column, params, confidence)
+    return Action("done", confidence=CONF_DONE)
+
+
 def top_action(ranked: DataFrame, skip: set | None = None) -> Action:
     """The best candidate not in ``skip`` ((action_type, column) pairs)."""
     skip = skip or set()

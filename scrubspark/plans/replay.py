@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from scrubspark.functions.refusals import Refusal
 from scrubspark.operators import stats
 from scrubspark.plans.actions import Action
 from scrubspark.plans.clean import clean
@@ -48,9 +49,8 @@ def replay(raw: DataFrame, log_df: DataFrame, spec=None, order_by=None, exact: b
     rows = log_df.where(F.col("success") & ~F.col("noop")).orderBy("step").collect()
     actions = [Action.from_row(r) for r in rows]
     out, replay_log = clean(raw, actions, spec, order_by, exact)
-    failed = replay_log.where(~F.col("success")).limit(1).count()
-    if failed:
-        raise ValueError("replay failed: an action that succeeded before fails now")
+    if any(not r["success"] for r in replay_log.collect()):
+        raise Refusal("replay_failed", detail="an action that succeeded before is refused now")
     return out
 
 
@@ -64,7 +64,7 @@ def verify(raw: DataFrame, log_df: DataFrame, current: DataFrame, spec=None, ord
     try:
         rep = digest(replay(raw, log_df, spec, order_by, exact)).select(
             F.col("n_rows").alias("r_rows"), F.col("digest").alias("replay_digest"))
-    except ValueError:  # an action's own refusal; faults of the cluster propagate
+    except Refusal:  # an action's own; faults of the cluster propagate
         return cur.select(F.lit(False).alias("replay_ok"), "n_rows", "digest",
                           F.lit(None).cast("string").alias("replay_digest"))
     j = stats.side_by_side(cur, rep)

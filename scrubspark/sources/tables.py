@@ -19,7 +19,7 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
           "conversations")
 
 
-SPREAD_MIN_BYTES = 1 << 20
+SPREAD_MIN_BYTES, SPREAD_MAX_BYTES = 1 << 20, 1 << 30
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str, spread: bool = True) -> DataFrame:
@@ -27,7 +27,7 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, spread: bool = True)
 
     A file written as one row group is one split, so every later stage would
     run in one task.  With ``spread`` such a scan (fewer splits than the
-    session's parallelism, more than 1 MB) is spread round-robin over the
+    session's parallelism, 1 MB to 1 GB) is spread round-robin over the
     cores; a large table already has enough splits and is left alone.
     """
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
@@ -41,7 +41,7 @@ def spread_small_scan(df: DataFrame) -> DataFrame:
         parts = df.rdd.getNumPartitions()
     except Exception:  # noqa: BLE001 - a Spark Connect frame: leave the scan as it is
         return df
-    if size >= SPREAD_MIN_BYTES and parts < par:
+    if SPREAD_MIN_BYTES <= size <= SPREAD_MAX_BYTES and parts < par:
         return df.repartition(par)
     return df
 

@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from scrubspark.operators import clip, columns, dedup, dtype, fill
 
-from .conftest import SF_CHECK, plan_text
+from .conftest import SF_CHECK, SF_SMALL, plan_text
 
 
 def test_fill_strategies(spark):
@@ -230,3 +230,44 @@ def test_fill_transform_is_a_projection(spark):
     out = fill.fill_nulls(df, "value", "median").where(F.col("event_id") < 100).select("event_id", "value")
     plan = plan_text(out)
     assert "Join" not in plan and "PushedFilters: [IsNotNull(event_id), LessThan(event_id,100)]" in plan
+
+
+def _distinct(df):
+    return len({str(r) for r in df.collect()})
+
+
+def test_distinct_rows_are_exact_when_fingerprints_collide(spark, monkeypatch):
+    from scrubspark.operators import dedup
+    rows = [(i % 7, None if i % 3 else "x", float(i % 2)) for i in range(60)] + [(None, None, None), (None, None, float("nan")), (0, "x", -0.0)] * 2
+    df = spark.createDataFrame(rows, "a int, b string, c double").repartition(4)
+    want = dedup.duplicate_counts(df)
+    assert want[0] == len(rows)
+    monkeypatch.setattr(dedup, "WHOLE_ROW_BYTES", -1)
+    assert dedup.duplicate_counts(df) == want and dedup.duplicate_counts(df, ["a"])[1] == 8
+    # Hashes of two bits: most fingerprints are shared by different rows.
+    monkeypatch.setattr(dedup, "cell_hash", lambda name, place, half: f"pmod(xxhash64({half}, {place}, `{name}`), 4)")
+    assert dedup.duplicate_counts(df) == want and dedup.duplicate_counts(df.limit(0)) == (0, 0)
+
+
+def test_row_counts_follow_changes_of_single_columns(spark):
+    from scrubspark.operators import dedup
+    df = spark.createDataFrame([(i % 4, i % 3 if i % 5 else None, "ab"[i % 2]) for i in range(50)], "a int, b int, `c d` string").repartition(3)
+    counts = dedup.RowCounts(df, df.columns, {"rows": 50, "distinct": _distinct(df)})
+    steps = [("b", F.coalesce("b", F.lit(1))), ("a", F.when(F.col("a") > 1, 1).otherwise(F.col("a"))), ("c d", F.lit("z")),
+             ("a", F.col("a")), ("b", F.when(F.col("b") == 1, None).otherwise(F.col("b"))), ("a", F.col("a") * 100)]
+    for column, expr in steps:
+        new = df.withColumn(column, expr)
+        got = counts.change(df, column, lambda d: d.withColumn(column, expr))
+        assert got == _distinct(new) == counts.distinct
+        df = new
+    counts.close()
+
+
+def test_header_and_quality_plans_carry_no_whole_row(spark, capsys):
+    from scrubspark.catalog import fixtures as fx
+    from scrubspark.operators import dedup, stats
+    d = fx.dirty_orders(spark, SF_SMALL)
+    with dedup.held(dedup.fingerprint_groups(d, d.columns)) as groups:
+        stats.side_by_side(d.agg(F.count(F.lit(1)).alias("n")), dedup.group_totals(groups)).explain("formatted")
+    plan = capsys.readouterr().out
+    assert "Expand" not in plan and "struct(" not in plan

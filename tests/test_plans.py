@@ -29,7 +29,7 @@ def test_failed_action_leaves_table_unchanged(spark):
                           Action("fill_nulls", "x", {"strategy": "mean"}, 0.9)])
     rows = log.orderBy("step").collect()
     assert [r["success"] for r in rows] == [False, False, True]
-    assert "not found" in rows[0]["error"] and "not numeric" in rows[1]["error"]
+    assert rows[0]["error"].startswith("absent_column") and rows[1]["error"].startswith("wrong_type")
     assert rows[2]["null_before"] == 0.5 and rows[2]["null_after"] == 0.0
     assert out.where(F.col("x").isNull()).count() == 0
 
@@ -130,3 +130,61 @@ def test_fused_segments_equal_sequential(spark):
 def dedup_schema(spark, d):
     from scrubspark.operators.dtype import fix_dtype
     return fix_dtype(d, "qty_text", "float64").schema
+
+
+def _rows(df):
+    return sorted(map(str, df.collect()))
+
+
+BAD_CONSTANTS = [("d", "abc"), ("i", 30_000_000_000), ("i", "30000000000"), ("i", "x"), ("d", float("nan")), ("b", "maybe"), ("t", 5), ("m", "1e40")]
+GOOD_CONSTANTS = [("d", "1.5"), ("d", 7), ("i", "7"), ("i", 1.5), ("s", 3), ("b", "true"), ("t", "2024-01-01 00:00:00"), ("m", 2), ("l", "30000000000")]
+
+
+@pytest.mark.parametrize("column,value", BAD_CONSTANTS + GOOD_CONSTANTS)
+def test_fused_constants_equal_single_ones(spark, column, value):
+    """A constant a column cannot hold is refused alone and beside another fill; the NULLs after a fill are measured."""
+    import datetime
+    import decimal
+    rows = [(1, 1.0, 1, "a", True, datetime.datetime(2020, 1, 1), decimal.Decimal("1.50"), 1, None)] + [(k, *[None] * 8) for k in range(2, 6)]
+    df = spark.createDataFrame(rows, "k int, d double, i int, s string, b boolean, t timestamp_ntz, m decimal(9,2), l bigint, z double")
+    acts = [Action("fill_nulls", column, {"strategy": "constant", "value": value}), Action("fill_nulls", "z", {"strategy": "constant", "value": 4})]
+    fused, flog = clean(df, acts)
+    single, slog = clean(df, acts, fuse=False)
+    assert _rows(fused) == _rows(single) and _rows(flog) == _rows(slog) and fused.schema == single.schema
+    first = flog.orderBy("step").first()
+    assert first["success"] == ((column, value) in GOOD_CONSTANTS)
+    left = fused.where(F.col(column).isNull()).count() / 5
+    assert left == (0.0 if first["success"] else 0.8) and (first["null_after"] == left if first["success"] else first["null_after"] is None)
+
+
+def test_fused_fill_of_a_column_without_values_is_refused_in_both_paths(spark):
+    df = spark.createDataFrame([(1, None, 2.0), (2, None, None)], "k int, x double, y double")
+    acts = [Action("fill_nulls", "x", {"strategy": "median"}), Action("fill_nulls", "y", {"strategy": "mean"})]
+    for fuse in (True, False):
+        _, log = clean(df, acts, fuse=fuse)
+        got = log.orderBy("step").collect()
+        assert got[0]["error"].startswith("empty_column: x") and got[1]["null_after"] == 0.0
+
+
+def test_recommendation_on_the_driver_equals_the_query(spark):
+    from scrubspark.plans.recommend import next_action
+    d = fx.dirty_orders(spark, SF_SMALL)
+    prof, head = P.fit_profile_and_header(d, distinct=False)
+    ranked = recommend(P.profile(d, prof=prof), P.header_frame(spark, head))
+    skip = set()
+    for _ in range(8):
+        a, b = top_action(ranked, skip), next_action(prof, head, skip)
+        assert (a.action_type, a.column, a.params, a.confidence) == (b.action_type, b.column, b.params, b.confidence)
+        skip.add((a.action_type, a.column))
+
+
+def test_rounds_by_changed_fingerprints_equal_rounds_by_recounts(spark, monkeypatch):
+    from scrubspark.plans import auto
+    d = fx.dirty_orders(spark, SF_SMALL)
+    _, log, g = auto.auto_clean(d, specs.ORDERS_SPEC, max_steps=8)
+    monkeypatch.setattr(auto, "RECOUNT_ROWS", 0)
+    calls = []
+    plain = auto.dedup.RowCounts.change
+    monkeypatch.setattr(auto.dedup.RowCounts, "change", lambda *a: calls.append(1) or plain(*a))
+    _, log2, g2 = auto.auto_clean(d, specs.ORDERS_SPEC, max_steps=8)
+    assert calls and _rows(log) == _rows(log2) and _rows(g) == _rows(g2)
