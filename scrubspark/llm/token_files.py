@@ -33,7 +33,7 @@ from pyspark.sql import window as W
 from scrubspark.llm.common import map_texts, stored
 
 #: Longest code word, ids between checkpoints, ids of a block (or one document), words a worker remembers.
-LIMIT, EVERY, BLOCK, MEMO = 18, 256, 1 << 15, 500_000
+LIMIT, EVERY, BLOCK, MEMO = 18, 256, 1 << 15, 300_000
 END = 1
 
 # Unicode's white space; Python's own split would also cut at four control characters.
@@ -46,7 +46,8 @@ PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?|#%&*$]*)")
 class Words:
     """Ids of texts by a tokenizers file that drops white space: each distinct word is encoded once.
 
-    Neither normalisation nor merges cross white space, so a text's ids are its words' ids joined.
+    Neither normalisation nor merges cross white space, so a text's ids are its words' ids joined.  Two generations
+    of words are remembered: a full one becomes the older, from which words come back when they are met again.
     """
 
     def __init__(self, path: str, memo: int = MEMO):
@@ -59,14 +60,21 @@ class Words:
 
         class Memo(dict):
             def __init__(self, encode):
-                self.encode = encode
+                self.encode, self.older = encode, {}
 
             def __missing__(self, word):
-                ids = self.encode(word)
-                if len(word) < 64:
-                    self[word] = ids
+                ids = self.older.get(word)
+                if ids is None:
+                    ids = self.encode(word)
+                    if len(word) >= 64:
+                        return ids
+                self[word] = ids
                 return ids
 
+            def turn(self):
+                self.older = dict(self)
+                self.clear()
+
         def whole(word):
             return np.array(tokenizer.encode(word, add_special_tokens=False).ids, kind).tobytes()
 
@@ -77,7 +85,7 @@ class Words:
         merge, code = tokenizer.model.tokenize, kind[1:].replace("u2", "H").replace("u4", "I")
 
         def merged(part):
-            return array(code, [t.id for t in merge(part.translate(alphabet))]).tobytes()
+            return array(code, [t.id for t in merge(part if part.isascii() else part.translate(alphabet))]).tobytes()
 
         parts = self.parts = Memo(merged)
 
@@ -94,7 +102,7 @@ class Words:
     def encode(self, text: str) -> bytes:
         for memo in (self.words, self.parts):
             if len(memo) > self.limit:
-                memo.clear()
+                memo.turn()
         words = SPACES.split(text) if CONTROLS.search(text) else text.split()
         return b"".join(map(self.words.__getitem__, filter(None, words)))
 
@@ -242,7 +250,7 @@ def _blocks(code: Code, kind: str, id_type: pa.DataType):
 def write(docs: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
     """Write the files of ``docs``; returns (blocks, code) as read from the shared folder."""
     kind = Words(path, 0).kind
-    tok = tokens(docs, path).withColumn("at", F.monotonically_increasing_id())
+    tok = tokens(docs, path).withColumns({"at": F.monotonically_increasing_id(), "h": F.xxhash64("ids")})
     tok = stored(tok, "tokens")
     counts = count_ids(tok, kind).orderBy("id").collect()  # at most one row per id of the vocabulary
     ids = np.array([r["id"] for r in counts], np.int64)
@@ -250,7 +258,7 @@ def write(docs: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
     spark = docs.sparkSession
     code = stored(spark.createDataFrame(list(zip(ids.tolist(), lengths.tolist())), "id long, length long"), "code")
     # The scan position keeps equal keys apart: a hot doc_id spreads over ranges.
-    dealt = tok.repartitionByRange("doc_id", F.xxhash64("ids"), "at").sortWithinPartitions("doc_id", F.xxhash64("ids"), "at")
+    dealt = tok.repartitionByRange("doc_id", "h", "at").sortWithinPartitions("doc_id", "h", "at")
     doc_type = tok.schema["doc_id"].dataType
     schema = T.StructType([
         T.StructField("part", T.IntegerType()), T.StructField("block", T.IntegerType()),
