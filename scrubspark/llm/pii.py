@@ -19,8 +19,10 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -104,11 +106,15 @@ def other_spans(text: str, base: list) -> list[tuple[str, int, int]]:
         found += [("mail_at", *m.span()) for m in MAIL_AT.finditer(text)]
     found += [("number", *m.span()) for m in NUMBER.finditer(text)]
     found += [("person", *m.span()) for m in PERSON.finditer(text)]
-    taken, out = sorted((a, b) for _, a, b in base), []
+    # Both lists ascend: of the base spans that start before a candidate's end, the farthest end decides.
+    taken = sorted((a, b) for _, a, b in base)
+    starts, farthest = [a for a, _ in taken], list(accumulate((b for _, b in taken), max))
+    out, reach = [], 0
     for kind, a, b in sorted(found, key=lambda s: s[1:]):
-        if not any(x < b and a < y for x, y in taken):
+        before = bisect_left(starts, b)
+        if reach <= a and (not before or farthest[before - 1] <= a):
             out.append((kind, a, b))
-            taken.append((a, b))
+            reach = b
     return out
 
 

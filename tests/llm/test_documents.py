@@ -299,3 +299,48 @@ def test_forward_backward_equals_enumeration():
         total += p
         good += p * np.array(y)
     assert np.allclose(1 / (1 + np.exp(-(ahead + back))), good / total)
+
+
+def test_other_spans_equal_the_quadratic_comparison():
+    import random
+    rnd = random.Random(5)
+    parts = ["Dr. Ann Lee", "555-123-4567", "a.b (at) mail (dot) org", "10.0.0.1", "4111 1111 1111 1111", "+1 (202) 555-0147", "x@y.org", "Mr Bo", "word"]
+    for _ in range(300):
+        text = rnd.choice([" ", ", ", "-"]).join(rnd.choice(parts) for _ in range(rnd.randint(0, 12)))
+        base = pii.base_spans(text)
+        found = [("mail_at", *m.span()) for m in pii.MAIL_AT.finditer(text)] if "(at)" in text else []
+        found += [("number", *m.span()) for m in pii.NUMBER.finditer(text)] + [("person", *m.span()) for m in pii.PERSON.finditer(text)]
+        taken, want = [(a, b) for _, a, b in base], []
+        for kind, a, b in sorted(found, key=lambda s: s[1:]):
+            if not any(x < b and a < y for x, y in taken):
+                want.append((kind, a, b))
+                taken.append((a, b))
+        assert pii.other_spans(text, base) == want
+
+
+@pytest.mark.parametrize("unit", ["555-123-4567 ", "Dr. Ann Lee ", "a.b (at) mail.org ", "10.0.0.1 ", "1.1.1 ", "x@", "a@b.", "+1 (", "4111 1111 1111 1111 ",
+                                  "0", "Mr A", "a.b-", "(at) "])
+def test_personal_data_is_found_in_linear_time(unit):
+    import time
+    text = unit * (2_000_000 // len(unit))
+    start = time.process_time()
+    pii.other_spans(text, pii.base_spans(text))
+    assert time.process_time() - start < 20
+
+
+@pytest.mark.parametrize("unit,tail", [("eyJaaaaaaaa", " .eyJ"), ("eyJ", ""), ("eyJaaaaaaaaaa.", "x"), ("password ", "="), ("AKIA", ""), ("0123456789abcdef0123456", "g"),
+                                       ("xoxb-", ""), ("ghp_a", ""), ("-----BEGIN ", ""), ("sk_live_", ""), ("AIza", " ")])
+def test_secret_rules_are_linear(spark, unit, tail):
+    import time
+    text = unit * (2_000_000 // len(unit)) + tail
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    start = time.monotonic()
+    assert secrets.secret_spans(docs).count() == 1 and secrets.secret_spans(docs).first()["doc_id"] == 1
+    assert time.monotonic() - start < 60
+
+
+def test_tokens_in_the_web_form_are_found(spark):
+    part = "eyJ" + "a1_-" * 5
+    text = f"x {part}.{part}.{'s' * 12}, y{part}.{part}.{'s' * 12}"
+    (r,) = secrets.secret_spans(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert f"jwt:2:{2 + 2 * len(part) + 14}" in r["spans"].split(",") and r["spans"].count("jwt") == 1
