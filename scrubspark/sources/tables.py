@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from scrubspark.sources import csv_records
+
 # The tokens a CSV reader in the pandas tradition treats as
 # missing by default (pandas ``read_csv`` documentation, ``na_values``).
 DEFAULT_NA_TOKENS = (
@@ -82,6 +84,8 @@ def read_csv(spark: SparkSession, path: str, na_tokens=DEFAULT_NA_TOKENS,
              infer_schema: bool = True) -> DataFrame:
     """CSV upload (S1): header row, quoted line breaks, tokens to NULL, then types inferred.
 
+    A file of any size is read by as many tasks as it has splits (``csv_records``).
+
     Spark's CSV reader keeps ``N/A`` as text, which would make a numeric
     column a text column; tokens are nulled first and the types are then
     inferred on the cleaned text, all columns in one aggregate.  A column is
@@ -90,9 +94,7 @@ def read_csv(spark: SparkSession, path: str, na_tokens=DEFAULT_NA_TOKENS,
     a double would not keep their digits), boolean if every value is
     ``True`` or ``False`` in any case, and text otherwise.
     """
-    raw = (spark.read.option("header", True).option("inferSchema", False)
-           .option("multiLine", True).option("quote", '"').option("escape", '"').csv(path))
-    cleaned = null_tokens(raw, na_tokens)
+    cleaned = null_tokens(csv_records.read_text_columns(spark, path), na_tokens)
     if not infer_schema:
         return cleaned
     from scrubspark.functions.numeric import parse_number
