@@ -563,3 +563,16 @@ def _auto_clean_sql():
 
 
 ORACLE["auto_clean_grade"] = _auto_clean_sql()
+
+ORACLE["table_differences"] = """WITH l AS (SELECT o_orderkey, o_custkey, o_totalprice, o_orderstatus FROM orders),
+    r AS (SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 501 = 0 THEN o_totalprice + 1e-9::DOUBLE * o_totalprice ELSE o_totalprice END AS o_totalprice,
+            CASE WHEN o_orderkey % 1503 <> 0 THEN o_orderstatus END AS o_orderstatus FROM l WHERE o_orderkey % 997 <> 0
+          UNION ALL SELECT -o_orderkey, o_custkey, o_totalprice, o_orderstatus FROM l WHERE o_orderkey % 800 = 0)
+    SELECT coalesce(l.o_orderkey, r.o_orderkey) AS o_orderkey, count(l.o_orderkey) AS left_rows, count(r.o_orderkey) AS right_rows,
+      CASE WHEN l.o_orderkey IS NULL THEN 'added' WHEN r.o_orderkey IS NULL THEN 'removed' ELSE 'changed' END AS change,
+      concat_ws(',', CASE WHEN l.o_orderkey IS NULL OR r.o_orderkey IS NULL THEN 'o_custkey' END,
+        CASE WHEN l.o_orderkey IS NULL OR r.o_orderkey IS NULL OR l.o_totalprice IS DISTINCT FROM r.o_totalprice THEN 'o_totalprice' END,
+        CASE WHEN l.o_orderkey IS NULL OR r.o_orderkey IS NULL OR l.o_orderstatus IS DISTINCT FROM r.o_orderstatus THEN 'o_orderstatus' END) AS columns
+    FROM l FULL JOIN r ON l.o_orderkey = r.o_orderkey
+    WHERE l.o_orderkey IS NULL OR r.o_orderkey IS NULL OR l.o_totalprice IS DISTINCT FROM r.o_totalprice
+      OR l.o_orderstatus IS DISTINCT FROM r.o_orderstatus GROUP BY ALL"""

@@ -375,6 +375,7 @@ def parse_rate(spark, sf):
 # --- L1-L4, C18-C20, V1-V3: plans and replay ---------------------------------------
 
 from scrubspark.plans import auto as autoplan  # noqa: E402
+from scrubspark.plans import compare  # noqa: E402
 from scrubspark.plans import recommend as rec  # noqa: E402
 from scrubspark.plans import replay as rep  # noqa: E402
 from scrubspark.plans.actions import Action  # noqa: E402
@@ -449,6 +450,18 @@ def auto_clean_grade(spark, sf):
                       *[F.lit(r[c]).cast(g.schema[c].dataType).alias(c) for c in ("score", "passed", "steps")])
 
 
+@query
+def table_differences(spark, sf):
+    """Which orders, and which of their columns, two versions of the table disagree on."""
+    left = read_table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus")
+    key = F.col("o_orderkey")
+    right = left.where(key % 997 != 0).withColumns({
+        "o_totalprice": F.when(key % 501 == 0, F.col("o_totalprice") + 1e-9 * F.col("o_totalprice")).otherwise(F.col("o_totalprice")),
+        "o_orderstatus": F.when(key % 1503 != 0, F.col("o_orderstatus"))})
+    right = right.unionByName(left.where(key % 800 == 0).withColumn("o_orderkey", -key))
+    return compare.differences(left, right, "o_orderkey").withColumn("columns", F.array_join("columns", ","))
+
+
 DIGEST_COLS = ["o_orderkey", "o_totalprice", "o_orderpriority", "qty_text"]
 
 
