@@ -24,7 +24,7 @@ EVENTS_SPEC = GradeSpec(
     type_expect={"value": "numeric", "flag_text": "string", "ts_text": "timestamp_ntz"},
     outlier_cols=["value"],
     rules={"value": (-100, 1000)},
-    parse_cols=["ts_text"],
+    parse_cols=["user_text"],
     irrelevant=["props"],
     weights=WEIGHTS_WITH_PARSE,
     max_steps=20,
