@@ -212,16 +212,36 @@ ORACLE.update({
 
 # --- plans and replay -----------------------------------------------------------------
 
+def _sql_double_text(c):
+    """A finite double in full: exponent of the power of two taken out, whole part, twice 42 bits (see plans/replay.py)."""
+    def of(exponent, half):
+        x = f"({c} * {half!r}::DOUBLE * {half!r}::DOUBLE)"
+        y = f"(({x} - trunc({x})) * 4398046511104.0::DOUBLE)"
+        z = f"(({y} - trunc({y})) * 4398046511104.0::DOUBLE)"
+        whole = ", ".join(f"CAST(trunc({v}) AS BIGINT)" for v in (x, y, z))
+        return f"concat_ws(':', {exponent}, {whole})"
+    tiny, huge = 2.0 ** -32, 2.0 ** 32
+    return (f"CASE WHEN {c} = 0 THEN '0:0:0:0' WHEN abs({c}) >= {tiny!r}::DOUBLE AND abs({c}) < {huge!r}::DOUBLE "
+            f"THEN {of(0, 1.0)} WHEN abs({c}) >= {huge!r}::DOUBLE THEN {of(64, 2.0 ** -32)} ELSE {of(-64, 2.0 ** 32)} END")
+
+
+def _sql_quantile(view, c, p):
+    """The quantile of numpy's rule from order statistics, in this order of operations: equal to the last bit."""
+    return (f"(SELECT CASE WHEN ceil(pos) = floor(pos) THEN v[floor(pos)::BIGINT + 1] ELSE v[floor(pos)::BIGINT + 1] "
+            f"+ (v[ceil(pos)::BIGINT + 1] - v[floor(pos)::BIGINT + 1]) * (pos - floor(pos)) END FROM (SELECT "
+            f"list_sort(list({c})) AS v, {p!r}::DOUBLE * (count({c}) - 1) AS pos FROM {view} WHERE {c} IS NOT NULL))")
+
+
 _PQ = sql_parse_number("qty_text")
 CLEAN_CHAIN = DO + f""",
 s1 AS (SELECT DISTINCT * FROM dirty_orders),
 s2 AS (SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority,
               {_PQ} AS qty_text, admin_note FROM s1),
 s3 AS (SELECT o_orderkey, o_custkey, o_orderstatus,
-              coalesce(o_totalprice, (SELECT quantile_cont(o_totalprice, 0.5) FROM s2)) AS o_totalprice,
+              coalesce(o_totalprice, {_sql_quantile("s2", "o_totalprice", 0.5)}) AS o_totalprice,
               o_orderdate, o_orderpriority, qty_text, admin_note FROM s2),
 fences AS (SELECT q1 - 1.5 * (q3 - q1) AS lo, q3 + 1.5 * (q3 - q1) AS hi FROM
-           (SELECT quantile_cont(o_totalprice, 0.25) AS q1, quantile_cont(o_totalprice, 0.75) AS q3 FROM s3)),
+           (SELECT {_sql_quantile("s3", "o_totalprice", 0.25)} AS q1, {_sql_quantile("s3", "o_totalprice", 0.75)} AS q3)),
 s4 AS (SELECT o_orderkey, o_custkey, o_orderstatus,
               CASE WHEN o_totalprice < lo THEN lo WHEN o_totalprice > hi THEN hi ELSE o_totalprice END
                 AS o_totalprice,
@@ -235,7 +255,7 @@ def _sql_digest(view, cols):
     parts = []
     for c, t in cols:
         if t == "double":
-            text = f"printf('%.6f', \"{c}\")"
+            text = _sql_double_text(f'"{c}"')
         else:
             text = f'CAST("{c}" AS VARCHAR)'
         parts.append(f"CASE WHEN \"{c}\" IS NULL THEN '~' ELSE length({text}) || ':' || {text} END")
@@ -297,6 +317,11 @@ ORACLE.update({
           UNION ALL SELECT 5, 0.0, 0, 'done', NULL, NULL, 0.70)
         SELECT CAST(row_number() OVER (ORDER BY prio, k1, k2) AS INTEGER) AS rank, action_type, "column", param,
           confidence FROM cands""",
+    # The columns hold at most two decimals, so their sums are exact as whole hundredths.
+    "moments_exact": " UNION ALL ".join(f"""SELECT '{c}' AS "column", count({c}) AS n,
+        round(sum(CAST(round({c} * 100) AS HUGEINT))::DOUBLE / 100 / count({c}), 8) AS mean_value,
+        round(stddev_samp({c}), 6) AS std_value FROM lineitem"""
+        for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax")),
     "digest": DO + _sql_digest("dirty_orders", [("o_orderkey", "bigint"), ("o_totalprice", "double"),
                                                 ("o_orderpriority", "string"), ("qty_text", "string")]),
     "replay_verify": CLEAN_CHAIN + ", d AS (" + _sql_digest("cleaned", _CLEANED_COLS) + """)

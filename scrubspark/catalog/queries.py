@@ -468,6 +468,17 @@ def table_differences(spark, sf):
     return compare.differences(left, right, "o_orderkey").withColumn("columns", F.array_join("columns", ","))
 
 
+MOMENT_COLS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+@query
+def moments_exact(spark, sf):
+    """Means and deviations that every run repeats to the last bit (fits of C1 and C14)."""
+    m = stats.moments(read_table(spark, sf, "lineitem"), MOMENT_COLS)
+    rows = [(c, m[c]["n"], round(m[c]["mean"], 8), round(m[c]["std"], 6)) for c in MOMENT_COLS]
+    return stats.local_frame(spark, rows, "column string, n bigint, mean_value double, std_value double")
+
+
 DIGEST_COLS = ["o_orderkey", "o_totalprice", "o_orderpriority", "qty_text"]
 
 

@@ -39,6 +39,7 @@ from pyspark.sql.window import Window
 
 from scrubspark.functions.numeric import is_numeric_type
 from scrubspark.functions.refusals import Refusal
+from scrubspark.operators.exact_sums import mean_and_std
 
 # Largest number of rows one final ranking task may hold.
 QUANTILE_TASK_LIMIT = 1_000_000
@@ -65,22 +66,18 @@ def numeric_values(df: DataFrame, col: str) -> DataFrame:
 
 
 def moments(df: DataFrame, cols: list[str]) -> dict[str, dict]:
-    """Rows, nulls, count, mean, sample std, min, max for numeric ``cols`` in one job."""
+    """Rows, nulls, count, mean, sample std, min, max for numeric ``cols`` in two jobs.
+
+    Mean and deviation are bit-equal for any partitioning (see ``exact_sums``): a fit repeated gives the same fit.
+    """
+    vals = {c: F.when(~F.isnan(_c(c).cast("double")), _c(c).cast("double")) for c in cols}
     exprs = [F.count(F.lit(1)).alias("__rows")]
-    for i, c in enumerate(cols):
-        v = F.when(~F.isnan(_c(c).cast("double")), _c(c).cast("double"))
-        exprs += [F.count(v).alias(f"n{i}"), F.avg(v).alias(f"mean{i}"),
-                  F.stddev_samp(v).alias(f"std{i}"), F.min(v).alias(f"min{i}"),
-                  F.max(v).alias(f"max{i}")]
+    for i, v in enumerate(vals.values()):
+        exprs += [F.count(v).alias(f"n{i}"), F.min(v).alias(f"min{i}"), F.max(v).alias(f"max{i}")]
     row = df.agg(*exprs).first()
-    out = {}
-    for i, c in enumerate(cols):
-        n = row[f"n{i}"]
-        out[c] = {"rows": row["__rows"], "n": n, "nulls": row["__rows"] - n,
-                  "mean": row[f"mean{i}"],
-                  "std": (0.0 if n == 1 else row[f"std{i}"]),
-                  "min": row[f"min{i}"], "max": row[f"max{i}"]}
-    return out
+    fits = mean_and_std(df, vals, {c: (row[f"n{i}"], row[f"min{i}"], row[f"max{i}"]) for i, c in enumerate(cols)})
+    return {c: {"rows": row["__rows"], "n": row[f"n{i}"], "nulls": row["__rows"] - row[f"n{i}"], "mean": fits[c][0],
+                "std": fits[c][1], "min": row[f"min{i}"], "max": row[f"max{i}"]} for i, c in enumerate(cols)}
 
 
 def mode_value(df: DataFrame, col: str):
