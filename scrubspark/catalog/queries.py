@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scrubspark.catalog import fixtures as fx
-from scrubspark.operators import clip, columns, dedup, dtype, fill, inject
+from scrubspark.operators import clip, columns, dedup, dtype, fill, inject, stats
 from scrubspark.functions.draws import uniform
 from scrubspark.sources.tables import read_table
 

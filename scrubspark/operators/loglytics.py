@@ -5,10 +5,12 @@ Input: one row per logged action, many runs, with columns
 std_reduction, grade, replay_ok, canonical, irrelevant, max_steps``.
 
 A run ends at its first terminal step (``done`` or ``step + 1 >= max_steps``)
-and nothing after it counts, so the first thing ``valid_steps`` does is the
-map-side filter ``step < max_steps``: after it no run has more than
-``max_steps`` rows, and every window below is partitioned by run over a
-bounded number of rows, however many rows one run had in the raw log.
+and nothing after it counts, so the map-side filter ``step < max_steps`` comes
+first: after it a run whose steps do not repeat has at most ``max_steps`` rows
+and is a small window.  Runs in which steps repeat may have any number of rows.
+Those with more than ``MOST_IN_A_RUN`` are counted out and scanned over ranges
+of (run, step), with the same results: rows of one step are ordered by a hash
+of the whole row, in both ways.
 """
 
 from __future__ import annotations
@@ -17,7 +19,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from scrubspark.operators import scan, stats
 from scrubspark.operators.fill import order_ranges
+from scrubspark.operators.scan import Fold
+
+# Rows of a run that one task may hold; a log of fewer bytes than the second is not searched for longer runs.
+MOST_IN_A_RUN = 100_000
+SMALL_LOG_BYTES = 64 << 20
 
 # Reward components.
 R_NULL_FIXED = 0.10
@@ -52,16 +60,44 @@ def _run():
     return Window.partitionBy("run_id").orderBy("step")
 
 
-def valid_steps(log: DataFrame) -> DataFrame:
-    """Rows up to and including each run's first terminal step."""
-    capped = log.where(F.col("step") < F.col("max_steps"))
-    terminal = (F.col("action_type") == "done") | (F.col("step") + 1 >= F.col("max_steps"))
-    first = F.min(F.when(terminal, F.col("step"))).over(Window.partitionBy("run_id"))
-    return (capped.withColumn("terminal_step", first)
-            .where(F.col("terminal_step").isNull() | (F.col("step") <= F.col("terminal_step")))
+def _parts(log: DataFrame, most: int, n_ranges: int | None, small: int = SMALL_LOG_BYTES) -> list[DataFrame]:
+    """The steps below ``max_steps``: runs that a task can hold, and, where there are any, longer runs cut into ranges."""
+    capped = scan.with_tie(log.where(F.col("step") < F.col("max_steps")))
+    size = stats.plan_bytes(log)
+    if most >= MOST_IN_A_RUN and size is not None and size <= small:
+        return [capped]
+    hot = scan.hot_groups(capped, ["run_id"], most)
+    if hot.isEmpty():
+        return [capped]
+    same = scan.same_group(["run_id"])
+    return [capped.join(hot, same, "left_anti"), scan.cut(capped.join(hot, same, "left_semi"), ["run_id"], ["step"], n_ranges)]
+
+
+def _until_terminal(part: DataFrame, n_ranges: int | None) -> DataFrame:
+    """A8 and the flags of A5 in one scan: a run is kept as a prefix, so what was seen before a kept step is the same."""
+    t = F.col("action_type")
+    terminal = (t == "done") | (F.col("step") + 1 >= F.col("max_steps"))
+    v = scan.scan(part, ["run_id"], ["step"], {
+        "terminal_step": Fold(F.when(terminal, F.col("step")), "min", "whole"),
+        "__dtype": Fold((t == CAUSAL_ORDER[0]).cast("int"), "max", "before"),
+        "__fill": Fold((t == CAUSAL_ORDER[1]).cast("int"), "max", "before")}, n_ranges)
+    return (v.where(F.col("terminal_step").isNull() | (F.col("step") <= F.col("terminal_step")))
             .withColumn("is_terminal", F.col("step") == F.col("terminal_step")))
 
 
+def _all(parts: list[DataFrame], cols: list[str]) -> DataFrame:
+    out = parts[0].select(*cols)
+    for p in parts[1:]:
+        out = out.unionByName(p.select(*cols))
+    return out
+
+
+def valid_steps(log: DataFrame, most: int = MOST_IN_A_RUN, n_ranges: int | None = None) -> DataFrame:
+    """Rows up to and including each run's first terminal step."""
+    parts = [_until_terminal(p, n_ranges) for p in _parts(log, most, n_ranges)]
+    return _all(parts, [*log.columns, "terminal_step", "is_terminal"])
+
+
 def action_value(c_type: Column = None) -> Column:
     """A1 (and A2 as NULL): the value of a successful action."""
     t = F.col("action_type")
@@ -78,18 +114,20 @@ def action_value(c_type: Column = None) -> Column:
                   .otherwise(F.lit(R_DROP_WRONG))))
 
 
-def score_log(log: DataFrame) -> DataFrame:
+def score_log(log: DataFrame, most: int = MOST_IN_A_RUN, n_ranges: int | None = None) -> DataFrame:
     """A1-A10: every component, the step reward and both running totals."""
-    v = valid_steps(log)
+    parts = [_score(p, n_ranges) for p in _parts(log, most, n_ranges)]
+    return _all(parts, [c for c in parts[0].columns if c not in (scan.TIE, "__dtype", "__fill")])
+
+
+def _score(part: DataFrame, n_ranges: int | None) -> DataFrame:
+    v = _until_terminal(part, n_ranges)
     t = F.col("action_type")
     v = v.withColumn("action_value", action_value())
     outcome = F.coalesce(F.col("action_value"), F.lit(R_INVALID_OP))
-    seen_before = Window.partitionBy("run_id").orderBy("step").rowsBetween(Window.unboundedPreceding, -1)
-    seen_dtype = F.max((t == CAUSAL_ORDER[0]).cast("int")).over(seen_before)
-    seen_fill = F.max((t == CAUSAL_ORDER[1]).cast("int")).over(seen_before)
     ordered = ((t == CAUSAL_ORDER[0])
-               | ((t == CAUSAL_ORDER[1]) & (F.coalesce(seen_dtype, F.lit(0)) == 1))
-               | ((t == CAUSAL_ORDER[2]) & (F.coalesce(seen_fill, F.lit(0)) == 1)))
+               | ((t == CAUSAL_ORDER[1]) & (F.coalesce("__dtype", F.lit(0)) == 1))
+               | ((t == CAUSAL_ORDER[2]) & (F.coalesce("__fill", F.lit(0)) == 1)))
     is_done = t == "done"
     v = (v.withColumn("step_penalty", F.lit(R_STEP_PENALTY))
          .withColumn("invalid_op", F.when(~F.col("success"), F.lit(R_INVALID_OP)))
@@ -109,10 +147,10 @@ def score_log(log: DataFrame) -> DataFrame:
            + F.coalesce(F.col("early_exit_penalty"), F.lit(0.0))
            + F.coalesce(F.col("done_bonus"), F.lit(0.0)) + F.coalesce(F.col("provenance"), F.lit(0.0)))
     v = v.withColumn("reward", F.round(raw, 6))
-    upto = _run().rowsBetween(Window.unboundedPreceding, 0)
     stored = F.col("reward") - F.coalesce(F.col("early_exit_penalty"), F.lit(0.0))
-    return (v.withColumn("cumulative", F.round(F.sum("reward").over(upto), 6))
-            .withColumn("cumulative_stored", F.round(F.sum(stored).over(upto), 6)))
+    v = scan.scan(v, ["run_id"], ["step"], {"cumulative": Fold(F.col("reward"), "sum"), "cumulative_stored": Fold(stored, "sum")},
+                  n_ranges)
+    return v.withColumns({c: F.round(c, 6) for c in ("cumulative", "cumulative_stored")})
 
 
 def breakdown(scored: DataFrame) -> Column:
