@@ -7,18 +7,20 @@ Exact quantiles
 ---------------
 Spark's exact ``percentile`` merges a value->count map of the whole column in
 one task, which does not survive a large, high-cardinality column.  Here an
-exact quantile is found by narrowing instead:
-
-1. every target rank starts in a window covering all non-null values;
-2. while a window holds more than ``limit`` rows, ``percentile_approx``
-   (bounded memory, merged map-side) proposes a bracket around the target
-   rank, and one conditional-count job checks it exactly (rows below the
-   bracket, rows inside it).  A bracket that misses its rank is widened and
-   retried, so the result never depends on the approximation;
-3. once every window is at most ``limit`` rows, one job ranks the distinct
-   values of each window (a window function partitioned by window id, so
-   one task per window, each bounded by ``limit``) and returns only the rows
-   that hold a target rank.
+exact quantile takes at most three passes over the data, for all columns at
+once:
+
+1. one KLL sketch per column, of bounded size and merged as a tree, proposes
+   for every target rank a bracket as wide as three times the sketch's error;
+2. one job counts the rows below, at and between the ends of each bracket.  A
+   rank on an end is answered; one outside, which the margin makes all but
+   impossible, starts again with a wider bracket, so the result never depends
+   on the sketch;
+3. the rows strictly between the ends are read: up to ``limit`` of them become
+   one sorted list in one task.  More are written to the shared folder, and the
+   steps are repeated on that table, a small share of the column: a value
+   more frequent than a bracket is wide is itself an end, so hot values do not
+   stop brackets from shrinking.
 
 Linear interpolation between neighbouring ranks follows the common
 ``q = v[lo] + (v[hi] - v[lo]) * (pos - lo)`` with ``pos = p * (n - 1)``.
@@ -27,6 +29,7 @@ Linear interpolation between neighbouring ranks follows the common
 from __future__ import annotations
 
 import math
+import uuid
 from contextlib import contextmanager
 
 import pyarrow as pa
@@ -40,10 +43,15 @@ from pyspark.sql.window import Window
 from scrubspark.functions.numeric import is_numeric_type
 from scrubspark.functions.refusals import Refusal
 from scrubspark.operators.exact_sums import mean_and_std
+from scrubspark.session import checkpoint_dir
 
 # Largest number of rows one final ranking task may hold.
 QUANTILE_TASK_LIMIT = 1_000_000
 APPROX_ACCURACY = 10_000
+# Parameter of the sketches that propose brackets: about 160 KB each, an error of 0.036 % of the ranks.  Brackets are six
+# errors wide; a parameter of some tens would make them as wide as the column.
+SKETCH_K = 8192
+SKETCH_MERGERS = 256
 
 
 def _c(name: str) -> Column:
@@ -93,15 +101,6 @@ def mode_value(df: DataFrame, col: str):
     return None if best is None else best["v"]
 
 
-def _window_cond(v: Column, lo, hi) -> Column:
-    cond = F.lit(True)
-    if lo is not None:
-        cond = cond & (v >= F.lit(lo))
-    if hi is not None:
-        cond = cond & (v <= F.lit(hi))
-    return cond
-
-
 def side_by_side(*frames: DataFrame) -> DataFrame:
     """The columns of several one-row frames (global aggregates) in one row.
 
@@ -156,9 +155,37 @@ def persisted(df: DataFrame):
         yield df
 
 
+def rank_error(k: int) -> float:
+    """Rank error, as a share of all values, that a KLL sketch of parameter ``k`` keeps to in 99 % of cases."""
+    return 2.296 / k ** 0.9723
+
+
+def _quantile_sketches(df: DataFrame, columns: dict[int, Column], k: int) -> DataFrame:
+    """One row with a sketch ``s<id>`` per column.
+
+    Partial sketches are merged in ``SKETCH_MERGERS`` tasks before the last one, which so receives a fixed number
+    of bounded sketches however many tasks read the data.
+    """
+    task = F.pmod(F.spark_partition_id(), F.lit(SKETCH_MERGERS)).alias("__task")
+    partial = df.select(task, *[c.alias(f"v{i}") for i, c in columns.items()]).groupBy("__task").agg(
+        *[F.kll_sketch_agg_double(f"v{i}", k).alias(f"s{i}") for i in columns])
+    return partial.agg(*[F.kll_merge_agg_double(f"s{i}").alias(f"s{i}") for i in columns])
+
+
+def _brackets(df: DataFrame, columns: dict[int, Column], wins: list[dict], margin: float) -> list[tuple[float, float]]:
+    """(lo, hi) around the ranks of each window, from one pass."""
+    def share(rank, n, off):
+        return F.lit(min(1.0, max(0.0, (rank + 0.5) / n + off * (margin + 1.0 / n))))
+
+    used = {w["k"]: columns[w["k"]] for w in wins}
+    row = _quantile_sketches(df, used, SKETCH_K).select(*[
+        F.kll_sketch_get_quantile_double(f"s{w['k']}", F.array(share(w["ranks"][0], w["n"], -1), share(w["ranks"][-1], w["n"], 1)))
+        .alias(f"q{i}") for i, w in enumerate(wins)]).first()
+    return [tuple(row[f"q{i}"]) for i in range(len(wins))]
+
+
 def select_ranks_many(df: DataFrame, columns: dict[int, Column], targets: dict[int, tuple[int, list[int]]],
-                      limit: int = QUANTILE_TASK_LIMIT, accuracy: int = APPROX_ACCURACY
-                      ) -> dict[int, dict[int, float]]:
+                      limit: int = QUANTILE_TASK_LIMIT) -> dict[int, dict[int, float]]:
     """Exact values at 0-based ranks, for several columns at once.
 
     ``columns`` maps an id to a double column of ``df`` (NULL where it does not
@@ -167,79 +194,54 @@ def select_ranks_many(df: DataFrame, columns: dict[int, Column], targets: dict[i
     work is rows x brackets; only the values of the final small brackets become
     rows of their own.
     """
-    wins = []
+    out: dict[int, dict[int, float]] = {k: {} for k in targets}
+    found, todo = [], []
     for k, (n, ranks) in targets.items():
-        groups: list[list[int]] = []
         if n <= limit:
             # Small enough already: one window (one sorted list) serves every rank.
-            groups = [sorted(set(ranks))]
-        for r in (sorted(set(ranks)) if n > limit else []):
+            found.append({"k": k, "ranks": sorted(set(ranks)), "lo": None, "hi": None, "offset": 0, "size": n})
+            continue
+        groups: list[list[int]] = []
+        for r in sorted(set(ranks)):
             if groups and r - groups[-1][-1] <= 1:
                 groups[-1].append(r)
             else:
                 groups.append([r])
-        wins += [{"k": k, "ranks": g, "lo": None, "hi": None, "offset": 0, "size": n,
-                  "eps": 2.0 / accuracy, "done": False} for g in groups]
-
-    def inside_of(w, lo, hi):
-        v = columns[w["k"]]
-        return v.isNotNull() & _window_cond(v, lo, hi)
+        todo += [{"k": k, "n": n, "ranks": g} for g in groups]
+    margin = 3 * rank_error(SKETCH_K)
+    while todo:
+        ends = _brackets(df, columns, todo, margin)
+        counts = []
+        for i, (w, (lo, hi)) in enumerate(zip(todo, ends)):
+            v = columns[w["k"]]
+            counts += [F.count(F.when(c, 1)).alias(f"{name}{i}") for name, c in (
+                ("below", v < F.lit(lo)), ("low", v == F.lit(lo)), ("in", (v > F.lit(lo)) & (v < F.lit(hi))), ("high", v == F.lit(hi)))]
+        row, missed = df.agg(*counts).first(), []
+        for i, (w, (lo, hi)) in enumerate(zip(todo, ends)):
+            start = row[f"below{i}"] + row[f"low{i}"]
+            end = start + row[f"in{i}"]
+            last = start if lo == hi else end + row[f"high{i}"]
+            if w["ranks"][0] < row[f"below{i}"] or w["ranks"][-1] >= last:
+                missed.append(w)
+                continue
+            out[w["k"]].update({r: lo if r < start else hi for r in w["ranks"] if not start <= r < end})
+            between = [r for r in w["ranks"] if start <= r < end]
+            if between:
+                found.append({"k": w["k"], "ranks": between, "lo": lo, "hi": hi, "offset": start, "size": row[f"in{i}"]})
+        # A margin of one makes the ends the least and the greatest value.
+        todo, margin = missed, min(1.0, 4 * margin)
 
     def members(ws):
         """(w, v): the values inside each of the numbered windows ``ws``."""
-        cells = [F.when(inside_of(w, w["lo"], w["hi"]), F.struct(F.lit(i).alias("w"), columns[w["k"]].alias("v")))
-                 for i, w in ws]
+        cells = []
+        for i, w in ws:
+            v = columns[w["k"]]
+            inside = v.isNotNull() if w["lo"] is None else (v > F.lit(w["lo"])) & (v < F.lit(w["hi"]))
+            cells.append(F.when(inside, F.struct(F.lit(i).alias("w"), v.alias("v"))))
         return df.select(F.inline(F.array_compact(F.array(*cells))))
 
-    for _ in range(64):
-        big = [w for w in wins if w["size"] > limit and not w["done"]]
-        if not big:
-            break
-        # Propose brackets from approximate quantiles inside each big window (one job).
-        aggs = []
-        for i, w in enumerate(big):
-            lr0, lr1 = w["ranks"][0] - w["offset"], w["ranks"][-1] - w["offset"]
-            denom = max(w["size"] - 1, 1)
-            f0 = max(0.0, lr0 / denom - w["eps"])
-            f1 = min(1.0, lr1 / denom + w["eps"])
-            w["_f"] = (f0, f1)
-            aggs.append(F.percentile_approx(F.when(inside_of(w, w["lo"], w["hi"]), columns[w["k"]]), [f0, f1],
-                                            accuracy).alias(f"a{i}"))
-        row = df.agg(*aggs).first()
-        proposals = []
-        for i, w in enumerate(big):
-            a, b = row[f"a{i}"]
-            a = w["lo"] if w["_f"][0] <= 0.0 else a
-            b = w["hi"] if w["_f"][1] >= 1.0 else b
-            proposals.append((a, b))
-        # Check every bracket exactly (one job).
-        cexprs = []
-        for i, (a, b) in enumerate(proposals):
-            w = big[i]
-            below = F.lit(0) if a is None else F.count(F.when(columns[w["k"]] < F.lit(a), 1))
-            cexprs += [below.alias(f"below{i}"), F.count(F.when(inside_of(w, a, b), 1)).alias(f"in{i}")]
-        crow = df.agg(*cexprs).first()
-        for i, w in enumerate(big):
-            a, b = proposals[i]
-            below, inside = crow[f"below{i}"], crow[f"in{i}"]
-            if below <= w["ranks"][0] and w["ranks"][-1] < below + inside:
-                # A window that stops shrinking holds few distinct values, which
-                # the final step collapses by grouping: stop refining it.
-                stalled = inside >= w["size"] or (a is not None and a == b)
-                w.update(lo=a, hi=b, offset=below, size=inside, done=stalled)
-            elif w["eps"] >= 1.0:
-                w["done"] = True
-            else:
-                w["eps"] *= 4.0
-    out: dict[int, dict[int, float]] = {k: {} for k in targets}
-    small = [(i, w) for i, w in enumerate(wins) if w["size"] <= limit]
-    rest = [(i, w) for i, w in enumerate(wins) if w["size"] > limit]
-    # A window bounded to one value answers itself.
-    for i, w in rest:
-        if w["lo"] is not None and w["lo"] == w["hi"]:
-            for r in w["ranks"]:
-                out[w["k"]][r] = w["lo"]
-    rest = [(i, w) for i, w in rest if not (w["lo"] is not None and w["lo"] == w["hi"])]
+    small = [(i, w) for i, w in enumerate(found) if w["size"] <= limit]
+    large = [(i, w) for i, w in enumerate(found) if w["size"] > limit]
     if small:
         # One job: each window (at most ``limit`` values) becomes one sorted
         # list in one task, and only the values at the wanted ranks return.
@@ -248,32 +250,22 @@ def select_ranks_many(df: DataFrame, columns: dict[int, Column], targets: dict[i
                                                    F.element_at("a", r - w["offset"] + 1).alias("v")))
                  for i, w in small for r in w["ranks"]]
         for h in lists.select("w", F.array_compact(F.array(*picks)).alias("p")).collect():
-            k = wins[h["w"]]["k"]
-            for p in h["p"]:
-                out[k][p["r"]] = p["v"]
-    if rest:
-        # Windows that could not be narrowed hold few distinct values: count
-        # per distinct value (combined map-side) and rank those counts.
-        counted = members(rest).groupBy("w", "v").agg(F.count(F.lit(1)).alias("c"))
-        ordered = Window.partitionBy("w").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-        cum = counted.withColumn("hi", F.sum("c").over(ordered))
-        cond = F.lit(False)
-        for i, w in rest:
-            for r in w["ranks"]:
-                lr = r - w["offset"]
-                cond = cond | ((F.col("w") == i) & (F.col("hi") - F.col("c") <= lr) & (F.col("hi") > lr))
-        for h in cum.where(cond).collect():
-            w = wins[h["w"]]
-            for r in w["ranks"]:
-                if h["hi"] - h["c"] <= r - w["offset"] < h["hi"]:
-                    out[w["k"]][r] = h["v"]
+            out[found[h["w"]]["k"]].update({p["r"]: p["v"] for p in h["p"]})
+    if large:
+        # Written once, so the data itself is not read again; each level leaves a small share of the last.
+        path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/brackets-{uuid.uuid4().hex}"
+        members(large).write.parquet(path)
+        inner = df.sparkSession.read.schema("w int, v double").parquet(path)
+        got = select_ranks_many(inner, {i: F.when(F.col("w") == i, F.col("v")) for i, _ in large},
+                                {i: (w["size"], [r - w["offset"] for r in w["ranks"]]) for i, w in large}, limit)
+        for i, w in large:
+            out[w["k"]].update({r + w["offset"]: v for r, v in got[i].items()})
     return out
 
 
-def select_ranks(values: DataFrame, n: int, ranks: list[int], limit: int = QUANTILE_TASK_LIMIT,
-                 accuracy: int = APPROX_ACCURACY) -> dict[int, float]:
+def select_ranks(values: DataFrame, n: int, ranks: list[int], limit: int = QUANTILE_TASK_LIMIT) -> dict[int, float]:
     """Exact values at 0-based ``ranks`` of the sorted column ``v`` of ``values``."""
-    return select_ranks_many(values, {0: F.col("v")}, {0: (n, ranks)}, limit, accuracy)[0]
+    return select_ranks_many(values, {0: F.col("v")}, {0: (n, ranks)}, limit)[0]
 
 
 def _plan(n: int, probs: list[float]):
@@ -321,6 +313,6 @@ def quantiles_many(df: DataFrame, cols: list[str], probs: list[float], exact: bo
         if counts[c]:
             plans[c], ranks = _plan(counts[c], probs)
             targets[i] = (counts[c], ranks)
-    got = select_ranks_many(df, vals, targets, limit, accuracy) if targets else {}
+    got = select_ranks_many(df, vals, targets, limit) if targets else {}
     return {c: (_interpolate(got[i], plans[c]) if c in plans else [None] * len(probs))
             for i, c in enumerate(cols)}
