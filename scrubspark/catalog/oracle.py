@@ -5,6 +5,7 @@ from __future__ import annotations
 from scrubspark.catalog import fixtures as fx
 from scrubspark.functions.draws import sql_uniform
 from scrubspark.functions.numeric import sql_parse_number
+from scrubspark.operators.profile_state import KEEP
 
 ORACLE: dict[str, str] = {}
 
@@ -601,3 +602,8 @@ ORACLE["table_differences"] = """WITH l AS (SELECT o_orderkey, o_custkey, o_tota
     FROM l FULL JOIN r ON l.o_orderkey = r.o_orderkey
     WHERE l.o_orderkey IS NULL OR r.o_orderkey IS NULL OR l.o_totalprice IS DISTINCT FROM r.o_totalprice
       OR l.o_orderstatus IS DISTINCT FROM r.o_orderstatus GROUP BY ALL"""
+ORACLE["profile_appended"] = DO_STATS + f"""SELECT name, n_rows, round(null_rate, 4) AS null_rate, round(mean, 4) AS mean,
+    round(std, 4) AS std, round(min, 4) AS min, round(max, 4) AS max, round(parse_rate, 4) AS parse_rate,
+    CASE WHEN n_unique <= {KEEP} THEN round(q1, 6) END AS q1, CASE WHEN n_unique <= {KEEP} THEN round(q3, 6) END AS q3,
+    CASE WHEN n_unique <= {KEEP} THEN round(outlier_frac, 6) END AS outlier_frac,
+    CASE WHEN n_unique <= {KEEP} THEN n_unique END AS n_unique FROM colstats"""

@@ -257,6 +257,7 @@ def rename_drop(spark, sf):
 from scrubspark.catalog import specs  # noqa: E402
 from scrubspark.operators import grade as grading  # noqa: E402
 from scrubspark.operators import profile as profiling  # noqa: E402
+from scrubspark.operators import profile_state  # noqa: E402
 from scrubspark.operators import quality  # noqa: E402
 
 _NUM_PROFILE = ["mean", "std", "min", "max", "q1", "q3", "outlier_frac"]
@@ -468,6 +469,24 @@ def table_differences(spark, sf):
     return compare.differences(left, right, "o_orderkey").withColumn("columns", F.array_join("columns", ","))
 
 
+@query
+def profile_appended(spark, sf):
+    """The profile of a table whose files come one after another: each update reads the new files only.
+
+    Distinct count, quartiles and outlier share are given where they are exact (at most ``profile_state.KEEP`` distinct values).
+    """
+    base = f"{checkpoint_dir(spark).rstrip('/')}/appended-{uuid.uuid4().hex}"
+    d = fx.dirty_orders(spark, sf)
+    with stats.persisted(d):
+        for k in range(3):
+            d.where(F.pmod(F.xxhash64("o_orderkey"), F.lit(3)) == k).write.mode("append").parquet(f"{base}/data")
+            profile_state.update(spark, f"{base}/state", f"{base}/data")
+    p = profile_state.frame(spark, profile_state.stored_profile(spark, f"{base}/state")[0])
+    whole = F.array_contains("exact", "n_unique")
+    return p.select("name", "n_rows", _r4("null_rate"), *[_r4(c) for c in ("mean", "std", "min", "max", "parse_rate")],
+                    *[F.when(whole, F.round(c, 6)).alias(c) for c in ("q1", "q3", "outlier_frac")], F.when(whole, F.col("n_unique")).alias("n_unique"))
+
+
 MOMENT_COLS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 

@@ -45,20 +45,18 @@ def _slices(x: Column, width: int, first: int = 0) -> list[tuple[int, Column]]:
     return out
 
 
-def mean_and_std(df: DataFrame, values: dict, extents: dict) -> dict:
-    """{key: (mean, sample deviation)} of the double columns ``values``, NULLs left out, in one job.
+def exact_totals(df: DataFrame, values: dict, extents: dict) -> dict:
+    """{key: (sum, sum of squares)} as fractions of the double columns ``values``, NULLs left out, in one job.
 
-    ``extents`` has (count, least, greatest) of each; no values give (None, None), one value a deviation of 0.0.  With
-    infinities the mean is their sum and the deviation NaN.
+    ``extents`` has (count, least, greatest) of each.  Sums of disjoint sets of rows add up to the sum of their union.
+    A key without values or with an infinity has no entry.
     """
     out, grids = {}, {}
     for k, (n, lo, hi) in extents.items():
-        if not n:
-            out[k] = (None, None)
-        elif math.isinf(lo) or math.isinf(hi):
-            out[k] = (lo + hi, 0.0 if n == 1 else math.nan)
-        elif lo == hi:
-            out[k] = (float(lo) + 0.0, 0.0)
+        if not n or math.isinf(lo) or math.isinf(hi):
+            continue
+        if lo == hi:
+            out[k] = (n * Fraction(lo), n * Fraction(lo) ** 2)
         else:
             grids[k] = (n, math.frexp(max(abs(lo), abs(hi)))[1], slice_width(n))
     if not grids:
@@ -84,13 +82,36 @@ def mean_and_std(df: DataFrame, values: dict, extents: dict) -> dict:
     def total(k, part):
         return sum((Fraction(row[name], 1 << end) for end, name in places[k, part]), Fraction(0))
 
-    for k, (n, e, _) in grids.items():
-        s = total(k, "u")
-        squares = (total(k, "p") + total(k, "e") - s * s / n) / (n - 1)
-        out[k] = (_times_power(float(s / n), e), _times_power(math.sqrt(max(squares, 0)), e))
+    for k, (_, e, _) in grids.items():
+        unit = Fraction(2) ** e
+        out[k] = (total(k, "u") * unit, (total(k, "p") + total(k, "e")) * unit * unit)
     return out
 
 
+def fitted(n: int, lo, hi, totals: tuple | None) -> tuple:
+    """(mean, sample deviation) of ``n`` values between ``lo`` and ``hi`` from their ``exact_totals``.
+
+    No values give (None, None), one value a deviation of 0.0.  With infinities the mean is their sum and the deviation NaN.
+    """
+    if not n:
+        return None, None
+    if math.isinf(lo) or math.isinf(hi):
+        return lo + hi, 0.0 if n == 1 else math.nan
+    if lo == hi:
+        return float(lo) + 0.0, 0.0
+    s, squares = totals
+    # The spread is scaled by a power of two, so that its square root lies within a double's range.
+    e = math.frexp(max(abs(lo), abs(hi)))[1]
+    spread = max((squares - s * s / n) / (n - 1), Fraction(0)) / Fraction(2) ** (2 * e)
+    return _times_power(float(s / n / Fraction(2) ** e), e), _times_power(math.sqrt(spread), e)
+
+
+def mean_and_std(df: DataFrame, values: dict, extents: dict) -> dict:
+    """{key: (mean, sample deviation)} of the double columns ``values`` (see ``exact_totals`` and ``fitted``), in one job."""
+    totals = exact_totals(df, values, extents)
+    return {k: fitted(*e, totals.get(k)) for k, e in extents.items()}
+
+
 def _times_power(x: float, e: int) -> float:
     try:
         return math.ldexp(x, e)

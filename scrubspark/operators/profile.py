@@ -164,14 +164,7 @@ def _fit_profile(df: DataFrame, order_by, exact, samples, header, columns=None,
             d["n_outliers"] = orow[f"o{d['ordinal']}"]
             d["outlier_frac"] = d["n_outliers"] / d["n_values"]
     for d in prof:
-        if d["null_rate"] > HEAVY_NULLS:
-            d["flags"].append("heavy_nulls")
-        if d["null_rate"] > HAS_NULLS:
-            d["flags"].append("has_nulls")
-        if d["outlier_frac"] is not None and d["outlier_frac"] > HEAVY_OUTLIERS:
-            d["flags"].append("heavy_outliers")
-        if d["parse_rate"] is not None and d["parse_rate"] > TYPE_CHAOS:
-            d["flags"].append("type_chaos")
+        d["flags"] = flags(d)
     if order_by and samples:
         got = sample_values(df, order_by, samples)
         for d in prof:
@@ -184,6 +177,13 @@ def _fit_profile(df: DataFrame, order_by, exact, samples, header, columns=None,
     return prof, head
 
 
+def flags(d: dict) -> list[str]:
+    """what stands out in one column's figures."""
+    marks = (("heavy_nulls", d["null_rate"] > HEAVY_NULLS), ("has_nulls", d["null_rate"] > HAS_NULLS),
+             ("heavy_outliers", (d["outlier_frac"] or 0) > HEAVY_OUTLIERS), ("type_chaos", (d["parse_rate"] or 0) > TYPE_CHAOS))
+    return [name for name, met in marks if met]
+
+
 def sample_values_frame(df: DataFrame, order_by: list[str], n: int = 3) -> DataFrame:
     """(name, sample_values): the first ``n`` non-null values of every column by ``order_by``."""
     got = sample_values(df, order_by, n)
