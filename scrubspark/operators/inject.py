@@ -17,8 +17,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from scrubspark.functions.draws import pick, uniform
-from scrubspark.operators import stats
-from scrubspark.session import checkpoint_dir
+from scrubspark.operators import dedup, fill, stats
 
 
 def _replace(df: DataFrame, col: str, expr: Column) -> DataFrame:
@@ -95,9 +94,9 @@ def _scan_partitions(df: DataFrame) -> int:
 
 def sample_n(df: DataFrame, n: int, key: str, salt: str = "sample", seed: int = 42,
              topk_limit: int = TOPK_LIMIT) -> DataFrame:
-    """Exactly ``n`` rows, the ``n`` smallest by (draw, key, row hash).
+    """Exactly ``n`` rows, the ``n`` smallest by (draw, key, row hash, row text).
 
-    The same rows come back for any size, partitioning or path below; rows tied on all three are equal rows.
+    The same rows come back for any size, partitioning or path below; rows tied on all four are equal rows.
 
     For ``n <= topk_limit``, when the input's partitions times ``n`` stays
     under ``TOPK_MERGE_ROWS``, ``orderBy(..).limit(n)`` plans as
@@ -110,7 +109,8 @@ def sample_n(df: DataFrame, n: int, key: str, salt: str = "sample", seed: int =
     """
     u = uniform(key, salt, seed)
     if n <= topk_limit and n * _scan_partitions(df) <= TOPK_MERGE_ROWS:
-        return df.withColumn("_u", u).withColumn("_h", _row_hash(df)).orderBy("_u", key, "_h").limit(n).drop("_u", "_h")
+        return df.withColumn("_u", u).withColumn("_h", _row_hash(df)).withColumn("_s", _row_text(df)).orderBy(
+            "_u", key, "_h", "_s").limit(n).drop("_u", "_h", "_s")
     t = df.withColumn("_u", u)
     with stats.persisted(t):
         total = t.count()
@@ -127,10 +127,17 @@ def sample_n(df: DataFrame, n: int, key: str, salt: str = "sample", seed: int =
         return below.unionByName(_take_ties(ties, key, need))
 
 
+# To the microsecond, so that rows of one text are equal rows.
+_EXACT_TIMES = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+
+
+def _row_text(df: DataFrame) -> Column:
+    return F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), _EXACT_TIMES)
+
+
 def _row_hash(df: DataFrame) -> Column:
-    """52 bits of the md5 of the whole row as JSON, as a double."""
-    row = F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))
-    return F.conv(F.substring(F.md5(row), 1, 13), 16, 10).cast("double")
+    """52 bits of the md5 of the row's text, as a double."""
+    return F.conv(F.substring(F.md5(_row_text(df)), 1, 13), 16, 10).cast("double")
 
 
 def _take_ties(ties: DataFrame, key: str, need: int) -> DataFrame:
@@ -139,8 +146,9 @@ def _take_ties(ties: DataFrame, key: str, need: int) -> DataFrame:
     Distinct keys sharing one 32-bit draw are few (about rows / 2**32), so
     their counts are ranked on the driver.  The one key that is cut may hold
     any number of rows (a hot key): those are cut again by an exact rank on a
-    hash of the whole row, and rows equal on that hash are equal rows, so the
-    last few are copies of one row made by ``range`` across the cluster.
+    hash of the whole row.  Rows on the last hash are counted by their text: one
+    row and its copies, or, where hashes of unlike rows collide, the few there
+    are.  Copies are made by ``range`` across the cluster.
     """
     spark = ties.sparkSession
     k = F.col(key)
@@ -166,20 +174,25 @@ def _take_ties(ties: DataFrame, key: str, need: int) -> DataFrame:
         hcut = stats.select_ranks(g.select(F.col("_h").alias("v")), boundary["c"], [rest - 1])[rest - 1]
         lower = g.where(F.col("_h") < hcut)
         copies = rest - lower.count()
-        eq = g.where(F.col("_h") == hcut).drop("_h")
-        same = eq.select(*[F.col(f"`{c}`") for c in ties.columns],
-                         F.to_json(F.struct(*[F.col(f"`{c}`") for c in ties.columns])).alias("__js")).first()
+        alike = g.where(F.col("_h") == hcut).groupBy(_row_text(ties).alias("text")).agg(
+            F.count(F.lit(1)).alias("c"), F.first(F.struct(*[F.col(f"`{c}`") for c in ties.columns])).alias("row"))
+        kinds = alike.orderBy("text").collect()
     out = out.unionByName(lower.drop("_h"))
     nested = (T.StructType, T.ArrayType, T.MapType)
-    lits = []
-    for f in ties.schema.fields:
-        if isinstance(f.dataType, nested):
-            # A nested value cannot be a Python literal: rebuild it from JSON.
-            parsed = F.from_json(F.lit(same["__js"]), T.StructType([f]))
-            lits.append(parsed[f.name].alias(f.name))
-        else:
-            lits.append(F.lit(same[f.name]).cast(f.dataType).alias(f.name))
-    return out.unionByName(spark.range(copies).select(*lits))
+    for kind in kinds:
+        if not copies:
+            break
+        lits = []
+        for f in ties.schema.fields:
+            if isinstance(f.dataType, nested):
+                # A nested value cannot be a Python literal: rebuild it from its text.
+                parsed = F.from_json(F.lit(kind["text"]), T.StructType([f]), _EXACT_TIMES)
+                lits.append(parsed[f.name].alias(f.name))
+            else:
+                lits.append(F.lit(kind["row"][f.name]).cast(f.dataType).alias(f.name))
+        take = min(copies, kind["c"])
+        out, copies = out.unionByName(spark.range(take).select(*lits)), copies - take
+    return out
 
 
 # Rows one ranking task of ``shuffle_rows`` is meant to hold.
@@ -192,8 +205,8 @@ BROADCAST_OFFSETS = 100_000
 
 def shuffle_rows(df: DataFrame, key: str, salt: str = "shuffle", seed: int = 42,
                  rank_col: str = "row_rank", rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
-    """A reproducible random row order, made visible as a 0-based rank
-    (by draw, then key; rows tied on both are ranked in any order).
+    """A reproducible random row order, made visible as a 0-based rank by draw, then key, then 128 bits
+    of a hash of the row, so the ranks follow from the rows alone, however they are partitioned.
 
     One pass builds a histogram of the draw (2**20 cells, combined map-side).
     It gives the row count, hence a power-of-two number of buckets of about
@@ -201,91 +214,41 @@ def shuffle_rows(df: DataFrame, key: str, salt: str = "shuffle", seed: int = 42,
     cells), and each bucket's offset: the rows in lower buckets.  A row's
     rank is its bucket's offset plus its position inside the bucket (a window
     per bucket).  A key repeated on very many rows shares one draw and would
-    overload its bucket: every draw held by more than two buckets' worth of
-    rows, found from the histogram, gets buckets of its own between its
-    neighbours (a broadcast table of hot draws per bucket, read with array
-    functions), ordered by key and split by input partition (the table is
-    then checkpointed to the shared folder, so partition ids are fixed).
-    Rows tied on (draw, key) may take any order, so the split keeps the
-    ranks exact.
+    overload its bucket.  Where the histogram has a cell of more than two
+    buckets' worth of rows, buckets are instead ranges of the whole order,
+    sampled and written once (``fill.order_ranges``), which cut a hot key by
+    its rows' hashes and equal rows anywhere.
     """
-    t = (df.withColumn("_u", uniform(key, salt, seed))
-         .withColumn("_p", F.spark_partition_id()))
+    # ``xxhash64`` takes no maps; their text is hashed.
+    tie = [F.md5(_row_text(df))] if "map<" in df.schema.simpleString() else dedup.fingerprint(df.columns)
+    t = df.withColumn("_u", uniform(key, salt, seed))
+    for i, c in enumerate(tie):
+        t = t.withColumn(f"_t{i}", c)
+    order = ["_u", key, *[f"_t{i}" for i in range(len(tie))]]
     with stats.persisted(t):
         cells = (t.groupBy(F.floor(F.col("_u") * (1 << HIST_BITS)).cast("long").alias("_f"))
                  .agg(F.count(F.lit(1)).alias("_n")))
         with stats.persisted(cells):
-            n = cells.agg(F.sum("_n")).first()[0] or 0
-            bits = min(HIST_BITS, max(0, math.ceil(math.log2(max(1, n / rows_per_bucket)))))
-            t = t.withColumn("_bu", F.floor(F.col("_u") * (1 << bits)).cast("long"))
-            hot, n_hot, n_splits = _hot_draws(t, cells, rows_per_bucket)
-            if hot is None:
-                t = t.withColumn("_b", F.col("_bu"))
+            row = cells.agg(F.sum("_n").alias("n"), F.max("_n").alias("most")).first()
+            n = row["n"] or 0
+            if n and row["most"] >= 2 * rows_per_bucket:
+                n_buckets = math.ceil(n / rows_per_bucket)
+                t = fill.order_ranges(t, [F.col(c) for c in order], n_buckets).withColumnRenamed("__b", "_b")
+                counts = t.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
+            else:
+                bits = min(HIST_BITS, max(0, math.ceil(math.log2(max(1, n / rows_per_bucket)))))
+                n_buckets = 1 << bits
+                t = t.withColumn("_b", F.floor(F.col("_u") * n_buckets).cast("long"))
                 counts = cells.groupBy(F.shiftright("_f", HIST_BITS - bits).alias("_b")).agg(
                     F.sum("_n").alias("_n"))
-                n_buckets = 1 << bits
-            else:
-                # The split reads the input partition id, which only a written
-                # table keeps stable across the plan's two reads of ``t``
-                # (differently pruned subtrees can place rows differently).
-                checkpoint_dir(t.sparkSession)
-                t = t.checkpoint(eager=True)
-                t = _split_hot(t, key, hot if n_hot > BROADCAST_OFFSETS else F.broadcast(hot))
-                counts = t.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
-                n_buckets = (1 << bits) + n_splits + 2 * n_hot
             # One row per bucket: small enough to rank in one task.
             offsets = counts.select("_b", (F.sum("_n").over(Window.orderBy("_b")) - F.col("_n")).alias("_off"))
             if n_buckets <= BROADCAST_OFFSETS:
                 offsets = F.broadcast(offsets)
-            w = Window.partitionBy("_b").orderBy("_u", key)
-            ranked = t.withColumn("_r", F.row_number().over(w) - 1)
-            out = (ranked.join(offsets, "_b")
-                   .withColumn(rank_col, (F.col("_off") + F.col("_r")).cast("bigint"))
-                   .drop("_u", "_p", "_bu", "_b", "_r", "_off"))
-            return out
-
-
-def _hot_draws(t: DataFrame, cells: DataFrame, rows_per_bucket: int):
-    """Draws held by at least ``2 * rows_per_bucket`` rows (a hot key, or keys
-    sharing a draw), as one row per bucket: ``_hs``, the sorted array of
-    (draw, number of splits).  Only histogram cells that large are searched,
-    through a semi-join.  There are at most n / (2 * rows_per_bucket) hot
-    draws, so the table is small next to the data; its size is returned so
-    the caller can decide to broadcast it.  Returns (table or None, hot
-    draws, total splits)."""
-    hot_min = 2 * rows_per_bucket
-    heavy = cells.where(F.col("_n") >= hot_min).select("_f")
-    n_heavy = heavy.count()
-    if n_heavy == 0:
-        return None, 0, 0
-    probe = t.withColumn("_f", F.floor(F.col("_u") * (1 << HIST_BITS)).cast("long"))
-    probe = probe.join(heavy if n_heavy > BROADCAST_OFFSETS else F.broadcast(heavy), "_f", "left_semi")
-    pairs = (probe.groupBy("_bu", "_u").agg(F.count(F.lit(1)).alias("_c")).where(F.col("_c") >= hot_min)
-             .withColumn("_s", F.ceil(F.col("_c") / F.lit(rows_per_bucket)).cast("int")))
-    with stats.persisted(pairs):
-        row = pairs.agg(F.count(F.lit(1)).alias("h"), F.sum("_s").alias("s")).first()
-        if not row["h"]:
-            return None, 0, 0
-        table = pairs.groupBy("_bu").agg(F.array_sort(F.collect_list(F.struct("_u", "_s"))).alias("_hs"))
-        return table, row["h"], row["s"]
-
-
-def _split_hot(t: DataFrame, key: str, hot: DataFrame) -> DataFrame:
-    """Add the bucket key ``_b`` = (bu, pos, k, sub).  In a bucket holding hot
-    draws, rows below the j-th hot draw get pos 2j, rows on it pos 2j+1, then
-    ordered by key ``k`` and split by input partition modulo its share
-    ``sub``; rows past the last hot draw get the next even pos."""
-    j = t.join(hot, "_bu", "left")
-    u = F.col("_u")
-    draws = F.transform("_hs", lambda s: s["_u"])
-    at = F.array_position(draws, u)
-    is_hot = F.coalesce(at > 0, F.lit(False))
-    below = F.size(F.filter("_hs", lambda s: s["_u"] < u))
-    pos = F.when(F.col("_hs").isNull(), F.lit(0)).otherwise(2 * below + F.when(is_hot, 1).otherwise(0))
-    sub = F.when(is_hot, F.col("_p") % F.element_at("_hs", at.cast("int"))["_s"]).otherwise(0)
-    k = F.when(is_hot, F.col(key))
-    b = F.struct(F.col("_bu").alias("bu"), pos.cast("int").alias("pos"), k.alias("k"), sub.cast("int").alias("sub"))
-    return j.withColumn("_b", b).drop("_hs")
+            ranked = t.withColumn("_r", F.row_number().over(Window.partitionBy("_b").orderBy(*order)) - 1)
+            return (ranked.join(offsets, "_b")
+                    .withColumn(rank_col, (F.col("_off") + F.col("_r")).cast("bigint"))
+                    .select(*[F.col(f"`{c}`") for c in df.columns], rank_col))
 
 
 def synth(keys: DataFrame, key: str, colspecs: dict[str, tuple], seed: int = 42) -> DataFrame:

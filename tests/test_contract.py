@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
@@ -127,3 +128,31 @@ def test_sample_is_the_same_by_any_path_and_partitioning(spark):
             got = sorted(map(tuple, inject.sample_n(o.repartition(parts), 150, "k", topk_limit=limit).collect()))
             want = want or got
             assert got == want and len(got) == 150
+
+
+@pytest.mark.parametrize("per_bucket", [30, 10_000])
+def test_shuffle_ranks_do_not_depend_on_partitions(spark, per_bucket):
+    """Rows that tie on (draw, key) are ordered by their own values, in hot keys (small buckets) too; equal rows stay whole."""
+    d = spark.range(900).select((F.col("id") % 4).alias("k"), F.when(F.col("id") % 3 > 0, F.col("id")).alias("v"), F.lit(None).cast("int").alias("w"))
+    want = None
+    for parts in (1, 3, 7):
+        got = sorted((r["row_rank"], r["k"], str(r["v"])) for r in inject.shuffle_rows(
+            d.repartition(parts, F.rand(parts)), "k", rows_per_bucket=per_bucket).collect())
+        want = want or got
+        assert [r[0] for r in got] == list(range(900)) and got == want
+
+
+def test_shuffle_ranks_rows_with_maps(spark):
+    d = spark.range(20).select((F.col("id") % 2).alias("k"), F.create_map(F.lit("a"), "id").alias("m"))
+    assert sorted(r["row_rank"] for r in inject.shuffle_rows(d, "k", rows_per_bucket=2).collect()) == list(range(20))
+
+
+def test_sample_is_whole_where_row_hashes_collide(spark, monkeypatch):
+    """Unlike rows of one hash are told apart by their text, down to the microsecond; copies keep their number."""
+    monkeypatch.setattr(inject, "_row_hash", lambda df: F.lit(1.0))
+    t = F.timestamp_micros(F.col("id") % 40).alias("t")
+    d = spark.range(120).select(F.lit(1).alias("k"), t, F.struct(t).alias("s"))
+    for n in (1, 50, 119):
+        got = [sorted(map(str, inject.sample_n(d.repartition(p), n, "k", topk_limit=limit).collect())) for p, limit in ((2, 0), (5, 0), (3, 100_000))]
+        assert len(got[0]) == n and got[0] == got[1] == got[2]
+        assert sorted(got[0]) == sorted(map(str, d.orderBy("t").limit(n).collect()))
