@@ -4,8 +4,10 @@ A text longer than ``CHUNK`` characters becomes chunks that overlap by ``OVERLAP
 over the cluster and pre-tokenised on their own.  Between a character that is not white space and a
 space or line feed every pre-tokenisation has a boundary, wherever it began, so neighbours resynchronise
 at the first such boundary in their overlap: the left chunk ends there and the right one starts there.
-A text with no such boundary in some overlap is encoded in one piece, exactly.  Shorter texts are a
-single chunk and stay in the task that reads them.
+Where an overlap has none (text without spaces), both chunks' pre-tokens are compared, and they meet at the first
+boundary that both have.  Only a text with no common boundary in some overlap (one run of letters, digits
+out of step) is encoded in one piece, exactly.  Shorter texts are a single chunk and stay in the task that reads
+them.  Copies of a long text are encoded once.
 
 Inside a chunk the pieces between such boundaries repeat often, so each distinct piece is encoded by the
 rank file once per worker (a bounded memo) and the ids are joined.  Decoding joins the bytes of the ids.
@@ -22,14 +24,18 @@ import re
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from scrubspark.llm.common import map_texts
+from scrubspark.llm.common import map_texts, stored
 
 #: Characters of a chunk and of the overlap with the next; pieces a worker remembers.
 CHUNK, OVERLAP, MEMO = 1 << 15, 1 << 10, 400_000
+#: Copies of a long text that one task writes; texts without a common boundary whose keys (40 bytes) are broadcast.
+COPIES, BROADCAST_APART = 1000, 100_000
 
 #: A boundary of every pre-tokenisation: after a character that is no white space, before a space or line feed.
 SAFE = re.compile(r"(?<=\S)(?=[ \n])")
@@ -48,6 +54,7 @@ class Codec:
         self.bytes = [b""] * (max(table.values()) + 1)
         for piece, i in table.items():
             self.bytes[i] = piece
+        self.pattern = regex.compile(pattern)
         self.limit = memo
         encode = self.encoding.encode_ordinary
 
@@ -82,52 +89,81 @@ def codec(ranks: str, pattern: str) -> Codec:
 
 
 def chunks(docs: DataFrame, keys: list[str], size: int, overlap: int) -> DataFrame:
-    """``keys``, ``k`` and ``piece``: overlapping chunks of texts longer than ``size``, dealt by key and number."""
+    """``keys``, ``k``, ``piece`` and ``copies``: overlapping chunks of texts longer than ``size``, dealt by key and number.
+
+    The chunks of equal rows are one row each, with their number: copies meet before the shuffle.
+    """
     last = F.ceil(F.length("text") / size).cast("int") - 1
     return docs.where(F.length("text") > size).select(
         *keys, "text", F.explode(F.sequence(F.lit(0), last)).alias("k")).select(
-        *keys, "k", F.expr(f"substring(text, k * {size} + 1, {size + overlap})").alias("piece")).repartition(*keys, "k")
+        *keys, "k", F.expr(f"substring(text, k * {size} + 1, {size + overlap})").alias("piece")).groupBy(
+        *keys, "k", "piece").agg(F.count(F.lit(1)).alias("copies"))
+
 
+def marks(c: Codec, t: str, size: int, overlap: int) -> tuple[list, list, list, list, bytes]:
+    """Where a chunk may be joined: offsets in its first ``overlap`` characters and, from ``size`` on, in its last, each with the
+    bytes of ids before it; and the ids.
 
-def _chunk_ids(ranks: str, pattern: str, size: int):
+    Where an overlap has a boundary of every pre-tokenisation, that is its only mark.  Otherwise all boundaries of
+    the chunk's own pre-tokenisation are: it depends on nothing before them, so neighbours that share one go on alike.
+    The last ones of a chunk are left out, as its end may have made them.
+    """
+    n = len(t)
+    head, tail = SAFE.search(t, 1, min(overlap, n)), SAFE.search(t, size + 1, n)
+    if head and (tail or n <= size):
+        a = c.encode(t[:head.start()])
+        rest = c.encode(t[head.start():tail.start()] if tail else t[head.start():])
+        return [head.start()], [len(a)], [tail.start() - size] if tail else [], [len(a) + len(rest)] if tail else [], a + rest
+    at, before, ids, done = [], [], [], 0
+    for m in c.pattern.finditer(t):
+        if m.start() != (at[-1][1] if at else 0):
+            return [], [], [], [], b""
+        at.append(m.span())
+        before.append(done)
+        ids.append(c.memo[m[0]])
+        done += len(ids[-1])
+    if not at or at[-1][1] != n:
+        return [], [], [], [], b""
+    first = [(p, b) for (p, _), b in zip(at, before) if 0 < p < min(overlap, n) and (not head or p == head.start())]
+    last = [(p - size, b) for (p, end), b in zip(at, before) if size < p and end < n and (not tail or p == tail.start())]
+    return [p for p, _ in first], [b for _, b in first], [p for p, _ in last], [b for _, b in last], b"".join(ids)
+
+
+MARKS = ("head_at", "head_ids", "tail_at", "tail_ids")
+
+
+def _chunk_ids(ranks: str, pattern: str, size: int, overlap: int):
     def run(texts):
-        c, out = codec(ranks, pattern), {"core": [], "head": [], "tail": [], "before": [], "until": [], "ids": []}
-        for t in texts:
-            # A trailing boundary is the end of the overlap, not of the text: encode up to each candidate.
-            cuts = [m.start() for m in SAFE.finditer(t)]
-            head = next((p for p in cuts if p > 0), -1)
-            tail = next((p for p in cuts if p > size), -1)
-            a = c.encode(t[:head]) if head > 0 else b""
-            if tail < 0:
-                rest = c.encode(t[max(head, 0):])
-                until = len(a) + len(rest)
-            else:
-                rest = c.encode(t[max(head, 0):tail]) if tail > head else b""
-                until = len(a) + len(rest)
-            out["core"].append(t[:size])
-            out["head"].append(head)
-            out["tail"].append(tail - size if tail >= 0 else -1)
-            out["before"].append(len(a))
-            out["until"].append(until)
-            out["ids"].append(a + rest)
-        return out
+        c = codec(ranks, pattern)
+        return dict(zip((*MARKS, "ids"), zip(*[marks(c, t, size, overlap) for t in texts])))
     return run
 
 
-def _stitch(ranks: str, pattern: str, keys: list[str], overlap: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+def joined(chunks: list[tuple]) -> bytes | None:
+    """The ids of a text from the ``marks`` of its chunks in order; None where two neighbours share no boundary."""
+    out, start = [], 0
+    for i, (_, _, tail_at, tail_ids, ids) in enumerate(chunks):
+        end, after = len(ids), 0
+        if i + 1 < len(chunks):
+            right = dict(zip(*chunks[i + 1][:2]))
+            met = next(((b, right[p]) for p, b in zip(tail_at, tail_ids) if p in right), None)
+            if met is None:
+                return None
+            end, after = met
+        out.append(ids[start:end])
+        start = after
+    return b"".join(out)
+
+
+def _stitch(ranks: str, pattern: str, names: list[str]):
+    def run(table: pa.Table) -> pa.Table:
         c = codec(ranks, pattern)
-        rows = 1 if not len(pdf) else int((pdf["k"] == 0).sum())  # repeated documents
-        pdf = pdf.sort_values("k").drop_duplicates("k")
-        head, tail = pdf["head"].tolist()[1:], pdf["tail"].tolist()[:-1]
-        if all(0 < a == b <= overlap for a, b in zip(head, tail)):
-            ids = b"".join(x[(b if k else 0):u] for k, (x, b, u) in enumerate(
-                zip(pdf["ids"], pdf["before"], pdf["until"])))
-        else:
-            ids = c.encode("".join(pdf["core"]))
-        n, a, b = c.digests(ids)
-        return pd.DataFrame([[*(pdf[k].iloc[0] for k in keys), n, a, b, ids]] * rows,
-                            columns=[*keys, "n_tokens", "ids_sha256", "decoded_sha256", "ids"])
+        t = table.sort_by("k")
+        ids = joined(list(zip(*[t.column(x).to_pylist() for x in (*MARKS, "ids")])))
+        n, a, b = c.digests(ids or b"")
+        new = {"met": pa.array([ids is not None]), "n_tokens": pa.array([n]), "ids_sha256": pa.array([a]),
+               "decoded_sha256": pa.array([b]), "ids": pa.array([ids or b""], pa.binary())}
+        return pa.table({x: new.get(x, t.column(x).slice(0, 1) if x in t.column_names else None) for x in names})
     return run
 
 
@@ -137,7 +173,6 @@ def encoded(docs: DataFrame, ranks: str, pattern: str, keep_ids: bool = False,
 
     ``ranks`` is the path of the rank file on every machine, ``ids`` little-endian unsigned 32-bit.
     """
-    d = docs.select("doc_id", "text")
     fields = FIELDS + (", ids binary" if keep_ids else "")
 
     def whole(texts):
@@ -146,13 +181,24 @@ def encoded(docs: DataFrame, ranks: str, pattern: str, keep_ids: bool = False,
         n, a, b = zip(*[c.digests(x) for x in ids])
         return {"n_tokens": n, "ids_sha256": a, "decoded_sha256": b, "ids": ids}
 
-    short = map_texts(d.where(F.coalesce(F.length("text"), F.lit(0)) <= chunk), ["doc_id"], "text", whole, fields)
     # A key of its own text keeps two long texts with one doc_id apart.
     keys = ["doc_id", "key"]
-    long_ = chunks(d.withColumn("key", F.xxhash64("text")), keys, chunk, overlap)
-    parts = map_texts(long_, [*keys, "k"], "piece", _chunk_ids(ranks, pattern, chunk),
-                      "core string, head int, tail int, before int, until int, ids binary")
-    stitched = parts.groupBy(*keys).applyInPandas(
-        _stitch(ranks, pattern, keys, overlap), f"doc_id {d.schema['doc_id'].dataType.simpleString()}, key long, "
-        + FIELDS + ", ids binary")
-    return short.unionByName(stitched.select(*short.columns))
+    d = docs.select("doc_id", "text")
+    short = map_texts(d.where(F.coalesce(F.length("text"), F.lit(0)) <= chunk), ["doc_id"], "text", whole, fields)
+    d = d.where(F.length("text") > chunk).withColumn("key", F.md5("text"))
+    parts = map_texts(chunks(d, keys, chunk, overlap), [*keys, "k", "copies"], "piece", _chunk_ids(ranks, pattern, chunk, overlap),
+                      ", ".join(f"{m} array<int>" for m in MARKS) + ", ids binary")
+    # Copies past ``COPIES`` are made by other tasks.
+    parts = parts.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(copies - 1) div {COPIES}"))).alias("salt"))
+    names = T.StructType([*[parts.schema[x] for x in (*keys, "copies", "salt")], *T.StructType.fromDDL("met boolean, " + fields).fields])
+    long_ = stored(parts.groupBy(*keys, "salt").applyInArrow(_stitch(ranks, pattern, names.names), names), "long-texts")
+    each = F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.lit(COPIES), F.col("copies") - F.col("salt") * COPIES)))
+    out = short.unionByName(long_.where("met").select(*short.columns, each.alias("copy")).drop("copy"))
+    apart = long_.where("not met").select(F.col("doc_id").alias("id"), F.col("key").alias("print")).distinct()
+    n_apart = apart.count()
+    if n_apart:
+        # No common boundary, as in a run of one letter: the text is a piece.
+        apart = F.broadcast(apart) if n_apart <= BROADCAST_APART else apart
+        rest = d.join(apart, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("key") == F.col("print")), "left_semi")
+        out = out.unionByName(map_texts(rest, ["doc_id"], "text", whole, fields))
+    return out

@@ -105,3 +105,21 @@ def labelled_sample(labels: DataFrame, target: str, rows: int, held_out: Column
         share = int(rows / n * (1 << 30))
         usable = usable.where(F.pmod(F.xxhash64(F.lit("sample"), F.col("doc_id")), F.lit(1 << 30)) < share)
     return usable.groupBy("doc_id").agg(F.max(F.col(target).cast("int")).alias("y"))
+
+
+def thinned(rows: DataFrame, size, most: int) -> DataFrame:
+    """``rows`` (doc_id, text) whose sizes add up to about ``most`` or less, chosen by a hash of id and text."""
+    total = rows.agg(F.sum(size)).first()[0] or 0
+    if total <= most:
+        return rows
+    return rows.where(F.pmod(F.xxhash64(F.lit("thin"), "doc_id", "text"), F.lit(1 << 30)) < int(most / total * (1 << 30)))
+
+
+def training_rows(docs: DataFrame, sample: DataFrame, rows: int) -> DataFrame:
+    """(doc_id, text, y): the documents of a ``labelled_sample``, stored.
+
+    Equal rows count once and at most about ``rows`` stay, however often an id is repeated; copies meet in the
+    map-side half of the aggregate.
+    """
+    found = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id", "text"])
+    return thinned(stored(found, "training-rows"), F.lit(1), rows)

@@ -5,8 +5,9 @@ it repeats in the text and how many of its words differ, joined with those of th
 Forward-backward gives each line's chance of being good; the document's score is their mean weighted by line
 length, made a probability by a logistic curve fitted to the training documents.
 
-Training takes at most about ``SAMPLE_DOCS`` labelled documents of at most ``SAMPLE_LINES`` lines (all lines of
-a document carry its label, in chains of ``CHAIN`` lines); scoring covers every whole text where it lies.
+Training takes at most about ``SAMPLE_DOCS`` labelled documents (rows, equal ones once) of at most ``SAMPLE_LINES``
+lines, ``TOTAL_LINES`` together, about 100 MB on the driver (all lines of a document carry its label, in chains of
+``CHAIN`` lines); scoring covers every whole text where it lies.
 
 Defined cases: NULL or empty text is one empty line; without usable labels, or with one class, every score is
 the share of good labels (0.5 without any); repeated rows score alike; an empty table gives an empty
@@ -22,9 +23,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scrubspark.llm.common import labelled_sample, map_texts
+from scrubspark.llm.common import labelled_sample, map_texts, thinned, training_rows
 
-SAMPLE_DOCS, SAMPLE_LINES, CHAIN, STEPS = 2500, 2000, 48, 120
+SAMPLE_DOCS, SAMPLE_LINES, TOTAL_LINES, CHAIN, STEPS = 2500, 2000, 300_000, 48, 120
 #: Character classes: white space, lower-case or other letter, upper case, digit, symbol of junk, ! and ?, the rest.
 CLASSES = 7
 N_LINE = CLASSES - 1 + 4
@@ -177,8 +178,9 @@ def held_out_rows(doc_id: Column, modulus: int, remainder: int) -> Column:
 def scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, modulus: int = 4, remainder: int = 2) -> DataFrame:
     """(doc_id, held_out, score, predicted), one row per row of ``docs``; held-out labels are never learned."""
     sample = labelled_sample(labels, "quality", SAMPLE_DOCS, held_out_rows(F.col("doc_id"), modulus, remainder))
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").where(
-        F.length(F.coalesce("text", F.lit(""))) - F.length(F.replace(F.coalesce("text", F.lit("")), F.lit("\n"))) < SAMPLE_LINES)
+    text = F.coalesce("text", F.lit(""))
+    lines = F.length(text) - F.length(F.replace(text, F.lit("\n"))) + 1
+    rows = thinned(training_rows(docs, sample, SAMPLE_DOCS).where(lines <= SAMPLE_LINES), lines, TOTAL_LINES)
 
     def measure(texts):
         x, size, lines = line_features(texts)
@@ -186,7 +188,7 @@ def scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, modulus:
         return {"x": [m.astype("<f4").tobytes() for m in np.split(x, cut)],
                 "size": [s.astype("<i4").tobytes() for s in np.split(size, cut)]}
 
-    got = map_texts(rows, ["doc_id", "y"], "text", measure, "x binary, size binary").orderBy("doc_id").collect()
+    got = map_texts(rows, ["doc_id", "y"], "text", measure, "x binary, size binary").orderBy("doc_id", "size", "x").collect()
     y = np.array([r["y"] for r in got])
     if len(got) and 0 < y.mean() < 1:
         each = [np.frombuffer(r["x"], "<f4").reshape(-1, N_LINE).astype(float) for r in got]

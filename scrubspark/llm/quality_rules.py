@@ -20,7 +20,7 @@ from math import log2
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scrubspark.llm.common import fresh, labelled_sample, quoted, stored, where_computed
+from scrubspark.llm.common import fresh, labelled_sample, quoted, stored, training_rows, where_computed
 
 #: Labelled documents used to learn, quantile thresholds for each statistic, and the limits of a list.
 SAMPLE_ROWS, THRESHOLDS, MAX_RULES, MAX_CONDITIONS = 12_000, 15, 8, 3
@@ -92,7 +92,7 @@ def _gain(p: int, n: int, p0: int, n0: int) -> float:
 def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> list[list[Condition]]:
     """The decision list: rules (conjunctions) in the order they apply; a document that meets one is bad."""
     ids = labelled_sample(labels, "quality", sample_rows)
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+    rows = training_rows(docs, ids, sample_rows)
     stats = statistics(rows).withColumn("grow", F.pmod(F.xxhash64(F.lit("grow"), "doc_id"), F.lit(3)) > 0)
     stats = stored(where_computed(stats, ~base_failed(), ["y", "grow", *FEATURES]), "rule-sample")
     marks = [(k + 1) / (THRESHOLDS + 1) for k in range(THRESHOLDS)]

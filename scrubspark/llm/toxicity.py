@@ -8,7 +8,7 @@ or three letters.  A hit is judged by its place: quotation marks at it or around
 reporting words before it speak for quotation, address of a person for abuse.  A logistic model of the hits' counts scores a text;
 hits of stems, which clean texts have singly, are counted apart from those of words.
 
-Training takes at most about ``SAMPLE_DOCS`` labelled documents; scoring covers every whole text.
+Training takes at most about ``SAMPLE_DOCS`` labelled documents (rows, equal ones once); scoring covers every whole text.
 
 Defined cases: NULL or empty text has no hits and scores as such; without usable labels, or with one class,
 every score is the share of toxic labels (0 without any); repeated rows score alike; an empty table gives
@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scrubspark.llm.common import labelled_sample, map_texts, stored
+from scrubspark.llm.common import labelled_sample, map_texts, stored, training_rows
 from scrubspark.llm.crf_quality import held_out_rows
 
 #: Labelled documents to learn from, terms of the lexicon, least documents of a term and its precision.
@@ -250,7 +250,7 @@ def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 30) -> np.ndarray:
 def scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, modulus: int = 5, remainder: int = 0) -> DataFrame:
     """(doc_id, held_out, score, predicted), one row per row of ``docs``; held-out labels are never learned."""
     sample = labelled_sample(labels, "toxic", SAMPLE_DOCS, held_out_rows(F.col("doc_id"), modulus, remainder))
-    rows = stored(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id"), "toxic-sample")
+    rows = training_rows(docs, sample, SAMPLE_DOCS)
     toxic, n = rows.agg(F.sum("y"), F.count("*")).first()
     toxic = toxic or 0
     if 0 < toxic < n:

@@ -1,6 +1,7 @@
 """The document operators on odd rows and, against plain Python, on the small tables."""
 
 import hashlib
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -9,7 +10,7 @@ import public_tokenizers as P
 import pytest
 from pyspark.sql import functions as F
 
-from scrubspark.llm import bpe, crf_quality, mixing, pii, quality_rules, secrets, simhash, token_files, toxicity
+from scrubspark.llm import bpe, common, crf_quality, mixing, pii, quality_rules, secrets, simhash, token_files, toxicity
 
 from ..conftest import SF_CHECK, SF_SMALL
 
@@ -100,6 +101,52 @@ def test_bpe_equals_the_library_and_round_trips(odd, none, chunk, overlap):
     assert bpe.encoded(none, RANKS, P.PATTERN).count() == 0
 
 
+UNSPACED = ["中文字符,", "don't", "x=1;", "1234567", "'ll", "!!'", "\t\t", "\n\n ", "  ", "é", "a b"]
+
+
+@pytest.mark.parametrize("alphabet", [UNSPACED, UNSPACED[:3], UNSPACED[5:9], ["7"], ["a", "a", "a", "'s"], ["\n", " "]])
+def test_chunks_meet_at_common_pre_token_boundaries(alphabet):
+    """Joined chunks give the ids of the whole text, or are told apart as never meeting."""
+    c, rnd, met = bpe.Codec(RANKS, P.PATTERN), random.Random(str(alphabet)), []
+    for _ in range(300):
+        t = "".join(rnd.choices(alphabet, k=rnd.randint(20, 120)))
+        size, overlap = rnd.choice([(40, 12), (33, 30), (64, 5)])
+        parts = [bpe.marks(c, t[k:k + size + overlap], size, overlap) for k in range(0, len(t), size)]
+        got = bpe.joined(parts)
+        met += [got is not None] if overlap == 30 else []
+        assert got in (None, np.array(c.encoding.encode_ordinary(t), "<u4").tobytes()), t
+    # A wide overlap of mixed characters has a common boundary nearly always.
+    assert alphabet is not UNSPACED or sum(met) > 0.9 * len(met)
+
+
+def test_unspaced_texts_are_stitched_and_copies_encoded_once(spark, monkeypatch):
+    monkeypatch.setattr(bpe, "COPIES", 7)
+    texts = {1: "中文字符,数据。" * 40, 2: "7" * 500, 3: "word " * 100, 4: "a" * 400}
+    rows = [(i, t) for i, t in texts.items()] + [(1, texts[1])] * 30 + [(None, texts[3])] * 9 + [(4, texts[4])] * 2 + [(1, texts[3])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = Counter((r["doc_id"], r["n_tokens"], r["decoded_sha256"]) for r in bpe.encoded(docs, RANKS, P.PATTERN, chunk=120, overlap=24).collect())
+    c = bpe.Codec(RANKS, P.PATTERN)
+    want = Counter((i, len(c.encoding.encode_ordinary(t)), hashlib.sha256(t.encode()).hexdigest()) for i, t in rows)
+    assert got == want
+    parts = bpe.chunks(docs.withColumn("key", F.md5("text")), ["doc_id", "key"], 120, 24)
+    assert parts.groupBy("doc_id", "key", "k").count().where("count > 1").count() == 0 and parts.agg(F.max("copies")).first()[0] == 31
+
+
+def test_training_rows_are_bounded_by_rows_and_lines(spark, monkeypatch):
+    """One id on 20,000 rows: equal ones count once, unlike ones are thinned; so are lines."""
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    sample = common.labelled_sample(labels, "quality", 1000)
+    same = spark.range(20_000).select(F.lit(1).alias("doc_id"), F.lit("a text\nof lines").alias("text"))
+    assert common.training_rows(same, sample, 1000).count() == 1
+    unlike = same.withColumn("text", F.concat("text", F.monotonically_increasing_id().cast("string"))).unionByName(
+        spark.createDataFrame([(2, None), (2, "## $$"), (None, "x")], "doc_id int, text string"))
+    assert 800 < common.training_rows(unlike, sample, 1000).count() < 1200
+    assert common.training_rows(unlike.limit(0), sample, 1000).count() == 0
+    monkeypatch.setattr(crf_quality, "TOTAL_LINES", 300)
+    got = crf_quality.scores(unlike, labels)
+    assert got.count() == unlike.count() and got.where("score is null or score < 0 or score > 1").count() == 0
+
+
 def test_mix_reaches_targets_and_repeats(spark, odd, none):
     docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
     rows = mixing.mixed(docs).collect()
