@@ -93,7 +93,8 @@ def chunks(docs: DataFrame, keys: list[str], size: int, overlap: int) -> DataFra
 
     The chunks of equal rows are one row each, with their number: copies meet before the shuffle.
     """
-    last = F.ceil(F.length("text") / size).cast("int") - 1
+    # A chunk that reaches the text's end is the last.
+    last = F.greatest(F.ceil((F.length("text") - overlap) / size).cast("int") - 1, F.lit(0))
     return docs.where(F.length("text") > size).select(
         *keys, "text", F.explode(F.sequence(F.lit(0), last)).alias("k")).select(
         *keys, "k", F.expr(f"substring(text, k * {size} + 1, {size + overlap})").alias("piece")).groupBy(
@@ -106,14 +107,15 @@ def marks(c: Codec, t: str, size: int, overlap: int) -> tuple[list, list, list,
 
     Where an overlap has a boundary of every pre-tokenisation, that is its only mark.  Otherwise all boundaries of
     the chunk's own pre-tokenisation are: it depends on nothing before them, so neighbours that share one go on alike.
-    The last ones of a chunk are left out, as its end may have made them.
+    One whose next pre-token reaches the chunk's end is left out, as that end may have made it.
     """
     n = len(t)
     head, tail = SAFE.search(t, 1, min(overlap, n)), SAFE.search(t, size + 1, n)
     if head and (tail or n <= size):
         a = c.encode(t[:head.start()])
         rest = c.encode(t[head.start():tail.start()] if tail else t[head.start():])
-        return [head.start()], [len(a)], [tail.start() - size] if tail else [], [len(a) + len(rest)] if tail else [], a + rest
+        end = c.encode(t[tail.start():]) if tail else b""
+        return [head.start()], [len(a)], [tail.start() - size] if tail else [], [len(a) + len(rest)] if tail else [], a + rest + end
     at, before, ids, done = [], [], [], 0
     for m in c.pattern.finditer(t):
         if m.start() != (at[-1][1] if at else 0):
@@ -125,7 +127,7 @@ def marks(c: Codec, t: str, size: int, overlap: int) -> tuple[list, list, list,
     if not at or at[-1][1] != n:
         return [], [], [], [], b""
     first = [(p, b) for (p, _), b in zip(at, before) if 0 < p < min(overlap, n) and (not head or p == head.start())]
-    last = [(p - size, b) for (p, end), b in zip(at, before) if size < p and end < n and (not tail or p == tail.start())]
+    last = [(p - size, b) for (p, end), b in zip(at, before) if size < p and (p == tail.start() if tail else end < n)]
     return [p for p, _ in first], [b for _, b in first], [p for p, _ in last], [b for _, b in last], b"".join(ids)
 
 
