@@ -24,25 +24,38 @@ def _strip(c: Column) -> Column:
     return F.regexp_replace(c, r"^\s+|\s+$", "")
 
 
-def json_text(raw: Column) -> Column:
+def with_json_text(df: DataFrame, raw_col: str, out_col: str) -> DataFrame:
     """P1 text part: trim; inside a code fence take the first fenced part and
-    drop a leading ``json`` tag; then the span from the first '{' to the last '}'."""
-    t = _strip(raw)
-    fenced = F.element_at(F.split(t, "```"), 2)
-    fenced = F.when(F.lower(fenced).startswith("json"), F.substring(fenced, 5, 1 << 30)).otherwise(fenced)
-    body = F.when(t.startswith("```"), _strip(fenced)).otherwise(t)
-    span = F.regexp_extract(body, r"(?s)(\{.*\})", 1)
-    return F.when(span != "", span).otherwise(body)
+    drop a leading ``json`` tag; then the span from the first '{' to the last '}'.
+
+    One column a step: Spark keeps a costly column that is used more than once
+    in a projection of its own, so no pattern is run twice on a reply.
+    """
+    c = F.col(out_col)
+    df = df.withColumn(out_col, _strip(F.col(raw_col)))
+    fenced = f"{out_col}_fenced"
+    df = df.withColumn(fenced, F.when(c.startswith("```"), F.element_at(F.split(c, "```"), 2)))
+    f = F.col(fenced)
+    f = F.when(F.lower(f).startswith("json"), F.substring(f, 5, 1 << 30)).otherwise(f)
+    df = df.withColumn(out_col, F.when(c.startswith("```"), _strip(f)).otherwise(c)).drop(fenced)
+    span = f"{out_col}_span"
+    df = df.withColumn(span, F.regexp_extract(c, r"(?s)(\{.*\})", 1))
+    return df.withColumn(out_col, F.when(F.col(span) != "", F.col(span)).otherwise(c)).drop(span)
 
 
 def parse_actions(df: DataFrame, raw_col: str, out_col: str = "action") -> DataFrame:
-    """Add ``out_col`` (struct of REPLY_SCHEMA) and ``parsed`` (bool)."""
+    """Add ``out_col`` (struct of REPLY_SCHEMA) and ``parsed`` (bool).
+
+    Each reply is read as JSON once: all fields come from one parsed column.
+    """
     # Read as text, so a confidence in quotes counts as well.
     schema = T.StructType([T.StructField(f.name, T.StringType()) if f.name == "confidence" else f
                            for f in REPLY_SCHEMA.fields])
-    parsed = F.from_json(json_text(F.col(raw_col)), schema)
-    number = F.trim(parsed["confidence"]).try_cast("double")
-    return (df.withColumn(out_col, parsed.withField("confidence", number))
+    reply = f"__{out_col}_reply"
+    df = with_json_text(df, raw_col, reply)
+    df = df.withColumn(reply, F.from_json(reply, schema))
+    number = F.trim(F.col(reply)["confidence"]).try_cast("double")
+    return (df.withColumn(out_col, F.col(reply).withField("confidence", number)).drop(reply)
             .withColumn("parsed", F.col(f"{out_col}.action_type").isNotNull()))
 
 
