@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from scrubspark.functions.draws import pick, sql_pick, sql_uniform, uniform
 from scrubspark.operators import inject
-from scrubspark.sources.tables import read_table
+from scrubspark.sources.tables import deal_rows, read_table
 
 # Damage parameters of the test fixtures.
 PRICE_OUTLIERS = [-999999, 5000000, 9990000]
@@ -78,7 +78,7 @@ def action_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 def raw_replies(spark: SparkSession, sf_dir: str, valid_types: bool = False) -> DataFrame:
     """Model replies as text, four shapes by ``event_id % 4``: plain JSON, a
     fenced block tagged json, JSON inside prose, and text that is not JSON."""
-    e = read_table(spark, sf_dir, "events").select("event_id", "event_type")
+    e = deal_rows(read_table(spark, sf_dir, "events", spread=False)).select("event_id", "event_type")
     atype = pick("event_id", "act", ACTION_TYPES) if valid_types else F.col("event_type")
     body = F.concat(
         F.lit('{"action_type": "'), atype,

@@ -22,6 +22,7 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 
 
 SPREAD_MIN_BYTES, SPREAD_MAX_BYTES = 1 << 20, 1 << 30
+DEAL_BYTES = 8 << 20
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str, spread: bool = True) -> DataFrame:
@@ -48,6 +49,21 @@ def spread_small_scan(df: DataFrame) -> DataFrame:
     return df
 
 
+def deal_rows(df: DataFrame) -> DataFrame:
+    """The rows of a scan dealt round-robin, for work that costs far more per row than reading it.
+
+    A Parquet row group is read whole by one split, so the number of splits
+    does not tell how many hold rows, and one of them may hold all.  Here the
+    tasks grow with the table: one for ``DEAL_BYTES`` of it, at least one a core.
+    """
+    try:
+        par = df.sparkSession.sparkContext.defaultParallelism
+        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except Exception:  # noqa: BLE001 - a Spark Connect frame: adaptive execution sizes the parts
+        return df.hint("rebalance")
+    return df if size < SPREAD_MIN_BYTES else df.repartition(max(par, -(-size // DEAL_BYTES)))
+
+
 def normalize(df: DataFrame) -> DataFrame:
     """Make NaN a NULL in every float column.
 
