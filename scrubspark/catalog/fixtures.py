@@ -84,7 +84,8 @@ def raw_replies(spark: SparkSession, sf_dir: str, valid_types: bool = False) ->
         F.lit('{"action_type": "'), atype,
         F.lit('", "column": " value ", "params": {"strategy": "median"}, "confidence": '),
         (F.col("event_id") % 3).cast("string"), F.lit('.5, "reasoning": "x"}'))
-    shape = F.col("event_id") % 4
+    e = e.select("event_id", body.alias("body"))
+    body, shape = F.col("body"), F.col("event_id") % 4
     raw = (F.when(shape == 0, body)
            .when(shape == 1, F.concat(F.lit("```json\n"), body, F.lit("\n```")))
            .when(shape == 2, F.concat(F.lit("Sure. Here is the action: "), body, F.lit(" Hope it helps.")))
